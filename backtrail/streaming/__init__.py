@@ -1,0 +1,5 @@
+"""No streaming operator exists here on purpose.
+
+Every input is a finished set of files, centred windows need rows from the
+future and track totals need the whole track, so the model is batch only.
+"""
