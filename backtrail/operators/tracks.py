@@ -215,5 +215,5 @@ def distinct_track_counts(tracks: DataFrame, key: str = "index", height: str = "
 def season_counts(counts: DataFrame) -> DataFrame:
     """Track number and mean western share per season, from the monthly table."""
     return counts.groupBy("season").agg(
-        F.sum("N").alias("N"), F.avg("amount_western").alias("n")
+        F.sum("N").alias("N"), F.avg("amount_western").alias("amount_western")
     )

@@ -67,7 +67,7 @@ TRACKS = ("lineitem", {
     "air_temp": "250e0 + l_discount * 400e0",
     "rh": "30e0 + l_tax * 800e0",
     "rainfall": "CASE WHEN l_returnflag = 'R' THEN l_quantity / 1e2 ELSE 0e0 END",
-    "sp_humidity": "CASE WHEN l_orderkey % 211 = 0 THEN NULL ELSE l_extendedprice / 8e3 END",
+    "sp_humidity": "CASE WHEN l_orderkey % 211 = 0 THEN NULL ELSE l_extendedprice / 7e3 END",
     "run": "l_orderkey",
     "receptor": "l_linenumber",
     "part": "l_partkey",
