@@ -1,8 +1,4 @@
-"""Geodesics on the ellipsoid, rings, sector lines and polygon centroids.
-
-The iterative formulas are chains of projections: each step is a handful of
-native columns evaluated once, so they stay in one generated stage.
-"""
+"""Bearings, rings, sector lines and polygon centroids."""
 
 from __future__ import annotations
 
@@ -12,35 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backtrail.functions.geo import (
-    EARTH_RADIUS,
-    FLATTENING,
     LINE_BEARINGS,
     LINE_REACH_KM,
     LINE_STEP_KM,
-    POLAR_RADIUS,
     RING_RADII_KM,
     as_column,
     land_class,
     ocean_class,
-    wrap_degrees,
 )
+from backtrail.functions.geodesic import ellipsoid_bearing, ellipsoid_destination
 from backtrail.operators.skew import HOT_ROWS, over_ordered
 
-ITERATIONS = 8
-_T = "__g_"
-
-
-def _c(name: str) -> Column:
-    return F.col(_T + name)
-
-
-def _drop_steps(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(_T)])
-
-
-def _reduced_latitude(lat: Column) -> Column:
-    return F.atan(F.lit(1 - FLATTENING) * F.tan(F.radians(lat)))
-
 
 def with_ellipsoid_bearing(
     df: DataFrame,
@@ -49,117 +27,43 @@ def with_ellipsoid_bearing(
     lat: str = "lat",
     lon: str = "lon",
     out: str = "bearing_deg",
-    iterations: int = ITERATIONS,
 ) -> DataFrame:
     """Initial bearing on the ellipsoid from (lat0, lon0) to each point, degrees in [0, 360)."""
-    u1, u2 = _reduced_latitude(as_column(lat0)), _reduced_latitude(F.col(lat))
-    df = df.withColumns({
-        _T + "s1": F.sin(u1), _T + "c1": F.cos(u1),
-        _T + "s2": F.sin(u2), _T + "c2": F.cos(u2),
-        _T + "l": F.radians(F.col(lon) - as_column(lon0)),
-    }).withColumn(_T + "lam", _c("l"))
-    f = F.lit(FLATTENING)
-    for _ in range(iterations):
-        df = df.withColumns({_T + "sl": F.sin(_c("lam")), _T + "cl": F.cos(_c("lam"))})
-        df = df.withColumns({
-            _T + "y": _c("c2") * _c("sl"),
-            _T + "x": _c("c1") * _c("s2") - _c("s1") * _c("c2") * _c("cl"),
-            _T + "cs": _c("s1") * _c("s2") + _c("c1") * _c("c2") * _c("cl"),
-        })
-        df = df.withColumn(_T + "ss", F.sqrt(_c("y") * _c("y") + _c("x") * _c("x")))
-        df = df.withColumns({
-            _T + "sigma": F.atan2(_c("ss"), _c("cs")),
-            _T + "sa": F.coalesce(F.try_divide(_c("c1") * _c("y"), _c("ss")), F.lit(0.0)),
-        })
-        df = df.withColumn(_T + "ca2", F.lit(1.0) - _c("sa") * _c("sa"))
-        df = df.withColumns({
-            _T + "cm": F.coalesce(
-                _c("cs") - F.try_divide(F.lit(2.0) * _c("s1") * _c("s2"), _c("ca2")), F.lit(0.0)
-            ),
-            _T + "cc": f / 16 * _c("ca2") * (F.lit(4.0) + f * (F.lit(4.0) - _c("ca2") * 3)),
-        })
-        bend = _c("cm") + _c("cc") * _c("cs") * (_c("cm") * _c("cm") * 2 - 1)
-        df = df.withColumn(
-            _T + "lam",
-            _c("l") + (F.lit(1.0) - _c("cc")) * f * _c("sa")
-            * (_c("sigma") + _c("cc") * _c("ss") * bend),
-        )
-    return _drop_steps(df.withColumn(out, wrap_degrees(F.degrees(F.atan2(_c("y"), _c("x"))))))
+    return df.withColumn(
+        out, ellipsoid_bearing(as_column(lat0), as_column(lon0), F.col(lat), F.col(lon))
+    )
 
 
 def with_destination(
     df: DataFrame,
     lat0: float | str | Column,
     lon0: float | str | Column,
-    bearing: str,
-    metres: str,
+    bearing: Column,
+    metres: Column,
     out_lat: str = "lat",
     out_lon: str = "lon",
-    iterations: int = ITERATIONS,
 ) -> DataFrame:
     """Point reached on the ellipsoid from (lat0, lon0) along a bearing for a distance."""
-    alpha = F.radians(F.col(bearing))
-    u1 = _reduced_latitude(as_column(lat0))
-    f = F.lit(FLATTENING)
-    df = df.withColumns({
-        _T + "s1": F.sin(u1), _T + "c1": F.cos(u1), _T + "t1": F.tan(u1),
-        _T + "sa1": F.sin(alpha), _T + "ca1": F.cos(alpha), _T + "lon0": as_column(lon0),
-    })
-    df = df.withColumns({
-        _T + "sigma1": F.atan2(_c("t1"), _c("ca1")),
-        _T + "sa": _c("c1") * _c("sa1"),
-    })
-    df = df.withColumn(_T + "ca2", F.lit(1.0) - _c("sa") * _c("sa"))
-    ratio = (EARTH_RADIUS**2 - POLAR_RADIUS**2) / POLAR_RADIUS**2
-    df = df.withColumn(_T + "u2", _c("ca2") * ratio)
-    df = df.withColumns({
-        _T + "a": F.lit(1.0) + _c("u2") / 16384 * (F.lit(4096.0) + _c("u2") * (F.lit(-768.0) + _c("u2") * (F.lit(320.0) - _c("u2") * 175))),
-        _T + "b": _c("u2") / 1024 * (F.lit(256.0) + _c("u2") * (F.lit(-128.0) + _c("u2") * (F.lit(74.0) - _c("u2") * 47))),
-    })
-    df = df.withColumn(_T + "base", F.col(metres) / (_c("a") * POLAR_RADIUS))
-    df = df.withColumn(_T + "sigma", _c("base"))
-    for _ in range(iterations):
-        df = df.withColumns({
-            _T + "cm": F.cos(_c("sigma1") * 2 + _c("sigma")),
-            _T + "ss": F.sin(_c("sigma")), _T + "cs": F.cos(_c("sigma")),
-        })
-        df = df.withColumn(_T + "cm2", _c("cm") * _c("cm"))
-        inner = _c("cs") * (_c("cm2") * 2 - 1) - _c("b") / 6 * _c("cm") * (
-            _c("ss") * _c("ss") * 4 - 3
-        ) * (_c("cm2") * 4 - 3)
-        df = df.withColumn(
-            _T + "sigma", _c("base") + _c("b") * _c("ss") * (_c("cm") + _c("b") / 4 * inner)
-        )
-    df = df.withColumns({
-        _T + "cm": F.cos(_c("sigma1") * 2 + _c("sigma")),
-        _T + "ss": F.sin(_c("sigma")), _T + "cs": F.cos(_c("sigma")),
-    })
-    df = df.withColumn(_T + "side", _c("s1") * _c("ss") - _c("c1") * _c("cs") * _c("ca1"))
-    lam = F.atan2(_c("ss") * _c("sa1"), _c("c1") * _c("cs") - _c("s1") * _c("ss") * _c("ca1"))
-    df = df.withColumns({
-        _T + "lam": lam,
-        _T + "cc": f / 16 * _c("ca2") * (F.lit(4.0) + f * (F.lit(4.0) - _c("ca2") * 3)),
-    })
-    bend = _c("cm") + _c("cc") * _c("cs") * (_c("cm") * _c("cm") * 2 - 1)
-    shift = _c("lam") - (F.lit(1.0) - _c("cc")) * f * _c("sa") * (
-        _c("sigma") + _c("cc") * _c("ss") * bend
+    reached = ellipsoid_destination(
+        as_column(lat0), as_column(lon0), bearing.cast("double"), metres.cast("double")
+    )
+    return (
+        df.withColumn("__p", reached)
+        .withColumns({out_lat: F.col("__p.lat"), out_lon: F.col("__p.lon")})
+        .drop("__p")
     )
-    up = _c("s1") * _c("cs") + _c("c1") * _c("ss") * _c("ca1")
-    across = F.lit(1 - FLATTENING) * F.sqrt(_c("sa") * _c("sa") + _c("side") * _c("side"))
-    lon = F.pmod(_c("lon0") + F.degrees(shift) + F.lit(540.0), F.lit(360.0)) - F.lit(180.0)
-    return _drop_steps(df.withColumns({out_lat: F.degrees(F.atan2(up, across)), out_lon: lon}))
 
 
 def range_rings(
     origins: DataFrame, lat: str, lon: str, radii_km: Sequence[int] = RING_RADII_KM
 ) -> DataFrame:
     """Circles around each origin: a point per whole degree of bearing, 0 to 360, and radius."""
-    spokes = (
-        origins.withColumn("radius_km", F.explode(F.array(*[F.lit(int(r)) for r in radii_km])))
-        .withColumn("bearing", F.explode(F.sequence(F.lit(0), F.lit(360))))
-        .withColumn("__m", F.col("radius_km") * F.lit(1000.0))
+    spokes = origins.withColumn(
+        "radius_km", F.explode(F.array(*[F.lit(int(r)) for r in radii_km]))
+    ).withColumn("bearing", F.explode(F.sequence(F.lit(0), F.lit(360))))
+    return with_destination(
+        spokes, lat, lon, F.col("bearing"), F.col("radius_km") * 1000, "ring_lat", "ring_lon"
     )
-    return with_destination(spokes, lat, lon, "bearing", "__m", "ring_lat", "ring_lon").drop("__m")
 
 
 def sector_lines(
@@ -171,12 +75,12 @@ def sector_lines(
     step_km: int = LINE_STEP_KM,
 ) -> DataFrame:
     """Lines from each origin along the given bearings, a point every ``step_km``."""
-    spokes = (
-        origins.withColumn("bearing", F.explode(F.array(*[F.lit(int(b)) for b in bearings])))
-        .withColumn("distance_km", F.explode(F.sequence(F.lit(0), F.lit(reach_km), F.lit(step_km))))
-        .withColumn("__m", F.col("distance_km") * F.lit(1000.0))
+    spokes = origins.withColumn(
+        "bearing", F.explode(F.array(*[F.lit(int(b)) for b in bearings]))
+    ).withColumn("distance_km", F.explode(F.sequence(F.lit(0), F.lit(reach_km), F.lit(step_km))))
+    return with_destination(
+        spokes, lat, lon, F.col("bearing"), F.col("distance_km") * 1000, "line_lat", "line_lon"
     )
-    return with_destination(spokes, lat, lon, "bearing", "__m", "line_lat", "line_lon").drop("__m")
 
 
 def polygon_centroids(

@@ -11,7 +11,8 @@ from backtrail.operators import joins, series, summaries
 from backtrail.operators.attribution import ordered_means
 from backtrail.plans import bindings as b
 from backtrail.plans.registry import Query
-from backtrail.plans.sqlparts import iqr, season as sql_season, strict_sum, using, wmean
+from backtrail.plans.sqlparts import iqr, strict_sum, using, wmean
+from backtrail.plans.sqlparts import season as sql_season
 
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:

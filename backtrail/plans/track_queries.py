@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from backtrail.functions.geo import BAND_LIMITS_DO, BAND_LIMITS_EXCESS
-from backtrail.operators import attribution, joins, models, series, skew, tracks
+from backtrail.operators import attribution, joins, models, series, skew, summaries, tracks
 from backtrail.plans import bindings as b
 from backtrail.plans import event_queries as ev
-from backtrail.operators import summaries
 from backtrail.plans.registry import Query
-from backtrail.plans.sqlparts import sweep_operator, uptake as sql_uptake, using, wmean
+from backtrail.plans.sqlparts import sweep_operator, using, wmean
+from backtrail.plans.sqlparts import uptake as sql_uptake
+from backtrail.session import scratch_path
+from backtrail.sources.tables import materialise
 
 # Views of the maps as south, north, west, east.
 WIDE_VIEW = (25, 75, -50, 50)
@@ -30,6 +32,11 @@ def dominant_uptake(spark: SparkSession, d: str) -> DataFrame:
     return tracks.uptake(prepared_tracks(spark, d), order=b.TRACK_ORDER, dominant_only=True)
 
 
+def settled_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """``dominant_uptake`` written once, for queries that use it several times."""
+    return materialise(dominant_uptake(spark, d), scratch_path(spark, "tracks"))
+
+
 def sites(spark: SparkSession, d: str) -> DataFrame:
     return summaries.select_events(summaries.prepare_events(b.sites(spark, d)))
 
@@ -86,9 +93,9 @@ def _share_sums(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def events_with_fit(spark: SparkSession, d: str) -> DataFrame:
+def events_with_fit(spark: SparkSession, d: str, points: DataFrame) -> DataFrame:
     """Track events with the fitted value and residual of a regression on their weather means."""
-    remote = models.remote_means(dominant_uptake(spark, d), -12, ["index"])
+    remote = models.remote_means(points, -12, ["index"])
     joined = sites(spark, d).join(remote.select("index", "temp_rm", "rh_rm"), on="index")
     xs = ("temp_rm", "rh_rm")
     return models.augment(joined, models.ols(joined, "dO", xs), "dO", xs)
@@ -102,7 +109,7 @@ FROM dominant WHERE hour_along >= -12 GROUP BY index"""),
 ]
 
 
-def _site_fit() -> list[tuple[str, str]]:
+def site_fit_sql() -> list[tuple[str, str]]:
     return [
         *SITE_FIT_SQL,
         *sweep_operator(["temp_rm", "rh_rm"], '"dO"', [], "site_joined"),
@@ -112,8 +119,9 @@ def _site_fit() -> list[tuple[str, str]]:
 
 
 def _source_grid(spark: SparkSession, d: str) -> DataFrame:
+    points = settled_tracks(spark, d)
     return attribution.source_grid(
-        events_with_fit(spark, d), dominant_uptake(spark, d), ["dO", "d_excess", "residuals"]
+        events_with_fit(spark, d, points), points, ["dO", "d_excess", "residuals"]
     )
 
 
@@ -329,7 +337,7 @@ FROM dominant GROUP BY season"""),
     ),
     "source_grid_residuals": Query(
         _source_grid,
-        using("dominant selected_sites", _sql_source_grid("site_fit", ['"dO"', "d_excess", "residuals"], _GRID_1), _site_fit()),
+        using("dominant selected_sites", _sql_source_grid("site_fit", ['"dO"', "d_excess", "residuals"], _GRID_1), site_fit_sql()),
         ("lat", "lon", "uptake", "dO", "d_excess", "residuals", "P_point_sum", "prop_uptake"),
     ),
     "source_grid_anomalies": Query(
