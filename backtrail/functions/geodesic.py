@@ -98,7 +98,7 @@ def ellipsoid_bearing(lat0: pd.Series, lon0: pd.Series, lat: pd.Series, lon: pd.
     return _nullable(initial_bearing(*_floats(lat0, lon0, lat, lon)))
 
 
-@F.pandas_udf("lat double, lon double")
+@F.pandas_udf(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
 def ellipsoid_destination(
     lat0: pd.Series, lon0: pd.Series, bearing: pd.Series, metres: pd.Series
 ) -> pd.DataFrame:
