@@ -29,14 +29,9 @@ def excess_global(dd: Column, do: Column) -> Column:
     return dd - F.lit(GLOBAL_SLOPE) * do
 
 
-def _second_of_day(t: Column) -> Column:
-    return F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
-
-
 def _seconds(start: Column, end: Column) -> Column:
     """Whole seconds between two zone-less timestamps, whatever the session time zone."""
-    days = F.date_diff(F.to_date(end), F.to_date(start)).cast("long")
-    return days * 86400 + _second_of_day(end) - _second_of_day(start)
+    return (end - start).cast("interval second").cast("long")
 
 
 def midpoint(start: Column, end: Column) -> Column:

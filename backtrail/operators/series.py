@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from backtrail.functions.semantics import safe_div, total, wmean
-from backtrail.operators.skew import HOT_ROWS, checked_broadcast, null_safe_join, over_ordered
+from backtrail.operators.skew import (
+    HOT_ROWS,
+    Split,
+    checked_broadcast,
+    null_safe_join,
+    over_ordered,
+)
 
 
 def frame_offsets(width: int, align: str) -> tuple[int, int]:
@@ -61,6 +67,7 @@ def rolling_sums(
     width: int,
     align: str = "center",
     hot_rows: int = HOT_ROWS,
+    split: Split | None = None,
 ) -> DataFrame:
     """Add rolling sums over rows."""
     first, last = frame_offsets(width, align)
@@ -68,7 +75,9 @@ def rolling_sums(
     def add(frame: DataFrame, window: WindowSpec) -> DataFrame:
         return frame.withColumns({n: roll_sum(c, window, width, align) for n, c in columns.items()})
 
-    return over_ordered(df, series, order, add, before=-first, after=last, hot_rows=hot_rows)
+    return over_ordered(
+        df, series, order, add, before=-first, after=last, hot_rows=hot_rows, split=split
+    )
 
 
 def daily_composite(
@@ -102,14 +111,15 @@ def rolling_composite(
     date: str = "date",
     width: int = 30,
     suffix: str = "_rm",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Weighted centred rolling mean: rolling sum of value x weight over rolling sum of weight.
 
     The weight sum also counts days on which the value itself is missing.
     """
     sums = {f"__{v}": F.col(v) * F.col(weight) for v in values} | {f"{weight}{suffix}": F.col(weight)}
-    rolled = rolling_sums(completed, series, [date], sums, width, hot_rows=hot_rows)
+    # one row per day: the calendar bounds a series, so no group needs to be looked for
+    within_bounds = Split(completed, None, 0)
+    rolled = rolling_sums(completed, series, [date], sums, width, split=within_bounds)
     return rolled.withColumns(
         {f"{v}{suffix}": safe_div(F.col(f"__{v}"), F.col(f"{weight}{suffix}")) for v in values}
     ).drop(*[f"__{v}" for v in values])

@@ -17,6 +17,7 @@ from backtrail.functions.scalars import (
 from backtrail.functions.semantics import rows, strict_sum, total, wmean
 from backtrail.operators.quantiles import summarise
 from backtrail.operators.skew import HOT_ROWS, checked_broadcast, null_safe_join
+from backtrail.sources.schemas import EVENTS
 
 # Amount thresholds (mm), the event selection, and the longest event (hours).
 THRESHOLDS = (0.0, 1.0, 2.5, 10.0)
@@ -24,6 +25,7 @@ LEAST_AMOUNT = 1.0
 LONGEST_EVENT = 24
 
 VALUES = ("dO", "d_excess")
+SOURCE_COLUMNS = tuple(f.name for f in EVENTS)
 
 
 def prepare_events(events: DataFrame, excess: str = "local", moment: str = "middle") -> DataFrame:
@@ -47,6 +49,16 @@ def prepare_events(events: DataFrame, excess: str = "local", moment: str = "midd
     )
 
 
+def complete_events(prepared: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Events without a missing value in any column.
+
+    A derived column is missing exactly when one of its sources is, so only the
+    sources are tested: tests on derived columns would be pushed below the
+    derivation and evaluate it again, once per test.
+    """
+    return prepared.na.drop("any", subset=[*SOURCE_COLUMNS, *also])
+
+
 def with_season(events: DataFrame) -> DataFrame:
     return events.withColumn("season", season(F.col("date")))
 

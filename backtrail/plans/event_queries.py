@@ -42,7 +42,7 @@ WEATHER_COLUMNS = (
 
 def events_with_weather(spark: SparkSession, d: str) -> DataFrame:
     joined = joins.natural_join(selected(spark, d), smooth_weather(spark, d), ["date", "time"])
-    return joins.known(joined).select(*WEATHER_COLUMNS)
+    return summaries.complete_events(joined, ["temp", "rh", "gph"]).select(*WEATHER_COLUMNS)
 
 
 def seasonal_events(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +127,7 @@ QUERIES: dict[str, Query] = {
         ("P", "dD", "dO", "d_excess"),
     ),
     "event_complete_rows": Query(
-        lambda s, d: _prepared_columns(joins.known(prepared(s, d))),
+        lambda s, d: _prepared_columns(summaries.complete_events(prepared(s, d))),
         using("prepared", f"""SELECT {_PREPARED} FROM prepared WHERE "end" IS NOT NULL AND "P" IS NOT NULL
   AND "dD" IS NOT NULL AND "dO" IS NOT NULL"""),
         ("P", "dD", "dO", "d_excess"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backtrail.functions.scalars import count_label, fit_label, offset_label
-from backtrail.operators import joins, models, tracks
+from backtrail.operators import joins, models, summaries, tracks
 from backtrail.plans import attribution_queries as aq
 from backtrail.plans import event_queries as ev
 from backtrail.plans import track_queries as tq
@@ -23,7 +23,7 @@ _GLANCE_ROUNDS = ("r_squared", "sigma", "AIC")
 
 
 def complete_events(spark: SparkSession, d: str) -> DataFrame:
-    return joins.known(ev.seasonal_events(spark, d))
+    return summaries.complete_events(ev.seasonal_events(spark, d))
 
 
 _COMPLETE = [("complete", f"""SELECT *, {sql_season('date')} AS season FROM prepared
