@@ -39,7 +39,9 @@ def grid_floor(x: Column, size: float = 1) -> Column:
 def haversine_km(lat: Column, lon: Column, lat0: Column, lon0: Column) -> Column:
     dlat, dlon = F.radians(lat - lat0), F.radians(lon - lon0)
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(lat0)) * F.pow(F.sin(dlon / 2), 2)
-    return F.asin(F.least(F.sqrt(h), F.lit(1.0))) * F.lit(2 * EARTH_RADIUS / 1000)
+    # rounding may push the half chord of antipodes above 1
+    half = F.when(h > 1, 1.0).otherwise(F.sqrt(h))
+    return F.asin(half) * F.lit(2 * EARTH_RADIUS / 1000)
 
 
 def wrap_degrees(angle: Column) -> Column:

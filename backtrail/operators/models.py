@@ -234,8 +234,10 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
         rho.alias("pearson_rho"), F.count_if(both).alias("pairs"), rows().alias("N")
     )
     dof = (F.col("pairs") - 2).cast("double")
-    r = F.greatest(F.least(F.col("pearson_rho"), F.lit(1.0)), F.lit(-1.0))
-    t = F.when(dof > 0, F.when(F.abs(r) >= 1, F.signum(r) * float("inf")).otherwise(r * F.sqrt(F.abs(dof) / (F.lit(1.0) - r * r))))
+    rho = F.col("pearson_rho")
+    r = F.when(F.abs(rho) > 1, F.signum(rho)).otherwise(rho)
+    spread = F.sqrt(safe_div(F.abs(dof), F.lit(1.0) - r * r))
+    t = F.when(dof > 0, F.when(F.abs(r) >= 1, F.signum(r) * float("inf")).otherwise(r * spread))
     return (
         grouped.withColumns({"pearson_rho": r, "__dof": dof})
         .withColumn("statistic", t)

@@ -124,17 +124,19 @@ def uptake(
         return out
 
     if split.cold is not None:
-        whole = Window.partitionBy(*track)
-        frame = split.cold.repartition(key).sortWithinPartitions(*track, *order)
-        frame = frame.withColumns({
+        # every window below asks for the same order, so one sort serves them all
+        along = Window.partitionBy(*track).orderBy(*order)
+        whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        frame = split.cold.repartition(key).withColumns({
             "traj_end": F.min(order[0]).over(whole), "__points": F.count(F.lit(1)).over(whole),
         }).where(long_enough()).drop("__points")
-        frame = _gain(value, trailing)(frame, whole.orderBy(*order))
+        frame = _gain(value, trailing)(frame, along)
         gained = F.sum(positive_part(F.col("delta_q"))).over(whole)
-        frame = _finish(frame.withColumn("tot_uptake", F.coalesce(gained, F.lit(0.0))))
+        frame = frame.withColumn("tot_uptake", F.coalesce(gained, F.lit(0.0)))
         if dominant_only:
             most = F.max("tot_uptake").over(Window.partitionBy(key))
             frame = frame.withColumn("__most", most).where(F.col("tot_uptake") == F.col("__most")).drop("__most")
+        frame = _finish(frame)
         parts.append(frame)
     if split.hot is not None:
         sizes = split.hot.groupBy(*track).agg(
