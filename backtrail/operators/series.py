@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from backtrail.functions.semantics import safe_div, total, wmean
+from backtrail.operators.joins import natural_join
 from backtrail.operators.skew import (
     HOT_ROWS,
     Split,
@@ -168,6 +169,17 @@ def scatter_composite(
     )
 
 
+def with_weather(
+    events: DataFrame, weather: DataFrame, keys: Sequence[str] = ("date", "time")
+) -> DataFrame:
+    """Events beside the weather of their day and hour.
+
+    Weather holds one row per hour. When it is seen to fit it is broadcast, so
+    that a day or hour with very many events does not gather in one task.
+    """
+    return natural_join(events, checked_broadcast(weather), keys)
+
+
 def anomalies(
     events: DataFrame,
     composite: DataFrame,

@@ -180,7 +180,7 @@ def dominant(
         )
         first = F.struct((-F.col(total)).alias("t"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(tie_break)])
         best = per_track.groupBy(key).agg(F.min_by(height, first).alias(height))
-        return null_safe_join(tracks, best, [key, height], "left_semi")
+        return null_safe_join(tracks, checked_broadcast(best), [key, height], "left_semi")
     split = split_hot(tracks, [key], hot_rows)
     most = F.max(total).over(Window.partitionBy(key))
     if split.hot is None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from backtrail.functions.scalars import MONTH_NAMES, SEASONS, month_name, ordinal, season
 from backtrail.functions.semantics import flag
-from backtrail.operators import joins, series, summaries
+from backtrail.operators import series, summaries
 from backtrail.operators.attribution import ordered_means
 from backtrail.plans import bindings as b
 from backtrail.plans.registry import Query
@@ -41,7 +41,7 @@ WEATHER_COLUMNS = (
 
 
 def events_with_weather(spark: SparkSession, d: str) -> DataFrame:
-    joined = joins.natural_join(selected(spark, d), smooth_weather(spark, d), ["date", "time"])
+    joined = series.with_weather(selected(spark, d), smooth_weather(spark, d))
     return summaries.complete_events(joined, ["temp", "rh", "gph"]).select(*WEATHER_COLUMNS)
 
 
@@ -92,7 +92,7 @@ def _event_anomalies(spark: SparkSession, d: str) -> DataFrame:
 
 def _unsmoothed(spark: SparkSession, d: str) -> DataFrame:
     moments = selected(spark, d).select("index", "date", "time")
-    joined = joins.natural_join(b.weather(spark, d), moments, ["date", "time"])
+    joined = series.with_weather(moments, b.weather(spark, d))
     return joined.select("index", "temp", "rh", "gph")
 
 
@@ -199,7 +199,7 @@ FROM (SELECT *, {sql_season('date')} AS season FROM prepared) GROUP BY season, t
     "daily_composite": Query(
         composite_days,
         using("composite_day", "SELECT * FROM composite_day"),
-        ("dO", "d_excess", "P"),
+        ("dO", "d_excess", "P"), digits=8,
     ),
     "daily_composite_by_series": Query(
         lambda s, d: series.complete_days(_series_composite(s, d), ["type"]),
@@ -210,22 +210,22 @@ LEFT JOIN per_day c ON c.date = g.day AND c.type = g.type""",
               [("per_day", f"""SELECT type, date, CAST(month(date) AS INT) AS month, CAST(year(date) AS INT) AS year,
   {wmean('"dO"', '"P"')} AS "dO", {wmean('d_excess', '"P"')} AS d_excess, coalesce(sum("P"), 0) AS "P"
 FROM selected GROUP BY type, date""")]),
-        ("dO", "d_excess", "P"),
+        ("dO", "d_excess", "P"), digits=8,
     ),
     "calendar_completion": Query(
         lambda s, d: series.complete_days(composite_days(s, d)),
         using("all_days", "SELECT * FROM all_days"),
-        ("dO", "d_excess", "P"),
+        ("dO", "d_excess", "P"), digits=8,
     ),
     "rolling_composite": Query(
         composite,
         using("composite", "SELECT * FROM composite"),
-        _COMPOSITE_ROUNDS,
+        _COMPOSITE_ROUNDS, digits=8,
     ),
     "rolling_composite_scattered": Query(
         lambda s, d: series.scatter_composite(composite_days(s, d)),
         using("composite", "SELECT * FROM composite"),
-        _COMPOSITE_ROUNDS,
+        _COMPOSITE_ROUNDS, digits=8,
     ),
     "rolling_composite_by_series": Query(
         lambda s, d: series.scatter_composite(_series_composite(s, d), ["type"]),
@@ -242,7 +242,7 @@ FROM selected GROUP BY type, date"""),
 FROM (SELECT type, CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP),
     INTERVAL '1' DAY)) AS DATE) AS day FROM per_day GROUP BY type) g
 LEFT JOIN per_day c ON c.date = g.day AND c.type = g.type""")]),
-        _COMPOSITE_ROUNDS,
+        _COMPOSITE_ROUNDS, digits=8,
     ),
     "event_anomalies": Query(
         _event_anomalies,
@@ -250,7 +250,7 @@ LEFT JOIN per_day c ON c.date = g.day AND c.type = g.type""")]),
   e."dO" - c."dO_rm" AS "dO_nm", e.d_excess - c.d_excess_rm AS d_excess_nm
 FROM selected e JOIN composite c ON c.date = e.date
 WHERE c."dO" IS NOT NULL AND c.d_excess IS NOT NULL AND c."dO_rm" IS NOT NULL AND c.d_excess_rm IS NOT NULL"""),
-        ("P", "dO", "d_excess", "dO_rm", "d_excess_rm", "dO_nm", "d_excess_nm"),
+        ("P", "dO", "d_excess", "dO_rm", "d_excess_rm", "dO_nm", "d_excess_nm"), digits=8,
     ),
     "daily_weather_statistics": Query(
         lambda s, d: summaries.daily_statistics(b.weather_lines(s, d), "1998-12-31"),

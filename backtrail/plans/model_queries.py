@@ -275,7 +275,7 @@ FROM attributed GROUP BY region""", aq.ATTRIBUTED_SQL),
         using(aq.ATTRIBUTED_PARTS, f"""SELECT region, pearson_rho, pairs, "N", statistic,
   {_t_tail('statistic', '(pairs - 2e0)')} AS p_value
 FROM (SELECT *, CASE WHEN pairs > 2 THEN pearson_rho * sqrt((pairs - 2) / (1 - pearson_rho * pearson_rho)) END AS statistic
-  FROM (SELECT region, corr(temp_rm, "dO") AS pearson_rho, count(*) FILTER (temp_rm IS NOT NULL AND "dO" IS NOT NULL) AS pairs,
+  FROM (SELECT region, CASE WHEN NOT isnan(corr(temp_rm, "dO")) THEN corr(temp_rm, "dO") END AS pearson_rho, count(*) FILTER (temp_rm IS NOT NULL AND "dO" IS NOT NULL) AS pairs,
       count(*) AS "N" FROM attributed GROUP BY region)) AS tested""", aq.ATTRIBUTED_SQL),
         ("pearson_rho", "statistic", "p_value"),
     ),
