@@ -31,6 +31,7 @@ from backtrail.functions.scalars import ordinal
 from backtrail.functions.semantics import positive_sum, rows, safe_div, strict_sum, total, wmean
 from backtrail.operators.geodesy import with_ellipsoid_bearing
 from backtrail.operators.joins import complete_grid
+from backtrail.operators.skew import settle_small
 
 CELL = ("lat", "lon", "season")
 
@@ -188,7 +189,7 @@ def share_table(
     amount: str = "P",
 ) -> DataFrame:
     """Amount per group and label with its share in the group; missing combinations count 0."""
-    sums = attributed.groupBy(group, label).agg(strict_sum(F.col(amount)).alias(amount))
+    sums = settle_small(attributed.groupBy(group, label).agg(strict_sum(F.col(amount)).alias(amount)))
     filled = complete_grid(sums, [group], label, {amount: 0.0}, levels)
     of_group = F.sum(amount).over(Window.partitionBy(group))
     return filled.withColumn("P_tot", of_group).withColumn(

@@ -48,18 +48,34 @@ def null_safe_join(
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def _fetched(small: DataFrame, max_rows: int, max_bytes: int) -> DataFrame | None:
+    """The rows of ``small`` as a local frame, or None when there are too many.
+
+    At most one row more than allowed is fetched.
+    """
+    fetched = small.limit(max_rows + 1).toArrow()
+    if fetched.num_rows > max_rows or fetched.nbytes > max_bytes:
+        return None
+    return small.sparkSession.createDataFrame(fetched, schema=small.schema)
+
+
 def checked_broadcast(
     small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Broadcast ``small`` if it is seen to fit; otherwise return it unhinted for a shuffle join.
 
-    The rows are fetched once, at most one more than allowed, and are not
-    computed again when they fit.
+    Rows that fit are not computed again.
     """
-    fetched = small.limit(max_rows + 1).toArrow()
-    if fetched.num_rows > max_rows or fetched.nbytes > max_bytes:
-        return small
-    return F.broadcast(small.sparkSession.createDataFrame(fetched, schema=small.schema))
+    local = _fetched(small, max_rows, max_bytes)
+    return small if local is None else F.broadcast(local)
+
+
+def settle_small(
+    small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Compute a summary table once, for use in several places; a large one is left as it is."""
+    local = _fetched(small, max_rows, max_bytes)
+    return small if local is None else local
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Split:
