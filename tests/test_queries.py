@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from backtrail.plans.catalog import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -28,7 +29,7 @@ def rows_of(table, columns):
     )
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_its_sql(spark, tables, name):
     got = contract.queries()[name](spark, SF_DIR).toArrow()
     wanted = tables.sql(contract.oracle_sql()[name]).to_arrow_table()
@@ -43,4 +44,5 @@ def test_entry_returns_rows(spark):
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert all_queries().keys() <= contract.queries().keys()
+    assert all_queries().keys() <= contract.oracle_sql().keys()
