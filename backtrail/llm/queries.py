@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, url_rules
+from backtrail.llm import bpe, packing, url_rules
 from backtrail.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of at most 4096 ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packing.pack(parts, docs.count(), capacity=4096)
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page address judged by the longest rule that fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -58,6 +65,7 @@ FROM parts JOIN best ON parts.host = best.host AND parts.path = best.path
 
 QUERIES: dict[str, Build] = {
     "op2_token_counts": op2_token_counts,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_url_filters": op9_url_filters,
 }
 
