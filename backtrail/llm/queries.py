@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, packing, url_rules
+from backtrail.llm import bpe, packing, quality_rules, url_rules
 from backtrail.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,13 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rules.rule_table(spark, URL_RULES))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged by rules that vote."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
 _URL_SQL = rf"""
 WITH rules(rule_host, rule_path, said) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
 parts AS (
@@ -67,6 +74,7 @@ QUERIES: dict[str, Build] = {
     "op2_token_counts": op2_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_url_filters": op9_url_filters,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_url_filters": _URL_SQL}
