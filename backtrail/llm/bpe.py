@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces kept per worker; a full memo is emptied, which costs time and changes nothing.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 500_000
 
 _WHITE = regex.compile(r"\p{White_Space}+")
 _NOT_WHITE = "\x1c\x1d\x1e\x1f"  # str.split() takes these for white space, Unicode does not

@@ -34,13 +34,12 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         special = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special]
         self.mark, self.mark_id = special[0] if special else ("", -1)
 
-    def learn(self, fresh: list[str]) -> None:
+    def encode(self, fresh: list[str]) -> None:
         """Encode words in one call, a special token between them; words that hold one go alone."""
-        if len(self.known) + len(fresh) > MEMO_ENTRIES:
-            self.known.clear()
         plain = [w for w in fresh if self.mark not in w] if self.mark else []
         if plain:
             ids = np.array(self.library.encode(self.mark.join(plain), add_special_tokens=False).ids, "<u4")
@@ -56,14 +55,27 @@ class WordIds:
                 self.known[word] = np.array(ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Little-endian unsigned 32-bit ids.
+
+        When the memo is full, the words before it are dropped but for those that come again.
+        """
         found = words(text or "")
-        for wanted in (lambda w: w not in self.known, lambda w: True):  # the memo may be emptied meanwhile
-            try:
-                return b"".join(map(self.known.__getitem__, found))
-            except KeyError:
-                self.learn([w for w in dict.fromkeys(found) if wanted(w)])
-        return b"".join(map(self.known.__getitem__, found))
+        parts = list(map(self.known.get, found))
+        if None in parts:
+            if len(self.known) >= MEMO_ENTRIES:
+                self.before, self.known = self.known, {}
+            fresh = []
+            for word in dict.fromkeys(w for w, part in zip(found, parts) if part is None):
+                part = self.before.get(word)
+                if part is None:
+                    fresh.append(word)
+                else:
+                    self.known[word] = part
+            if fresh:
+                self.encode(fresh)
+            known = self.known
+            parts = [known[w] if part is None else part for w, part in zip(found, parts)]
+        return b"".join(parts)
 
 
 @functools.lru_cache(maxsize=4)

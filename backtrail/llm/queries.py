@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, packing, quality_rules, url_rules
+from backtrail.llm import bpe, packing, quality_rules, simhash, url_rules
 from backtrail.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts, docs.count(), capacity=4096)
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, budget=3, words=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page address judged by the longest rule that fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -73,6 +80,7 @@ FROM parts JOIN best ON parts.host = best.host AND parts.path = best.path
 QUERIES: dict[str, Build] = {
     "op2_token_counts": op2_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
 }
