@@ -46,10 +46,11 @@ def _end(key: str) -> str | None:
 def _cuts(places: DataFrame, parts: int, sample: int) -> list[str]:
     """Places that cut the sorted rows into about equal parts.
 
-    ``sample`` bounds the rows that are looked at, in the order of their hash. Cuts
-    only balance the work: the result is the same for any of them.
+    About ``sample`` rows are looked at, chosen by their hash. Cuts only balance the
+    work: the result is the same for any of them.
     """
-    seen = sorted(r[0] for r in places.orderBy(F.xxhash64("place")).limit(sample).collect())
+    every = max(1, places.count() // sample)
+    seen = sorted(r[0] for r in places.where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).collect())
     return sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
 
 
