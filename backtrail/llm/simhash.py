@@ -10,7 +10,7 @@ earlier block is dropped there, hence every pair is met once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +23,31 @@ from backtrail.llm.common import hot_keys
 from backtrail.session import cut_lineage
 
 BITS = 64
-_SEED = 42
 #: Node pairs that are walked at once; more wait their turn.
 _WAVE = 1 << 18
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """SimHash of the shingles of ``words`` words, repeats included.
+def fingerprint(text: str | None, words: int = 3, seed: int = 42, once: bool = False) -> int:
+    """SimHash of the shingles of ``words`` words.
 
     A-Z are lower-cased, words stand between space and U+0009 to U+000D, a shorter
     text is one shingle, one without words has fingerprint 0. A bit is set if it is
-    set in over half the XXH64 (seed 42) of the shingles.
+    set in over half the XXH64 (with ``seed``) of the shingles. Shingles that come
+    again count again, unless each is to count ``once``.
     """
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return 0
     line = b" ".join(found)
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(line, _SEED)
+        return xxhash.xxh64_intdigest(line, seed)
     starts, at = [], 0
     for word in found:
         starts.append(at)
         at += len(word) + 1
+    shingles = (line[a:b - 1] for a, b in zip(starts, [*starts[words:], at]))
     digest = xxhash.xxh64_intdigest
-    ends = [*starts[words:], at]
-    hashes = np.array([digest(line[a:b - 1], _SEED) for a, b in zip(starts, ends)], dtype="<u8")
+    hashes = np.array([digest(x, seed) for x in (set(shingles) if once else shingles)], dtype="<u8")
     counts = np.zeros(BITS, dtype=np.int64)
     for part in range(0, len(hashes), 1 << 16):
         block = hashes[part:part + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -55,19 +55,23 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """Of every row ``id``, ``text_hash`` and ``fp`` (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
+                 seeds: Sequence[int] = (42,), once: bool = False) -> DataFrame:
+    """Of every row ``id``, ``text_hash`` and ``fps`` (a signed long for each seed)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            found = np.array([fingerprint(t, words, seed, once) for t in batch.column(2).to_pylist() for seed in seeds],
+                             dtype=np.uint64).view(np.int64)
+            ends = np.arange(0, len(found) + 1, len(seeds), dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "text_hash", "fp"])
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(found))],
+                names=["id", "text_hash", "fps"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                          F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(mark, f"id {id_type}, text_hash long, fp long")
+    return picked.mapInArrow(mark, f"id {id_type}, text_hash long, fps array<long>")
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -245,41 +249,64 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def near_duplicates(docs: DataFrame, budget: int = 3, words: int = 3, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+def _classes(nodes: DataFrame, seeds: int, budget: int) -> DataFrame:
+    """``node`` and ``root`` of the nodes (``node``, ``fps``) that are linked to others.
+
+    With one seed a node is its fingerprint. With more, each fingerprint that two nodes
+    share, or that is linked, is a node of its own between them.
+    """
+    if seeds == 1:
+        return components(links(nodes.select(F.col("node").alias("fp")), budget))
+    edges = None
+    for k in range(seeds):
+        name = F.concat(F.lit(f"{k}:"), F.hex("fp"))
+        own = nodes.select("node", F.col("fps")[k].alias("fp"))
+        near = cut_lineage(links(own.select("fp"), budget))
+        shared = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+        wanted = shared.union(near.select("a")).union(near.select("b")).distinct()
+        found = own.join(wanted, "fp").select(F.col("node").alias("a"), name.alias("b")).unionByName(near.select(
+            *(F.concat(F.lit(f"{k}:"), F.hex(c)).alias(c) for c in ("a", "b"))))
+        edges = found if edges is None else edges.unionByName(found)
+    return components(edges)
+
+
+def near_duplicates(docs: DataFrame, budget: int = 3, words: int = 3, seeds: Sequence[int] = (42,),
+                    once: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint and class of every document.
 
-    Documents link if their fingerprints differ in at most ``budget`` bits. A null text
-    counts as empty: fingerprint 0, linked like any other. Returns one row per row of
-    ``docs``: the id, ``text_hash``, ``fp``, ``component_id`` (the lowest id that can be
-    reached; a null id only where there is no other) and ``stays``, true for the first
-    of the component by id and then text hash, and for rows that repeat it.
+    Documents link if their fingerprints for one of the ``seeds`` differ in at most
+    ``budget`` bits. A null text counts as empty: fingerprint 0, linked like any other.
+    Returns one row per row of ``docs``: the id, ``text_hash``, ``fps``, ``component_id``
+    (the lowest id that can be reached; a null id only where there is no other) and
+    ``stays``, true for the first of the component by id and then text hash, and for
+    rows that repeat it.
 
     Equal fingerprints are one node from the start, so a large group of copies costs
     one row; when the classes are joined back, such groups go apart from the rest.
     """
-    marked = cut_lineage(fingerprints(docs, id_col, text_col, words))
+    node = F.col("fps")[0] if len(seeds) == 1 else F.concat_ws("-", F.transform("fps", lambda f: F.hex(f)))
+    marked = cut_lineage(fingerprints(docs, id_col, text_col, words, seeds, once).withColumn("node", node))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    lowest = cut_lineage(marked.groupBy("fp").agg(F.min(first).alias("low")))
-    found = components(links(lowest, budget))
-    linked = lowest.join(found, lowest["fp"] == found["node"]).select("fp", "low", "root")
+    lowest = cut_lineage(marked.groupBy("node").agg(F.first("fps").alias("fps"), F.min(first).alias("low")))
+    found = _classes(lowest, len(seeds), budget)
+    linked = lowest.join(found, "node").select("node", "low", "root")
     of_root = linked.groupBy("root").agg(F.min("low").alias("first"))
-    classes = linked.join(of_root, "root").select("fp", "first")
-    alone = lowest.join(found, lowest["fp"] == found["node"], "left_anti").select("fp", F.col("low").alias("first"))
+    classes = linked.join(of_root, "root").select("node", "first")
+    alone = lowest.join(found, "node", "left_anti").select("node", F.col("low").alias("first"))
     classes = cut_lineage(classes.unionByName(alone))
-    hot = [k for (k,) in hot_keys(marked, ["fp"])]  # fewer than 500
-    of_hot = F.broadcast(classes.where(F.col("fp").isin(hot)))
-    told = marked.where(F.col("fp").isin(hot)).join(of_hot, "fp").unionByName(
-        marked.where(~F.col("fp").isin(hot)).join(classes, "fp"))
+    hot = [k for (k,) in hot_keys(marked, ["node"])]  # fewer than 500
+    of_hot = F.broadcast(classes.where(F.col("node").isin(hot)))
+    told = marked.where(F.col("node").isin(hot)).join(of_hot, "node").unionByName(
+        marked.where(~F.col("node").isin(hot)).join(classes, "node"))
     return told.select(
-        F.col("id").alias(id_col), "text_hash", "fp", F.col("first.id").alias("component_id"),
+        F.col("id").alias(id_col), "text_hash", "fps", F.col("first.id").alias("component_id"),
         (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"))
 
 
-def keep_first(docs: DataFrame, budget: int = 3, words: int = 3, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, budget: int = 3, words: int = 3, seeds: Sequence[int] = (42,), once: bool = False,
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns they came with: one row of each component."""
-    found = near_duplicates(docs.select(id_col, text_col), budget, words, id_col, text_col)
+    found = near_duplicates(docs.select(id_col, text_col), budget, words, seeds, once, id_col, text_col)
     stay = found.where("stays").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     own = docs.withColumn("__text_hash", F.xxhash64(F.col(text_col)))
     left = own.join(stay, own[id_col].eqNullSafe(stay["__id"]) & (own["__text_hash"] == stay["__hash"]), "left_semi")
