@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, packing, quality_rules, simhash, url_rules
-from backtrail.llm.common import table
+from backtrail.llm import bpe, language, packing, quality_rules, simhash, url_rules
+from backtrail.llm.common import fold, table
+from backtrail.session import cut_lineage
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold() % 4 == 2
+    model = language.train(docs.where(~held_out).select("text", "lang"))
+    told = cut_lineage(language.predict(docs.withColumn("held_out", held_out), model, keep=["held_out", "lang"]))
+    limits = language.calibrate(told.where(~F.col("held_out")))
+    return told.select("doc_id", "held_out", "lang_pred", "score", "bits", language.accepted(limits).alias("accepted"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 4096 ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,6 +90,7 @@ FROM parts JOIN best ON parts.host = best.host AND parts.path = best.path
 
 QUERIES: dict[str, Build] = {
     "op2_token_counts": op2_token_counts,
+    "op4_language_id": op4_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_url_filters": op9_url_filters,
