@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, language, packing, quality_rules, simhash, url_rules
+from backtrail.llm import bpe, language, packing, quality_neighbours, quality_rules, simhash, url_rules
 from backtrail.llm.common import fold, table
 from backtrail.session import cut_lineage
 
@@ -24,6 +24,14 @@ URL_RULES = (
 )
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labels outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold() % 5 != 0)
+    scored = quality_neighbours.score(docs, quality_neighbours.fit(docs, labels), threshold=0.3)
+    return scored.select("doc_id", (fold() % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document in the 49k word vocabulary."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +97,7 @@ FROM parts JOIN best ON parts.host = best.host AND parts.path = best.path
 """
 
 QUERIES: dict[str, Build] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
     "op4_language_id": op4_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
