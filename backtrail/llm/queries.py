@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, language, packing, quality_neighbours, quality_rules, simhash, url_rules
+from backtrail.llm import bpe, html_text, language, packing, quality_neighbours, quality_rules, simhash, url_rules
 from backtrail.llm.common import fold, table
 from backtrail.session import cut_lineage
 
@@ -63,6 +63,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page address judged by the longest rule that fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -102,6 +108,7 @@ QUERIES: dict[str, Build] = {
     "op4_language_id": op4_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
 }
