@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, html_text, language, packing, quality_neighbours, quality_rules, simhash, url_rules
+from backtrail.llm import bpe, contamination, html_text, language, packing, quality_neighbours, quality_rules, simhash, url_rules
 from backtrail.llm.common import fold, table
 from backtrail.session import cut_lineage
 
@@ -39,6 +39,35 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they contain."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return contamination.contained(docs, items).select("doc_id", "item_id", "n_shingles", "n_found", "containment")
+
+
+_CONTAINED_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+  FROM benchmark),
+item_shingles AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS size,
+    unnest(list_transform(range(1, greatest(len(w) - 5, 0) + 2), i -> array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
+  FROM item_words WHERE len(w) > 0),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
+doc_words AS (
+  SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+  FROM documents),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, text, size,
+    unnest(list_transform(range(1, greatest(len(w) - size, -1) + 2), i -> array_to_string(w[i:i + size - 1], ' '))) AS s
+  FROM doc_words, (SELECT DISTINCT size FROM item_shingles))
+SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
+FROM doc_shingles JOIN item_shingles USING (size, s) JOIN sizes USING (item_id)
+GROUP BY doc_id, text, item_id, n_shingles HAVING count(*) / n_shingles >= 0.8
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those outside fold 2 of 4."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -105,6 +134,7 @@ FROM parts JOIN best ON parts.host = best.host AND parts.path = best.path
 QUERIES: dict[str, Build] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_language_id": op4_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -113,4 +143,7 @@ QUERIES: dict[str, Build] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": _URL_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": _CONTAINED_SQL,
+    "op9_url_filters": _URL_SQL,
+}
