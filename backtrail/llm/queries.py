@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, contamination, html_text, language, packing, quality_neighbours, quality_rules, simhash, url_rules
+from backtrail.llm import bpe, contamination, html_text, language, packing, quality_neighbours, quality_rules, shards, simhash, url_rules
 from backtrail.llm.common import fold, table
 from backtrail.session import cut_lineage
 
@@ -48,19 +48,19 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 _CONTAINED_SQL = r"""
 WITH item_words AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
   FROM benchmark),
 item_shingles AS (
   SELECT DISTINCT item_id, least(len(w), 5) AS size,
-    unnest(list_transform(range(1, greatest(len(w) - 5, 0) + 2), i -> array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
+    unnest(list_transform(range(1, greatest(len(w) - 5, 0) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
   FROM item_words WHERE len(w) > 0),
 sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
 doc_words AS (
-  SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+  SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
   FROM documents),
 doc_shingles AS (
   SELECT DISTINCT doc_id, text, size,
-    unnest(list_transform(range(1, greatest(len(w) - size, -1) + 2), i -> array_to_string(w[i:i + size - 1], ' '))) AS s
+    unnest(list_transform(range(1, greatest(len(w) - size, -1) + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS s
   FROM doc_words, (SELECT DISTINCT size FROM item_shingles))
 SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
 FROM doc_shingles JOIN item_shingles USING (size, s) JOIN sizes USING (item_id)
@@ -78,6 +78,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", "lang_pred", "score", "bits", language.accepted(limits).alias("accepted"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of equal counts, equal texts together."""
+    return shards.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 4096 ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -136,6 +141,7 @@ QUERIES: dict[str, Build] = {
     "op2_token_counts": op2_token_counts,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_sharding": op5_sharding,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_html_extraction": op8_html_extraction,
