@@ -7,7 +7,8 @@ rounds work on counts per group and shard. What no longer fits, and all that has
 link, fills the shards to exactly even counts.
 
 Groups larger than an eighth of a shard are cut into parts by hash first: no shard
-could hold the largest, and no task has to.
+could hold the largest, and no task has to. Parts move one by one, but look at where
+their neighbours are, the parts that could fill a shard together.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql.window import Window
 from backtrail.llm.common import with_place
 from backtrail.session import cut_lineage
 
-#: Parts of a shard that a group may fill before it is cut.
-_PARTS = 8
+#: Parts of a shard that a group may fill before it is cut, and parts that seek a shard together.
+_PARTS, _TOGETHER = 8, 7
 #: Buckets of groups in which moves into a shard are admitted or refused together.
 _GATES = 1024
 _NODE = ["h", "crc", "size", "part"]
@@ -52,15 +53,18 @@ def _round(state: DataFrame, room: dict[int, int]) -> DataFrame:
     """One round: every group asks to move to the shard where most of it is; quotas decide.
 
     A shard takes what it has room for, counting the rows that ask to leave it, in the
-    order of the gates. A shard without any room is asked only by groups that have
-    most of their rows there already.
+    order of the gates. A shard that has no room for the rest of a group is asked only
+    if no other is known to the group.
     """
-    node, here = Window.partitionBy(*_NODE), Window.partitionBy(*_NODE, "cur")
+    near = ["h", "crc", "size", "side"]
     free = F.create_map(*[F.lit(x) for pair in sorted(room.items()) for x in pair])
-    asked = state.withColumn("weight", F.sum("n").over(here)).withColumn("all", F.sum("n").over(node))
-    fits = (F.element_at(free, F.col("cur")) >= F.col("all") - F.col("weight")).cast("int")
-    wish = F.struct(fits.alias("fits"), "weight", F.xxhash64(*_NODE, "cur").alias("tie"), "cur")
-    asked = asked.withColumn("target", F.max(wish).over(node)["cur"]).withColumn("gate", _gate())
+    asked = state.withColumn("side", F.floor(F.col("part") / _TOGETHER)).withColumns({
+        "weight": F.sum("n").over(Window.partitionBy(*near, "cur")),
+        "here": F.sum("n").over(Window.partitionBy(*_NODE, "cur")),
+        "all": F.sum("n").over(Window.partitionBy(*_NODE))})
+    fits = (F.element_at(free, F.col("cur")) >= F.col("all") - F.col("here")).cast("int")
+    wish = F.struct(fits.alias("fits"), "weight", F.xxhash64(*near, "cur").alias("tie"), "cur")
+    asked = asked.withColumn("target", F.max(wish).over(Window.partitionBy(*_NODE))["cur"]).withColumn("gate", _gate())
     asked = cut_lineage(asked.select(*_NODE, "start", "cur", "n", "target", "gate"))
     moves = asked.where("cur <> target")
     leaving = moves.groupBy(F.col("cur").alias("target")).agg(F.sum("n").alias("out"))
@@ -102,7 +106,8 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     rows = cut_lineage(_documents(docs, id_col, text_col))
     total = rows.count()
     quota = {s: total // shards + (s < total % shards) for s in range(shards)}
-    rows = _in_parts(rows, total, shards).withColumn("start", F.pmod("r", F.lit(shards)).cast("int"))
+    rows = _in_parts(rows, total, shards).withColumn(
+        "start", F.pmod(F.xxhash64("r"), F.lit(shards)).cast("int"))  # apart from the hash that cuts groups
     rows = cut_lineage(rows)
     moved = propagate(rows, quota).select(*_NODE, "start", F.col("cur").alias("shard"))
     placed = cut_lineage(rows.join(moved, [*_NODE, "start"], "left"))
