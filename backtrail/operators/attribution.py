@@ -31,7 +31,7 @@ from backtrail.functions.scalars import ordinal
 from backtrail.functions.semantics import positive_sum, rows, safe_div, strict_sum, total, wmean
 from backtrail.operators.geodesy import with_ellipsoid_bearing
 from backtrail.operators.joins import complete_grid
-from backtrail.operators.skew import settle_small
+from backtrail.operators.skew import null_safe_join
 
 CELL = ("lat", "lon", "season")
 
@@ -48,9 +48,10 @@ def _on_grid(tracks: DataFrame, cell: float) -> DataFrame:
 
 
 def _season_share(cells: DataFrame) -> DataFrame:
-    """Share of a cell's uptake in its season; the window runs over cells only."""
-    of_season = F.sum("uptake").over(Window.partitionBy("season"))
-    return cells.withColumn("prop_uptake", safe_div(F.col("uptake"), of_season))
+    """Share of a cell's uptake in its season; a row per season is joined back."""
+    of_season = cells.groupBy("season").agg(F.sum("uptake").alias("__season"))
+    return null_safe_join(cells, of_season, ["season"]).withColumn(
+        "prop_uptake", safe_div(F.col("uptake"), F.col("__season"))).drop("__season")
 
 
 def uptake_grid(tracks: DataFrame, cell: float = 1) -> DataFrame:
@@ -189,7 +190,7 @@ def share_table(
     amount: str = "P",
 ) -> DataFrame:
     """Amount per group and label with its share in the group; missing combinations count 0."""
-    sums = settle_small(attributed.groupBy(group, label).agg(strict_sum(F.col(amount)).alias(amount)))
+    sums = attributed.groupBy(group, label).agg(strict_sum(F.col(amount)).alias(amount))
     filled = complete_grid(sums, [group], label, {amount: 0.0}, levels)
     of_group = F.sum(amount).over(Window.partitionBy(group))
     return filled.withColumn("P_tot", of_group).withColumn(

@@ -17,7 +17,7 @@ from backtrail.functions.geo import (
     ocean_class,
 )
 from backtrail.functions.geodesic import ellipsoid_bearing, ellipsoid_destination
-from backtrail.operators.skew import HOT_ROWS, over_ordered
+from backtrail.operators.skew import over_ordered
 
 
 def with_ellipsoid_bearing(
@@ -88,12 +88,13 @@ def polygon_centroids(
     keys: Sequence[str] = ("poly_id", "kind"),
     ring: str = "ring",
     order: Sequence[str] = ("seq",),
-    hot_rows: int = HOT_ROWS,
+    slice_by: Column | None = None,
 ) -> DataFrame:
     """Area centroid of each polygon from its vertices; ring 0 is the outline, others are holes.
 
     A ring may be closed or not: the segment from its last to its first vertex
-    is always added, and has no weight when both are the same point.
+    is always added, and has no weight when both are the same point. ``slice_by`` as
+    in ``over_ordered``, for rings of unbounded length.
     """
     groups = [*keys, ring]
     at = F.struct(*order)
@@ -108,7 +109,7 @@ def polygon_centroids(
 
     inner = over_ordered(
         vertices.select(*groups, *order, "lon", "lat"), groups, list(order), segments,
-        after=1, hot_rows=hot_rows,
+        after=1, slice_by=slice_by,
     ).where(F.col("__lon2").isNotNull())
     closing = vertices.groupBy(*groups).agg(
         F.max_by("lon", at).alias("lon"), F.max_by("lat", at).alias("lat"),

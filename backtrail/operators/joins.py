@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from backtrail.operators.skew import checked_broadcast, null_safe_join
+from backtrail.operators.skew import null_safe_join
 
 
 def natural_join(left: DataFrame, right: DataFrame, expected: Sequence[str]) -> DataFrame:
@@ -67,7 +67,8 @@ def complete_grid(
     """All combinations of the observed ``left`` keys with the values of ``right``.
 
     ``levels`` lists the values of an ordered label, observed or not; without it
-    the observed values are used. Missing measures get the ``fill`` values.
+    the observed values are used, gathered in one row: a label has few. Missing
+    measures get the ``fill`` values.
     """
     base = df.select(*left).distinct()
     if levels is not None:
@@ -75,7 +76,9 @@ def complete_grid(
         # rows without a label are kept as a group of their own
         grid = grid.unionByName(df.where(F.col(right).isNull()).select(*left, right).distinct())
     else:
-        grid = base.crossJoin(checked_broadcast(df.select(right).distinct()))
+        seen = df.agg(F.collect_set(right).alias("__seen"), F.count_if(F.col(right).isNull()).alias("__null"))
+        labels = F.when(F.col("__null") > 0, F.array_append("__seen", F.lit(None))).otherwise(F.col("__seen"))
+        grid = null_safe_join(base, seen, []).select(*left, F.explode(labels).alias(right))
     joined = null_safe_join(grid, df, [*left, right], "left")
     return joined.fillna(dict(fill)).select(*df.columns)
 

@@ -22,7 +22,7 @@ from backtrail.functions.semantics import rms, rows, safe_div, strict_sum
 from backtrail.functions.student import t_p_value
 from backtrail.operators.joins import explode_windows
 from backtrail.operators.quantiles import summarise
-from backtrail.operators.skew import HOT_ROWS, checked_broadcast, null_safe_join
+from backtrail.operators.skew import null_safe_join
 
 # Windows of the sweep (hours along the track) and the hour before which rain counts
 # as rained out.
@@ -161,8 +161,7 @@ def augment(
     residuals: str = "residuals",
 ) -> DataFrame:
     """Fitted value and residual on each row."""
-    coefficients = checked_broadcast(fit.select(*by, "coef"))
-    beside = null_safe_join(df, coefficients, by, "left") if by else df.crossJoin(coefficients)
+    beside = null_safe_join(df, fit.select(*by, "coef"), by, "left")
     fitted = F.col("coef")[0]
     for i, x in enumerate(xs, start=1):
         fitted = fitted + F.col("coef")[i] * F.col(x)
@@ -315,20 +314,18 @@ def sweep_fits(
 
 def offsets(
     df: DataFrame, by: Sequence[str], observed: str = "dO", fitted: str = "fits",
-    residual: str = "residuals", hot_rows: int = HOT_ROWS,
+    residual: str = "residuals",
 ) -> DataFrame:
     """Median observed and fitted value, their offset from the 1:1 line and the residual size."""
     grouped = summarise(
         df, by, {"sigma": rms(F.col(residual))}, medians={"x0": observed, "y0": fitted},
-        hot_rows=hot_rows,
     )
     return grouped.withColumn("median_res", (F.col("x0") - F.col("y0")) / F.sqrt(F.lit(2.0)))
 
 
 def residual_statistics(
-    df: DataFrame, by: Sequence[str], residual: str = "residuals", hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str], residual: str = "residuals"
 ) -> DataFrame:
     return summarise(
         df, by, {"residual_sd": F.stddev_samp(residual)}, medians={"residual_median": residual},
-        hot_rows=hot_rows,
     )

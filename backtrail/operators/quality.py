@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backtrail.functions.geo import RECEPTOR, Place
-from backtrail.functions.scalars import progress_label
 from backtrail.operators.joins import explode_grid, unmatched
-from backtrail.operators.skew import checked_broadcast
+from backtrail.operators.skew import null_safe_join
 
 # Arrival heights (m) and length (h) of the tracks to run.
 HEIGHTS = (500, 1000, 1500, 2000)
@@ -28,35 +27,24 @@ def run_requests(
     })
 
 
-def request_progress(requests: DataFrame, order: Sequence[str] = ("index",)) -> DataFrame:
-    """Progress text per request, numbered in the given order.
+def request_progress(
+    requests: DataFrame, order: Sequence[str], slice_by: Column
+) -> DataFrame:
+    """Number of each request in the given order, of how many, and the percentage reached.
 
-    Numbers are the rank within a range partition plus the rows of the
-    partitions before it, so no task sees all requests.
+    ``slice_by`` never falls along ``order`` and is equal for a bounded number of rows:
+    a number is the rows of the slices before plus the place in the own slice, so that
+    only counts of slices are added up in one place.
     """
-    from backtrail.session import cut_lineage
-
-    sorted_rows = cut_lineage(
-        requests.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("__at", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("__at", 33)
-    sizes = sorted_rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    together = sizes.agg(F.sum("__n").alias("__all"), F.collect_list(F.struct("__part", "__n")).alias("__sizes"))
-    offsets = (
-        sizes.withColumnRenamed("__part", "__p").select("__p")
-        .crossJoin(F.broadcast(together))
-        .select("__p", "__all", F.aggregate(
-            F.filter("__sizes", lambda s: s["__part"] < F.col("__p")), F.lit(0).cast("long"),
-            lambda acc, s: acc + s["__n"],
-        ).alias("__before"))
-    )
-    numbered = sorted_rows.withColumn("__p", part).join(checked_broadcast(offsets), on="__p")
-    done = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
-    return numbered.withColumn("__done", done).withColumn(
-        "progress",
-        progress_label(F.col("__done"), F.col("__all"), F.col("index"), F.col("run_date"), F.col("run_hour")),
-    ).drop("__p", "__at", "__all", "__before", "__done")
+    cut = requests.withColumn("__slice", slice_by)
+    sizes = cut.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
+    before = sizes.select("__slice", (F.sum("__n").over(upto) - F.col("__n")).alias("__before"))
+    placed = cut.withColumn("__place", F.row_number().over(Window.partitionBy("__slice").orderBy(*order)))
+    numbered = null_safe_join(placed, before, ["__slice"]).withColumn("number", F.col("__before") + F.col("__place"))
+    counted = null_safe_join(numbered, requests.agg(F.count(F.lit(1)).alias("requests")), [])
+    percent = F.try_divide(F.col("number").cast("double"), F.col("requests").cast("double")) * 100
+    return counted.withColumn("percent", percent).drop("__slice", "__before", "__place")
 
 
 def coverage_audit(requests: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Grouped summaries with exact quantiles that do not depend on group size.
-
-``percentile`` keeps every distinct value of a group in one buffer. Groups above
-the row limit are handled in two passes instead: a mergeable sketch brackets
-each wanted rank, then one pass counts the rows below the bracket and keeps the
-distinct values inside it. The answer is exact; the bracket only saves work.
+"""Grouped summaries with exact quantiles, by one algorithm for groups of any size.
+
+The rows are reduced to the different values of each group with their counts. A wanted
+rank is then narrowed down: the counts of equally wide bins between a group's least
+and largest value tell in which bin the rank lies, and only that bin's values are cut
+into bins again. What is left is a small share of the values; a running count there
+gives the value at the rank. Every step is an aggregation that is spread over the
+values; running counts go over a fixed number of bins, or over the last bin's values.
 """
 
 from __future__ import annotations
@@ -13,102 +15,75 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from backtrail.operators.skew import (
-    HOT_KEYS,
-    HOT_ROWS,
-    checked_broadcast,
-    null_safe_join,
-    split_hot,
-)
+from backtrail.operators.skew import null_safe_join
 
 QUARTILES = (0.25, 0.5, 0.75)
-SKETCH = 100_000
+#: Bins of a step, and steps.
+BINS, STEPS = 1024, 2
 
 _MEASURE = "__measure"
 _VALUE = "__value"
 
 
-def _long(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def _cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The different known values of each group and measure, with ``n``."""
     pairs = [
         F.struct(F.lit(c).alias(_MEASURE), F.col(c).cast("double").alias(_VALUE)) for c in columns
     ]
-    return df.select(*keys, F.inline(F.array(*pairs))).where(F.col(_VALUE).isNotNull())
+    long = df.select(*keys, F.inline(F.array(*pairs))).where(F.col(_VALUE).isNotNull())
+    return long.groupBy(*keys, _MEASURE, _VALUE).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _brackets(
-    long: DataFrame, keys: Sequence[str], probs: Sequence[float], slack: float, accuracy: int
-) -> DataFrame:
-    """One row per group, measure and probability: ranks wanted and values around them."""
-    edges = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
-    sketch = F.percentile_approx(_VALUE, F.array(*[F.lit(e) for e in edges]), F.lit(accuracy))
-    n = len(probs)
-    wanted = [
-        F.struct(
-            F.lit(float(p)).alias("p"),
-            F.col("edges")[i].alias("low"),
-            F.col("edges")[n + i].alias("high"),
-            ((F.col("n") - 1) * F.lit(float(p))).alias("rank"),
-        )
-        for i, p in enumerate(probs)
-    ]
-    return (
-        long.groupBy(*keys, _MEASURE)
-        .agg(F.count(F.lit(1)).alias("n"), sketch.alias("edges"))
-        .select(*keys, _MEASURE, F.array(*wanted).alias("wanted"))
-    )
+def _running(cells: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+    """Add ``from`` and ``upto``: the ranks that a cell covers within its group."""
+    run = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    return cells.withColumn("upto", F.sum("n").over(run)).withColumn("from", F.col("upto") - F.col("n"))
 
 
-def _select_ranks(
-    long: DataFrame, brackets: DataFrame, keys: Sequence[str], out: str, probs: Sequence[float]
-) -> DataFrame:
-    group = [*keys, _MEASURE]
-    cells = (
-        null_safe_join(long, checked_broadcast(brackets, HOT_KEYS * 4), group)
-        .select(*group, _VALUE, F.explode("wanted").alias("w"))
-        .where(F.col(_VALUE) <= F.col("w.high"))
-        .groupBy(
-            *group,
-            F.col("w.p").alias("p"),
-            F.col("w.rank").alias("rank"),
-            F.when(F.col(_VALUE) >= F.col("w.low"), F.col(_VALUE)).alias("inside"),
-        )
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # NULL (all rows below the bracket) sorts first; a bracket holds few distinct values
-    run = Window.partitionBy(*group, "p", "rank").orderBy("inside").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    lower = F.floor("rank")
-    upper = F.ceil("rank")
-    ranked = cells.withColumn("upto", F.sum("n").over(run)).withColumn("from", F.col("upto") - F.col("n"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("from") <= rank) & (rank < F.col("upto")), F.col("inside")))
-
-    found = ranked.groupBy(*group, "p", "rank").agg(at(lower).alias("a"), at(upper).alias("b"))
-    value = F.col("a") + (F.col("rank") - lower) * (F.col("b") - F.col("a"))
-    checked = F.when(value.isNull(), F.raise_error(F.lit("rank fell outside its bracket"))).otherwise(value)
-    per_measure = found.groupBy(*group).agg(
-        F.array(*[F.max(F.when(F.col("p") == float(p), checked)) for p in probs]).alias(out)
-    )
-    return per_measure
-
-
-def _hot_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    columns: Sequence[str],
-    probs: Sequence[float],
-    hot_rows: int,
-    accuracy: int,
+def _narrowed(
+    cells: DataFrame, wanted: DataFrame, keys: Sequence[str], bin_name: str, bins: int
+) -> tuple[DataFrame, DataFrame]:
+    """Cells of the bins that hold a wanted rank, and the ranks within them; the bin becomes a key."""
+    ends = cells.groupBy(*keys).agg(F.min(_VALUE).alias("__low"), F.max(_VALUE).alias("__high"))
+    low, width = F.col("__low"), F.col("__high") - F.col("__low")
+    place = F.when(width > 0, F.least(F.floor((F.col(_VALUE) - low) / width * bins), F.lit(bins - 1))).otherwise(0)
+    binned = null_safe_join(cells, ends, keys).withColumn(bin_name, place.cast("int")).drop("__low", "__high")
+    counts = _running(binned.groupBy(*keys, bin_name).agg(F.sum("n").alias("n")), keys, bin_name)
+    found = null_safe_join(wanted, counts, keys).where(F.col("at").between(F.col("from"), F.col("upto") - 1))
+    inside = found.withColumn("at", F.col("at") - F.col("from")).drop("n", "from", "upto")
+    held = null_safe_join(binned, inside.select(*keys, bin_name).distinct(), [*keys, bin_name], "left_semi")
+    return held, inside
+
+
+def _quantiles(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], bins: int
 ) -> DataFrame:
     """One row per group with an array column ``__q_<column>`` per measure."""
-    long = _long(df, keys, columns)
-    slack = 4.0 / accuracy + 2.0 / max(hot_rows, 1)
-    brackets = _brackets(long, keys, probs, slack, accuracy)
-    picked = _select_ranks(long, brackets, keys, "q", probs)
-    wide = [F.max(F.when(F.col(_MEASURE) == c, F.col("q"))).alias(f"__q_{c}") for c in columns]
-    return picked.groupBy(*keys).agg(*wide)
+    cells = _cells(df, keys, columns)
+    group = [*keys, _MEASURE]
+    ranks = [((F.col("n") - 1) * F.lit(float(p))) for p in probs]
+    ends = F.array(*[
+        F.struct(F.lit(i).alias("p"), (rank - F.floor(rank)).alias("part"), F.lit(up).alias("up"),
+                 (F.ceil(rank) if up else F.floor(rank)).alias("at"))
+        for i, rank in enumerate(ranks) for up in (False, True)
+    ])
+    wanted = cells.groupBy(*group).agg(F.sum("n").alias("n")).select(*group, F.inline(ends))
+    held, inner = cells, list(group)
+    for step in range(STEPS):
+        held, wanted = _narrowed(held, wanted, inner, f"__bin{step}", bins)
+        inner = [*inner, f"__bin{step}"]
+    found = null_safe_join(wanted, _running(held, inner, _VALUE), inner).where(
+        F.col("at").between(F.col("from"), F.col("upto") - 1))
+
+    def at(up: bool) -> Column:
+        return F.max(F.when(F.col("up") == up, F.col(_VALUE)))
+
+    values = found.groupBy(*group, "p", "part").agg(at(False).alias("a"), at(True).alias("b")).withColumn(
+        "value", F.col("a") + F.col("part") * (F.col("b") - F.col("a")))
+    return values.groupBy(*keys).agg(*[
+        F.array(*[F.max(F.when((F.col(_MEASURE) == c) & (F.col("p") == i), F.col("value"))) for i in range(len(probs))])
+        .alias(f"__q_{c}") for c in columns
+    ])
 
 
 def summarise(
@@ -118,44 +93,27 @@ def summarise(
     medians: Mapping[str, str] | None = None,
     iqrs: Mapping[str, str] | None = None,
     quantiles: Mapping[str, tuple[str, float]] | None = None,
-    hot_rows: int = HOT_ROWS,
-    accuracy: int = SKETCH,
+    bins: int = BINS,
 ) -> DataFrame:
     """Plain aggregates and exact quantiles of each group, one row per group.
 
     ``medians`` and ``iqrs`` map an output name to a column, ``quantiles`` to a
-    column and a probability. Quantiles interpolate between order statistics.
+    column and a probability. Quantiles interpolate between order statistics; values
+    are finite.
     """
     medians, iqrs, quantiles = medians or {}, iqrs or {}, quantiles or {}
-    probs = tuple(sorted({*QUARTILES, *(p for _, p in quantiles.values())}))
+    asked = {p for _, p in quantiles.values()} | ({0.5} if medians else set()) | ({0.25, 0.75} if iqrs else set())
+    probs = tuple(sorted(asked))
     columns = sorted({*medians.values(), *iqrs.values(), *(c for c, _ in quantiles.values())})
-    plain = [c.alias(name) for name, c in aggregates.items()]
 
     def picked(column: str, p: float) -> Column:
         return F.col(f"__q_{column}")[probs.index(p)]
 
-    def finish(grouped: DataFrame) -> DataFrame:
-        out = [F.col(k) for k in keys] + [F.col(name) for name in aggregates]
-        out += [picked(c, 0.5).alias(name) for name, c in medians.items()]
-        out += [(picked(c, 0.75) - picked(c, 0.25)).alias(name) for name, c in iqrs.items()]
-        out += [picked(c, p).alias(name) for name, (c, p) in quantiles.items()]
-        return grouped.select(*out)
-
-    split = split_hot(df, keys, hot_rows)
-    parts = []
-    if split.cold is not None:
-        exact = [
-            F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(f"__q_{c}") for c in columns
-        ]
-        parts.append(finish(split.cold.groupBy(*keys).agg(*plain, *exact)))
-    if split.hot is not None:
-        # the marker keeps the list non-empty when only quantiles are asked for
-        base = split.hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *plain)
-        ranks = _hot_quantiles(split.hot, keys, columns, probs, hot_rows, accuracy)
-        ranks = checked_broadcast(ranks, HOT_KEYS)
-        joined = null_safe_join(base, ranks, keys, "left") if keys else base.crossJoin(ranks)
-        parts.append(finish(joined))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    # the marker keeps the list non-empty when only quantiles are asked for
+    base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *[c.alias(n) for n, c in aggregates.items()])
+    joined = null_safe_join(base, _quantiles(df, keys, columns, probs, bins), keys, "left") if columns else base
+    out = [F.col(k) for k in keys] + [F.col(name) for name in aggregates]
+    out += [picked(c, 0.5).alias(name) for name, c in medians.items()]
+    out += [(picked(c, 0.75) - picked(c, 0.25)).alias(name) for name, c in iqrs.items()]
+    out += [picked(c, p).alias(name) for name, (c, p) in quantiles.items()]
+    return joined.select(*out)

@@ -9,13 +9,7 @@ from pyspark.sql import functions as F
 
 from backtrail.functions.semantics import safe_div, total, wmean
 from backtrail.operators.joins import natural_join
-from backtrail.operators.skew import (
-    HOT_ROWS,
-    Split,
-    checked_broadcast,
-    null_safe_join,
-    over_ordered,
-)
+from backtrail.operators.skew import null_safe_join, over_ordered
 
 
 def frame_offsets(width: int, align: str) -> tuple[int, int]:
@@ -47,16 +41,16 @@ def rolling_means(
     order: Sequence[str],
     columns: Sequence[str],
     width: int = 5,
-    hot_rows: int = HOT_ROWS,
+    slice_by: Column | None = None,
 ) -> DataFrame:
-    """Replace columns by their centred rolling mean over rows."""
+    """Replace columns by their centred rolling mean over rows; ``slice_by`` as in ``over_ordered``."""
     first, last = frame_offsets(width, "center")
 
     def smooth(frame: DataFrame, window: WindowSpec) -> DataFrame:
         kept = [c for c in frame.columns if c not in columns]
         return frame.select(*kept, *[roll_mean(F.col(c), window, width).alias(c) for c in columns])
 
-    out = over_ordered(df, series, order, smooth, before=-first, after=last, hot_rows=hot_rows)
+    out = over_ordered(df, series, order, smooth, before=-first, after=last, slice_by=slice_by)
     return out.select(*df.columns)
 
 
@@ -67,18 +61,15 @@ def rolling_sums(
     columns: Mapping[str, Column],
     width: int,
     align: str = "center",
-    hot_rows: int = HOT_ROWS,
-    split: Split | None = None,
+    slice_by: Column | None = None,
 ) -> DataFrame:
-    """Add rolling sums over rows."""
+    """Add rolling sums over rows; ``slice_by`` as in ``over_ordered``."""
     first, last = frame_offsets(width, align)
 
     def add(frame: DataFrame, window: WindowSpec) -> DataFrame:
         return frame.withColumns({n: roll_sum(c, window, width, align) for n, c in columns.items()})
 
-    return over_ordered(
-        df, series, order, add, before=-first, after=last, hot_rows=hot_rows, split=split
-    )
+    return over_ordered(df, series, order, add, before=-first, after=last, slice_by=slice_by)
 
 
 def daily_composite(
@@ -115,15 +106,10 @@ def rolling_composite(
 ) -> DataFrame:
     """Weighted centred rolling mean: rolling sum of value x weight over rolling sum of weight.
 
-    The weight sum also counts days on which the value itself is missing.
+    The weight sum also counts days on which the value itself is missing. Days are
+    sent to the windows that cover them, see ``scatter_composite``.
     """
-    sums = {f"__{v}": F.col(v) * F.col(weight) for v in values} | {f"{weight}{suffix}": F.col(weight)}
-    # one row per day: the calendar bounds a series, so no group needs to be looked for
-    within_bounds = Split(completed, None, 0)
-    rolled = rolling_sums(completed, series, [date], sums, width, split=within_bounds)
-    return rolled.withColumns(
-        {f"{v}{suffix}": safe_div(F.col(f"__{v}"), F.col(f"{weight}{suffix}")) for v in values}
-    ).drop(*[f"__{v}" for v in values])
+    return scatter_composite(completed, series, values, weight, date, width, suffix)
 
 
 def scatter_composite(
@@ -143,7 +129,6 @@ def scatter_composite(
     """
     first, last = frame_offsets(width, "center")
     span = daily.groupBy(*series).agg(F.min(date).alias("__from"), F.max(date).alias("__to"))
-    span = checked_broadcast(span)
     near = null_safe_join(daily, span, series)
     one_day = F.expr("interval 1 day")
     low = F.greatest(F.date_add(date, -last), F.col("__from"))
@@ -172,12 +157,8 @@ def scatter_composite(
 def with_weather(
     events: DataFrame, weather: DataFrame, keys: Sequence[str] = ("date", "time")
 ) -> DataFrame:
-    """Events beside the weather of their day and hour.
-
-    Weather holds one row per hour. When it is seen to fit it is broadcast, so
-    that a day or hour with very many events does not gather in one task.
-    """
-    return natural_join(events, checked_broadcast(weather), keys)
+    """Events beside the weather of their day and hour; weather holds one row per hour."""
+    return natural_join(events, weather, keys)
 
 
 def anomalies(
@@ -190,10 +171,8 @@ def anomalies(
 ) -> DataFrame:
     """Event value minus the composite of its day.
 
-    Days on which any column of the composite is missing are left out. The
-    composite is small (one row per series and day); when it is seen to fit it
-    is broadcast, so that the events keep their place.
+    Days on which any column of the composite is missing are left out.
     """
     reference = composite.na.drop("any").select(*keys, *[f"{v}{suffix}" for v in values])
-    joined = events.join(checked_broadcast(reference), on=list(keys), how="inner")
+    joined = events.join(reference, on=list(keys), how="inner")
     return joined.withColumns({f"{v}{out}": F.col(v) - F.col(f"{v}{suffix}") for v in values})

@@ -1,110 +1,41 @@
 """Ways to keep one large group from landing in one task.
 
-``split_hot`` separates groups above a row limit. ``over_ordered`` evaluates
-ordered window expressions: groups below the limit as ordinary windows, larger
-ones in slices of neighbouring rows, each slice carrying a copy of the few rows
-just outside it that its frames reach. ``checked_broadcast`` broadcasts a frame
-only after its size has been seen.
+``over_ordered`` evaluates ordered window expressions. Groups with a natural bound (a
+track, a day) are ordinary windows; a group without one is cut into slices of
+neighbouring rows by an expression of the row, and each slice carries a copy of the
+few rows just outside it that its frames reach. Which form is taken depends on the
+call, never on the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from backtrail.session import cut_lineage
-
-HOT_ROWS = 1_000_000
-HOT_KEYS = 10_000
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
-
-_ROWS = "__rows"
 _SLICE = "__slice"
 _HALO = "__halo"
 _EDGE = "__edge"
 
 
-class Split(NamedTuple):
-    cold: DataFrame | None
-    hot: DataFrame | None
-    hot_rows: int
-
-
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join in which NULL keys meet each other; the right key columns are dropped."""
+    """Join in which NULL keys meet each other; the right key columns are dropped.
+
+    Without keys ``right`` must be one row, as an aggregate without groups is.
+    """
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     if not keys:
-        return left.crossJoin(renamed)
+        return left.crossJoin(F.broadcast(renamed))
     condition = reduce(
         lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys]
     )
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _fetched(small: DataFrame, max_rows: int, max_bytes: int) -> DataFrame | None:
-    """The rows of ``small`` as a local frame, or None when there are too many.
-
-    At most one row more than allowed is fetched.
-    """
-    fetched = small.limit(max_rows + 1).toArrow()
-    if fetched.num_rows > max_rows or fetched.nbytes > max_bytes:
-        return None
-    return small.sparkSession.createDataFrame(fetched, schema=small.schema)
-
-
-def checked_broadcast(
-    small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Broadcast ``small`` if it is seen to fit; otherwise return it unhinted for a shuffle join.
-
-    Rows that fit are not computed again.
-    """
-    local = _fetched(small, max_rows, max_bytes)
-    return small if local is None else F.broadcast(local)
-
-
-def settle_small(
-    small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Compute a summary table once, for use in several places; a large one is left as it is."""
-    local = _fetched(small, max_rows, max_bytes)
-    return small if local is None else local
-
-
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Split:
-    """Rows of groups within the limit, and rows of the groups above it.
-
-    Counting runs map-side first and reads the key columns only. There are at
-    most (all rows / limit) large groups; their keys are broadcast when few.
-    Without keys the whole frame is one group.
-    """
-    counts = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS)).where(F.col(_ROWS) > hot_rows)
-    )
-    found = counts.limit(HOT_KEYS + 1).collect()
-    if not found:
-        return Split(df, None, 0)
-    if not keys:
-        return Split(None, df, found[0][_ROWS])
-    if len(found) <= HOT_KEYS:
-        names = df.sparkSession.createDataFrame(found, counts.schema).drop(_ROWS)
-        names, size = F.broadcast(names), sum(r[_ROWS] for r in found)
-    else:
-        names, size = counts.drop(_ROWS), counts.agg(F.sum(_ROWS)).first()[0]
-    return Split(
-        null_safe_join(df, names, keys, "left_anti"),
-        null_safe_join(df, names, keys, "left_semi"),
-        size,
-    )
-
-
 def _carried(
     cut: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int, backwards: bool
 ) -> DataFrame:
@@ -135,18 +66,15 @@ def _carried(
 
 
 def _over_slices(
-    hot: DataFrame,
+    df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     compute: Callable[[DataFrame, WindowSpec], DataFrame],
     before: int,
     after: int,
-    slices: int,
+    slice_by: Column,
 ) -> DataFrame:
-    # The slice number must not change between the two uses of `cut` or on a retry.
-    cut = cut_lineage(
-        hot.repartitionByRange(slices, *keys, *order).withColumn(_SLICE, F.spark_partition_id())
-    )
+    cut = df.withColumn(_SLICE, slice_by)
     framed = cut.withColumn(_HALO, F.lit(False))
     for reach, backwards in ((before, True), (after, False)):
         if reach:
@@ -163,29 +91,23 @@ def over_ordered(
     compute: Callable[[DataFrame, WindowSpec], DataFrame],
     before: int = 0,
     after: int = 0,
-    hot_rows: int = HOT_ROWS,
-    split: Split | None = None,
+    slice_by: Column | None = None,
 ) -> DataFrame:
     """Add columns from row frames over ``keys`` ordered by ``order``.
 
     ``compute(frame, window)`` adds columns with ``lag``, ``lead`` or
     ``rowsBetween`` frames that reach at most ``before`` rows back and ``after``
     rows ahead, counting what nested expressions need. ``order`` must be unique
-    within a group.
+    within a group. Give ``slice_by`` where a group can grow without bound: a
+    column that never falls along ``order`` and is equal for a bounded number of rows.
     """
-    split = split or split_hot(df, keys, hot_rows)
-    parts = []
-    if split.cold is not None:
-        parts.append(compute(split.cold, Window.partitionBy(*keys).orderBy(*order)))
-    if split.hot is not None:
-        slices = 1 + (2 * split.hot_rows) // max(hot_rows, 1)
-        parts.append(_over_slices(split.hot, keys, order, compute, before, after, slices))
-    return reduce(DataFrame.unionByName, parts)
+    if slice_by is None:
+        return compute(df, Window.partitionBy(*keys).orderBy(*order))
+    return _over_slices(df, keys, order, compute, before, after, slice_by)
 
 
 def gather_totals(
     df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]
 ) -> DataFrame:
-    """Attach group aggregates to the rows without moving the rows when the groups are few."""
-    grouped = df.groupBy(*keys).agg(*aggregates)
-    return null_safe_join(df, checked_broadcast(grouped), keys)
+    """Attach group aggregates to the rows."""
+    return null_safe_join(df, df.groupBy(*keys).agg(*aggregates), keys)

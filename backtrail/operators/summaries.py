@@ -16,7 +16,7 @@ from backtrail.functions.scalars import (
 )
 from backtrail.functions.semantics import rows, strict_sum, total, wmean
 from backtrail.operators.quantiles import summarise
-from backtrail.operators.skew import HOT_ROWS, checked_broadcast, null_safe_join
+from backtrail.operators.skew import null_safe_join
 from backtrail.sources.schemas import EVENTS
 
 # Amount thresholds (mm), the event selection, and the longest event (hours).
@@ -74,7 +74,6 @@ def threshold_summary(
     prepared: DataFrame,
     thresholds: Sequence[float] = THRESHOLDS,
     longest: int = LONGEST_EVENT,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The same summary for several amount thresholds, in one pass."""
     marks = F.array(*[F.lit(float(t)) for t in thresholds])
@@ -89,11 +88,10 @@ def threshold_summary(
         },
         medians={"dO": "dO", "d_excess": "d_excess"},
         iqrs={"dO_iqr": "dO", "d_excess_iqr": "d_excess"},
-        hot_rows=hot_rows,
     )
 
 
-def weighted_summary(events: DataFrame, keys: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
+def weighted_summary(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Weighted mean, deviation and interquartile range of the values, amount and count."""
     return summarise(
         events, keys,
@@ -103,23 +101,21 @@ def weighted_summary(events: DataFrame, keys: Sequence[str] = (), hot_rows: int
             "precip": strict_sum(F.col("P")), "N": rows(),
         },
         iqrs={"dO_iqr": "dO", "d_excess_iqr": "d_excess"},
-        hot_rows=hot_rows,
     )
 
 
-def median_summary(events: DataFrame, keys: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
+def median_summary(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Median and interquartile range of the values, amount and count."""
     return summarise(
         events, keys,
         {"precip": strict_sum(F.col("P")), "N": rows()},
         medians={"dO": "dO", "d_excess": "d_excess"},
         iqrs={"dO_iqr": "dO", "d_excess_iqr": "d_excess"},
-        hot_rows=hot_rows,
     )
 
 
-def monthly_summary(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return weighted_summary(events, ["year", "month"], hot_rows)
+def monthly_summary(events: DataFrame) -> DataFrame:
+    return weighted_summary(events, ["year", "month"])
 
 
 def mean_monthly_deviation(monthly: DataFrame) -> DataFrame:
@@ -133,7 +129,6 @@ def daily_statistics(
     weather: DataFrame,
     after: str,
     values: Sequence[str] = ("temp", "rh", "gph"),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Median and deviation of each value per day, for days after a date."""
     recent = weather.where(F.col("date") > F.lit(after).cast("date"))
@@ -141,7 +136,6 @@ def daily_statistics(
         recent, ["date"],
         {f"{v}_sd": F.stddev_samp(v) for v in values},
         medians={v: v for v in values},
-        hot_rows=hot_rows,
     )
 
 
@@ -153,21 +147,20 @@ def monthly_composite(attributed: DataFrame, values: Sequence[str], amount: str
     )
 
 
-def _fences(df: DataFrame, keys: Sequence[str], value: str, reach: float, hot_rows: int) -> DataFrame:
+def _fences(df: DataFrame, keys: Sequence[str], value: str, reach: float) -> DataFrame:
     quartiles = summarise(
         df.where(F.col(value).isNotNull()), keys, {},
         quantiles={"q1": (value, 0.25), "med": (value, 0.5), "q3": (value, 0.75)},
-        hot_rows=hot_rows,
     )
     span = (F.col("q3") - F.col("q1")) * reach
     return quartiles.withColumns({"low": F.col("q1") - span, "high": F.col("q3") + span})
 
 
 def box_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5
 ) -> DataFrame:
     """Quartiles, whiskers (last values within the fences) and number of outliers per group."""
-    fences = checked_broadcast(_fences(df, keys, value, reach, hot_rows))
+    fences = _fences(df, keys, value, reach)
     x = F.col(value)
     beside = null_safe_join(df.where(x.isNotNull()), fences, keys)
     within = x.between(F.col("low"), F.col("high"))
@@ -180,10 +173,10 @@ def box_statistics(
 
 
 def box_outliers(
-    df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5
 ) -> DataFrame:
     """Rows whose value lies outside the fences of their group."""
-    fences = checked_broadcast(_fences(df, keys, value, reach, hot_rows))
+    fences = _fences(df, keys, value, reach)
     x = F.col(value)
     beside = null_safe_join(df.where(x.isNotNull()), fences, keys)
     return beside.where(~x.between(F.col("low"), F.col("high"))).select(*df.columns)

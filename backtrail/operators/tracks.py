@@ -1,8 +1,9 @@
 """Tracks: preparation, length, moisture uptake, dominant height, counts.
 
-A track is the ordered set of points of one (event, height). The points of one
-event are brought together once, and every window below uses that exchange and
-one sort. Events with more points than ``hot_rows`` take the sliced form.
+A track is the ordered set of points of one (event, height): a few hundred hours at
+most, which bounds every window here. The points of one event are brought together
+once, and all windows use that exchange and one sort. Totals are added up as
+decimals, so that equal gains have equal totals in whatever order they come.
 """
 
 from __future__ import annotations
@@ -17,18 +18,11 @@ from backtrail.functions.scalars import count_label, season
 from backtrail.functions.semantics import (
     flag,
     positive_part,
-    positive_sum,
     safe_div,
     share_percent,
 )
 from backtrail.operators.series import roll_sum
-from backtrail.operators.skew import (
-    HOT_ROWS,
-    checked_broadcast,
-    null_safe_join,
-    over_ordered,
-    split_hot,
-)
+from backtrail.operators.skew import null_safe_join
 
 # Least reach of a kept track (hours), width of the trailing sum (rows),
 # gain that marks an uptake, and the points of a complete track.
@@ -37,7 +31,7 @@ TRAILING_ROWS = 6
 UPTAKE_GAIN = 0.5
 POINTS_PER_TRACK = 121
 
-_TIE = 1e-12
+_EXACT = "decimal(38,12)"
 
 
 def prepare_tracks(points: DataFrame, arrival: str = "traj_dt_i") -> DataFrame:
@@ -53,21 +47,10 @@ def track_length(points: DataFrame, keys: Sequence[str], hour: str = "hour_along
 
 
 def with_track_length(
-    points: DataFrame,
-    keys: Sequence[str] = ("index", "height_i"),
-    hour: str = "hour_along",
-    hot_rows: int = HOT_ROWS,
+    points: DataFrame, keys: Sequence[str] = ("index", "height_i"), hour: str = "hour_along"
 ) -> DataFrame:
     """Oldest hour of the track on each of its points."""
-    split = split_hot(points, keys, hot_rows)
-    oldest = F.min(hour).over(Window.partitionBy(*keys))
-    if split.hot is None:
-        return points.withColumn("traj_end", oldest)
-    lengths = checked_broadcast(track_length(split.hot, keys, hour))
-    out = null_safe_join(split.hot, lengths, keys)
-    if split.cold is not None:
-        out = split.cold.withColumn("traj_end", oldest).unionByName(out)
-    return out
+    return null_safe_join(points, track_length(points, keys, hour), keys)
 
 
 def _gain(value: str, trailing: int):
@@ -96,7 +79,6 @@ def uptake(
     least_points: int | None = None,
     trailing: int = TRAILING_ROWS,
     dominant_only: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Moisture gain along each track.
 
@@ -108,56 +90,33 @@ def uptake(
     left out. With ``dominant_only``, only the height with the largest total is
     kept per event; equal totals are all kept.
     """
-    track = [key, height]
-    split = split_hot(points, [key], hot_rows)
-    parts = []
-
-    def long_enough() -> Column:
-        tests = []
-        if least_reach is not None:
-            tests.append(F.col("traj_end") <= least_reach)
-        if least_points is not None:
-            tests.append(F.col("__points") >= least_points)
-        out = F.lit(True)
-        for test in tests:
-            out = out & test
-        return out
-
-    if split.cold is not None:
-        # every window below asks for the same order, so one sort serves them all
-        along = Window.partitionBy(*track).orderBy(*order)
-        whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        frame = split.cold.repartition(key).withColumns({
-            "traj_end": F.min(order[0]).over(whole), "__points": F.count(F.lit(1)).over(whole),
-        }).where(long_enough()).drop("__points")
-        frame = _gain(value, trailing)(frame, along)
-        gained = F.sum(positive_part(F.col("delta_q"))).over(whole)
-        frame = frame.withColumn("tot_uptake", F.coalesce(gained, F.lit(0.0)))
-        if dominant_only:
-            most = F.max("tot_uptake").over(Window.partitionBy(key))
-            frame = frame.withColumn("__most", most).where(F.col("tot_uptake") == F.col("__most")).drop("__most")
-        frame = _finish(frame)
-        parts.append(frame)
-    if split.hot is not None:
-        sizes = split.hot.groupBy(*track).agg(
-            F.min(order[0]).alias("traj_end"), F.count(F.lit(1)).alias("__points")
-        ).where(long_enough()).drop("__points")
-        frame = null_safe_join(split.hot, checked_broadcast(sizes), track)
-        frame = over_ordered(
-            frame, track, list(order), _gain(value, trailing), before=trailing, hot_rows=hot_rows
-        )
-        totals = frame.groupBy(*track).agg(positive_sum(F.col("delta_q")).alias("tot_uptake"))
-        if dominant_only:
-            # totals are added up in no fixed order here, so equal means equal up to rounding
-            totals = totals.withColumn(
-                "__most", F.max("tot_uptake").over(Window.partitionBy(key))
-            ).where(F.col("tot_uptake") >= F.col("__most") * (1 - _TIE)).drop("__most")
-        parts.append(_finish(null_safe_join(frame, checked_broadcast(totals), track)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    tests = []
+    if least_reach is not None:
+        tests.append(F.col("traj_end") <= least_reach)
+    if least_points is not None:
+        tests.append(F.col("__points") >= least_points)
+    long_enough = F.lit(True)
+    for test in tests:
+        long_enough = long_enough & test
+    # every window below asks for the same order, so one sort serves them all
+    along = Window.partitionBy(key, height).orderBy(*order)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    frame = points.repartition(key).withColumns({
+        "traj_end": F.min(order[0]).over(whole), "__points": F.count(F.lit(1)).over(whole),
+    }).where(long_enough).drop("__points")
+    frame = _gain(value, trailing)(frame, along)
+    gained = F.sum(positive_part(F.col("delta_q")).cast(_EXACT)).over(whole).cast("double")
+    frame = frame.withColumn("tot_uptake", F.coalesce(gained, F.lit(0.0)))
+    if dominant_only:
+        frame = _largest(frame, key, "tot_uptake")
     added = ["traj_end", "delta_q", "delta_q6d", "uptake", "tot_uptake", "prop_uptake"]
-    return out.select(*[c for c in points.columns if c not in added], *added)
+    return _finish(frame).select(*[c for c in points.columns if c not in added], *added)
+
+
+def _largest(tracks: DataFrame, key: str, total: str) -> DataFrame:
+    """Rows whose total equals the largest of their event."""
+    most = F.max(total).over(Window.partitionBy(key))
+    return tracks.withColumn("__most", most).where(F.col(total) == F.col("__most")).drop("__most")
 
 
 def dominant(
@@ -166,30 +125,21 @@ def dominant(
     height: str = "height_i",
     total: str = "tot_uptake",
     tie_break: Sequence[str] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Points of the height with the largest total of each event; equal totals are all kept.
 
     With ``tie_break`` one height is kept, the first in the order of those columns.
     """
-    if tie_break:
-        names = list(dict.fromkeys([key, height, total, *tie_break]))
-        per_track = tracks.select(*names).groupBy(key, height).agg(
-            F.max(total).alias(total),
-            *[F.min(c).alias(c) for c in names if c not in (key, height, total)],
-        )
-        first = F.struct((-F.col(total)).alias("t"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(tie_break)])
-        best = per_track.groupBy(key).agg(F.min_by(height, first).alias(height))
-        return null_safe_join(tracks, checked_broadcast(best), [key, height], "left_semi")
-    split = split_hot(tracks, [key], hot_rows)
-    most = F.max(total).over(Window.partitionBy(key))
-    if split.hot is None:
-        return tracks.withColumn("__most", most).where(F.col(total) == F.col("__most")).drop("__most")
-    peak = checked_broadcast(split.hot.groupBy(key).agg(F.max(total).alias("__most")))
-    out = null_safe_join(split.hot, peak, [key])
-    if split.cold is not None:
-        out = split.cold.withColumn("__most", most).unionByName(out)
-    return out.where(F.col(total) == F.col("__most")).drop("__most")
+    if not tie_break:
+        return _largest(tracks, key, total)
+    names = list(dict.fromkeys([key, height, total, *tie_break]))
+    per_track = tracks.select(*names).groupBy(key, height).agg(
+        F.max(total).alias(total),
+        *[F.min(c).alias(c) for c in names if c not in (key, height, total)],
+    )
+    first = F.struct((-F.col(total)).alias("t"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(tie_break)])
+    best = per_track.groupBy(key).agg(F.min_by(height, first).alias(height))
+    return null_safe_join(tracks, best, [key, height], "left_semi")
 
 
 def track_counts(tracks: DataFrame, west_of: float = MAP_ORIGIN.lon) -> DataFrame:

@@ -20,8 +20,6 @@ from backtrail.plans.sqlparts import (
     using,
     wmean,
 )
-from backtrail.session import scratch_path
-from backtrail.sources.tables import materialise
 
 VALUES = {"dO_nm": "dO_sd", "d_excess_nm": "de_sd"}
 TRACK_COLUMNS = ("date", "year", "month", "season", "height_i", "region", "distance_km", "bearing_deg")
@@ -33,23 +31,19 @@ def located(spark: SparkSession, d: str, points: DataFrame | None = None) -> Dat
 
 
 def attributed(spark: SparkSession, d: str) -> DataFrame:
-    """Events with fit, anomaly and origin region, written once: reports read it several times."""
+    """Events with fit, anomaly and origin region."""
     points = tq.settled_tracks(spark, d)
     fitted = tq.events_with_fit(spark, d, points).select(
         "index", "P", "dO", "d_excess", "temp_rm", "rh_rm", "fits", "residuals"
     )
     unusual = tq.site_anomalies(spark, d).select("index", "dO_nm", "d_excess_nm")
-    table = attribution.attribute(
-        fitted.join(unusual, on="index"), located(spark, d, points), TRACK_COLUMNS
-    )
-    return materialise(table, scratch_path(spark, "attributed"))
+    return attribution.attribute(fitted.join(unusual, on="index"), located(spark, d, points), TRACK_COLUMNS)
 
 
 def origins(spark: SparkSession, d: str) -> DataFrame:
-    """Events with origin region only, written once."""
+    """Events with origin region only."""
     sites = tq.sites(spark, d).select("index", "P", "dO", "d_excess")
-    table = attribution.attribute(sites, located(spark, d), TRACK_COLUMNS)
-    return materialise(table, scratch_path(spark, "origins"))
+    return attribution.attribute(sites, located(spark, d), TRACK_COLUMNS)
 
 
 LOCATED_SQL = [*ellipsoid_bearing("centroids", 49.62, 6.22),

@@ -31,8 +31,12 @@ def composite(spark: SparkSession, d: str) -> DataFrame:
     return series.rolling_composite(series.complete_days(composite_days(spark, d)))
 
 
+_FOUR_WEEKS = F.expr("CAST(floor(unix_date(date) / 28) AS BIGINT)")  # at most 672 hours of one series
+
+
 def smooth_weather(spark: SparkSession, d: str) -> DataFrame:
-    return series.rolling_means(b.weather(spark, d), [], ["date", "time"], ["temp", "rh", "gph"])
+    return series.rolling_means(
+        b.weather(spark, d), [], ["date", "time"], ["temp", "rh", "gph"], slice_by=_FOUR_WEEKS)
 
 
 WEATHER_COLUMNS = (
@@ -102,7 +106,7 @@ def _series_composite(spark: SparkSession, d: str) -> DataFrame:
 
 def _weather_by_station(spark: SparkSession, d: str) -> DataFrame:
     return series.rolling_means(
-        b.weather(spark, d, by_station=True), ["station"], ["date", "time"], ["temp", "rh", "gph"]
+        b.weather(spark, d, by_station=True), ["station"], ["date", "time"], ["temp", "rh", "gph"], slice_by=_FOUR_WEEKS
     )
 
 

@@ -15,7 +15,7 @@ from backtrail.plans.registry import Query
 from backtrail.plans.sqlparts import using
 from backtrail.session import scratch_path
 from backtrail.sources import tables
-from backtrail.sources.schemas import TRACKS
+from backtrail.sources.schemas import EVENTS, TRACKS, WEATHER
 
 KEYS = ("index", "date", "time")
 LINE_HEIGHTS = tuple(500.0 * n for n in range(1, 8))
@@ -89,8 +89,31 @@ def _ensemble_files(spark: SparkSession, d: str) -> DataFrame:
 def _track_store(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "track-store")
     tables.write_tracks(tq.prepared_tracks(spark, d), path)
-    stored = spark.read.parquet(path).where(F.col("height_i") == 1500)
-    return stored.groupBy("index").agg(F.count(F.lit(1)).alias("points"), F.min("hour_along").alias("traj_end"))
+    stored = spark.read.parquet(path).withColumn("height_i", F.col("height_i").cast("double"))
+    return stored.groupBy("index", "height_i").agg(
+        F.count(F.lit(1)).alias("points"), F.min("hour_along").alias("traj_end"))
+
+
+def _event_file(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "event-csv")
+    tables.write_csv(b.events(spark, d).select(*EVENTS.names), path)
+    return tables.read_events(spark, path)
+
+
+def _weather_file(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "weather-csv")
+    tables.write_csv(b.weather(spark, d).select(F.col("time").alias("rownum"), *WEATHER.names[1:]), path)
+    return tables.read_weather(spark, path).drop("rownum")
+
+
+def _named_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A file whose rows begin with a number that the header does not name."""
+    path = scratch_path(spark, "named-csv")
+    points = _as_track_file(b.tracks(spark, d))
+    first, *rest = points.columns
+    number = F.concat_ws(",", F.monotonically_increasing_id().cast("string"), F.coalesce(F.col(first).cast("string"), F.lit(tables.MISSING)))
+    points.select(number.alias(first), *rest).write.csv(path, header=True, nullValue=tables.MISSING, quote="\u0000")
+    return tables.read_tracks(spark, path, row_names=True).select(*_FILE_COLUMNS)
 
 
 def _direct_sql(source: str, bearing: str, metres: str, lat: str, lon: str, steps: int = 12) -> list[tuple[str, str]]:
@@ -130,7 +153,8 @@ FROM (SELECT poly_id, kind, sum(w * s) AS w, sum(wx * s) AS wx, sum(wy * s) AS w
 
 
 def _polygons(spark: SparkSession, d: str) -> DataFrame:
-    return geodesy.polygon_centroids(b.vertices(spark, d), order=["seq", "vertex"])
+    # a ring has a vertex per customer, so it is walked in slices of its angle
+    return geodesy.polygon_centroids(b.vertices(spark, d), order=["seq", "vertex"], slice_by=F.floor(F.col("seq") / 100))
 
 
 _FILE_SQL = f"SELECT {', '.join(_FILE_COLUMNS)} FROM track_points"
@@ -146,14 +170,22 @@ FROM selected CROSS JOIN (VALUES (500e0), (1000e0), (1500e0), (2000e0)) AS h(hei
     ),
     "run_request_progress": Query(
         lambda s, d: quality.request_progress(
-            quality.run_requests(ev.selected(s, d)), ["height_i", "index"]
-        ).select("index", "height_i", "progress"),
-        using("selected", """SELECT index, height_i, 'Running trajectory ' || row_number() OVER (ORDER BY height_i, index) || ' of '
-  || count(*) OVER () || ' (' || CAST(round_even(100e0 * row_number() OVER (ORDER BY height_i, index) / count(*) OVER (), 0) AS INT)
-  || '%) - Index: ' || index || ' | Date: ' || coalesce(CAST(date AS VARCHAR), 'null') || ' at '
-  || coalesce(CAST(time AS VARCHAR), 'null') || 'h' AS progress
+            quality.run_requests(ev.selected(s, d)), ["index", "height_i"], F.floor(F.col("index") / 1024)
+        ).select("index", "height_i", "number", "requests", "percent"),
+        using("selected", """SELECT index, height_i, row_number() OVER (ORDER BY index, height_i) AS number,
+  count(*) OVER () AS requests, 100e0 * row_number() OVER (ORDER BY index, height_i) / count(*) OVER () AS percent
 FROM selected CROSS JOIN (VALUES (500e0), (1000e0), (1500e0), (2000e0)) AS h(height_i)"""),
-        ("height_i",),
+        ("height_i", "percent"),
+    ),
+    "event_file": Query(
+        _event_file, f"""SELECT {', '.join(f'"{c}"' for c in EVENTS.names)} FROM ({b.sql_tables()['raw_events']}) WHERE start IS NOT NULL""",
+        ("P", "dD", "dD_dev", "dO", "dO_dev"),
+    ),
+    "weather_file": Query(
+        _weather_file, f"""SELECT "date", "time", temp, rh, gph FROM ({b.sql_tables()['weather']})""", ("temp", "rh", "gph"),
+    ),
+    "track_csv_row_names": Query(
+        _named_rows, f"""SELECT {', '.join(_FILE_COLUMNS)} FROM ({b.sql_tables()['track_points']})""", _FILE_ROUNDS,
     ),
     "coverage_audit": Query(
         lambda s, d: quality.coverage_audit(_part_requests(s, d), _part_results(s, d), ["index", "height_i"]),
@@ -225,8 +257,8 @@ FROM centroids_of""", _POLYGON_SQL),
     "track_ensemble_files": Query(_ensemble_files, using("track_points", _FILE_SQL), _FILE_ROUNDS),
     "track_store": Query(
         _track_store,
-        using("track_points", """SELECT index, count(*) AS points, min(hour_along) AS traj_end FROM track_points
-WHERE height_i = 1500 GROUP BY index"""),
+        using("track_points", """SELECT index, height_i, count(*) AS points, min(hour_along) AS traj_end FROM track_points
+GROUP BY index, height_i"""), ("height_i",),
     ),
     "track_stage_written": Query(
         lambda s, d: tq.settled_tracks(s, d).groupBy("season").agg(

@@ -70,7 +70,8 @@ def _log_steps(spark: SparkSession, d: str) -> DataFrame:
 
 def _log_trailing(spark: SparkSession, d: str) -> DataFrame:
     out = series.rolling_sums(
-        b.log_tracks(spark, d), ["index"], b.LOG_ORDER, {"gain6": F.col("sp_humidity")}, 6, "right"
+        b.log_tracks(spark, d), ["index"], b.LOG_ORDER, {"gain6": F.col("sp_humidity")}, 6, "right",
+        slice_by=F.floor(F.unix_date(F.to_date("moment")) / 28),  # a user's log has no bound
     )
     return out.select("index", "event_id", "gain6")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
@@ -22,9 +24,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL_ROOTS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="backtrail-"))
+    if context.applicationId not in _LOCAL_ROOTS:
+        folder = tempfile.mkdtemp(prefix="backtrail-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # what was written goes with the session
+        _LOCAL_ROOTS[context.applicationId] = folder
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -128,10 +128,8 @@ def test_labels(frame):
         scalars.count_label(F.col("n")),
         scalars.offset_label(F.col("s"), F.col("a")),
         scalars.fit_label(F.col("r"), F.col("s")),
-        scalars.progress_label(F.lit(1), F.lit(3), F.lit(7), F.lit("2020-01-02"), F.lit(5)),
     ).first()
     assert row[0] == "d²H = 9.99 + 7.5 * d¹⁸O\nR² = 0.99"
     assert row[1] == "N = 4"
     assert row[2] == "RMSE = 2.12 ‰\nOffset = 9.99 ‰"
     assert row[3] == "R² = 0.99\nRMSE = 2.1 ‰"
-    assert row[4] == "Running trajectory 1 of 3 (33%) - Index: 7 | Date: 2020-01-02 at 5h"

@@ -3,13 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from backtrail.operators.quantiles import summarise
-from backtrail.operators.skew import (
-    checked_broadcast,
-    gather_totals,
-    null_safe_join,
-    over_ordered,
-    split_hot,
-)
+from backtrail.operators.skew import gather_totals, null_safe_join, over_ordered
 
 
 @pytest.fixture(scope="module")
@@ -32,34 +26,22 @@ def frames(frame, window):
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-@pytest.mark.parametrize("limit", [5, 100])
-def test_sliced_windows_equal_plain_windows(log, keys, limit):
-    def run(hot_rows):
-        out = over_ordered(log, keys, ["i"], frames, before=3, after=2, hot_rows=hot_rows)
+@pytest.mark.parametrize("rows", [3, 100])
+def test_sliced_windows_equal_plain_windows(log, keys, rows):
+    def run(slice_by):
+        out = over_ordered(log, keys, ["i"], frames, before=3, after=2, slice_by=slice_by)
         return sorted(
             (r.i, r.prev, r.next, round(r.near, 6), r.n) for r in out.collect()
         )
 
-    assert run(10**6) == run(limit)
+    assert run(None) == run(F.floor(F.col("i") / rows))
 
 
-def test_split_keeps_every_row_and_null_keys(log):
-    split = split_hot(log, ["k"], 25)
-    assert split.cold.count() + split.hot.count() == log.count()
-    assert {r.k for r in split.hot.select("k").distinct().collect()} >= {0, None}
-    assert split.hot_rows == split.hot.count()
-
-
-def test_split_without_large_groups_is_the_frame_itself(log):
-    split = split_hot(log, ["k"], 10**6)
-    assert split.cold is log and split.hot is None
-
-
-@pytest.mark.parametrize("limit", [10, 10**6])
-def test_exact_quantiles_for_small_and_large_groups(log, limit):
+@pytest.mark.parametrize("bins", [1, 3, 1024])
+def test_exact_quantiles_for_small_and_large_groups(log, bins):
     out = summarise(
         log, ["k"], {"n": F.count(F.lit(1))}, medians={"m": "v"}, iqrs={"q": "v"},
-        quantiles={"p90": ("v", 0.9)}, hot_rows=limit, accuracy=50,
+        quantiles={"p90": ("v", 0.9)}, bins=bins,
     )
     values = {}
     for r in log.collect():
@@ -74,17 +56,10 @@ def test_exact_quantiles_for_small_and_large_groups(log, limit):
 
 def test_global_quantiles_of_few_distinct_values(spark):
     df = spark.range(1000).select((F.col("id") % 3).cast("double").alias("v"), F.lit(None).cast("double").alias("w"))
-    row = summarise(df, [], {}, medians={"m": "v", "none": "w"}, hot_rows=10, accuracy=20).first()
+    row = summarise(df, [], {}, medians={"m": "v", "none": "w"}, bins=2).first()
     assert row.m == 1.0 and row.none is None
 
 
-def test_broadcast_only_when_small(spark):
-    small = checked_broadcast(spark.range(10), max_rows=10)
-    assert small.count() == 10 and "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
-    large = spark.range(11)
-    assert checked_broadcast(large, max_rows=10) is large
-
-
 def test_totals_reach_null_keys(log):
     out = gather_totals(log, ["k"], [F.count(F.lit(1)).alias("n")])
     assert out.count() == log.count()
