@@ -19,7 +19,7 @@ from backtrail.operators.skew import null_safe_join
 
 QUARTILES = (0.25, 0.5, 0.75)
 #: Bins of a step, and steps.
-BINS, STEPS = 1024, 2
+BINS, STEPS = 4096, 1
 
 _MEASURE = "__measure"
 _VALUE = "__value"

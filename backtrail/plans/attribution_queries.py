@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from backtrail.functions.geo import DISTANCE_BANDS, REGIONS_CURRENT, SECTORS_EARLIER
 from backtrail.functions.scalars import SEASONS
 from backtrail.operators import attribution, models, summaries
+from backtrail.plans import event_queries as ev
 from backtrail.plans import track_queries as tq
 from backtrail.plans.registry import Query
 from backtrail.plans.sqlparts import (
@@ -32,12 +34,11 @@ def located(spark: SparkSession, d: str, points: DataFrame | None = None) -> Dat
 
 def attributed(spark: SparkSession, d: str) -> DataFrame:
     """Events with fit, anomaly and origin region."""
-    points = tq.settled_tracks(spark, d)
-    fitted = tq.events_with_fit(spark, d, points).select(
-        "index", "P", "dO", "d_excess", "temp_rm", "rh_rm", "fits", "residuals"
+    fitted = tq.events_with_fit(spark, d).select(
+        "index", "P", "dO", "d_excess", "temp", "rh", "gph", "fits", "residuals"
     )
     unusual = tq.site_anomalies(spark, d).select("index", "dO_nm", "d_excess_nm")
-    return attribution.attribute(fitted.join(unusual, on="index"), located(spark, d, points), TRACK_COLUMNS)
+    return attribution.attribute(fitted.join(unusual, on="index"), located(spark, d), TRACK_COLUMNS)
 
 
 def origins(spark: SparkSession, d: str) -> DataFrame:
@@ -46,17 +47,27 @@ def origins(spark: SparkSession, d: str) -> DataFrame:
     return attribution.attribute(sites, located(spark, d), TRACK_COLUMNS)
 
 
+def settled_origins(spark: SparkSession, d: str) -> DataFrame:
+    """``origins``, written once for summaries that read it several times."""
+    return ev.settled(spark, origins(spark, d), "origins")
+
+
+def settled_attributed(spark: SparkSession, d: str) -> DataFrame:
+    """``attributed``, written once for summaries that read it several times."""
+    return ev.settled(spark, attributed(spark, d), "attributed")
+
+
 LOCATED_SQL = [*ellipsoid_bearing("centroids", 49.62, 6.22),
                ("regions", f"SELECT *, {REGION_CURRENT} AS region FROM located")]
 ORIGINS_SQL = [*LOCATED_SQL, ("origins", """SELECT s.index, s."P", s."dO", s.d_excess, r.date, r.year, r.month,
   r.season, r.height_i, r.region, r.distance_km, r.bearing_deg
 FROM selected_sites s JOIN regions r ON r.index = s.index""")]
 ATTRIBUTED_SQL = [*LOCATED_SQL, *tq.site_fit_sql(), *tq.SITE_ANOMALY_SQL, ("attributed", """SELECT f.index, f."P", f."dO",
-  f.d_excess, f.temp_rm, f.rh_rm, f.fits, f.residuals, a."dO_nm", a.d_excess_nm, r.date, r.year, r.month, r.season,
+  f.d_excess, f.temp, f.rh, f.gph, f.fits, f.residuals, a."dO_nm", a.d_excess_nm, r.date, r.year, r.month, r.season,
   r.height_i, r.region, r.distance_km, r.bearing_deg
-FROM site_fit f JOIN site_anomaly a ON a.index = f.index JOIN regions r ON r.index = f.index""")]
+FROM fitted_sites f JOIN site_anomaly a ON a.index = f.index JOIN regions r ON r.index = f.index""")]
 ORIGIN_PARTS = "centroids selected_sites"
-ATTRIBUTED_PARTS = "centroids selected_sites composite"
+ATTRIBUTED_PARTS = "centroids selected_sites composite smooth"
 
 
 def _sphere(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +196,7 @@ FROM ({_SPHERE_SQL})"""),
     "event_attribution": Query(
         attributed,
         using(ATTRIBUTED_PARTS, "SELECT * FROM attributed", ATTRIBUTED_SQL),
-        ("P", "dO", "d_excess", "temp_rm", "rh_rm", "fits", "residuals", "dO_nm", "d_excess_nm", "height_i",
+        ("P", "dO", "d_excess", "temp", "rh", "gph", "fits", "residuals", "dO_nm", "d_excess_nm", "height_i",
          "distance_km", "bearing_deg"),
     ),
     "origin_share_monthly": Query(
@@ -251,7 +262,7 @@ FROM origins o JOIN remote12 r ON r.index = o.index GROUP BY ALL""", [*ORIGINS_S
         ("dO", "d_excess", "temp_rm", "rh_rm", "rainout", "P"),
     ),
     "region_box_statistics": Query(
-        lambda s, d: summaries.box_statistics(origins(s, d), ["region"], "dO"),
+        lambda s, d: summaries.box_statistics(settled_origins(s, d), ["region"], "dO"),
         using(ORIGIN_PARTS, """SELECT o.region, q1, med, q3, min("dO") FILTER ("dO" BETWEEN low AND high) AS whisker_low,
   max("dO") FILTER ("dO" BETWEEN low AND high) AS whisker_high,
   count(*) FILTER (NOT "dO" BETWEEN low AND high) AS outliers, count(*) AS n
@@ -259,10 +270,15 @@ FROM origins o JOIN fences f ON f.region = o.region WHERE "dO" IS NOT NULL GROUP
         ("q1", "med", "q3", "whisker_low", "whisker_high"),
     ),
     "region_box_outliers": Query(
-        lambda s, d: summaries.box_outliers(origins(s, d).select("index", "height_i", "region", "dO"), ["region"], "dO"),
-        using(ORIGIN_PARTS, """SELECT o.index, o.height_i, o.region, o."dO" FROM origins o JOIN fences f ON f.region = o.region
-WHERE "dO" < low OR "dO" > high""", [*ORIGINS_SQL, *_FENCES_SQL]),
-        ("height_i", "dO"),
+        # the fourth power has a long tail, so that some values lie outside
+        lambda s, d: summaries.box_outliers(settled_origins(s, d).select(
+            "index", "height_i", "region", F.pow(F.col("dO") / 10, F.lit(4)).alias("tail")), ["region"], "tail"),
+        using(ORIGIN_PARTS, """SELECT o.index, o.height_i, o.region, tail
+FROM (SELECT *, pow("dO" / 10, 4) AS tail FROM origins) o JOIN (
+  SELECT region, quantile_cont(pow("dO" / 10, 4), 0.25) AS q1, quantile_cont(pow("dO" / 10, 4), 0.75) AS q3
+  FROM origins WHERE "dO" IS NOT NULL GROUP BY region) f ON f.region = o.region
+WHERE tail < q1 - 1.5e0 * (q3 - q1) OR tail > q3 + 1.5e0 * (q3 - q1)""", ORIGINS_SQL),
+        ("height_i", "tail"),
     ),
     "amount_box_outliers": Query(
         lambda s, d: summaries.box_outliers(

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 _ORDER_TIME = "o_orderdate + INTERVAL '1' HOUR * (o_orderkey % 24)"
 _ORDER_DO = "-((o_orderkey * 31 + o_custkey * 17) % 2200) / 1e2"
-_SITE_TIME = "CAST(DATE '2016-01-01' AS {ts}) + INTERVAL '1' HOUR * ({key} * 607 % 61000)"
+# the years of the other events, so that weather and composite meet them by date
+_SITE_TIME = "CAST(DATE '1995-02-01' AS {ts}) + INTERVAL '1' HOUR * ({key} * 607 % 55000)"
 
 # Precipitation events: one per order. Some starts, ends, amounts and ratios are missing.
 EVENTS = ("orders", {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from backtrail.functions.scalars import MONTH_NAMES, SEASONS, month_name, ordinal, season
@@ -13,6 +13,8 @@ from backtrail.plans import bindings as b
 from backtrail.plans.registry import Query
 from backtrail.plans.sqlparts import iqr, strict_sum, using, wmean
 from backtrail.plans.sqlparts import season as sql_season
+from backtrail.session import scratch_path
+from backtrail.sources.tables import materialise
 
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
@@ -27,16 +29,25 @@ def composite_days(spark: SparkSession, d: str) -> DataFrame:
     return series.daily_composite(selected(spark, d))
 
 
+def settled(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """A stage that several steps read, written once."""
+    return materialise(df, scratch_path(spark, label))
+
+
 def composite(spark: SparkSession, d: str) -> DataFrame:
-    return series.rolling_composite(series.complete_days(composite_days(spark, d)))
+    """Days with their composite; the days are read for their span, for the calendar and for the sums."""
+    return series.scatter_composite(settled(spark, composite_days(spark, d), "days"))
 
 
-_FOUR_WEEKS = F.expr("CAST(floor(unix_date(date) / 28) AS BIGINT)")  # at most 672 hours of one series
+def _four_weeks() -> Column:
+    """Slices of at most 672 hours of one series."""
+    return F.floor(F.unix_date("date") / 28)
 
 
 def smooth_weather(spark: SparkSession, d: str) -> DataFrame:
+    hours = settled(spark, b.weather(spark, d), "hours")  # read by the slices and by their edges
     return series.rolling_means(
-        b.weather(spark, d), [], ["date", "time"], ["temp", "rh", "gph"], slice_by=_FOUR_WEEKS)
+        hours, [], ["date", "time"], ["temp", "rh", "gph"], slice_by=_four_weeks())
 
 
 WEATHER_COLUMNS = (
@@ -86,7 +97,9 @@ def _calendar_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def _season_totals(spark: SparkSession, d: str) -> DataFrame:
     sums = seasonal_events(spark, d).groupBy("season", "type").agg(F.sum("P").alias("P"))
-    return ordered_means(sums, SEASONS)
+    # the position follows the order in which the rows come
+    ordered = ordered_means(sums, SEASONS).withColumn("__at", F.monotonically_increasing_id())
+    return ordered.withColumn("position", F.row_number().over(Window.orderBy("__at"))).drop("__at")
 
 
 def _event_anomalies(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +119,7 @@ def _series_composite(spark: SparkSession, d: str) -> DataFrame:
 
 def _weather_by_station(spark: SparkSession, d: str) -> DataFrame:
     return series.rolling_means(
-        b.weather(spark, d, by_station=True), ["station"], ["date", "time"], ["temp", "rh", "gph"], slice_by=_FOUR_WEEKS
+        b.weather(spark, d, by_station=True), ["station"], ["date", "time"], ["temp", "rh", "gph"], slice_by=_four_weeks()
     )
 
 
@@ -196,8 +209,10 @@ FROM (SELECT stddev_samp("dO") AS a, stddev_samp(d_excess) AS b FROM prepared GR
     ),
     "event_season_order": Query(
         _season_totals,
-        using("prepared", f"""SELECT season, type, sum("P") AS "P"
-FROM (SELECT *, {sql_season('date')} AS season FROM prepared) GROUP BY season, type"""),
+        using("prepared", f"""SELECT season, type, "P", CAST(row_number() OVER (ORDER BY
+  CASE season WHEN 'Winter' THEN 1 WHEN 'Spring' THEN 2 WHEN 'Summer' THEN 3 WHEN 'Autumn' THEN 4 END NULLS FIRST, "P" DESC NULLS LAST) AS INT) AS position
+FROM (SELECT season, type, sum("P") AS "P"
+  FROM (SELECT *, {sql_season('date')} AS season FROM prepared) GROUP BY season, type)"""),
         ("P",),
     ),
     "daily_composite": Query(

@@ -110,6 +110,11 @@ def _tidy_sql(terms: list[str]) -> str:
 
 
 def _regional(spark: SparkSession, d: str) -> DataFrame:
+    fit = models.ols(aq.attributed(spark, d), "dO", tq.SITE_FIT, ["region"])
+    return models.glance(fit, len(tq.SITE_FIT), ["region"])
+
+
+def _by_type(spark: SparkSession, d: str) -> DataFrame:
     fit = models.ols(ev.events_with_weather(spark, d), "dO", FULL, ["type"])
     return models.glance(fit, len(FULL), ["type"])
 
@@ -132,7 +137,7 @@ def _remote_regression(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _offsets(spark: SparkSession, d: str) -> DataFrame:
-    out = models.offsets(joins.known(aq.attributed(spark, d), ["dO"]), ["region"])
+    out = models.offsets(joins.known(aq.settled_attributed(spark, d), ["dO"]), ["region"])
     return out.withColumn("label", offset_label(F.col("sigma"), F.col("median_res")))
 
 
@@ -209,6 +214,12 @@ JOIN (SELECT season, min("dO") * 0.6e0 AS "dO", max("dD") * 0.4e0 AS "dD" FROM c
     ),
     "regional_regression": Query(
         _regional,
+        using(aq.ATTRIBUTED_PARTS, sql_glance(3, ["region"]), [
+            *aq.ATTRIBUTED_SQL, *sweep_operator(["temp", "gph", '"P"'], '"dO"', ["region"], "attributed")]),
+        _GLANCE_ROUNDS, digits=5,
+    ),
+    "weather_regression_by_type": Query(
+        _by_type,
         using("with_weather", sql_glance(4, ["type"]), sweep_operator(_FULL_SQL, '"dO"', ["type"], "with_weather")),
         _GLANCE_ROUNDS,
     ),
@@ -265,27 +276,27 @@ FROM (SELECT region, median("dO") AS x0, median(fits) AS y0, (median("dO") - med
         ("x0", "y0", "median_res", "sigma"),
     ),
     "region_residual_statistics": Query(
-        lambda s, d: models.residual_statistics(aq.attributed(s, d), ["region"]),
+        lambda s, d: models.residual_statistics(aq.settled_attributed(s, d), ["region"]),
         using(aq.ATTRIBUTED_PARTS, """SELECT region, stddev_samp(residuals) AS residual_sd, median(residuals) AS residual_median
 FROM attributed GROUP BY region""", aq.ATTRIBUTED_SQL),
         ("residual_sd", "residual_median"),
     ),
     "pearson_by_region": Query(
-        lambda s, d: models.pearson(aq.attributed(s, d), "temp_rm", "dO", ["region"]),
+        lambda s, d: models.pearson(aq.attributed(s, d), "temp", "dO", ["region"]),
         using(aq.ATTRIBUTED_PARTS, f"""SELECT region, pearson_rho, pairs, "N", statistic,
   {_t_tail('statistic', '(pairs - 2e0)')} AS p_value
 FROM (SELECT *, CASE WHEN pairs > 2 THEN pearson_rho * sqrt((pairs - 2) / (1 - pearson_rho * pearson_rho)) END AS statistic
-  FROM (SELECT region, CASE WHEN NOT isnan(corr(temp_rm, "dO")) THEN corr(temp_rm, "dO") END AS pearson_rho, count(*) FILTER (temp_rm IS NOT NULL AND "dO" IS NOT NULL) AS pairs,
+  FROM (SELECT region, CASE WHEN NOT isnan(corr(temp, "dO")) THEN corr(temp, "dO") END AS pearson_rho, count(*) FILTER (temp IS NOT NULL AND "dO" IS NOT NULL) AS pairs,
       count(*) AS "N" FROM attributed GROUP BY region)) AS tested""", aq.ATTRIBUTED_SQL),
         ("pearson_rho", "statistic", "p_value"),
     ),
     "pearson_by_type": Query(
-        lambda s, d: models.pearson(ev.prepared(s, d), "dD", "dO", ["type"]).drop("p_value"),
-        using("prepared", """SELECT type, pearson_rho, pairs, "N",
-  pearson_rho * sqrt((pairs - 2) / (1 - pearson_rho * pearson_rho)) AS statistic
-FROM (SELECT type, corr("dD", "dO") AS pearson_rho, count(*) FILTER ("dD" IS NOT NULL AND "dO" IS NOT NULL) AS pairs,
-  count(*) AS "N" FROM prepared GROUP BY type)"""),
-        ("pearson_rho", "statistic"),
+        lambda s, d: models.pearson(ev.prepared(s, d), "dD", "dO", ["type"]),
+        using("prepared", f"""SELECT type, pearson_rho, pairs, "N", statistic, {_t_tail('statistic', '(pairs - 2e0)')} AS p_value
+FROM (SELECT *, pearson_rho * sqrt((pairs - 2) / (1 - pearson_rho * pearson_rho)) AS statistic
+  FROM (SELECT type, corr("dD", "dO") AS pearson_rho, count(*) FILTER ("dD" IS NOT NULL AND "dO" IS NOT NULL) AS pairs,
+  count(*) AS "N" FROM prepared GROUP BY type)) AS tested"""),
+        ("pearson_rho", "statistic", "p_value"),
     ),
     "track_count_labels": Query(
         _track_labels,

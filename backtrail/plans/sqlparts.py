@@ -120,10 +120,10 @@ REGION_EARLIER = """CASE WHEN distance_km <= 500 THEN 'Local (<= 500 km)'
   WHEN distance_km > 1500 THEN 'Other (> 1500 km)' END"""
 
 
-def sweep_operator(xs: list[str], y: str, by: list[str], source: str) -> list[tuple[str, str]]:
+def sweep_operator(xs: list[str], y: str, by: list[str], source: str, prefix: str = "") -> list[tuple[str, str]]:
     """Normal equations solved by sweeping the moment matrix, one sub-query per predictor.
 
-    The result table ``fit`` has one row per group with n, the means, the swept
+    The result table ``fit`` (after ``prefix``) has one row per group with n, the means, the swept
     matrix ``c_i_j`` and its residual corner; groups with too few rows are NULL.
     """
     names = [*xs, y]
@@ -136,7 +136,7 @@ def sweep_operator(xs: list[str], y: str, by: list[str], source: str) -> list[tu
         f"covar_pop({names[i]}, {names[j]}) AS c_{i}_{j}" for i, j in pairs
     ) + ", " + ", ".join(f"avg({c}) AS m_{i}" for i, c in enumerate(names))
     means = ", ".join(f"m_{i}" for i in range(k + 1))
-    out = [("sw0", f"SELECT {keys}count(*) AS n, {moments}, var_pop({y}) AS vy FROM {source} WHERE {complete}{group}")]
+    out = [(f"{prefix}sw0", f"SELECT {keys}count(*) AS n, {moments}, var_pop({y}) AS vy FROM {source} WHERE {complete}{group}")]
 
     def at(i: int, j: int) -> str:
         return f"c_{min(i, j)}_{max(i, j)}"
@@ -152,13 +152,13 @@ def sweep_operator(xs: list[str], y: str, by: list[str], source: str) -> list[tu
             else:
                 value = f"{at(i, j)} - {at(i, p)} * {at(p, j)} / {pivot}"
             cells.append(f"{value} AS c_{i}_{j}")
-        out.append((f"sw{p + 1}", f"SELECT {keys}n, {means}, vy, {', '.join(cells)} FROM sw{p}"))
+        out.append((f"{prefix}sw{p + 1}", f"SELECT {keys}n, {means}, vy, {', '.join(cells)} FROM {prefix}sw{p}"))
     slopes = [f"CASE WHEN n > {k + 1} THEN c_{i}_{k} END AS b_{i + 1}" for i in range(k)]
     intercept = f"CASE WHEN n > {k + 1} THEN m_{k} - " + " - ".join(f"c_{i}_{k} * m_{i}" for i in range(k)) + " END AS b_0"
     inverse = ", ".join(f"-c_{i}_{i} / n AS v_{i + 1}" for i in range(k))
     at_zero = " + ".join(f"m_{i} * m_{j} * -{at(i, j)}" for i in range(k) for j in range(k))
-    out.append(("fit", f"""SELECT {keys}CAST(n AS BIGINT) AS n, {intercept}, {', '.join(slopes)}, {inverse},
-  (1 + {at_zero}) / n AS v_0, CASE WHEN n > {k + 1} THEN n * c_{k}_{k} END AS rss, n * vy AS tss FROM sw{k}"""))
+    out.append((f"{prefix}fit", f"""SELECT {keys}CAST(n AS BIGINT) AS n, {intercept}, {', '.join(slopes)}, {inverse},
+  (1 + {at_zero}) / n AS v_0, CASE WHEN n > {k + 1} THEN n * c_{k}_{k} END AS rss, n * vy AS tss FROM {prefix}sw{k}"""))
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from backtrail.functions.geo import BAND_LIMITS_DO, BAND_LIMITS_EXCESS
+from backtrail.functions.scalars import count_label
 from backtrail.operators import attribution, joins, models, series, skew, summaries, tracks
 from backtrail.plans import bindings as b
 from backtrail.plans import event_queries as ev
@@ -94,35 +95,37 @@ def _share_sums(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def events_with_fit(spark: SparkSession, d: str, points: DataFrame) -> DataFrame:
-    """Track events with the fitted value and residual of a regression on their weather means."""
-    remote = models.remote_means(points, -12, ["index"])
-    joined = sites(spark, d).join(remote.select("index", "temp_rm", "rh_rm"), on="index")
-    xs = ("temp_rm", "rh_rm")
-    return models.augment(joined, models.ols(joined, "dO", xs), "dO", xs)
+def sites_with_weather(spark: SparkSession, d: str) -> DataFrame:
+    """Track events beside the smoothed weather of their day and hour."""
+    return series.with_weather(sites(spark, d), ev.smooth_weather(spark, d))
+
+
+SITE_FIT = ("temp", "gph", "P")
+
+
+def events_with_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Track events with the fitted value and residual of a regression on their weather and amount."""
+    joined = ev.settled(spark, sites_with_weather(spark, d), "sites")  # read by the fit and by what it is applied to
+    return models.augment(joined, models.ols(joined, "dO", SITE_FIT), "dO", SITE_FIT)
 
 
 SITE_FIT_SQL = [
-    ("site_remote", """SELECT index, CASE WHEN count(air_temp) = count(*) THEN avg(air_temp) END AS temp_rm,
-  CASE WHEN count(rh) = count(*) THEN avg(rh) END AS rh_rm
-FROM dominant WHERE hour_along >= -12 GROUP BY index"""),
-    ("site_joined", """SELECT s.*, r.temp_rm, r.rh_rm FROM selected_sites s JOIN site_remote r ON r.index = s.index"""),
+    ("site_joined", """SELECT s.*, w.temp, w.rh, w.gph FROM selected_sites s JOIN smooth w ON w.date = s.date AND w.time = s.time"""),
 ]
 
 
 def site_fit_sql() -> list[tuple[str, str]]:
     return [
         *SITE_FIT_SQL,
-        *sweep_operator(["temp_rm", "rh_rm"], '"dO"', [], "site_joined"),
-        ("site_fit", """SELECT j.*, b_0 + b_1 * temp_rm + b_2 * rh_rm AS fits,
-  "dO" - (b_0 + b_1 * temp_rm + b_2 * rh_rm) AS residuals FROM site_joined j CROSS JOIN fit"""),
+        *sweep_operator(["temp", "gph", '"P"'], '"dO"', [], "site_joined", "site_"),
+        ("fitted_sites", """SELECT j.*, b_0 + b_1 * temp + b_2 * gph + b_3 * "P" AS fits,
+  "dO" - (b_0 + b_1 * temp + b_2 * gph + b_3 * "P") AS residuals FROM site_joined j CROSS JOIN site_fit"""),
     ]
 
 
 def _source_grid(spark: SparkSession, d: str) -> DataFrame:
-    points = settled_tracks(spark, d)
     return attribution.source_grid(
-        events_with_fit(spark, d, points), points, ["dO", "d_excess", "residuals"]
+        events_with_fit(spark, d), dominant_uptake(spark, d), ["dO", "d_excess", "residuals"]
     )
 
 
@@ -133,25 +136,15 @@ def _source_grid_coarse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    """Track events against the composite of the dense event series, matched by calendar day.
-
-    The two event sets cover different years, so the composite is averaged per
-    day of the year first.
-    """
-    day = F.date_format("date", "MM-dd").alias("day")
-    yearly = ev.composite(spark, d).groupBy(day).agg(
-        F.avg("dO_rm").alias("dO_rm"), F.avg("d_excess_rm").alias("d_excess_rm")
-    )
-    return series.anomalies(sites(spark, d).withColumn("day", day), yearly, keys=["day"])
+    """Track events against the composite of their day."""
+    return series.anomalies(sites(spark, d), ev.composite(spark, d))
 
 
 SITE_ANOMALY_SQL = [
-    ("site_yearly", """SELECT strftime(date, '%m-%d') AS day, avg("dO_rm") AS "dO_rm", avg(d_excess_rm) AS d_excess_rm
-FROM composite GROUP BY 1"""),
-    ("site_anomaly", """SELECT s.*, y."dO_rm", y.d_excess_rm, s."dO" - y."dO_rm" AS "dO_nm",
-  s.d_excess - y.d_excess_rm AS d_excess_nm
-FROM selected_sites s JOIN site_yearly y ON y.day = strftime(s.date, '%m-%d')
-WHERE y."dO_rm" IS NOT NULL AND y.d_excess_rm IS NOT NULL"""),
+    ("site_anomaly", """SELECT s.*, c."dO_rm", c.d_excess_rm, s."dO" - c."dO_rm" AS "dO_nm",
+  s.d_excess - c.d_excess_rm AS d_excess_nm
+FROM selected_sites s JOIN composite c ON c.date = s.date
+WHERE c."dO" IS NOT NULL AND c.d_excess IS NOT NULL AND c."dO_rm" IS NOT NULL AND c.d_excess_rm IS NOT NULL"""),
 ]
 
 
@@ -219,10 +212,11 @@ def _points_as_struct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _windows_by_hour(spark: SparkSession, d: str) -> DataFrame:
-    repeated = joins.explode_windows(prepared_tracks(spark, d), "hour_along", models.SWEEP_WINDOWS)
-    return repeated.groupBy("window", "index").agg(
-        F.count(F.lit(1)).alias("points"), F.sum("rainfall").alias("rain")
-    )
+    """Points and rain per event and window; points are added up by hour before they are repeated."""
+    hours = prepared_tracks(spark, d).groupBy("index", "hour_along").agg(
+        F.count(F.lit(1)).alias("points"), F.sum("rainfall").alias("rain"))
+    repeated = joins.explode_windows(hours, "hour_along", models.SWEEP_WINDOWS)
+    return repeated.groupBy("window", "index").agg(F.sum("points").alias("points"), F.sum("rain").alias("rain"))
 
 
 def _band_sql(column: str, low: float, high: float) -> str:
@@ -308,9 +302,10 @@ FROM log_points WINDOW w AS (PARTITION BY index ORDER BY moment, event_id ROWS B
         ("total_q",),
     ),
     "track_counts": Query(
-        lambda s, d: tracks.track_counts(dominant_uptake(s, d)).drop("label"),
+        # the label spells out a double, which the two engines write differently: here the number is whole
+        lambda s, d: tracks.track_counts(dominant_uptake(s, d)).withColumn("label", count_label(F.round("N"))),
         using("dominant", """SELECT month, season, 100e0 * avg(CASE WHEN lon < 5.94e0 THEN 1 ELSE 0 END) AS amount_western,
-  count(*) / 121e0 AS "N" FROM dominant GROUP BY month, season"""),
+  count(*) / 121e0 AS "N", 'N = ' || CAST(CAST(round(count(*) / 121e0) AS BIGINT) AS VARCHAR) AS label FROM dominant GROUP BY month, season"""),
         ("amount_western", "N"),
     ),
     "track_counts_season": Query(
@@ -338,7 +333,7 @@ FROM dominant GROUP BY season"""),
     ),
     "source_grid_residuals": Query(
         _source_grid,
-        using("dominant selected_sites", _sql_source_grid("site_fit", ['"dO"', "d_excess", "residuals"], _GRID_1), site_fit_sql()),
+        using("dominant selected_sites smooth", _sql_source_grid("fitted_sites", ['"dO"', "d_excess", "residuals"], _GRID_1), site_fit_sql()),
         ("lat", "lon", "uptake", "dO", "d_excess", "residuals", "P_point_sum", "prop_uptake"),
     ),
     "source_grid_anomalies": Query(
