@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -187,10 +187,11 @@ def _runs(trie: int, budget: int) -> list[tuple[int, int, bool]]:
 
 
 def links(values: DataFrame, budget: int = 3, chunk: int = 1 << 20) -> DataFrame:
-    """Links (``a``, ``b``) that connect the different longs ``fp`` at most ``budget`` bits apart.
+    """Links (``space``, ``a``, ``b``) that connect the different longs ``fp`` at most ``budget`` bits apart.
 
-    Each value goes to ``budget + 1`` tries, dealt by its bits in the block of the
-    trie. A task walks the sub-tries that it got, about ``chunk`` values at a time.
+    Only values of one ``space`` (a small whole number) are compared. Each value goes to
+    ``budget + 1`` tries, dealt by its bits in the block of the trie. A task walks the
+    sub-tries that it got, about ``chunk`` values at a time.
     """
     cut = blocks(budget)
     tries = F.explode(F.array(*[
@@ -199,53 +200,51 @@ def links(values: DataFrame, budget: int = 3, chunk: int = 1 << 20) -> DataFrame
         for k, (low, width) in enumerate(cut)])).alias("t")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def joined(trie: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in np.unique(trie):
-                a, b = trie_links(fp[trie == k].view(np.uint64), _runs(int(k), budget), budget)
+        def joined(space: np.ndarray, trie: np.ndarray, _: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for own, k in sorted(set(zip(space.tolist(), trie.tolist()))):
+                a, b = trie_links(fp[(space == own) & (trie == k)].view(np.uint64), _runs(k, budget), budget)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                    [pa.array(np.full(len(a), own, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
+                    names=["space", "a", "b"])
 
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
             size += batch.num_rows
             if size > chunk:  # all but the last sub-trie, of which more may come
-                trie, block, fp = (np.concatenate(c) for c in zip(*held))
-                last = (trie == trie[-1]) & (block == block[-1])
-                yield from joined(trie[~last], fp[~last])
-                held, size = [(trie[last], block[last], fp[last])], 0
+                whole = [np.concatenate(c) for c in zip(*held)]
+                last = np.logical_and.reduce([c == c[-1] for c in whole[:3]])
+                yield from joined(*(c[~last] for c in whole))
+                held, size = [tuple(c[last] for c in whole)], 0
         if held:
-            trie, _, fp = (np.concatenate(c) for c in zip(*held))
-            yield from joined(trie, fp)
+            yield from joined(*(np.concatenate(c) for c in zip(*held)))
 
-    dealt = values.select("fp").distinct().select("fp", tries).select("t.trie", "t.block", "fp")
-    dealt = dealt.repartition("trie", "block").sortWithinPartitions("trie", "block")
-    return dealt.mapInArrow(walk, "a long, b long")
+    dealt = values.select(F.col("space").cast("int").alias("space"), "fp").distinct().select("space", "fp", tries)
+    dealt = dealt.select("space", "t.trie", "t.block", "fp").repartition("space", "trie", "block")
+    return dealt.sortWithinPartitions("space", "trie", "block").mapInArrow(walk, "space int, a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the lowest node that can be reached) for every node of the links a-b.
 
-    Each round every node takes the lowest root among its neighbours' and its own, and
-    then the root of that root; after that the paths to go are about halved. Rounds
-    are written to the shared checkpoint folder, so that a lost executor costs one.
+    Each round every node takes the lowest root that it and its neighbours have, and
+    then the root of that root; what is left of a path is about halved. Rounds are
+    written to the shared checkpoint folder, so that a lost executor costs one.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct()
-    both = cut_lineage(both)
+    apart = edges.where("a <> b")
+    both = cut_lineage(apart.select("a", "b").union(apart.select("b", "a")).distinct())
     roots = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
     while True:
-        # what the neighbours know, and what the own root knows
-        heard = both.join(roots, both["b"] == roots["node"]).groupBy(both["a"].alias("node")).agg(F.min("root").alias("heard"))
-        step = roots.join(heard, "node").select("node", "root", F.least("root", "heard").alias("next"))
+        heard = both.join(roots, both["b"] == roots["node"]).select(both["a"].alias("node"), "root", F.lit(None).alias("own"))
+        told = roots.select("node", "root", F.col("root").alias("own")).unionByName(heard)
+        lowest = told.groupBy("node").agg(F.min("root").alias("next"), F.min("own").alias("root"))
         above = roots.select(F.col("node").alias("next"), F.col("root").alias("beyond"))
-        step = step.join(above, "next", "left").select(
-            "node", F.least("next", F.coalesce("beyond", "next")).alias("root"),
-            (F.col("root") != F.least("next", F.coalesce("beyond", "next"))).alias("moved"))
-        step = cut_lineage(step)
+        found = F.least("next", "beyond")
+        step = cut_lineage(lowest.join(above, "next").select("node", found.alias("root"), (F.col("root") != found).alias("moved")))
         roots = step.select("node", "root")
-        if not step.where("moved").limit(1).count():
+        if step.where("moved").isEmpty():
             return roots
 
 
@@ -256,18 +255,17 @@ def _classes(nodes: DataFrame, seeds: int, budget: int) -> DataFrame:
     share, or that is linked, is a node of its own between them.
     """
     if seeds == 1:
-        return components(links(nodes.select(F.col("node").alias("fp")), budget))
-    edges = None
-    for k in range(seeds):
-        name = F.concat(F.lit(f"{k}:"), F.hex("fp"))
-        own = nodes.select("node", F.col("fps")[k].alias("fp"))
-        near = cut_lineage(links(own.select("fp"), budget))
-        shared = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-        wanted = shared.union(near.select("a")).union(near.select("b")).distinct()
-        found = own.join(wanted, "fp").select(F.col("node").alias("a"), name.alias("b")).unionByName(near.select(
-            *(F.concat(F.lit(f"{k}:"), F.hex(c)).alias(c) for c in ("a", "b"))))
-        edges = found if edges is None else edges.unionByName(found)
-    return components(edges)
+        return components(links(nodes.select(F.lit(0).alias("space"), F.col("node").alias("fp")), budget))
+    own = nodes.select("node", F.posexplode("fps").alias("space", "fp"))
+    near = cut_lineage(links(own.select("space", "fp"), budget))
+    shared = own.groupBy("space", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("space", "fp")
+    wanted = shared.union(near.select("space", "a")).union(near.select("space", "b")).distinct()
+
+    def between(c: str) -> Column:
+        return F.concat(F.col("space").cast("string"), F.lit(":"), F.hex(c))
+
+    met = own.join(wanted, ["space", "fp"]).select(F.col("node").alias("a"), between("fp").alias("b"))
+    return components(met.unionByName(near.select(between("a").alias("a"), between("b").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, budget: int = 3, words: int = 3, seeds: Sequence[int] = (42,),
@@ -289,11 +287,11 @@ def near_duplicates(docs: DataFrame, budget: int = 3, words: int = 3, seeds: Seq
     first = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     lowest = cut_lineage(marked.groupBy("node").agg(F.first("fps").alias("fps"), F.min(first).alias("low")))
     found = _classes(lowest, len(seeds), budget)
-    linked = lowest.join(found, "node").select("node", "low", "root")
+    named = cut_lineage(lowest.select("node", "low").join(found, "node", "left"))
+    linked, alone = named.where("root IS NOT NULL"), named.where("root IS NULL")
     of_root = linked.groupBy("root").agg(F.min("low").alias("first"))
-    classes = linked.join(of_root, "root").select("node", "first")
-    alone = lowest.join(found, "node", "left_anti").select("node", F.col("low").alias("first"))
-    classes = cut_lineage(classes.unionByName(alone))
+    classes = linked.join(of_root, "root").select("node", "first").unionByName(
+        alone.select("node", F.col("low").alias("first")))
     hot = [k for (k,) in hot_keys(marked, ["node"])]  # fewer than 500
     of_hot = F.broadcast(classes.where(F.col("node").isin(hot)))
     told = marked.where(F.col("node").isin(hot)).join(of_hot, "node").unionByName(
