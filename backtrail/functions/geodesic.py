@@ -32,7 +32,7 @@ def initial_bearing(lat0: np.ndarray, lon0: np.ndarray, lat: np.ndarray, lon: np
     """Bearing in [0, 360) at (lat0, lon0) of the geodesic to (lat, lon)."""
     u1, u2, gap = _reduced(lat0), _reduced(lat), np.radians(lon - lon0)
     s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
-    lam = gap
+    lam, going = gap, np.ones(np.shape(gap), dtype=bool)  # a row stops by itself, whatever its batch does
     for _ in range(_STEPS):
         sl, cl = np.sin(lam), np.cos(lam)
         y, x = c2 * sl, c1 * s2 - s1 * c2 * cl
@@ -45,9 +45,8 @@ def initial_bearing(lat0: np.ndarray, lon0: np.ndarray, lat: np.ndarray, lon: np
         c = _correction(ca2)
         bent = sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1))
         new = gap + (1 - c) * FLATTENING * sa * bent
-        moved = np.nanmax(np.abs(new - lam), initial=0.0)
-        lam = new
-        if moved < _CLOSE:
+        lam, going = np.where(going, new, lam), going & (np.abs(new - lam) >= _CLOSE)
+        if not going.any():
             break
     y, x = c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam)
     return np.mod(np.degrees(np.arctan2(y, x)) + 360, 360)
@@ -65,14 +64,13 @@ def destination(
     a = 1 + second / 16384 * (4096 + second * (-768 + second * (320 - 175 * second)))
     b = second / 1024 * (256 + second * (-128 + second * (74 - 47 * second)))
     base = metres / (POLAR_RADIUS * a)
-    sigma = base
+    sigma, going = base, np.ones(np.shape(base), dtype=bool)
     for _ in range(_STEPS):
         cm, ss, cs = np.cos(2 * sigma1 + sigma), np.sin(sigma), np.cos(sigma)
         inner = cs * (2 * cm * cm - 1) - b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)
         new = base + b * ss * (cm + b / 4 * inner)
-        moved = np.nanmax(np.abs(new - sigma), initial=0.0)
-        sigma = new
-        if moved < _CLOSE:
+        sigma, going = np.where(going, new, sigma), going & (np.abs(new - sigma) >= _CLOSE)
+        if not going.any():
             break
     cm, ss, cs = np.cos(2 * sigma1 + sigma), np.sin(sigma), np.cos(sigma)
     side = s1 * ss - c1 * cs * ca1

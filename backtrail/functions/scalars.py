@@ -72,6 +72,7 @@ def _text(x: Column, digits: int) -> Column:
     return rounded(x, digits).cast("string")
 
 
+# The texts of the figure labels below.
 def line_label(intercept: Column, slope: Column, r_squared: Column) -> Column:
     return F.concat(
         F.lit("d²H = "), _text(intercept, 2), F.lit(" + "), _text(slope, 2), F.lit(" * d¹⁸O"),

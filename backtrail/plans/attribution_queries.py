@@ -99,6 +99,7 @@ def _distance_share(spark: SparkSession, d: str) -> DataFrame:
     return attribution.share_table(joined, "month", "distance", DISTANCE_BANDS)
 
 
+# Sectors and distance bands of the two-axis classifier.
 _DIRECTION = """CASE WHEN bearing_deg >= 225 AND bearing_deg < 315 THEN 'West'
   WHEN bearing_deg >= 200 AND bearing_deg < 225 THEN 'Southwest'
   WHEN bearing_deg >= 135 AND bearing_deg < 200 THEN 'South'

@@ -101,6 +101,7 @@ FROM (SELECT *, {f} / 16 * ca2 * (4 + {f} * (4 - 3 * ca2)) AS cc,
     return out
 
 
+# Sector limits and labels of the two region classifiers, as the checking SQL states them.
 REGION_CURRENT = """CASE WHEN distance_km <= 500 THEN 'Local (<= 500 km)'
   WHEN distance_km <= 1500 AND bearing_deg >= 225 AND bearing_deg < 315 THEN 'West'
   WHEN distance_km <= 1500 AND bearing_deg >= 200 AND bearing_deg < 240 THEN 'Southwest'
