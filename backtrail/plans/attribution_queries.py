@@ -134,11 +134,11 @@ FROM ({shares})"""
 
 
 def _monthly_shares(spark: SparkSession, d: str) -> DataFrame:
-    return attribution.share_table(origins(spark, d), "month", "region", REGIONS_CURRENT)
+    return attribution.share_table(settled_origins(spark, d), "month", "region", REGIONS_CURRENT)
 
 
 def _height_shares(spark: SparkSession, d: str) -> DataFrame:
-    return attribution.share_table(origins(spark, d), "season", "height_i")
+    return attribution.share_table(settled_origins(spark, d), "season", "height_i")
 
 
 REMOTE = ("temp_rm", "rh_rm", "rainout")
@@ -248,7 +248,7 @@ FROM ({_MEANS_SQL}) GROUP BY region""", ATTRIBUTED_SQL),
         ("dO_nm_min", "dO_nm_max", "d_excess_nm_min", "d_excess_nm_max", "dO_nm_range", "d_excess_nm_range"),
     ),
     "region_median_summary": Query(
-        lambda s, d: summaries.median_summary(origins(s, d), ["region"]),
+        lambda s, d: summaries.median_summary(settled_origins(s, d), ["region"]),
         using(ORIGIN_PARTS, f"""SELECT region, {strict_sum('"P"')} AS precip, count(*) AS "N", median("dO") AS "dO",
   median(d_excess) AS d_excess, {iqr('"dO"')} AS "dO_iqr", {iqr('d_excess')} AS d_excess_iqr
 FROM origins GROUP BY region""", ORIGINS_SQL),
