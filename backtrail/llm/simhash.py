@@ -305,6 +305,11 @@ def keep_first(docs: DataFrame, budget: int = 3, words: int = 3, seeds: Sequence
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns they came with: one row of each component."""
     found = near_duplicates(docs.select(id_col, text_col), budget, words, seeds, once, id_col, text_col)
+    return first_rows(docs, found, id_col, text_col)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of which ``found`` says ``stays``, repeated rows once."""
     stay = found.where("stays").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     own = docs.withColumn("__text_hash", F.xxhash64(F.col(text_col)))
     left = own.join(stay, own[id_col].eqNullSafe(stay["__id"]) & (own["__text_hash"] == stay["__hash"]), "left_semi")
