@@ -2,7 +2,8 @@
 
 No rule rejects a text alone. Each votes ``bad`` (-1) or ``good`` (1) or abstains (0);
 how often each casts either vote on bad and on good texts is estimated from the votes on
-all documents, without labels, and a text is kept by its posterior probability.
+all documents, without labels, and a text goes by its posterior probability if two or
+more rules call it bad.
 Everything is built-in functions; the estimation works on the counts of the vote
 patterns, of which there are at most three to the number of rules.
 """
@@ -22,6 +23,10 @@ from backtrail.session import cut_lineage
 #: Whole numbers that ``with_features`` measures.
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper",
             "n_letters", "n_distinct", "n_adjacent", "n_shouts", "n_symbol_runs")
+#: Words of a stretch in which different words are counted, so that their share does not fall with the length.
+STRETCH = 500
+#: Bad votes without which no posterior rejects a text.
+_BAD_VOTES = 2
 _LOW = 30  # bits that hold a place in a text; a text has fewer than 2**30 words
 _PLACE = (1 << _LOW) - 1
 
@@ -113,6 +118,8 @@ def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
     Words are runs without space or U+0009 to U+000D. ``n_repeat_words`` counts the
     words in windows of three words that occur twice or more, by 64-bit hashes within
     one text: sorted once by the upper and, where those agree, once by the lower half.
+    ``n_distinct`` adds up the different words of each stretch of ``STRETCH`` words;
+    ``n_letters`` counts letters and the marks on them.
     A null text has none of anything. The whole text is read.
     """
     t, w, h, g, s, p = (f"__quality_{x}" for x in "twhgsp")
@@ -141,8 +148,11 @@ def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
             F.lit(0).cast("bigint"), lambda a, x: a + x),
         "n_lines": F.size(s),
         "n_upper": _count(col(t), r"\p{Lu}"),
-        "n_letters": _count(col(t), r"\p{L}"),
-        "n_distinct": F.size(F.array_distinct(col(h))),
+        "n_letters": _count(col(t), r"[\p{L}\p{M}]"),
+        "n_distinct": F.aggregate(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size(h), F.lit(1)), F.lit(STRETCH)),
+                        lambda i: F.size(F.array_distinct(F.slice(col(h), i, STRETCH)))),
+            F.lit(0).cast("bigint"), lambda a, x: a + x),
         "n_adjacent": F.size(F.filter(col(h), lambda x, i: x == F.get(h, i - 1))),
         "n_shouts": _count(col(t), "!"),
         "n_symbol_runs": F.regexp_count(col(t), F.lit("[#*$%&|<>]+")),
@@ -207,13 +217,15 @@ def verdicts(features: DataFrame, model: Model, prefix: str = "", rules: Sequenc
 
     The base fails under 50 words, or if over half of the words stand in repeated
     windows; such a text is not kept whatever the votes. Others are kept if the
-    posterior probability of a good text is ``threshold`` or more.
+    posterior probability of a good text is ``threshold`` or more, or if fewer than two
+    rules call them bad.
     """
     n, again = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
     failed = (n < 50) | (100 * again > 50 * n)
-    good = model.good(votes(prefix, rules))
+    cast = votes(prefix, rules)
+    good, bad = model.good(cast), sum(((v == -1).cast("int") for v in cast), F.lit(0))
     return features.withColumns({prefix + "base_failed": failed, prefix + "p_good": good}).withColumn(
-        prefix + "kept", ~F.col(prefix + "base_failed") & (F.col(prefix + "p_good") >= threshold))
+        prefix + "kept", ~F.col(prefix + "base_failed") & ((F.col(prefix + "p_good") >= threshold) | (bad < _BAD_VOTES)))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -89,6 +89,22 @@ def test_junk_goes_and_prose_stays(frame):
     assert ids == {r["doc_id"] for r in quality_rules.judge(docs).where("kept").collect()}
 
 
+def test_one_bad_vote_does_not_decide(frame):
+    r = random.Random(4)
+    numbers = " ".join(w if k % 4 else f"{w} {r.randint(10**6, 10**7)}" for k, w in enumerate(prose(900, 150).split()))
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 7))) for _ in range(9000)]
+    long = " ".join(words[int(9000 * r.random() ** 2)] for _ in range(100_000))
+    hindi = [a + b for a in ("कि", "में", "है", "यह", "नहीं", "और") for b in ("ता", "ने", "की", "ों", "से", "कर", "पु", "दे", "वि", "ली")]
+    hindi = " ".join(r.choice(hindi) for _ in range(200))
+    docs = table(frame).union(frame([(k, t, "x", "s", 1) for k, t in ((700, numbers), (701, long), (702, hindi))], DOCS))
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).where("doc_id BETWEEN 700 AND 702").collect()}
+    assert got[700]["n_letters"] < 0.85 * got[700]["word_chars"]
+    assert got[701]["n_words"] == 100_000 and got[701]["n_distinct"] > 0.4 * got[701]["n_words"]
+    assert got[702]["n_letters"] == got[702]["word_chars"]
+    assert all(not r["base_failed"] and r["kept"] for r in got.values())
+    assert {700, 701, 702} <= {r["doc_id"] for r in quality_rules.keep_good(docs).collect()}
+
+
 def test_the_filter_is_not_moved_below_the_features(frame):
     model = quality_rules.keep_good(table(frame))
     plan = model._jdf.queryExecution().optimizedPlan().toString()
