@@ -3,8 +3,9 @@
 Blocks of text that stand at the same path from the root belong together: an article's
 paragraphs share one path, however short some are. Text length and punctuation are
 summed per path, put in relation to the blocks there, smoothed along the page, fused
-to one score and cut at a threshold. The container that holds most of what passes is
-the article; what a page's markup names as something else never takes part.
+to one score and cut at a threshold. Every block whose path passes is text of the
+article, wherever it stands; short blocks come along if they stand beside such blocks.
+What a page's markup names as something else never takes part.
 """
 
 from __future__ import annotations
@@ -41,6 +42,12 @@ _CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 
+#: Elements that hold text of an article, so that a passing block on one side is enough for them.
+_TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption blockquote pre".split())
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Runs of blocks of one path over which a passing block is near.
+_NEAR = 3
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -183,19 +190,51 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     content = content_paths(found)
-    weight: dict[tuple[str, ...], int] = {}
-    for b in found:
-        if b.path in content:
-            for k in range(len(b.path) + 1):
-                weight[b.path[:k]] = weight.get(b.path[:k], 0) + len(b.text)
-    whole = weight.get((), 0)
-    # the deepest element, not itself a paragraph, that holds three quarters of the content
-    inner = {b.path[:-1] for b in found if b.path in content}
-    holds = [p for p, w in weight.items() if 4 * w >= 3 * whole and any(i[:len(p)] == p for i in inner)]
-    container = max(holds, key=len, default=())
-    kept = [b for b in found if b.path[:len(container)] == container
-            and (b.path in content or 2 * b.linked <= len(b.text))]
-    return "\n".join(b.text for b in kept)
+    kept = _near_passing(found, [b.path in content for b in found])
+    return "\n".join(b.text for b, stays in zip(found, kept) if stays)
+
+
+def _near_passing(found: list[Block], passes: list[bool]) -> list[bool]:
+    """Passing blocks, and short ones beside them.
+
+    Neighbours of one path are a run, so that a long list counts once. A run that fails
+    must stand in the common ancestor of all passing blocks, or in the article or main
+    element around that, and have a passing run near on either side (on both sides
+    directly, if its element is not one for text). Without such an element, headings and
+    paragraphs close before the first passing block come along from one level up.
+    """
+    inner = [b.path[:-1] for b, ok in zip(found, passes) if ok]
+    if not inner:
+        return passes
+    common = min(inner, key=len)
+    while any(i[:len(common)] != common for i in inner):
+        common = common[:-1]
+    outer = max((k + 1 for k, step in enumerate(common) if step in ("article", "main")), default=None)
+    wide = common[:len(common) - 1] if outer is None else common[:outer]
+    runs: list[list[int]] = []
+    for k, b in enumerate(found):
+        if runs and found[runs[-1][0]].path == b.path:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    good = [passes[run[0]] for run in runs]  # blocks of one path pass or fail together
+    first = good.index(True)
+    kept = list(passes)
+    for at, run in enumerate(runs):
+        if good[at]:
+            continue
+        path = found[run[0]].path
+        tag = path[-1].split(".")[0] if path else ""
+        if path[:len(common)] == common or outer is not None and path[:outer] == wide:
+            if tag in _TEXTUAL:
+                fits = any(good[max(0, at - _NEAR):at + _NEAR + 1])
+            else:
+                fits = 0 < at < len(runs) - 1 and good[at - 1] and good[at + 1]
+        else:
+            fits = outer is None and path[:len(wide)] == wide and tag in _HEADS and first - _NEAR <= at < first
+        for k in run:
+            kept[k] = fits and 2 * found[k].linked <= len(found[k].text)
+    return kept
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -59,6 +59,35 @@ def test_main_text_of_a_page():
     assert html_text.main_text(PAGE) == "A <title> é\nFirst paragraph, which is fairly long, with commas.\nShort.\none\ntwo"
 
 
+LONG = "A sentence of some length, with a comma, and with one more. "
+
+
+def page(*parts):
+    return "<html><body><nav><a href=/>Home</a></nav>" + "".join(parts) + "<footer>Owner</footer></body></html>"
+
+
+def test_title_and_lead_beside_the_body():
+    body = "<p>" + LONG * 6 + "</p><p>" + LONG * 6 + "</p>"
+    for lead in (LONG * 3, "Short lead."):
+        for outer in ("article", "div class=post"):
+            parts = f"<{outer}><h1 class=entry-title>The title</h1><div class=lead><p>{lead}</p></div><div class=entry-content>{body}</div></{outer.split()[0]}>"
+            text = html_text.main_text(page(parts))
+            assert text.split("\n") == ["The title", lead.strip(), (LONG * 6).strip(), (LONG * 6).strip()], (lead, outer)
+
+
+def test_passing_blocks_in_two_containers():
+    halves = [f"<div class={c}><p>{w} {LONG * n}</p><p>{w} {LONG * n}</p></div>" for c, w, n in (("intro", "One", 3), ("rest", "Two", 9))]
+    text = html_text.main_text(page("<div>", *halves, "</div>"))
+    assert text.count("One") == 2 and text.count("Two") == 2
+
+
+def test_a_list_stays_and_a_far_notice_goes():
+    items = "".join(f"<li>item {k}</li>" for k in range(30))
+    parts = f"<article><p>{LONG * 6}</p><ul>{items}</ul><p>{LONG * 6}</p><div class=x1>Order now</div></article>"
+    text = html_text.main_text(page(parts))
+    assert text.count("item") == 30 and "Order" not in text
+
+
 def test_pages_that_are_odd(frame):
     rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, "u", "<p>", "x"), (4, None, "just text", "x"), (None, "u", "<a <b <<c>", "x"),
             (5, "u", "<article><p>" + "Long text. " * 20_000 + "</article>", "x"), (5, "u", "<script>never closed", "x"),
