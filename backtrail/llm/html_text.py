@@ -5,7 +5,8 @@ paragraphs share one path, however short some are. Text length and punctuation a
 summed per path, put in relation to the blocks there, smoothed along the page, fused
 to one score and cut at a threshold. Every block whose path passes is text of the
 article, wherever it stands; short blocks come along if they stand beside such blocks.
-What a page's markup names as something else never takes part.
+What a page's markup names as something else never takes part, unless it is a class, id
+or role of an element that holds the article or most of its text.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ _INLINE = frozenset(
     "strike strong sub sup time tt u var".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video xmp".split())
 _ASIDE = frozenset("head nav header footer aside form menu button select option dialog fieldset".split())
-#: Words in a class, id or role that name something beside the article.
+#: Words in a class, id or role that may name something beside the article.
 _ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners "
     "cookie cookies consent gdpr notice notices alert alerts popup modal overlay disclaimer nav navbar navigation "
@@ -62,6 +63,8 @@ class Block:
     text: str
     linked: int  # characters inside links
     beside: bool  # inside something that is not the article
+    named: bool = False  # inside something that is named like what stands beside an article
+    within: tuple[int, ...] = ()  # numbers of the elements with such names, and of articles and mains
 
 
 @dataclass
@@ -69,6 +72,7 @@ class _Open:
     tag: str
     step: str
     beside: bool
+    number: int  # from 1 where the element has such a name or is an article or main, else 0
 
 
 @dataclass
@@ -79,15 +83,20 @@ class _Page:
     open: list[_Open] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    marked: list[tuple[str, bool, tuple[int, ...]]] = field(default_factory=list)  # tag, named, and those around it
 
     def flush(self) -> None:
         if self.parts:
             text = _SPACES.sub(" ", "".join(self.parts)).strip()
             if text:
                 path = tuple(e.step for e in self.open if e.tag not in _INLINE)
-                self.blocks.append(Block(path, text, self.linked, any(e.beside for e in self.open)))
+                self.blocks.append(Block(path, text, self.linked, any(e.beside for e in self.open),
+                                         within=self.around()))
             self.parts, self.linked = [], 0
 
+    def around(self) -> tuple[int, ...]:
+        return tuple(e.number for e in self.open if e.number)
+
     def say(self, text: str) -> None:
         self.parts.append(text)
         if any(e.tag == "a" for e in self.open):
@@ -109,8 +118,12 @@ class _Page:
             if tag in _CLOSES:
                 self.close(*_CLOSES[tag])
         if tag not in _VOID:
-            beside, step = _meaning(tag, attributes)
-            self.open.append(_Open(tag, step, beside))
+            beside, named, step = _meaning(tag, attributes)
+            number = 0
+            if named or tag in ("article", "main"):
+                self.marked.append((tag, named, self.around()))
+                number = len(self.marked)
+            self.open.append(_Open(tag, step, beside, number))
 
     def end(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -121,9 +134,9 @@ class _Page:
                 return
 
 
-def _meaning(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element stands beside the article, and its step in a path."""
-    beside, step = tag in _ASIDE, tag
+def _meaning(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element stands beside the article, whether its name says so, and its step in a path."""
+    beside, named, step = tag in _ASIDE, False, tag
     if attributes and tag not in ("html", "body", "article", "main"):
         for name, *values in _NAMED.findall(attributes):
             name, value = name.lower(), "".join(values)
@@ -133,10 +146,10 @@ def _meaning(tag: str, attributes: str) -> tuple[bool, str]:
                 beside |= "display:none" in value.replace(" ", "").lower()
             elif value:
                 names = [w for w in value.split() if not w.lower().startswith(("has-", "with-", "no-"))]
-                beside |= any(w.lower() in _ASIDE_WORDS for part in names for w in _WORD.findall(part))
+                named |= any(w.lower() in _ASIDE_WORDS for part in names for w in _WORD.findall(part))
                 if name == "class":
                     step = f"{tag}.{value.split()[0]}" if value.split() else tag
-    return beside, step
+    return beside, named, step
 
 
 def blocks(page: str) -> list[Block]:
@@ -160,9 +173,37 @@ def blocks(page: str) -> list[Block]:
             else:
                 state.start(tag, attributes)
     state.flush()
+    _name(state)
     return state.blocks
 
 
+def _name(state: _Page) -> None:
+    """Mark the blocks inside a named element, unless it holds the article or most of its text.
+
+    The article is the longest article element, else the longest main, if it is the only
+    one or has a quarter of the page's text; without one it is the whole page.
+    """
+    held = [0] * (len(state.marked) + 1)
+    for b in state.blocks:
+        if not b.beside:
+            held[0] += len(b.text)
+            for k in b.within:
+                held[k] += len(b.text)
+    wraps, scope = set(), 0
+    for tag in ("main", "article"):
+        own = [k for k, m in enumerate(state.marked, 1) if m[0] == tag and held[k]]
+        longest = max(own, key=lambda k: held[k], default=0)
+        if longest and (len(own) == 1 or 4 * held[longest] >= held[0]):
+            wraps |= set(state.marked[longest - 1][2])
+            scope = longest
+    for k, (_, _, around) in enumerate(state.marked, 1):
+        if (not scope or scope in around) and 2 * held[k] > held[scope]:
+            wraps.add(k)
+    aside = {k for k, (_, named, _) in enumerate(state.marked, 1) if named} - wraps
+    for b in state.blocks:
+        b.named = any(k in aside for k in b.within)
+
+
 def _smooth(values: np.ndarray) -> np.ndarray:
     """Weighted with the neighbours on either side (1, 2, 1); the ends repeat themselves."""
     wide = np.pad(values, 1, mode="edge")
@@ -186,7 +227,7 @@ def content_paths(found: list[Block]) -> set[tuple[str, ...]]:
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by a line break; empty if there is none."""
-    found = [b for b in blocks(page or "") if not b.beside]
+    found = [b for b in blocks(page or "") if not b.beside and not b.named]
     if not found:
         return ""
     content = content_paths(found)

@@ -88,6 +88,23 @@ def test_a_list_stays_and_a_far_notice_goes():
     assert text.count("item") == 30 and "Order" not in text
 
 
+def test_a_name_does_not_take_the_article_along():
+    body = f"<p>{LONG * 6}</p><p>Short, but said.</p><p>{LONG * 6}</p>"
+    for name in ("id='content-sidebar-wrap'", "class='post-and-comments'", "class='side-effects'", "role='search form'"):
+        beside = f"<section class=comments><p>{LONG * 2}</p></section>"
+        for inner in (body, f"<article>{body}</article>"):
+            text = html_text.main_text(page(f"<div {name}>{inner}{beside}</div>"))
+            assert text.split("\n") == [(LONG * 6).strip(), "Short, but said.", (LONG * 6).strip()], name
+    nested = f"<article><h1>Title</h1><div class='side-effects'>{body}</div><div class=share><p>{LONG}</p></div></article>"
+    assert html_text.main_text(page(nested)).split("\n") == ["Title", (LONG * 6).strip(), "Short, but said.", (LONG * 6).strip()]
+
+
+def test_a_named_list_stays_out():
+    cards = "".join(f"<article><p>Card {k}.</p></article>" for k in range(4))
+    text = html_text.main_text(page(f"<article><p>{LONG * 6}</p></article><div class=related>{cards}</div>"))
+    assert text == (LONG * 6).strip()
+
+
 def test_pages_that_are_odd(frame):
     rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, "u", "<p>", "x"), (4, None, "just text", "x"), (None, "u", "<a <b <<c>", "x"),
             (5, "u", "<article><p>" + "Long text. " * 20_000 + "</article>", "x"), (5, "u", "<script>never closed", "x"),
