@@ -40,14 +40,19 @@ def _hashes(words: Column, size: int) -> Column:
     return F.when(n < size, F.array().cast("array<bigint>")).otherwise(runs)
 
 
+def _item(id_col: str, text_col: str) -> Column:
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+
+
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", words: int = WORDS,
                   threshold: float = THRESHOLD) -> DataFrame:
     """``item``, ``size`` (words of a shingle), ``h``, ``n`` (different shingles of the item), ``sketched``.
 
     An item of fewer than ``words`` words is one shingle of all its words; one without
-    a word has none and is never found. Items that share an id count as one.
+    a word has none and is never found. ``item`` is the id and the hash of the text, so
+    that items which share an id, or have none, stay apart.
     """
-    own = cut_lineage(items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("w")))
+    own = cut_lineage(items.select(_item(id_col, text_col).alias("item"), words_of(F.col(text_col)).alias("w")))
     rows = None
     for size in range(1, words + 1):  # the last size takes all longer items
         fits = F.size("w") == size if size < words else F.size("w") >= size
@@ -78,7 +83,8 @@ def contained(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_c
 
     Words are lower-cased runs of letters and digits. Returns ``doc_id``, ``text_hash``
     (of the document, so that rows with one id and different texts stay apart),
-    ``item_id``, ``n_shingles``, ``n_found``, ``containment``, once for repeated rows. Null and
+    ``item_id``, ``n_shingles``, ``n_found``, ``containment``, once for repeated rows and for
+    each different text of an ``item_id``. Null and
     empty texts contain nothing. The search reads the documents once, against the
     sketches; only those with a hit are read again to be verified.
     """
@@ -97,7 +103,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_c
         F.first("n").alias("n_shingles"), F.count(F.lit(1)).alias("n_found"))
     share = F.col("n_found") / F.col("n_shingles")
     return found.withColumn("containment", share).where(F.col("containment") >= threshold).select(
-        F.col("id").alias(doc_col), "text_hash", F.col("item").alias(item_col), "n_shingles", "n_found", "containment")
+        F.col("id").alias(doc_col), "text_hash", F.col("item.id").alias(item_col), "n_shingles", "n_found", "containment")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text",

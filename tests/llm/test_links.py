@@ -132,6 +132,14 @@ def test_items_in_documents_equal_brute_force(spark, frame):
     assert left == Counter(r[0] for r in rows + odd_rows() if r[0] not in hit or r[:2] == (60, "another text"))
 
 
+def test_items_that_share_an_id_stay_apart(frame):
+    items = [(1, prose(700, 30)), (1, prose(701, 60)), (None, prose(702, 30)), (None, prose(703, 60)), (1, prose(700, 30))]
+    docs = frame([(k, prose(k, 50) + " " + items[k][1], None, None, None) for k in range(4)], DOCS)
+    got = contamination.contained(docs, frame(items, "item_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["item_id"], r["n_found"]) for r in got) == Counter([(0, 1, 26), (1, 1, 56), (2, None, 26), (3, None, 56)])
+    assert contamination.keep_clean(docs, frame(items, "item_id long, text string")).count() == 0
+
+
 def test_the_sketch_alone_misses_nothing(frame):
     items = frame([(k, prose(900 + k, n)) for k, n in enumerate((5, 6, 9, 10, 14, 20, 35, 36, 67, 130))], "item_id long, text string")
     rows = contamination.item_shingles(items).collect()
