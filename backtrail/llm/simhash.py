@@ -10,14 +10,13 @@ earlier block is dropped there, hence every pair is met once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from backtrail.llm.common import hot_keys
 from backtrail.session import cut_lineage
@@ -27,13 +26,13 @@ BITS = 64
 _WAVE = 1 << 18
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42, once: bool = False) -> int:
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """SimHash of the shingles of ``words`` words.
 
     A-Z are lower-cased, words stand between space and U+0009 to U+000D, a shorter
     text is one shingle, one without words has fingerprint 0. A bit is set if it is
     set in over half the XXH64 (with ``seed``) of the shingles. Shingles that come
-    again count again, unless each is to count ``once``.
+    again count again.
     """
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
@@ -47,7 +46,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42, once: bool = F
         at += len(word) + 1
     shingles = (line[a:b - 1] for a, b in zip(starts, [*starts[words:], at]))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, seed) for x in (set(shingles) if once else shingles)], dtype="<u8")
+    hashes = np.array([digest(x, seed) for x in shingles], dtype="<u8")
     counts = np.zeros(BITS, dtype=np.int64)
     for part in range(0, len(hashes), 1 << 16):
         block = hashes[part:part + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -55,23 +54,19 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42, once: bool = F
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                 seeds: Sequence[int] = (42,), once: bool = False) -> DataFrame:
-    """Of every row ``id``, ``text_hash`` and ``fps`` (a signed long for each seed)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+    """Of every row ``id``, ``text_hash`` and ``fp`` (a signed long)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words, seed, once) for t in batch.column(2).to_pylist() for seed in seeds],
-                             dtype=np.uint64).view(np.int64)
-            ends = np.arange(0, len(found) + 1, len(seeds), dtype=np.int32)
+            found = np.array([fingerprint(t, words, seed) for t in batch.column(2).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(found))],
-                names=["id", "text_hash", "fps"])
+                [batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "text_hash", "fp"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                          F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(mark, f"id {id_type}, text_hash long, fps array<long>")
+    return picked.mapInArrow(mark, f"id {id_type}, text_hash long, fp long")
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -187,11 +182,10 @@ def _runs(trie: int, budget: int) -> list[tuple[int, int, bool]]:
 
 
 def links(values: DataFrame, budget: int = 3, chunk: int = 1 << 20) -> DataFrame:
-    """Links (``space``, ``a``, ``b``) that connect the different longs ``fp`` at most ``budget`` bits apart.
+    """Links (``a``, ``b``) that connect the different longs ``fp`` at most ``budget`` bits apart.
 
-    Only values of one ``space`` (a small whole number) are compared. Each value goes to
-    ``budget + 1`` tries, dealt by its bits in the block of the trie. A task walks the
-    sub-tries that it got, about ``chunk`` values at a time.
+    Each value goes to ``budget + 1`` tries, dealt by its bits in the block of the trie.
+    A task walks the sub-tries that it got, about ``chunk`` values at a time.
     """
     cut = blocks(budget)
     tries = F.explode(F.array(*[
@@ -203,27 +197,24 @@ def links(values: DataFrame, budget: int = 3, chunk: int = 1 << 20) -> DataFrame
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def joined(space: np.ndarray, trie: np.ndarray, _: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for own, k in sorted(set(zip(space.tolist(), trie.tolist()))):
-                a, b = trie_links(fp[(space == own) & (trie == k)].view(np.uint64), _runs(k, budget), budget)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(a), own, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
-                    names=["space", "a", "b"])
+        def joined(trie: np.ndarray, _: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in np.unique(trie).tolist():
+                a, b = trie_links(fp[trie == k].view(np.uint64), _runs(k, budget), budget)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
             size += batch.num_rows
             if size > chunk:  # all but the last sub-trie, of which more may come
                 whole = [np.concatenate(c) for c in zip(*held)]
-                last = np.logical_and.reduce([c == c[-1] for c in whole[:3]])
+                last = (whole[0] == whole[0][-1]) & (whole[1] == whole[1][-1])
                 yield from joined(*(c[~last] for c in whole))
                 held, size = [tuple(c[last] for c in whole)], 0
         if held:
             yield from joined(*(np.concatenate(c) for c in zip(*held)))
 
-    dealt = values.select(F.col("space").cast("int").alias("space"), "fp").distinct().select("space", "fp", tries)
-    dealt = dealt.select("space", "t.trie", "t.block", "fp").repartition("space", "trie", "block")
-    return dealt.sortWithinPartitions("space", "trie", "block").mapInArrow(walk, "space int, a long, b long")
+    dealt = values.select("fp").distinct().select("fp", tries).select("t.trie", "t.block", "fp")
+    return dealt.repartition("trie", "block").sortWithinPartitions("trie", "block").mapInArrow(walk, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,70 +239,41 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _classes(nodes: DataFrame, seeds: int, budget: int) -> DataFrame:
-    """``node`` and ``root`` of the nodes (``node``, ``fps``) that are linked to others.
-
-    With one seed a node is its fingerprint. With more, each fingerprint that two nodes
-    share, or that is linked, is a node of its own between them.
-    """
-    if seeds == 1:
-        return components(links(nodes.select(F.lit(0).alias("space"), F.col("node").alias("fp")), budget))
-    own = nodes.select("node", F.posexplode("fps").alias("space", "fp"))
-    near = cut_lineage(links(own.select("space", "fp"), budget))
-    shared = own.groupBy("space", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("space", "fp")
-    wanted = shared.union(near.select("space", "a")).union(near.select("space", "b")).distinct()
-
-    def between(c: str) -> Column:
-        return F.concat(F.col("space").cast("string"), F.lit(":"), F.hex(c))
-
-    met = own.join(wanted, ["space", "fp"]).select(F.col("node").alias("a"), between("fp").alias("b"))
-    return components(met.unionByName(near.select(between("a").alias("a"), between("b").alias("b"))))
-
-
-def near_duplicates(docs: DataFrame, budget: int = 3, words: int = 3, seeds: Sequence[int] = (42,),
-                    once: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = 3, words: int = 3, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
     """Fingerprint and class of every document.
 
-    Documents link if their fingerprints for one of the ``seeds`` differ in at most
-    ``budget`` bits. A null text counts as empty: fingerprint 0, linked like any other.
-    Returns one row per row of ``docs``: the id, ``text_hash``, ``fps``, ``component_id``
-    (the lowest id that can be reached; a null id only where there is no other) and
-    ``stays``, true for the first of the component by id and then text hash, and for
-    rows that repeat it.
+    Documents link if their fingerprints differ in at most ``budget`` bits. A null text
+    counts as empty: fingerprint 0, linked like any other. Returns one row per row of
+    ``docs``: the id, ``text_hash``, ``fp``, ``component_id`` (the lowest id that can be
+    reached; a null id only where there is no other) and ``stays``, true for the first
+    of the component by id and then text hash, and for rows that repeat it.
 
     Equal fingerprints are one node from the start, so a large group of copies costs
     one row; when the classes are joined back, such groups go apart from the rest.
     """
-    node = F.col("fps")[0] if len(seeds) == 1 else F.concat_ws("-", F.transform("fps", lambda f: F.hex(f)))
-    marked = cut_lineage(fingerprints(docs, id_col, text_col, words, seeds, once).withColumn("node", node))
+    marked = cut_lineage(fingerprints(docs, id_col, text_col, words))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    lowest = cut_lineage(marked.groupBy("node").agg(F.first("fps").alias("fps"), F.min(first).alias("low")))
-    found = _classes(lowest, len(seeds), budget)
-    named = cut_lineage(lowest.select("node", "low").join(found, "node", "left"))
+    lowest = cut_lineage(marked.groupBy("fp").agg(F.min(first).alias("low")))
+    found = components(links(lowest, budget)).withColumnRenamed("node", "fp")
+    named = cut_lineage(lowest.join(found, "fp", "left"))
     linked, alone = named.where("root IS NOT NULL"), named.where("root IS NULL")
     of_root = linked.groupBy("root").agg(F.min("low").alias("first"))
-    classes = linked.join(of_root, "root").select("node", "first").unionByName(
-        alone.select("node", F.col("low").alias("first")))
-    hot = [k for (k,) in hot_keys(marked, ["node"])]  # fewer than 500
-    of_hot = F.broadcast(classes.where(F.col("node").isin(hot)))
-    told = marked.where(F.col("node").isin(hot)).join(of_hot, "node").unionByName(
-        marked.where(~F.col("node").isin(hot)).join(classes, "node"))
+    classes = linked.join(of_root, "root").select("fp", "first").unionByName(
+        alone.select("fp", F.col("low").alias("first")))
+    hot = [k for (k,) in hot_keys(marked, ["fp"])]  # fewer than 500
+    of_hot = F.broadcast(classes.where(F.col("fp").isin(hot)))
+    told = marked.where(F.col("fp").isin(hot)).join(of_hot, "fp").unionByName(
+        marked.where(~F.col("fp").isin(hot)).join(classes, "fp"))
     return told.select(
-        F.col("id").alias(id_col), "text_hash", "fps", F.col("first.id").alias("component_id"),
+        F.col("id").alias(id_col), "text_hash", "fp", F.col("first.id").alias("component_id"),
         (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"))
 
 
-def keep_first(docs: DataFrame, budget: int = 3, words: int = 3, seeds: Sequence[int] = (42,), once: bool = False,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, budget: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns they came with: one row of each component."""
-    found = near_duplicates(docs.select(id_col, text_col), budget, words, seeds, once, id_col, text_col)
-    return first_rows(docs, found, id_col, text_col)
-
-
-def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which ``found`` says ``stays``, repeated rows once."""
+    found = near_duplicates(docs.select(id_col, text_col), budget, words, id_col, text_col)
     stay = found.where("stays").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     own = docs.withColumn("__text_hash", F.xxhash64(F.col(text_col)))
     left = own.join(stay, own[id_col].eqNullSafe(stay["__id"]) & (own["__text_hash"] == stay["__hash"]), "left_semi")
-    number = F.row_number().over(Window.partitionBy(id_col, "__text_hash").orderBy(F.lit(1)))
-    return left.withColumn("__row", number).where("__row = 1").select(*docs.columns)
+    return left.dropDuplicates([id_col, "__text_hash"]).select(*docs.columns)

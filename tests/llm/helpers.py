@@ -3,6 +3,8 @@
 import random
 import re
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF_DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,3 +41,12 @@ def groups_of(pairs):
         x, y = find(a), find(b)
         up[max(x, y)] = min(x, y)
     return find
+
+
+def plain_fingerprint(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = WORD.findall(low)
+    if not words:
+        return 0
+    found = [xxhash.xxh64_intdigest(" ".join(words[i:i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in found) > len(found))

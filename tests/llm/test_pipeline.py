@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from helpers import DOCS, SF_DIR, odd_rows, prose
+from helpers import DOCS, SF_DIR, groups_of, odd_rows, plain_fingerprint, prose
 
 ITEMS = [(k, prose(700 + k, 30)) for k in range(4)]
 
@@ -30,9 +30,16 @@ def folder(spark, tmp_path_factory):
     return path
 
 
+def one_of_each_group(texts, ids):
+    """The lowest id of each group that fingerprints at most three bits apart connect."""
+    marks = {i: plain_fingerprint(texts[i]) for i in ids}
+    find = groups_of([(a, b) for a in ids for b in ids if a < b and (marks[a] ^ marks[b]).bit_count() <= 3])
+    return {find(i) for i in ids}
+
+
 def test_stages_take_out_what_they_should(spark, folder, tmp_path):
     docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
-    names = docs.columns
+    names, texts = docs.columns, {r["doc_id"]: r["text"] for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
         out.write.parquet(str(tmp_path / name))
@@ -43,7 +50,8 @@ def test_stages_take_out_what_they_should(spark, folder, tmp_path):
     assert clean <= seen["quality_rules"] and not seen["quality_rules"] & set(range(300, 308))
     assert not seen["quality_rules"] & set(range(1000, 1007))
     assert clean <= seen["language_id"]
-    assert clean <= seen["simhash_near_dedup"] and not seen["simhash_near_dedup"] & set(range(100, 220))
+    assert clean <= seen["simhash_near_dedup"] and not seen["simhash_near_dedup"] & set(range(100, 110))
+    assert seen["simhash_near_dedup"] == one_of_each_group(texts, seen["language_id"])
     assert clean <= seen["benchmark_decontamination"] and not seen["benchmark_decontamination"] & set(range(400, 408))
     assert seen["best_fit_packing"] == seen["benchmark_decontamination"]
     lengths = docs.groupBy("sequence_id").sum("length").collect()
