@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from backtrail.llm import contamination, language, near_copies, packing, quality_rules
+from backtrail.llm import contamination, language, packing, quality_rules, simhash
 from backtrail.llm.common import fold, table
 from backtrail.session import scratch_path
 
@@ -25,8 +25,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies: links at a similarity of 0.8 on shingles of five words."""
-    return near_copies.keep_first(docs)
+    """One document of each group whose fingerprints of three-word shingles link at three bits or fewer."""
+    return simhash.keep_first(docs, budget=3, words=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
