@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, contamination, html_text, language, packing, quality_neighbours, quality_rules, shards, simhash, url_rules
+from backtrail.llm import bpe, contamination, html_text, language, packing, phrases, quality_neighbours, quality_rules, shards, simhash, url_rules
 from backtrail.llm.common import fold, table
 from backtrail.session import cut_lineage
 
@@ -116,6 +116,43 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op13_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two and three words of every language, by the score of their weakest cut."""
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    return phrases.collocations(phrases.phrase_counts(docs, threshold=10, longest=3), covered=50, best=2000)
+
+
+_PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+spans AS (
+  SELECT lang, size, unnest(list_transform(range(1, greatest(len(w) - size, -1) + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM words, range(1, 4) AS sizes(size)),
+counts AS (SELECT lang, size, phrase, count(*) AS f FROM spans GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+found AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size >= 2 AND f >= 10),
+inside AS (
+  SELECT lang, phrase, max(over_a) AS over_a
+  FROM (SELECT lang, a AS over_a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM found WHERE size = 3)
+  GROUP BY ALL),
+kept AS (
+  SELECT found.* FROM found LEFT JOIN inside USING (lang, phrase) WHERE 100 * coalesce(over_a, 0) < 50 * a),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS front, array_to_string(w[k + 1:size], ' ') AS back
+  FROM kept, range(1, 3) AS ks(k) WHERE k < size),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r,
+    ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = front JOIN counts y ON y.lang = cuts.lang AND y.phrase = back),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS place FROM lowest)
+SELECT lang, place::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE place <= 2000
+"""
+
 _URL_SQL = rf"""
 WITH rules(rule_host, rule_path, said) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
 parts AS (
@@ -147,9 +184,11 @@ QUERIES: dict[str, Build] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
+    "op13_phrase_collocation": op13_phrase_collocation,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": _CONTAINED_SQL,
     "op9_url_filters": _URL_SQL,
+    "op13_phrase_collocation": _PHRASE_SQL,
 }
