@@ -47,6 +47,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a folder under the checkpoint folder, wherever that lies; a missing one is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def local_session(cpus: int = 8, name: str = "backtrail") -> SparkSession:
     """Session for tests and timing on one machine."""
     spark = (
