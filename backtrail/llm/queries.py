@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, contamination, html_text, language, packing, phrases, quality_neighbours, quality_rules, shards, simhash, url_rules
+from backtrail.llm import alignment, bpe, contamination, html_text, language, packing, phrases, quality_neighbours, quality_rules, shards, simhash, url_rules
 from backtrail.llm.common import fold, table
 from backtrail.session import cut_lineage
 
@@ -116,6 +116,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in two vocabularies, aligned by bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.alignment_report(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of two and three words of every language, by the score of their weakest cut."""
     docs = table(spark, sf_dir, "documents").select("text", "lang")
@@ -184,6 +190,7 @@ QUERIES: dict[str, Build] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op13_phrase_collocation": op13_phrase_collocation,
 }
 
