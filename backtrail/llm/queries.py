@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import alignment, bpe, contamination, html_text, language, packing, phrases, quality_neighbours, quality_rules, shards, simhash, url_rules
+from backtrail.llm import alignment, bpe, contamination, html_text, language, packing, phrases, quality_neighbours, quality_rules, repeats, shards, simhash, url_rules
 from backtrail.llm.common import fold, table
 from backtrail.session import cut_lineage
 
@@ -122,6 +122,15 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that earlier documents hold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = repeats.remove_repeats(docs, length=50)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    return left.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of two and three words of every language, by the score of their weakest cut."""
     docs = table(spark, sf_dir, "documents").select("text", "lang")
@@ -191,6 +200,7 @@ QUERIES: dict[str, Build] = {
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_repeat_removal": op12_repeat_removal,
     "op13_phrase_collocation": op13_phrase_collocation,
 }
 
