@@ -13,8 +13,7 @@ from backtrail.plans import bindings as b
 from backtrail.plans.registry import Query
 from backtrail.plans.sqlparts import iqr, strict_sum, using, wmean
 from backtrail.plans.sqlparts import season as sql_season
-from backtrail.session import scratch_path
-from backtrail.sources.tables import materialise
+from backtrail.sources import stages
 
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
@@ -30,8 +29,8 @@ def composite_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def settled(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """A stage that several steps read, written once."""
-    return materialise(df, scratch_path(spark, label))
+    """A stage that several steps and queries read, written once in a session."""
+    return stages.settled(df, label)
 
 
 def composite(spark: SparkSession, d: str) -> DataFrame:

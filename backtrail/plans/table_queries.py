@@ -7,14 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.operators import geodesy, joins, quality, summaries
+from backtrail.operators import attribution, geodesy, joins, models, quality, summaries, tracks
+from backtrail.plans import attribution_queries as aq
 from backtrail.plans import bindings as b
 from backtrail.plans import event_queries as ev
 from backtrail.plans import track_queries as tq
 from backtrail.plans.registry import Query
 from backtrail.plans.sqlparts import using
 from backtrail.session import scratch_path
-from backtrail.sources import tables
+from backtrail.sources import delivery, store, tables
 from backtrail.sources.schemas import EVENTS, TRACKS, WEATHER
 
 KEYS = ("index", "date", "time")
@@ -94,6 +95,80 @@ def _track_store(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("points"), F.min("hour_along").alias("traj_end"))
 
 
+# Deliveries of tracks, one folder per height; the last one never comes.
+_DELIVERIES = ("500", "1000", "1500", "2000", "2500")
+# What is wrong with which rows: a word for a number, half a row, no day, the folder of another height.
+_PLANTED = {"word": "run % 29 = 0", "half": "run % 31 = 0", "day": "run % 37 = 0", "astray": "run % 41 = 0"}
+_PLANT = "CASE " + " ".join(f"WHEN {test} THEN '{kind}'" for kind, test in _PLANTED.items()) + " END"
+
+
+def _delivered(spark: SparkSession, d: str) -> delivery.Delivery:
+    """Track files of which some rows are broken, read and routed."""
+    root = scratch_path(spark, "delivery")
+    points = _as_track_file(b.tracks(spark, d)).withColumn("planted", F.expr(_PLANT))
+    fields = {f.name: F.coalesce(F.col(f.name).cast("string"), F.lit(tables.MISSING)) for f in TRACKS}
+    fields["hour_along"] = F.when(F.col("planted") == "word", F.lit("noon")).otherwise(fields["hour_along"])
+    fields["traj_dt_i"] = F.when(F.col("planted") == "day", F.lit("2020-02-31")).otherwise(fields["traj_dt_i"])
+    listed = list(fields.values())
+    line = F.when(F.col("planted") == "half", F.concat_ws(",", *listed[:9])).otherwise(F.concat_ws(",", *listed))
+    height = F.when(F.col("planted") == "astray", F.col("height_i") % 2000 + 500).otherwise(F.col("height_i"))
+    for name in _DELIVERIES[:-1]:
+        points.where(height == float(name)).select(line.alias("line")).write.text(os.path.join(root, name))
+    return delivery.accept(
+        spark, {n: os.path.join(root, n) for n in _DELIVERIES}, TRACKS, scratch_path(spark, "accepted"), header=False,
+        misplaced=F.col("height_i") != delivery.folder_of().cast("double"))
+
+
+def _faults(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of each delivery were left out, why, and the sum of their lengths."""
+    bad = _delivered(spark, d).bad
+    return bad.groupBy("delivery", "fault").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("file").cast("boolean").alias("from_files"),
+        F.count_if(F.length("line") > 0).alias("lines"))
+
+
+_REVISED_BLOCKS = ("height_i", "block")
+_REVISED_COLUMNS = ("index", "height_i", "hour_along", "run", "sp_humidity")
+
+
+def _revised_store(spark: SparkSession, d: str) -> DataFrame:
+    """A store of tracks after some events were run again and some were struck out."""
+    path = scratch_path(spark, "revised-store")
+    points = b.tracks(spark, d).select(*_REVISED_COLUMNS, F.pmod("index", F.lit(16)).cast("int").alias("block"))
+    points.repartition("block").write.partitionBy(*_REVISED_BLOCKS).parquet(path)
+    struck = points.where("index % 16 IN (3, 5) AND index % 3 <> 0").select("index").distinct()
+    again = points.where("index % 16 = 3 AND index % 3 = 1").withColumn("sp_humidity", F.col("sp_humidity") * 2)
+    store.revise_store(spark, path, points.schema, _REVISED_BLOCKS, struck, again, ["index"])
+    return spark.read.schema(points.schema).parquet(path)
+
+
+def bucketed_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Prepared track points in buckets of their event."""
+    return store.bucketed(tq.prepared_tracks(spark, d), "index", _buckets(spark), ["index", "height_i", *b.TRACK_ORDER], "tracks")
+
+
+def bucketed_sites(spark: SparkSession, d: str) -> DataFrame:
+    sites = tq.sites(spark, d).select("index", "P", "dO", "d_excess")
+    return store.bucketed(sites, "index", _buckets(spark), label="sites")
+
+
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stored_origins(points: DataFrame, sites: DataFrame) -> DataFrame:
+    """Events with their origin region, from tables in buckets of the event."""
+    centres = attribution.centroids(tracks.uptake(points, order=b.TRACK_ORDER, dominant_only=True))
+    # joined before they are located: rows that went through Python have no buckets any more
+    beside = attribution.attribute(sites, centres, ("date", "year", "month", "season", "height_i", "lat", "lon"))
+    return attribution.with_region(attribution.locate(beside))
+
+
+def stored_sweep(points: DataFrame, sites: DataFrame) -> DataFrame:
+    """Means along the track for each window beside the event, from tables in buckets of the event."""
+    return sites.select("index", "dO").join(models.remote_sweep(points, keys=["index"]), "index")
+
+
 def _event_file(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "event-csv")
     tables.write_csv(b.events(spark, d).select(*EVENTS.names), path)
@@ -253,6 +328,51 @@ CROSS JOIN (SELECT CAST(unnest(range(0, 7001, 100)) AS INT) AS distance_km)"""),
 FROM centroids_of""", _POLYGON_SQL),
         ("area", "lon", "lat"),
     ),
+    "delivered_rows": Query(
+        lambda s, d: _delivered(s, d).good.select(*_FILE_COLUMNS),
+        using("track_points", f"{_FILE_SQL} WHERE ({_PLANT}) IS NULL"), _FILE_ROUNDS,
+    ),
+    "delivery_audit": Query(
+        lambda s, d: _delivered(s, d).audit,
+        using("track_points", f"""SELECT delivery, coalesce("rows", 0) AS "rows", coalesce(good, 0) AS good,
+  coalesce(record, 0) AS record, coalesce(moment, 0) AS moment, coalesce(place, 0) AS place
+FROM (VALUES ('500'), ('1000'), ('1500'), ('2000'), ('2500')) AS e(delivery)
+LEFT JOIN (SELECT delivery, count(*) AS "rows", count(*) FILTER (planted IS NULL) AS good,
+    count(*) FILTER (planted IN ('word', 'half')) AS record, count(*) FILTER (planted = 'day') AS moment,
+    count(*) FILTER (planted = 'astray') AS place
+  FROM sent GROUP BY delivery) USING (delivery)""", [("sent", f"""SELECT *, CAST(CAST(
+    CASE WHEN planted = 'astray' THEN height_i % 2000 + 500 ELSE height_i END AS INT) AS VARCHAR) AS delivery
+FROM (SELECT *, {_PLANT} AS planted FROM track_points)""")]),
+    ),
+    "delivery_faults": Query(
+        _faults,
+        using("track_points", f"""SELECT delivery, fault, count(*) AS "rows", true AS from_files, count(*) AS lines
+FROM (SELECT CAST(CAST(CASE WHEN planted = 'astray' THEN height_i % 2000 + 500 ELSE height_i END AS INT) AS VARCHAR) AS delivery,
+    CASE planted WHEN 'day' THEN 'moment' WHEN 'astray' THEN 'place' ELSE 'record' END AS fault
+  FROM (SELECT *, {_PLANT} AS planted FROM track_points) WHERE planted IS NOT NULL) GROUP BY ALL"""),
+    ),
+    "track_store_revised": Query(
+        _revised_store,
+        using("track_points", f"""SELECT {', '.join(_REVISED_COLUMNS)}, CAST(index % 16 AS INT) AS block FROM track_points
+WHERE NOT (index % 16 IN (3, 5) AND index % 3 <> 0)
+UNION ALL SELECT index, height_i, hour_along, run, sp_humidity * 2, CAST(index % 16 AS INT) FROM track_points
+WHERE index % 16 = 3 AND index % 3 = 1"""), ("height_i", "sp_humidity"),
+    ),
+    "stored_origins": Query(
+        lambda s, d: stored_origins(bucketed_tracks(s, d), bucketed_sites(s, d)).select(
+            "index", "P", "dO", "region", "height_i", "season", "distance_km"),
+        using(aq.ORIGIN_PARTS, 'SELECT index, "P", "dO", region, height_i, season, distance_km FROM origins', aq.ORIGINS_SQL),
+        ("P", "dO", "height_i", "distance_km"),
+    ),
+    "stored_sweep": Query(
+        lambda s, d: stored_sweep(bucketed_tracks(s, d), bucketed_sites(s, d)),
+        using("track_points selected_sites", """SELECT s.index, s."dO", w AS "window",
+  CASE WHEN count(air_temp) = count(*) THEN avg(air_temp) END AS temp_rm,
+  CASE WHEN count(rh) = count(*) THEN avg(rh) END AS rh_rm,
+  CASE WHEN count(rainfall) = count(*) THEN sum(rainfall) END AS rainout, count(*) AS "count"
+FROM track_points t JOIN (VALUES (-3), (-6), (-12), (-18), (-24), (-36), (-48), (-72), (-96)) AS v(w) ON hour_along >= w
+JOIN selected_sites s ON s.index = t.index GROUP BY s.index, s."dO", w"""), ("dO", "temp_rm", "rh_rm", "rainout"),
+    ),
     "track_csv_round_trip": Query(_csv_round_trip, using("track_points", _FILE_SQL), _FILE_ROUNDS),
     "track_ensemble_files": Query(_ensemble_files, using("track_points", _FILE_SQL), _FILE_ROUNDS),
     "track_store": Query(

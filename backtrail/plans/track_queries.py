@@ -13,8 +13,7 @@ from backtrail.plans import event_queries as ev
 from backtrail.plans.registry import Query
 from backtrail.plans.sqlparts import sweep_operator, using, wmean
 from backtrail.plans.sqlparts import uptake as sql_uptake
-from backtrail.session import scratch_path
-from backtrail.sources.tables import materialise
+from backtrail.sources import stages
 
 # Views of the maps as south, north, west, east.
 WIDE_VIEW = (25, 75, -50, 50)
@@ -34,8 +33,8 @@ def dominant_uptake(spark: SparkSession, d: str) -> DataFrame:
 
 
 def settled_tracks(spark: SparkSession, d: str) -> DataFrame:
-    """``dominant_uptake`` written once, for queries that use it several times."""
-    return materialise(dominant_uptake(spark, d), scratch_path(spark, "tracks"))
+    """``dominant_uptake`` written once in a session, for queries that use it several times."""
+    return stages.settled(dominant_uptake(spark, d), "tracks")
 
 
 def sites(spark: SparkSession, d: str) -> DataFrame:

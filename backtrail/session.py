@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -33,18 +34,40 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[context.applicationId]
 
 
+def _removed_at_end(spark: SparkSession, path: str) -> None:
+    """Make a folder, on whichever file system it lies, that goes when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+
+
+def session_folder(spark: SparkSession) -> str:
+    """The folder of this session under the checkpoint folder; it is removed when the driver ends."""
+    name = spark.sparkContext.applicationId
+    if name not in _FOLDERS:
+        folder = os.path.join(checkpoint_root(spark), f"backtrail-{name}")
+        _removed_at_end(spark, folder)
+        _FOLDERS[name] = folder
+    return _FOLDERS[name]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that a retry reads the same rows instead of recomputing them."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_root(spark))
+    folder = context.getCheckpointDir()
+    if folder is None:
+        context.setCheckpointDir(session_folder(spark))
+    elif folder not in _FOLDERS.values():  # Spark has made it for this session, from the setting
+        _removed_at_end(spark, folder)
+        _FOLDERS[folder] = folder
     return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused folder for a stage that is written once and read back."""
-    return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new, unused folder for a stage that is written once and read back; it goes with the session."""
+    return os.path.join(session_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
