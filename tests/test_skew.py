@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from backtrail.operators import quantiles
 from backtrail.operators.quantiles import summarise
 from backtrail.operators.skew import gather_totals, null_safe_join, over_ordered
 
@@ -37,11 +38,11 @@ def test_sliced_windows_equal_plain_windows(log, keys, rows):
     assert run(None) == run(F.floor(F.col("i") / rows))
 
 
-@pytest.mark.parametrize("bins", [1, 3, 1024])
-def test_exact_quantiles_for_small_and_large_groups(log, bins):
+@pytest.mark.parametrize("accuracy,most", [(10_000, 1 << 20), (200, 1 << 20), (200, 2), (30, 10)])
+def test_exact_quantiles_for_small_and_large_groups(log, accuracy, most):
     out = summarise(
         log, ["k"], {"n": F.count(F.lit(1))}, medians={"m": "v"}, iqrs={"q": "v"},
-        quantiles={"p90": ("v", 0.9)}, bins=bins,
+        quantiles={"p90": ("v", 0.9)}, accuracy=accuracy, most=most,
     )
     values = {}
     for r in log.collect():
@@ -54,9 +55,29 @@ def test_exact_quantiles_for_small_and_large_groups(log, bins):
         assert (got[k].m, got[k].q, got[k].p90) == pytest.approx((q[1], q[2] - q[0], q[3]))
 
 
+def test_no_task_sorts_more_than_the_bound_in_a_heavy_tail(spark, monkeypatch):
+    """One group with a far outlier: equally wide bins would leave all but one value in the first."""
+    df = spark.range(0, 60_000, numPartitions=6).select(
+        F.lit(1).alias("k"), F.when(F.col("id") == 0, 1e18).otherwise(F.exp(F.rand(3) * 9)).alias("v")).cache()
+    sorted_rows, cells = [], quantiles._cells
+
+    def counted(rows, group):
+        found = cells(rows, group)
+        sorted_rows.append(found.groupBy(*group).count().agg(F.max("count")).first()[0])
+        return found
+
+    monkeypatch.setattr(quantiles, "_cells", counted)
+    values = np.sort([r.v for r in df.collect()])
+    for accuracy, most in ((10_000, 1 << 20), (1000, 500), (1000, 30)):
+        row = summarise(df, ["k"], {}, medians={"m": "v"}, quantiles={"p0": ("v", 0.0), "p99": ("v", 0.99), "p1": ("v", 1.0)},
+                        accuracy=accuracy, most=most).first()
+        assert (row.m, row.p0, row.p99, row.p1) == tuple(np.quantile(values, [0.5, 0.0, 0.99, 1.0]))
+    assert sorted_rows[0] <= 60_000 * 2 * 5 / 10_000 + 4 and sorted_rows[1] <= 500 and sorted_rows[2] <= 40
+
+
 def test_global_quantiles_of_few_distinct_values(spark):
     df = spark.range(1000).select((F.col("id") % 3).cast("double").alias("v"), F.lit(None).cast("double").alias("w"))
-    row = summarise(df, [], {}, medians={"m": "v", "none": "w"}, bins=2).first()
+    row = summarise(df, [], {}, medians={"m": "v", "none": "w"}).first()
     assert row.m == 1.0 and row.none is None
 
 
