@@ -102,7 +102,11 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = ()) -> Dat
     the intercept and then one slope per predictor; it is NULL for a group with
     too few rows or dependent predictors.
     """
-    grouped = _moments(df, y, xs, by)
+    return solved(_moments(df, y, xs, by), len(xs))
+
+
+def solved(grouped: DataFrame, k: int) -> DataFrame:
+    """Fits from ``n``, means and centred products (``__mean``, ``__cov``: predictors, then the response)."""
     doubles = T.ArrayType(T.DoubleType())
     schema = T.StructType(
         [f for f in grouped.schema.fields if not f.name.startswith("__")]
@@ -111,7 +115,7 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = ()) -> Dat
             T.StructField("rss", T.DoubleType()), T.StructField("tss", T.DoubleType()),
         ]
     )
-    return grouped.mapInArrow(_solver(len(xs)), schema)
+    return grouped.mapInArrow(_solver(k), schema)
 
 
 def _dof(k: int) -> Column:

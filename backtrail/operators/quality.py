@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from backtrail.functions.geo import RECEPTOR, Place
 from backtrail.operators.joins import explode_grid, unmatched
-from backtrail.operators.skew import null_safe_join
+from backtrail.operators.order import numbered
 
 # Arrival heights (m) and length (h) of the tracks to run.
 HEIGHTS = (500, 1000, 1500, 2000)
@@ -27,24 +27,11 @@ def run_requests(
     })
 
 
-def request_progress(
-    requests: DataFrame, order: Sequence[str], slice_by: Column
-) -> DataFrame:
-    """Number of each request in the given order, of how many, and the percentage reached.
-
-    ``slice_by`` never falls along ``order`` and is equal for a bounded number of rows:
-    a number is the rows of the slices before plus the place in the own slice, so that
-    only counts of slices are added up in one place.
-    """
-    cut = requests.withColumn("__slice", slice_by)
-    sizes = cut.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
-    before = sizes.select("__slice", (F.sum("__n").over(upto) - F.col("__n")).alias("__before"))
-    placed = cut.withColumn("__place", F.row_number().over(Window.partitionBy("__slice").orderBy(*order)))
-    numbered = null_safe_join(placed, before, ["__slice"]).withColumn("number", F.col("__before") + F.col("__place"))
-    counted = null_safe_join(numbered, requests.agg(F.count(F.lit(1)).alias("requests")), [])
+def request_progress(requests: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Number of each request in the given order, of how many, and the percentage reached."""
+    counted = numbered(requests, order, "number", total="requests")
     percent = F.try_divide(F.col("number").cast("double"), F.col("requests").cast("double")) * 100
-    return counted.withColumn("percent", percent).drop("__slice", "__before", "__place")
+    return counted.withColumn("percent", percent)
 
 
 def coverage_audit(requests: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from backtrail.functions.semantics import safe_div, total, wmean
@@ -106,10 +106,64 @@ def rolling_composite(
 ) -> DataFrame:
     """Weighted centred rolling mean: rolling sum of value x weight over rolling sum of weight.
 
-    The weight sum also counts days on which the value itself is missing. Days are
-    sent to the windows that cover them, see ``scatter_composite``.
+    ``completed`` has every day of a series once. The weight sum also counts days on which
+    the value itself is missing; days near the ends have no whole window and hold NULL.
     """
-    return scatter_composite(completed, series, values, weight, date, width, suffix)
+    sums = {f"__{v}": F.col(v) * F.col(weight) for v in values} | {f"{weight}{suffix}": F.col(weight)}
+    rolled = rolling_totals(completed, series, sums, date, width)
+    return rolled.select(
+        *completed.columns, f"{weight}{suffix}",
+        *[safe_div(F.col(f"__{v}"), F.col(f"{weight}{suffix}")).alias(f"{v}{suffix}") for v in values])
+
+
+#: Days of a slice of a series, and digits behind the point of the running sums.
+SLICE_DAYS, SUM_DIGITS = 1024, 15
+
+
+def prefix_sums(completed: DataFrame, series: Sequence[str], columns: Mapping[str, Column], date: str = "date") -> DataFrame:
+    """The days of each series with exact sums of the columns from its first day on; missing values count as nothing.
+
+    Sums run within slices of ``SLICE_DAYS`` days, the totals of the slices before are added.
+    They are decimals, so that a difference of two is the sum of the days between;
+    an amount under half of 1e-15 counts as nothing, a sum reaches to 1e23.
+    """
+    exact = f"decimal(38,{SUM_DIGITS})"
+    cut = completed.select(
+        *series, date, F.floor(F.unix_date(date) / SLICE_DAYS).alias("__slice"),
+        *[F.coalesce(c.cast(exact), F.lit(0).cast(exact)).alias(n) for n, c in columns.items()])
+    sums = cut.groupBy(*series, "__slice").agg(*[F.sum(n).cast(exact).alias(n) for n in columns])
+    earlier = Window.partitionBy(*series).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*series, "__slice", *[F.coalesce(F.sum(n).over(earlier).cast(exact), F.lit(0).cast(exact)).alias(f"__b_{n}")
+                                               for n in columns])
+    within = Window.partitionBy(*series, "__slice").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    run = cut.select(*series, date, "__slice", *[F.sum(n).over(within).cast(exact).alias(n) for n in columns])
+    return null_safe_join(run, before, [*series, "__slice"]).select(
+        *series, date, *[(F.col(n) + F.col(f"__b_{n}")).cast(exact).alias(n) for n in columns])
+
+
+def rolling_totals(
+    completed: DataFrame,
+    series: Sequence[str],
+    columns: Mapping[str, Column],
+    date: str = "date",
+    width: int = 30,
+    align: str = "center",
+) -> DataFrame:
+    """Add rolling sums over full windows of days, of which a series holds every one.
+
+    Each day's running sum enters the window that ends on it and leaves the one that
+    begins after it: two rows a day, whatever the width.
+    """
+    first, last = frame_offsets(width, align)
+    span = completed.groupBy(*series).agg(F.min(date).alias("__from"), F.max(date).alias("__to"))
+    runs = prefix_sums(completed, series, columns, date)
+    ends = F.array(F.struct(F.date_add(date, -last).alias("__day"), F.lit(1).alias("__sign")),
+                   F.struct(F.date_add(date, 1 - first).alias("__day"), F.lit(-1).alias("__sign")))
+    moved = runs.select(*series, *columns, F.inline(ends)).groupBy(*series, F.col("__day").alias(date)).agg(
+        *[F.sum(F.when(F.col("__sign") > 0, F.col(n)).otherwise(-F.col(n))).cast("double").alias(f"__w_{n}") for n in columns])
+    whole = (F.date_add(date, first) >= F.col("__from")) & (F.date_add(date, last) <= F.col("__to"))
+    joined = null_safe_join(null_safe_join(completed, moved, [*series, date], "left"), span, series)
+    return joined.select(*completed.columns, *[F.when(whole, F.col(f"__w_{n}")).alias(n) for n in columns])
 
 
 def scatter_composite(
@@ -176,3 +230,8 @@ def anomalies(
     reference = composite.na.drop("any").select(*keys, *[f"{v}{suffix}" for v in values])
     joined = events.join(reference, on=list(keys), how="inner")
     return joined.withColumns({f"{v}{out}": F.col(v) - F.col(f"{v}{suffix}") for v in values})
+
+
+def own_anomalies(composite: DataFrame, values: Sequence[str] = ("dO", "d_excess"), suffix: str = "_rm", out: str = "_nm") -> DataFrame:
+    """Value of each day minus the composite around it; NULL where either is missing."""
+    return composite.withColumns({f"{v}{out}": F.col(v) - F.col(f"{v}{suffix}") for v in values})

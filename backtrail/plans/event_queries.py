@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backtrail.functions.scalars import MONTH_NAMES, SEASONS, month_name, ordinal, season
 from backtrail.functions.semantics import flag
 from backtrail.operators import series, summaries
-from backtrail.operators.attribution import ordered_means
+from backtrail.operators.order import numbered
 from backtrail.plans import bindings as b
 from backtrail.plans.registry import Query
 from backtrail.plans.sqlparts import iqr, strict_sum, using, wmean
@@ -34,8 +34,13 @@ def settled(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 
 
 def composite(spark: SparkSession, d: str) -> DataFrame:
-    """Days with their composite; the days are read for their span, for the calendar and for the sums."""
-    return series.scatter_composite(settled(spark, composite_days(spark, d), "days"))
+    """Every day with its composite; the days are read for their span, for the calendar and for the sums."""
+    return series.rolling_composite(every_day(spark, d))
+
+
+def every_day(spark: SparkSession, d: str) -> DataFrame:
+    days = settled(spark, composite_days(spark, d), "days")
+    return settled(spark, series.complete_days(days), "every-day")
 
 
 def _four_weeks() -> Column:
@@ -96,9 +101,16 @@ def _calendar_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def _season_totals(spark: SparkSession, d: str) -> DataFrame:
     sums = seasonal_events(spark, d).groupBy("season", "type").agg(F.sum("P").alias("P"))
-    # the position follows the order in which the rows come
-    ordered = ordered_means(sums, SEASONS).withColumn("__at", F.monotonically_increasing_id())
-    return ordered.withColumn("position", F.row_number().over(Window.orderBy("__at"))).drop("__at")
+    at = ordinal(F.col("season"), SEASONS)
+    return numbered(sums, [at.asc_nulls_first(), F.desc_nulls_last("P")], "position").withColumn(
+        "position", F.col("position").cast("int"))
+
+
+def _all_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every event with its place by season and, within it, falling amount."""
+    events = seasonal_events(spark, d).select("index", "season", "P")
+    order = [ordinal(F.col("season"), SEASONS).asc_nulls_first(), F.desc_nulls_last("P"), "index"]
+    return numbered(events, order, "place", total="events")
 
 
 def _event_anomalies(spark: SparkSession, d: str) -> DataFrame:
@@ -240,6 +252,29 @@ FROM selected GROUP BY type, date""")]),
         using("composite", "SELECT * FROM composite"),
         _COMPOSITE_ROUNDS, digits=8,
     ),
+    "rolling_composite_year": Query(
+        lambda s, d: series.rolling_composite(every_day(s, d), width=365),
+        using("all_days", """SELECT date, month, year, "dO", d_excess, "P", "P_rm",
+  s_do / nullif("P_rm", 0) AS "dO_rm", s_de / nullif("P_rm", 0) AS d_excess_rm
+FROM (SELECT *, CASE WHEN count(*) OVER w = 365 THEN coalesce(sum("P") OVER w, 0) END AS "P_rm",
+    CASE WHEN count(*) OVER w = 365 THEN coalesce(sum("dO" * "P") OVER w, 0) END AS s_do,
+    CASE WHEN count(*) OVER w = 365 THEN coalesce(sum(d_excess * "P") OVER w, 0) END AS s_de
+  FROM all_days WINDOW w AS (ORDER BY date ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING))"""),
+        _COMPOSITE_ROUNDS, digits=8,
+    ),
+    "composite_anomalies": Query(
+        lambda s, d: series.own_anomalies(composite(s, d)),
+        using("composite", """SELECT *, "dO" - "dO_rm" AS "dO_nm", d_excess - d_excess_rm AS d_excess_nm FROM composite"""),
+        (*_COMPOSITE_ROUNDS, "dO_nm", "d_excess_nm"), digits=8,
+    ),
+    "event_global_order": Query(
+        _all_in_order,
+        using("prepared", f"""SELECT index, season, "P", row_number() OVER (ORDER BY
+  CASE season WHEN 'Winter' THEN 1 WHEN 'Spring' THEN 2 WHEN 'Summer' THEN 3 WHEN 'Autumn' THEN 4 END NULLS FIRST,
+  "P" DESC NULLS LAST, index) AS place, count(*) OVER () AS events
+FROM (SELECT *, {sql_season('date')} AS season FROM prepared)"""),
+        ("P",),
+    ),
     "rolling_composite_scattered": Query(
         lambda s, d: series.scatter_composite(composite_days(s, d)),
         using("composite", "SELECT * FROM composite"),

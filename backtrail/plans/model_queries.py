@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backtrail.functions.scalars import count_label, fit_label, offset_label
-from backtrail.operators import joins, models, summaries, tracks
+from backtrail.operators import joins, models, moments, summaries, tracks
 from backtrail.plans import attribution_queries as aq
 from backtrail.plans import event_queries as ev
 from backtrail.plans import track_queries as tq
@@ -119,6 +119,33 @@ def _by_type(spark: SparkSession, d: str) -> DataFrame:
     return models.glance(fit, len(FULL), ["type"])
 
 
+STATE_VARIABLES = (*FULL, "dO")
+FORMULAS = {"full": FULL, "reduced": SHORT, "weather": ("temp", "rh", "gph")}
+
+
+def weather_states(spark: SparkSession, d: str) -> DataFrame:
+    """Moments of events and weather, one state per type and day, written once in a session."""
+    return ev.settled(spark, moments.moment_states(ev.events_with_weather(spark, d), STATE_VARIABLES, ["type", "date"]), "states")
+
+
+def _formulas(spark: SparkSession, d: str) -> DataFrame:
+    whole = moments.merged_states(weather_states(spark, d), STATE_VARIABLES)
+    return moments.compare_formulas(whole, STATE_VARIABLES, "dO", FORMULAS)
+
+
+def _formulas_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """The full and the reduced model of each type, from the days of its states."""
+    types = moments.merged_states(weather_states(spark, d), STATE_VARIABLES, ["type"])
+    return moments.compare_formulas(types, STATE_VARIABLES, "dO", {"full": FULL, "reduced": SHORT}, ["type"])
+
+
+def _formulas_sql(formulas: dict[str, list[str]], by: list[str]) -> str:
+    parts = [part for name, xs in formulas.items() for part in sweep_operator(xs, '"dO"', by, "with_weather", f"{name}_")]
+    rows = [f"SELECT *, '{name}' AS formula FROM ({sql_glance(len(xs), by).replace('FROM fit', f'FROM {name}_fit')})"
+            for name, xs in formulas.items()]
+    return using("with_weather", " UNION ALL ".join(rows), parts)
+
+
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
     points = tq.settled_tracks(spark, d)
     where = aq.located(spark, d, points).select("index", "region")
@@ -183,6 +210,12 @@ JOIN (SELECT season, min("dO") * 0.6e0 AS "dO", max("dD") * 0.4e0 AS "dD" FROM c
         using("with_weather", sql_glance(4, []), sweep_operator(_FULL_SQL, '"dO"', [], "with_weather")),
         _GLANCE_ROUNDS,
     ),
+    "weather_formulas": Query(
+        _formulas, _formulas_sql({"full": _FULL_SQL, "reduced": _SHORT_SQL, "weather": ["temp", "rh", "gph"]}, []), _GLANCE_ROUNDS,
+    ),
+    "weather_formulas_by_type": Query(
+        _formulas_by_type, _formulas_sql({"full": _FULL_SQL, "reduced": _SHORT_SQL}, ["type"]), _GLANCE_ROUNDS,
+    ),
     "weather_regression_reduced": Query(
         lambda s, d: models.glance(_short_fit(s, d)[1], len(SHORT)),
         using("with_weather", sql_glance(3, []), sweep_operator(_SHORT_SQL, '"dO"', [], "with_weather")),

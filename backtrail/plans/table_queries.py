@@ -245,7 +245,7 @@ FROM selected CROSS JOIN (VALUES (500e0), (1000e0), (1500e0), (2000e0)) AS h(hei
     ),
     "run_request_progress": Query(
         lambda s, d: quality.request_progress(
-            quality.run_requests(ev.selected(s, d)), ["index", "height_i"], F.floor(F.col("index") / 1024)
+            quality.run_requests(ev.selected(s, d)), ["index", "height_i"]
         ).select("index", "height_i", "number", "requests", "percent"),
         using("selected", """SELECT index, height_i, row_number() OVER (ORDER BY index, height_i) AS number,
   count(*) OVER () AS requests, 100e0 * row_number() OVER (ORDER BY index, height_i) / count(*) OVER () AS percent

@@ -90,12 +90,12 @@ from backtrail.plans.catalog import all_queries
 from backtrail.session import cut_lineage
 from backtrail.sources import stages
 written = []
-for name in ("event_anomalies", "rolling_composite_scattered"):
+for name in ("event_anomalies", "rolling_composite_year"):
     all_queries()[name].run(spark, "{SF_DIR}").count()
     written.append(sum(map(len, stages._WRITTEN.values())))
 cut_lineage(spark.range(5)).count()
 import os
-assert written[0] == written[1] == 1, written
+assert written[0] == written[1] == 2, written
 assert sum(map(len, map(os.listdir, [os.path.join("{tmp_path}/shared", f) for f in os.listdir("{tmp_path}/shared")]))) > 0
 """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
