@@ -55,20 +55,24 @@ SITES = ("supplier", {
     "dO_dev": "(s_suppkey % 7) / 1e1",
 })
 
+_HOUR = ("-CAST((l_orderkey * 7 + l_linenumber * 29) %"
+         " (CASE WHEN (l_suppkey + l_linenumber % 4) % 9 = 0 THEN 20 ELSE 121 END) AS INT)")
+
 # Track points: one per order line. The event is the supplier, the height follows the line
-# number; some tracks are short and some humidities missing. The last four make the order unique.
+# number; some tracks are short, some humidities missing, some heights tied. The last four make the order unique.
 TRACKS = ("lineitem", {
     "index": "l_suppkey",
     "height_i": "500e0 * (1 + l_linenumber % 4)",
-    "hour_along": "-CAST((l_orderkey * 7 + l_linenumber * 29) %"
-                  " (CASE WHEN (l_suppkey + l_linenumber % 4) % 9 = 0 THEN 20 ELSE 121 END) AS INT)",
+    "hour_along": _HOUR,
     "traj_dt_i": _SITE_TIME.replace("{key}", "l_suppkey"),
     "lat": "30e0 + (l_suppkey * 17 % 40) + (l_partkey % 500) / 1e2",
     "lon": "(l_suppkey * 37 % 100) - 60e0 + (l_orderkey % 500) / 1e2",
     "air_temp": "250e0 + l_discount * 400e0",
     "rh": "30e0 + l_tax * 800e0",
     "rainfall": "CASE WHEN l_returnflag = 'R' THEN l_quantity / 1e2 ELSE 0e0 END",
-    "sp_humidity": "CASE WHEN l_orderkey % 211 = 0 THEN NULL ELSE l_extendedprice / 7e3 END",
+    # events far in the west gain the same in steps at all their heights
+    "sp_humidity": f"CASE WHEN l_suppkey * 37 % 100 < 10 THEN floor(({_HOUR} + 121) / 41e0) * 1e0"
+                   " WHEN l_orderkey % 211 = 0 THEN NULL ELSE l_extendedprice / 7e3 END",
     "run": "l_orderkey",
     "receptor": "l_linenumber",
     "part": "l_partkey",
