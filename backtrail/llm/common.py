@@ -56,39 +56,34 @@ def with_place(rows: DataFrame, group: Sequence[str], order: Sequence[Column], s
         name, (F.col("__start") + F.col("__row")).cast("long")).drop("__bucket", "__row", "__start")
 
 
+def slot_bits(slots: DataFrame, size: int) -> np.ndarray:
+    """Map of the whole numbers in the only column, 0 to ``size`` - 1 (a power of two): ``size`` / 8 bytes."""
+    name = slots.columns[0]
+    maps = slots.select((F.col(name) + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for bucket, part in maps.toLocalIterator():
+        room = bits[(bucket - 1) * len(part):bucket * len(part)]
+        room[:] = np.frombuffer(part, np.uint8)[:len(room)]
+    return bits
+
+
 def key_filter(keys: DataFrame, most_bits: int = 1 << 28) -> Callable[[Column], Column]:
     """A test that is true for all longs in the only column of ``keys`` and for few others.
 
     16 bits are kept for each key, ``most_bits`` (32 MB) at most; with more keys than
     those serve, the test lets more others pass and is never false for a key.
     """
-    spark = keys.sparkSession
-    name = keys.columns[0]
     size = min(most_bits, 1 << (16 * keys.count() + (1 << 15)).bit_length())
-    slot = F.pmod(F.xxhash64(name), F.lit(size)) + 1
-    maps = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    bits = np.zeros(size // 8, np.uint8)
-    for bucket, part in maps.toLocalIterator():
-        bits[(bucket - 1) * len(part):bucket * len(part)] = np.frombuffer(part, np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+
+    def slot(column: Column | str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(size))
+
+    shared = keys.sparkSession.sparkContext.broadcast(slot_bits(keys.select(slot(keys.columns[0]).alias("slot")), size))
 
     @F.pandas_udf("boolean")
     def taken(slots: pd.Series) -> pd.Series:
         place = slots.to_numpy()
         return pd.Series((shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)
 
-    return lambda column: taken(F.pmod(F.xxhash64(column), F.lit(size)))
-
-
-def join_often(left: DataFrame, known: DataFrame, keys: Sequence[str], count: str, most: int = 100_000) -> DataFrame:
-    """Inner join with ``known``, of which column ``count`` says how many rows of ``left`` hold each key.
-
-    Keys that hold over 1/``most`` of the rows are fewer than ``most`` by arithmetic; they
-    are sent to the rows of ``left``. Only rows with other keys move.
-    """
-    total = known.agg(F.sum(count)).first()[0] or 0
-    often = F.col(count) * most > F.lit(total)
-    hot = F.broadcast(known.where(often))
-    rest = left.join(hot.select(*keys), list(keys), "left_anti").join(known.where(~often), list(keys))
-    return left.join(hot, list(keys)).unionByName(rest)
+    return lambda column: taken(slot(column))

@@ -1,23 +1,24 @@
 """Repeated byte strings across documents, by prefix-free parsing.
 
-A rolling hash over a few bytes triggers the ends of phrases, so that equal text falls
-into equal phrases wherever it stands. The dictionary holds each different phrase once,
-with the first document that has it; the parse of a document is the row of its phrases.
-A phrase is kept together with what the parse says comes next, as far as a string that
-starts in it can reach. The suffixes of the dictionary, sorted to the length of a string,
-are then the corpus in order to that length, and repeated text costs as much as its
-phrases: strings inside a phrase of an earlier document need no look at their bytes.
-
-Suffixes are sorted in parts. The least hash of the short strings within a string is its
-anchor; equal strings have equal anchors, and neighbouring strings mostly share theirs.
-Only phrases that share an anchor with another phrase are sorted at all, each part of
-the anchors in a suffix array of its own.
+A rolling hash over a few bytes is taken at every place of a text. The least one within
+the reach of a string is its trigger, and the strings that have one trigger after the
+other form a phrase: texts fall into equal phrases wherever equal strings stand, each
+string lies in one phrase, and phrases overlap by a string less one byte. The parse of a
+document is the row of its phrases, the dictionary holds each different phrase once with
+the first document that has it.
+
+Strings can only be equal if their triggers are. A phrase that an earlier document has
+needs no look at its bytes: all its strings are repeated. Of the dictionary's phrases
+that share a trigger with a different phrase the suffixes are sorted to the length of a
+string; equal neighbours in that order are equal strings, the least document among them
+is the first to have it. Together this is the order of all suffixes of the corpus to
+that length, in parts by trigger, and text that repeats costs as much as its hashes.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +26,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from backtrail.llm.common import hot_keys, join_often, key_filter, shuffle_parts
-from backtrail.session import drop_scratch, scratch_path
-
-#: Bytes under the rolling hash that ends phrases; one place in ``EVERY`` is an end.
-TRIGGER, EVERY = 12, 128
-#: A phrase has at least and at most so many bytes (the last of a document may have fewer).
-SHORTEST, LONGEST = 32, 1 << 16
-#: Bytes of the short strings whose hashes choose the anchors.
-GRAM = 24
-#: Bytes that are hashed together.
-BLOCK = 1 << 20
-#: Anchors that are compared together, on average.
-BUCKET = 1 << 19
-#: An anchor with over 1/HOT of all entries has its strings compared one by one.
-HOT = 2000
+from backtrail.llm.common import key_filter, shuffle_parts, slot_bits
+from backtrail.session import scratch_path
+
+#: Bytes under the rolling hash.
+GRAM = 16
+#: Bytes that a task parses together; a longer text is parsed in parts of as many.
+BLOCK = 4 << 20
+#: Phrases whose triggers are compared together, and bytes whose suffixes are sorted together, on average.
+PHRASES, SORTED = 1 << 19, 1 << 20
+#: A trigger with more different phrases has their strings compared one by one, wherever they are sorted.
+HOT = 20_000
+#: Phrases to be sorted that the tasks are told by a map of at most 32 MB; more are joined to their texts.
+TOLD = 1 << 24
 #: Order of a document without an id: after all others, and none before another.
 LAST = (1 << 63) - 1
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64((1 << 24) - 1)
+_REPEATED, _SORT, _SORT_STRINGS = 0, 1, 2
+_FOUND = "order long, text_hash long, at long, strings int, kind int, route long"
+_SPAN = "order long, text_hash long, at long, strings int"
 
 
 @functools.lru_cache(maxsize=2)
@@ -72,94 +74,6 @@ def rolled(data: np.ndarray, width: int) -> np.ndarray:
     return found
 
 
-def _triggers(data: np.ndarray) -> np.ndarray:
-    """Places of all triggers; the hashes are made for a block at a time."""
-    found = [at + np.flatnonzero(rolled(data[at:at + BLOCK + TRIGGER - 1], TRIGGER) % np.uint64(EVERY) == 0)
-             for at in range(0, len(data), BLOCK)]
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
-
-
-def _starts(triggers: list[int], strings: int) -> list[int]:
-    """Where phrases begin in a text in which ``strings`` strings begin."""
-    starts = [0]
-    for at in [*triggers, strings]:
-        at = min(at, strings)
-        while at - starts[-1] > LONGEST:
-            starts.append(starts[-1] + LONGEST)
-        if at < strings and at - starts[-1] >= SHORTEST:
-            starts.append(at)
-    return starts
-
-
-def parse(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(text, place, strings that start in the phrase, its bytes with those that follow) of all phrases."""
-    ends = np.cumsum([len(t) for t in texts])
-    triggers = _triggers(np.frombuffer(b"".join(texts), np.uint8))
-    for k, text in enumerate(texts):
-        strings = len(text) - length + 1
-        if strings <= 0:
-            continue
-        begin = ends[k] - len(text)
-        own = triggers[np.searchsorted(triggers, begin + 1):np.searchsorted(triggers, ends[k] - TRIGGER, "right")] - begin
-        starts = _starts(own.tolist(), strings)
-        for at, stop in zip(starts, [*starts[1:], strings]):
-            yield k, at, stop - at, text[at:stop + length - 1]
-
-
-def _blocks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Rows in order, about ``BLOCK`` bytes at a time: the first place and the texts."""
-    first, held, size = 0, [], 0
-    for k, text in enumerate(texts):
-        held.append(text or b"")
-        size += len(held[-1])
-        if size >= BLOCK:
-            yield first, held
-            first, held, size = k + 1, [], 0
-    if held:
-        yield first, held
-
-
-def _two(digests: list[int]) -> tuple[pa.Array, pa.Array]:
-    """Digests of 128 bits as two signed longs."""
-    raw = np.frombuffer(b"".join(d.to_bytes(16, "little") for d in digests), "<i8").reshape(-1, 2)
-    return pa.array(raw[:, 0]), pa.array(raw[:, 1])
-
-
-def _dictionary(docs: DataFrame, length: int) -> DataFrame:
-    """``low``, ``high`` (digest), ``first`` (least document), ``n`` (occurrences), ``phrase`` of each different phrase."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book: dict[int, list] = {}
-        held = 0
-
-        def entries() -> pa.RecordBatch:
-            rows = list(book.values())
-            return pa.RecordBatch.from_arrays(
-                [*_two(list(book)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.binary())], names=["low", "high", "first", "n", "phrase"])
-
-        for batch in batches:
-            order = batch.column(0).to_pylist()
-            for first, texts in _blocks(batch.column(2).to_pylist()):
-                for k, _, _, phrase in parse(texts, length):
-                    digest = xxhash.xxh3_128_intdigest(phrase)
-                    known = book.get(digest)
-                    if known is None:
-                        book[digest] = [order[first + k], 1, phrase]
-                        held += len(phrase) + 100
-                    else:
-                        known[0], known[1] = min(known[0], order[first + k]), known[1] + 1
-                if held > 16 * BLOCK:
-                    yield entries()
-                    book.clear()
-                    held = 0
-        if book:
-            yield entries()
-
-    rows = docs.mapInArrow(found, "low long, high long, first long, n long, phrase binary")
-    return rows.groupBy("low", "high").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.first("phrase").alias("phrase"))
-
-
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` values in a row."""
     done = 1
@@ -169,71 +83,185 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[:len(keys) - (width - done)], keys[width - done:]) if width > done else keys
 
 
-def anchors(phrases: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one anchor: phrase, place of the first string in it, strings, hash of the anchor."""
-    data = np.frombuffer(b"".join(phrases), np.uint8)
-    sizes = np.array([len(p) for p in phrases])
+def parse(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Phrases of texts of at least ``length`` bytes: text, place of the first string, strings, hash of the trigger.
+
+    A phrase spans the bytes of its strings; the next one begins with the next string.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
-    grams = rolled(data, min(GRAM, length))
+    grams = rolled(data, GRAM)
     keys = grams & ~_LOW | np.arange(len(grams), dtype=np.uint64)
-    chosen = (_least(keys, length - min(GRAM, length) + 1) & _LOW).astype(np.int64)
+    chosen = (_least(keys, length - GRAM + 1) & _LOW).astype(np.int64)
     strings = sizes - length + 1
-    owner = np.repeat(np.arange(len(phrases)), strings)
+    owner = np.repeat(np.arange(len(texts)), strings)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
     own = chosen[begin[owner] + place]
     first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])])
     return owner[first], place[first], np.diff(np.r_[first, len(owner)]), grams[own[first]]
 
 
-def _sharing(dictionary: DataFrame, length: int, buckets: int) -> DataFrame:
-    """``id`` of the phrases that share an anchor with another phrase, and of few others.
-
-    An anchor goes to the bucket of its first bits, the next 32 bits stand for it there:
-    a wrong match costs a look at a phrase that was not needed. A block of phrases sends
-    each of its anchors once; phrases that share one within it are named at once.
-    """
+def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Rows, places and parts of texts, about ``BLOCK`` bytes at a time. Each string lies in one part."""
+    rows, at, parts, size = [], [], [], 0
+    for row, text in enumerate(texts):
+        for place in range(0, len(text) - length + 1, BLOCK):
+            rows.append(row)
+            at.append(place)
+            parts.append(text[place:place + BLOCK + length - 1])
+            size += len(parts[-1])
+            if size >= BLOCK:
+                yield rows, at, parts
+                rows, at, parts, size = [], [], [], 0
+    if parts:
+        yield rows, at, parts
+
+
+def _packed(columns: Sequence[np.ndarray], extra: bytes = b"") -> bytes:
+    """Whole numbers as planes of their bytes, compressed; zero planes cost next to nothing."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    return pa.compress(b"".join(planes) + extra, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, size: int, layout: Sequence[tuple[int, str]]) -> tuple[list[np.ndarray], bytes]:
+    """The columns (count, type) and what follows them."""
+    data = pa.decompress(raw, size, codec="zstd", asbytes=True)
+    out, at = [], 0
+    for count, kind in layout:
+        width = np.dtype(kind).itemsize
+        plane = np.frombuffer(data, np.uint8, count * width, at).reshape(width, count)
+        out.append(np.ascontiguousarray(plane.T).view(kind).ravel())
+        at += count * width
+    return out, data[at:]
+
+
+def _in_blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes], tuple]]:
+    """Of each block its documents (once), and of its phrases document, place in it, and the parse."""
+    for rows, at, parts in _blocks(batch.column(2).to_pylist(), length):
+        own, doc_of = np.unique(rows, return_inverse=True)
+        owner, place, strings, trigger = parse(parts, length)
+        yield batch.select([0, 1]).take(pa.array(own)), doc_of[owner], np.array(at)[owner] + place, parts, (owner, place, strings, trigger)
+
+
+def _phrases(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """The parse by trigger: rows of ``bucket``, ``size``, ``entries``, ``docs`` and packed columns."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, phrases in _blocks(batch.column(1).to_pylist()):
-                owner, _, _, found = anchors(phrases, length)
-                own = ids[first + owner]
-                rank = np.lexsort((own, found))
-                found, own = found[rank], own[rank]
-                again = np.r_[False, (found[1:] == found[:-1])]
-                new = np.flatnonzero(~again)
-                group = np.cumsum(~again) - 1
-                many = np.add.reduceat(np.r_[False, again[1:] & (own[1:] != own[:-1])].astype(np.int64), new) > 0
-                known = np.unique(own[many[group]])
-                found, own = found[new], own[new]
-                bucket = (found >> shift).astype(np.int64)
-                mark = ((found << (np.uint64(64) - shift)) >> np.uint64(32)).astype("<u4")
+            for docs, doc, at, parts, (owner, place, strings, trigger) in _in_blocks(batch, length):
+                digest = xxhash.xxh3_64_intdigest
+                hashes = np.fromiter((digest(parts[o][p:p + n + length - 1]) for o, p, n in zip(owner.tolist(), place.tolist(), strings.tolist())),
+                                     np.uint64, len(owner))
+                rank = np.argsort(trigger, kind="stable")
+                bucket = (trigger[rank] >> shift).astype(np.int64)
+                mark = ((trigger[rank] << (np.uint64(64) - shift)) >> np.uint64(32)).astype("<u4")
+                names = [c.to_numpy(zero_copy_only=False).astype("<i8") for c in docs.columns]
                 cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+                rows = []
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    r = rank[a:b]
+                    columns = [np.diff(mark[a:b], prepend=np.uint32(0)), hashes[r], doc[r].astype("<u4"),
+                               at[r].astype("<u8"), strings[r].astype("<u2"), *names]
+                    rows.append((int(bucket[a]), sum(c.nbytes for c in columns), b - a, len(names[0]), _packed(columns)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*bucket[cuts[:-1]].tolist(), int(own[0]) % buckets], pa.int32()),
-                     pa.array([*(mark[a:b].tobytes() for a, b in zip(cuts, cuts[1:])), b""], pa.binary()),
-                     pa.array([*(own[a:b].tobytes() for a, b in zip(cuts, cuts[1:])), known.tobytes()], pa.binary())],
-                    names=["bucket", "marks", "ids"])
-
-    def shared(table: pa.Table) -> pa.Table:
-        known, marks, ids = [], [], []
-        for mark, own in zip(table.column("marks").to_pylist(), table.column("ids").to_pylist()):
-            if mark:
-                marks.append(np.frombuffer(mark, "<u4"))
-                ids.append(np.frombuffer(own, np.int64))
-            else:
-                known.append(np.frombuffer(own, np.int64))
-        if marks:
-            mark, own = np.concatenate(marks), np.concatenate(ids)
-            rank = np.argsort(mark, kind="stable")
-            same = mark[rank][1:] == mark[rank][:-1]
-            known.append(own[rank[np.r_[False, same] | np.r_[same, False]]])
-        return pa.table({"id": np.unique(np.concatenate(known))})
-
-    rows = dictionary.select("id", "phrase").mapInArrow(sent, "bucket int, marks binary, ids binary")
-    return rows.groupBy("bucket").applyInArrow(shared, "id long").distinct()
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                    names=["bucket", "size", "entries", "docs", "data"])
+
+    return docs.mapInArrow(found, "bucket int, size long, entries int, docs int, data binary")
+
+
+def _classified(table: pa.Table) -> pa.Table:
+    """Of the phrases of one bucket those that are repeated, and those whose suffixes are to be sorted."""
+    parts = []
+    bucket = table.column("bucket")[0].as_py()
+    for size, n, d, raw in zip(*(table.column(c).to_pylist() for c in ("size", "entries", "docs", "data"))):
+        (mark, digest, doc, at, strings, order, text_hash), _ = _unpacked(
+            raw, size, [(n, "<u4"), (n, "<u8"), (n, "<u4"), (n, "<u8"), (n, "<u2"), (d, "<i8"), (d, "<i8")])
+        parts.append((np.cumsum(mark, dtype=np.uint32), digest, order[doc], text_hash[doc], at.astype(np.int64), strings.astype(np.int32)))
+    mark, digest, order, text_hash, at, strings = (np.concatenate(c) for c in zip(*parts))
+    rank = np.argsort(mark, kind="stable")
+    same = mark[rank][1:] == mark[rank][:-1]
+    rank = rank[np.r_[False, same] | np.r_[same, False]]  # a trigger that comes once is of no interest
+    rank = rank[np.lexsort((order[rank], digest[rank], mark[rank]))]
+    mark, digest, order, text_hash, at, strings = (c[rank] for c in (mark, digest, order, text_hash, at, strings))
+    new_mark = np.r_[True, mark[1:] != mark[:-1]][:len(mark)]
+    new_class = new_mark | np.r_[True, digest[1:] != digest[:-1]][:len(mark)]
+    first = order[np.flatnonzero(new_class)] if len(mark) else order
+    of_class, of_mark = np.cumsum(new_class) - 1, np.cumsum(new_mark) - 1
+    kind = np.where(order > first[of_class], _REPEATED, -1) if len(mark) else np.zeros(0, np.int64)
+    if len(mark):
+        starts = np.flatnonzero(new_mark)
+        earliest = np.minimum.reduceat(first[of_class], starts)
+        latest = np.maximum.reduceat(first[of_class], starts)
+        open_here = (kind < 0) & (latest > earliest)[of_mark]
+        many = np.bincount(of_mark[open_here], minlength=len(starts)) > HOT
+        kind[open_here] = np.where(many[of_mark[open_here]], _SORT_STRINGS, _SORT)
+    told = np.flatnonzero(kind >= 0)
+    told = told[np.lexsort((at[told], text_hash[told], order[told]))]
+    return pa.table({
+        "order": order[told], "text_hash": text_hash[told], "at": at[told], "strings": strings[told],
+        "kind": kind[told].astype(np.int32), "route": (np.int64(bucket) << 32) | mark[told].astype(np.int64)})
+
+
+def _place_key(order: np.ndarray, text_hash: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of a place in a document."""
+    found = np.zeros(len(order), np.uint64)
+    for part in (order, text_hash, at):
+        found = (found ^ part.astype(np.int64).view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        found ^= found >> np.uint64(32)
+    return found
+
+
+def _told_places(wanted: DataFrame, count: int) -> np.ndarray:
+    """Map of the places, 16 bits for each."""
+    size = 1 << (16 * count + (1 << 15)).bit_length()
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _place_key(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array((key & np.uint64(size - 1)).astype(np.int64))], names=["slot"])
+
+    return slot_bits(wanted.select("order", "text_hash", "at").mapInArrow(slots, "slot long"), size)
+
+
+Cut = tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]
+
+
+def _sent(cuts: Callable[[pa.RecordBatch], Iterator[Cut]], length: int, buckets: int) -> Callable:
+    """Pieces of documents to the buckets where their suffixes are sorted, packed by block."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, doc, at, pieces, route, single in cuts(batch):
+                if single.any():  # string by string, by their own hash
+                    alone = np.flatnonzero(single)
+                    strings = [(k, i) for k in alone.tolist() for i in range(len(pieces[k]) - length + 1)]
+                    keep = np.flatnonzero(~single)
+                    own = [pieces[k][i:i + length] for k, i in strings]
+                    doc = np.r_[doc[keep], [doc[k] for k, _ in strings]].astype(np.int64)
+                    at = np.r_[at[keep], [at[k] + i for k, i in strings]].astype(np.int64)
+                    route = np.r_[route[keep], np.array([xxhash.xxh3_64_intdigest(s) >> 1 for s in own], np.int64)]
+                    pieces = [pieces[k] for k in keep.tolist()] + own
+                bucket = (route.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
+                names = [c.to_numpy(zero_copy_only=False).astype("<i8") for c in docs.columns]
+                rank = np.argsort(bucket, kind="stable")
+                ends = np.r_[0, np.flatnonzero(np.diff(bucket[rank])) + 1, len(rank)] if len(rank) else np.zeros(1, np.int64)
+                rows = []
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    r = rank[a:b]
+                    used, mine = np.unique(doc[r], return_inverse=True)
+                    text = b"".join(pieces[k] for k in r.tolist())
+                    columns = [mine.astype("<u4"), at[r].astype("<u8"), np.array([len(pieces[k]) for k in r.tolist()], "<u4"),
+                               *(c[used] for c in names)]
+                    rows.append((int(bucket[r[0]]), sum(c.nbytes for c in columns) + len(text), b - a, len(used), _packed(columns, text)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                        names=["bucket", "size", "entries", "docs", "data"])
+
+    return send
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -250,10 +278,10 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     return rank[:len(data)]
 
 
-def earlier(pieces: list[bytes], order: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(piece, from, to): runs of places whose string a piece of a lower order holds too."""
+def earlier(pieces: list[bytes], order: np.ndarray, length: int) -> np.ndarray:
+    """Rows of (piece, from, to): runs of places whose string a piece of a lower order holds too."""
     data = np.frombuffer(b"".join(pieces), np.uint8)
-    sizes = np.array([len(p) for p in pieces])
+    sizes = np.array([len(p) for p in pieces], np.int64)
     strings = sizes - length + 1
     owner = np.repeat(np.arange(len(pieces)), strings)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
@@ -266,88 +294,72 @@ def earlier(pieces: list[bytes], order: np.ndarray, length: int) -> Iterator[tup
     new_piece = np.r_[True, owner[1:] != owner[:-1]]
     begins = np.flatnonzero(hit & (new_piece | ~np.r_[False, hit[:-1]]))
     stops = np.flatnonzero(hit & np.r_[new_piece[1:] | ~hit[1:], True])
-    yield from zip(owner[begins].tolist(), place[begins].tolist(), (place[stops] + 1).tolist())
-
+    return np.stack([owner[begins], place[begins], place[stops] + 1], axis=1)
 
-def _strings(candidates: DataFrame, length: int) -> DataFrame:
-    """``anchor``, ``id``, ``first``, ``at`` (place in the phrase), ``piece`` of all runs of strings with one anchor."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, phrases in _blocks(batch.column(2).to_pylist()):
-                owner, place, strings, found = anchors(phrases, length)
-                rows = pa.array(first + owner)
-                pieces = [phrases[k][a:a + n + length - 1] for k, a, n in zip(owner.tolist(), place.tolist(), strings.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows),
-                     pa.array(place.astype(np.int32)), pa.array(pieces, pa.binary())],
-                    names=["anchor", "id", "first", "at", "piece"])
+def _sorted(length: int) -> Callable[[pa.Table], pa.Table]:
+    """Repeated strings among the pieces of a bucket, about ``SORTED`` bytes on average."""
 
-    return candidates.select("id", "first", "phrase").mapInArrow(cut, "anchor long, id long, first long, at int, piece binary")
+    def sort(table: pa.Table) -> pa.Table:
+        parts, pieces = [], []
+        for size, n, d, raw in zip(*(table.column(c).to_pylist() for c in ("size", "entries", "docs", "data"))):
+            (doc, at, sizes, order, text_hash), text = _unpacked(raw, size, [(n, "<u4"), (n, "<u8"), (n, "<u4"), (d, "<i8"), (d, "<i8")])
+            ends = np.cumsum(sizes, dtype=np.int64)
+            pieces += [text[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+            parts.append((order[doc], text_hash[doc], at.astype(np.int64)))
+        order, text_hash, at = (np.concatenate(c) for c in zip(*parts))
+        piece, begin, stop = earlier(pieces, order, length).T
+        return pa.table({"order": order[piece], "text_hash": text_hash[piece], "at": at[piece] + begin,
+                         "strings": (stop - begin).astype(np.int32)})
 
+    return sort
 
-def _spans(strings: DataFrame, length: int) -> DataFrame:
-    """``id``, ``from``, ``to``: places of a phrase whose strings occur in an earlier document, in other phrases."""
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+def _sorted_spans(docs: DataFrame, wanted: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Repeated strings of the phrases whose suffixes are to be sorted.
 
-        def compared(part: pa.Table) -> pa.RecordBatch:
-            ids, at = part.column("id").to_numpy(), part.column("at").to_numpy()
-            found = list(earlier(part.column("piece").to_pylist(), part.column("first").to_numpy(), length))
-            own = np.array(found, np.int64).reshape(-1, 3)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids[own[:, 0]]), pa.array((at[own[:, 0]] + own[:, 1]).astype(np.int32)),
-                 pa.array((at[own[:, 0]] + own[:, 2]).astype(np.int32))], names=["id", "from", "to"])
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size > BLOCK:
-                whole = pa.Table.from_batches(held)
-                anchor = whole.column("anchor").to_numpy()
-                cut = int(np.searchsorted(anchor, anchor[-1]))  # more of the last anchor may come
-                if cut:
-                    yield compared(whole.slice(0, cut))
-                    held = whole.slice(cut).to_batches()
-                size = sum(b.nbytes for b in held)
-        if held:
-            yield compared(pa.Table.from_batches(held))
-
-    parts = strings.repartition("anchor").sortWithinPartitions("anchor")
-    return parts.mapInArrow(sort, "id long, from int, to int")
-
-
-def _single_spans(strings: DataFrame, length: int) -> DataFrame:
-    """As ``_spans``, string by string: for anchors that very many phrases share."""
-    own = strings.select("id", "first", F.posexplode(F.expr(
-        f"transform(sequence(1, octet_length(piece) - {length - 1}), i -> substring(piece, i, {length}))")).alias("k", "string"), "at")
-    least = own.groupBy("string").agg(F.min("first").alias("least"))
-    return own.join(least, "string").where("least < first").select(
-        "id", (F.col("at") + F.col("k")).alias("from"), (F.col("at") + F.col("k") + 1).alias("to"))
-
-
-def _occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """The parse: ``order``, ``text_hash``, ``at``, ``strings``, ``low``, ``high`` of every phrase of every document."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in _blocks(batch.column(2).to_pylist()):
-                rows, at, strings, digests = [], [], [], []
-                for k, place, n, phrase in parse(texts, length):
-                    rows.append(first + k)
-                    at.append(place)
-                    strings.append(n)
-                    digests.append(xxhash.xxh3_128_intdigest(phrase))
-                if rows:
-                    own = pa.array(rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(own), batch.column(1).take(own), pa.array(at, pa.int64()),
-                         pa.array(strings, pa.int32()), *_two(digests)],
-                        names=["order", "text_hash", "at", "strings", "low", "high"])
-
-    return docs.mapInArrow(found, "order long, text_hash long, at long, strings int, low long, high long")
+    The tasks that parse the documents are told the places by a map; if there are more
+    than ``TOLD``, the places are joined to their documents instead.
+    """
+    sizes = wanted.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("strings") + (length - 1)).alias("bytes"),
+                                       F.sum("strings").alias("strings")).collect()  # two rows at most
+    count = sum(r["n"] for r in sizes)
+    total = sum(r["bytes"] if r["kind"] == _SORT else r["strings"] * length for r in sizes)
+    parts = max(shuffle_parts(docs.sparkSession), total // SORTED)
+    if count <= TOLD:
+        maps = [_told_places(wanted.where(F.col("kind") == r["kind"]), r["n"]) if r["n"] else None
+                for r in sorted(sizes)]
+        kinds = [r["kind"] for r in sorted(sizes)]
+        shared = docs.sparkSession.sparkContext.broadcast(dict(zip(kinds, maps)))
+        shift = np.uint64(32 - (buckets.bit_length() - 1))
+
+        def marked(batch: pa.RecordBatch) -> Iterator[Cut]:
+            for own, doc, at, texts, (owner, place, strings, trigger) in _in_blocks(batch, length):
+                order, text_hash = (c.to_numpy(zero_copy_only=False)[doc] for c in own.columns)
+                key = _place_key(order, text_hash, at)
+                hit = {}
+                for kind, bits in shared.value.items():
+                    slot = key & np.uint64(len(bits) * 8 - 1)
+                    hit[kind] = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                single = hit.get(_SORT_STRINGS, np.zeros(len(key), bool))
+                rows = np.flatnonzero(single | hit.get(_SORT, False))
+                pieces = [texts[o][p:p + n + length - 1] for o, p, n in zip(owner[rows].tolist(), place[rows].tolist(), strings[rows].tolist())]
+                yield own, doc[rows], at[rows], pieces, (trigger[rows] >> shift).astype(np.int64), single[rows]
+
+        cut = docs.mapInArrow(_sent(marked, length, parts), "bucket int, size long, entries int, docs int, data binary")
+    else:
+        listed = wanted.groupBy("order", "text_hash").agg(F.collect_list(F.struct("at", "strings", "route", "kind")).alias("wanted"))
+        beside = docs.dropDuplicates(["order", "text_hash"]).join(listed, ["order", "text_hash"]).select("order", "text_hash", "text", "wanted")
+
+        def listed_cuts(batch: pa.RecordBatch) -> Iterator[Cut]:
+            for row, (text, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                at = np.array([p["at"] for p in places], np.int64)
+                pieces = [text[p["at"]:p["at"] + p["strings"] + length - 1] for p in places]
+                yield (batch.select([0, 1]).slice(row, 1), np.zeros(len(at), np.int64), at, pieces,
+                       np.array([p["route"] for p in places], np.int64), np.array([p["kind"] == _SORT_STRINGS for p in places]))
+
+        cut = beside.mapInArrow(_sent(listed_cuts, length, parts), "bucket int, size long, entries int, docs int, data binary")
+    return cut.groupBy("bucket").applyInArrow(_sorted(length), _SPAN)
 
 
 def _merged(marked: DataFrame, length: int) -> DataFrame:
@@ -356,12 +368,13 @@ def _merged(marked: DataFrame, length: int) -> DataFrame:
     def merge(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in lists:
             to, flat = column.offsets.to_numpy(), column.flatten()
-            begin, stop = flat.field("from").to_numpy(), flat.field("to").to_numpy() + (length - 1)
+            to = to - to[0]
+            begin = flat.field("at").to_numpy()
+            stop = begin + flat.field("strings").to_numpy() + (length - 1)
             owner = np.repeat(np.arange(len(to) - 1), np.diff(to))
             rank = np.lexsort((begin, owner))
             begin, stop, owner = begin[rank], stop[rank], owner[rank]
-            reach = owner * (1 << 40) + stop  # a running maximum that starts anew with each document
-            reach = np.maximum.accumulate(reach)
+            reach = np.maximum.accumulate(owner * (1 << 40) + stop)  # starts anew with each document
             new = np.flatnonzero(np.r_[True, owner[1:] * (1 << 40) + begin[1:] > reach[:-1]])
             last = np.r_[new[1:], len(begin)] - 1
             ends = reach[last] - owner[new] * (1 << 40)
@@ -381,33 +394,16 @@ def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     that also starts in a document of a lower order, in order.
     """
     spark = docs.sparkSession
-    book, chosen = scratch_path(spark, "dictionary"), scratch_path(spark, "sharing")
-    found = _dictionary(docs, length).withColumn("id", F.monotonically_increasing_id())
-    found.write.option("compression", "zstd").parquet(book)
-    dictionary = spark.read.parquet(book)
-    runs = dictionary.agg(F.sum(F.octet_length("phrase") - (length - 1))).first()[0] or 0
-    least = max(2, shuffle_parts(spark), 2 * runs // (max(1, length - GRAM + 2) * BUCKET))
-    sharing = _sharing(dictionary, length, 1 << (least - 1).bit_length())
-    sharing.write.parquet(chosen)
-    sharing = spark.read.schema("id long").parquet(chosen)
-    maybe = key_filter(sharing)
-    candidates = dictionary.where(maybe(F.col("id"))).join(sharing, "id", "left_semi")
-    strings = _strings(candidates, length)
-    hot = [k for (k,) in hot_keys(strings, ["anchor"], HOT)]  # fewer than HOT
-    many = F.col("anchor").isin(hot)
-    spans = _spans(strings.where(~many), length)
-    if hot:
-        spans = spans.unionByName(_single_spans(strings.where(many), length))
-    own = spans.groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))  # fewer than a phrase has bytes
-    known = scratch_path(spark, "spans")
-    dictionary.select("id", "low", "high", "first", "n").join(own, "id", "left").drop("id").write.parquet(known)
-    drop_scratch(spark, book)
-    drop_scratch(spark, chosen)
-    seen = join_often(_occurrences(docs, length), spark.read.parquet(known), ["low", "high"], "n")
-    all_of_it = F.array(F.struct(F.lit(0).alias("from"), F.col("strings").alias("to")))
-    places = F.when(F.col("order") > F.col("first"), all_of_it).otherwise(F.col("spans"))
-    marked = seen.select("order", "text_hash", "at", F.explode(places).alias("x")).groupBy("order", "text_hash").agg(
-        F.collect_list(F.struct((F.col("at") + F.col("x.from")).alias("from"), (F.col("at") + F.col("x.to")).alias("to"))).alias("places"))
+    stage = scratch_path(spark, "phrases")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = max(2, shuffle_parts(spark), 2 * size // ((length - GRAM + 2) * PHRASES))
+    buckets = 1 << (least - 1).bit_length()
+    found = _phrases(docs, length, buckets).groupBy("bucket").applyInArrow(_classified, _FOUND)
+    found.write.option("compression", "zstd").partitionBy("kind").parquet(stage)
+    known = spark.read.schema(_FOUND).parquet(stage)
+    spans = known.where(F.col("kind") == _REPEATED).select("order", "text_hash", "at", "strings")
+    spans = spans.unionByName(_sorted_spans(docs, known.where(F.col("kind") != _REPEATED), length, buckets))
+    marked = spans.groupBy("order", "text_hash").agg(F.collect_list(F.struct("at", "strings")).alias("places"))
     return _merged(marked, length)
 
 

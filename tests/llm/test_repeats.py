@@ -49,12 +49,12 @@ def table_of(frame):
     return frame([(i, t, None, None, None) for i, t in rows], DOCS)
 
 
-@pytest.mark.parametrize("length,every,longest,hot", [(50, 128, 1 << 16, 2000), (50, 16, 100, 5), (30, 4096, 70, 2000)])
-def test_removed_bytes_equal_a_plain_search(frame, monkeypatch, length, every, longest, hot):
-    monkeypatch.setattr(repeats, "EVERY", every)
-    monkeypatch.setattr(repeats, "LONGEST", longest)
-    monkeypatch.setattr(repeats, "BLOCK", 3000)
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("length,options", [
+    (50, {}), (50, {"BLOCK": 3000, "PHRASES": 200, "SORTED": 2000}), (50, {"HOT": 3, "BLOCK": 700}),
+    (50, {"TOLD": 0}), (30, {"TOLD": 0, "HOT": 2, "GRAM": 20})])
+def test_removed_bytes_equal_a_plain_search(frame, monkeypatch, length, options):
+    for name, value in options.items():
+        monkeypatch.setattr(repeats, name, value)
     docs = table_of(frame).withColumnRenamed("source", "order").repartition(3)
     got = Counter((r["doc_id"], r["n_bytes"], tuple((x["from"], x["to"]) for x in r["removed"]), bytes(r["kept"]))
                   for r in repeats.remove_repeats(docs, length).collect())
@@ -76,12 +76,23 @@ def test_a_very_long_text_and_its_copy(frame):
 
 def test_phrases_cover_all_strings_and_follow_the_text():
     text = prose(4, 3000).encode()
-    found = list(repeats.parse([b"short", text, b"lead " + text], 50))
-    own = [(at, n, p) for k, at, n, p in found if k == 1]
-    assert [at for at, _, _ in own] == np.cumsum([0, *(n for _, n, _ in own)])[:-1].tolist()
-    assert sum(n for _, n, _ in own) == len(text) - 49 and all(text[a:a + len(p)] == p for a, _, p in own)
-    shared = {p for _, _, p in own} & {p for k, _, _, p in found if k == 2}
-    assert len(shared) > 0.9 * len(own)  # an insertion changes the phrases near it only
+    doc, at, strings, trigger = repeats.parse([text, b"lead " + text, b"x" * 50], 50)
+    for k, own in enumerate((text, b"lead " + text, b"x" * 50)):
+        mine = doc == k
+        assert at[mine].tolist() == (np.cumsum(strings[mine]) - strings[mine]).tolist() and strings[mine].sum() == len(own) - 49
+    bytes_of = [{(text if k == 0 else b"lead " + text)[a:a + n + 49] for d, a, n in zip(doc, at, strings) if d == k} for k in (0, 1)]
+    assert len(bytes_of[0] & bytes_of[1]) > len(bytes_of[0]) - 4  # an insertion changes the phrases near it only
+
+
+def test_equal_strings_have_equal_triggers():
+    r = random.Random(8)
+    text = prose(5, 400).encode()
+    places = [r.randrange(len(text) - 50) for _ in range(50)]
+    texts = [text, *(prose(900 + k, 5).encode() + text[p:p + 50] + b"#" * (k % 9) for k, p in enumerate(places))]
+    doc, at, strings, trigger = repeats.parse(texts, 50)
+    of_place = {(d, a + i): t for d, a, n, t in zip(doc.tolist(), at.tolist(), strings.tolist(), trigger.tolist()) for i in range(n)}
+    for k, p in enumerate(places):
+        assert of_place[(0, p)] == of_place[(k + 1, texts[k + 1].index(text[p:p + 50]))]
 
 
 def test_suffix_ranks_sort_as_bytes_do():
