@@ -1,16 +1,20 @@
-"""Language identification by interpolated Kneser-Ney models of letters.
-
-Each language has a model of four letters in a row. Letters are lower-cased and put
-into ``ALPHABET`` classes (the boundary, the most frequent letters, all others), so
-that the counts, which cover every training text, stay below a fixed size: at most
-``ALPHABET ** 4`` rows for each language. The grams that were seen lie in one sorted
-array of codes with a row of log probabilities for all languages; a gram nobody saw
-backs off to three letters, where all are known.
+"""Language identification by interpolated Kneser-Ney models of characters.
+
+Each language has a model of four symbols in a row: the lower-cased letters and marks of
+its texts, whatever script they are of, and one boundary for all that stands between.
+Counts cover every training text and are a Spark table; nothing of them is cut off. The
+probabilities of the grams that were seen, and the weights with which contexts back off
+to fewer symbols, lie in one array per language, sorted by a 64-bit hash.
+
+All that a gram needs is under its third symbol, so a model falls into slices by that
+symbol. Texts are scored against as many slices at a time as ``ENTRIES`` allows; if the
+models are larger, in several passes that add up their parts.
 """
 
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,30 +23,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from backtrail.llm.common import shuffle_parts
 from backtrail.session import cut_lineage
 
 ORDER = 4
-ALPHABET = 40
 #: The label of texts without a letter.
 NONE = "und"
 #: Characters that are coded at once; a longer text is coded alone.
 _AT_ONCE = 1 << 20
-#: Languages a model may hold, which bounds its size.
-MAX_LANGUAGES = 200
+#: Entries of 12 bytes that the tasks are sent for one pass (a slice with more is a pass of its own).
+ENTRIES = 6_000_000
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_POINT = (1 << 21) - 1
 
-@functools.lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
-
-@functools.lru_cache(maxsize=4)
-def _classes(frequent: str) -> np.ndarray:
-    """Class of every code point: 0 for no letter, its place for a frequent letter, the last for others."""
-    table = np.where(_letters(), ALPHABET - 1, 0).astype(np.uint8)
-    for k, letter in enumerate(frequent):
-        table[ord(letter)] = k + 1
-    return table
+@functools.lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point whether it is a letter or mark, and whether it is a letter."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    return np.array([k in "LM" for k in kinds]), np.array([k == "L" for k in kinds])
 
 
 def _points(text: str) -> np.ndarray:
@@ -62,213 +62,305 @@ def _portions(texts: Sequence[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield start, held
 
 
-def _codes(texts: Sequence[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the four-letter grams of all texts, and where each text's begin.
+def _symbols(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of all texts, the places at which a gram ends, and where each text's grams begin among these.
 
-    A run of other characters is one boundary. Before a text stand three boundaries,
-    behind it one; each letter and boundary after the first three ends one gram.
+    A run of other characters is one boundary (0). Before a text stand three boundaries,
+    behind it one; each symbol after the first three ends one gram.
     """
     pad = ORDER - 1
     points = _points("".join(" " * pad + t + " " for t in texts))
-    classes = table[points]
+    symbols = np.where(_kinds()[0][points], points, 0)
     sizes = np.array([len(t) + pad + 1 for t in texts], dtype=np.int64)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    keep = np.ones(len(classes), dtype=bool)
-    keep[1:] = (classes[1:] != 0) | (classes[:-1] != 0)
+    keep = np.ones(len(symbols), dtype=bool)
+    keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
     for k in range(pad):
         keep[starts + k] = True
-    at = np.cumsum(keep) - 1
-    begin = at[starts]
-    kept = classes[keep].astype(np.int64)
-    codes = kept.copy()
-    for k in range(1, ORDER):
-        codes[k:] += kept[:-k] * ALPHABET ** k
+    begin = (np.cumsum(keep) - 1)[starts]
+    kept = symbols[keep].astype(np.uint64)
     own = np.ones(len(kept), dtype=bool)
     for k in range(pad):
         own[begin + k] = False
-    place = np.r_[0, np.cumsum(own)]
-    return codes[own], place[begin]
+    return kept, np.flatnonzero(own), np.r_[0, np.cumsum(own)][begin]
 
 
-def _alphabet(texts: DataFrame) -> str:
-    """The most frequent letters of all texts; of equally frequent ones the lower code point."""
+def _key(*symbols: np.ndarray) -> np.ndarray:
+    """A hash of symbols in a row."""
+    found = np.full(len(symbols[0]), len(symbols), np.uint64)
+    for s in symbols:
+        found = (found ^ (found >> np.uint64(31))) * _MIX + s.astype(np.uint64) + np.uint64(1)
+    found = (found ^ (found >> np.uint64(29))) * _MIX
+    return found ^ (found >> np.uint64(32))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, dtype=np.int64)
-        for batch in batches:
-            for _, held in _portions(batch.column(0).to_pylist()):
-                found = np.bincount(_points("".join(held)))
-                total[:len(found)] += found
-        seen = np.flatnonzero((total > 0) & _letters())
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["point", "n"])
 
-    counted = texts.mapInArrow(count, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "point").limit(ALPHABET - 2).collect()
-    return "".join(sorted(chr(r["point"]) for r in rows))
+_CONTEXT = np.uint64(0xA5A5A5A5A5A5A5A5)  # sets the weight of a context apart from the probability of a gram
 
 
-def _gram_counts(texts: DataFrame, frequent: str) -> DataFrame:
-    """How often each language (``lang``) has each gram (``code``), over all texts."""
+def _gram_counts(texts: DataFrame) -> DataFrame:
+    """How often each language has each gram, over all texts: ``lang``, ``front`` and ``back`` (two symbols each), ``n``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _classes(frequent)
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def merge(lang: str) -> tuple[np.ndarray, np.ndarray]:
-            codes, inverse = np.unique(np.concatenate([c for c, _ in held[lang]]), return_inverse=True)
-            sums = np.bincount(inverse, weights=np.concatenate([n for _, n in held[lang]]), minlength=len(codes))
-            return codes, sums.astype(np.int64)
-
         for batch in batches:
             by_lang: dict[str, list[str]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts_of in by_lang.items():
                 for _, portion in _portions(texts_of):
-                    codes, _ = _codes(portion, table)
-                    held.setdefault(lang, []).append(np.unique(codes, return_counts=True))
-                if len(held[lang]) > 16:
-                    held[lang] = [merge(lang)]
-        for lang in held:
-            codes, sums = merge(lang)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(sums, pa.int64())],
-                names=["lang", "code", "n"])
+                    s, at, _ = _symbols(portion)
+                    if not len(at):
+                        continue
+                    _, first, n = np.unique(_key(s[at - 3], s[at - 2], s[at - 1], s[at]), return_index=True, return_counts=True)
+                    at = at[first]
+                    pair = [(s[at - k] << np.uint64(21) | s[at - k + 1]).astype(np.int64) for k in (3, 1)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(at), pa.string()), pa.array(pair[0]), pa.array(pair[1]), pa.array(n.astype(np.int64))],
+                        names=["lang", "front", "back", "n"])
+
+    return texts.mapInArrow(count, "lang string, front long, back long, n long").groupBy("lang", "front", "back").agg(
+        F.sum("n").alias("n"))
 
-    return texts.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
+def _discounts(counts: DataFrame) -> tuple[dict[str, list[float]], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Of each language the discounts of 1 to 4 symbols, and how many symbols go before each symbol.
 
-def _discount(counts: np.ndarray) -> float:
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+    What comes to the driver is a row for each language and symbol.
+    """
+    point = F.lit(_POINT)
+    three = counts.groupBy("lang", F.col("front").bitwiseAND(point).alias("b"), "back").agg(F.count(F.lit(1)).alias("n"))
+    two = three.groupBy("lang", "back").agg(F.count(F.lit(1)).alias("n"))
+    one = two.groupBy("lang", F.col("back").bitwiseAND(point).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    few = None
+    for order, table in ((4, counts), (3, three), (2, two)):
+        part = table.groupBy("lang").agg(F.lit(order).alias("order"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
+        few = part if few is None else few.unionByName(part)
+    ways: dict[str, list[tuple[int, int]]] = {}
+    for lang, d, n in one.orderBy("lang", "d").collect():
+        ways.setdefault(lang, []).append((d, n))
+    last = {lang: (np.array([d for d, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)) for lang, rows in ways.items()}
+    found = {lang: [_discount(int((n == 1).sum()), int((n == 2).sum())), 0.0, 0.0, 0.0] for lang, (_, n) in last.items()}
+    for lang, order, n1, n2 in few.collect():
+        found[lang][order - 1] = _discount(n1, n2)
+    return found, last
+
+
+def _discount(one: int, two: int) -> float:
     return one / (one + 2 * two) if one and two else 0.5
 
 
-def _lower(codes: np.ndarray, counts: np.ndarray, order: int, below: np.ndarray) -> np.ndarray:
-    """All probabilities of one order, context by row, interpolated with the order below."""
-    dense = np.zeros(ALPHABET ** order)
-    dense[codes] = counts
-    dense = dense.reshape(-1, ALPHABET)
-    total = dense.sum(axis=1, keepdims=True)
-    d = _discount(counts)
-    rest = np.where(total > 0, d * (dense > 0).sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
-    own = np.maximum(dense - d, 0) / np.maximum(total, 1)
-    contexts = np.arange(len(dense)) % (ALPHABET ** max(order - 2, 0))
-    return own + rest * below.reshape(-1, ALPHABET)[contexts]
+def _above(n: np.ndarray, context: np.ndarray, d: float, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of grams that are sorted by context, and the weight of the lower order after each."""
+    starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    group = np.cumsum(np.r_[True, context[1:] != context[:-1]]) - 1
+    total = np.add.reduceat(n, starts)
+    rest = d * np.diff(np.r_[starts, len(n)]) / total
+    return np.maximum(n - d, 0) / total[group] + rest[group] * below, rest
+
+
+def _slice(front: np.ndarray, back: np.ndarray, n: np.ndarray, discounts: Sequence[float], alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and logs of one third symbol: grams of 4, 3 and 2 symbols, weights of their contexts.
+
+    ``alone`` has the probabilities of the last symbols.
+    """
+    rank = np.lexsort((back, front))
+    front, back, n = front[rank], back[rank], n[rank]
+    u = np.uint64
+    a, b = (front >> 21).astype(u), (front & _POINT).astype(u)
+    c, d = (back >> 21).astype(u), (back & _POINT).astype(u)
+    three, of3, ways3 = np.unique(np.stack([b, d]), axis=1, return_inverse=True, return_counts=True)
+    two, of2, ways2 = np.unique(three[1], return_inverse=True, return_counts=True)
+    third = c[:1]
+
+    def wide(x: np.ndarray) -> np.ndarray:
+        return np.broadcast_to(third, len(x))
+
+    p2, w2 = _above(ways2, np.zeros(len(two)), discounts[1], alone[np.unique(d, return_index=True)[1]])
+    p3, w3 = _above(ways3, three[0], discounts[2], p2[of2.ravel()])
+    p4, w4 = _above(n, front, discounts[3], p3[of3.ravel()])
+    new3 = np.flatnonzero(np.r_[True, three[0][1:] != three[0][:-1]])
+    new4 = np.flatnonzero(np.r_[True, front[1:] != front[:-1]])
+    keys = [_key(a, b, c, d), _key(three[0], wide(three[0]), three[1]), _key(wide(two), two),
+            _key(a[new4], b[new4], c[new4]) ^ _CONTEXT, _key(three[0][new3], wide(new3)) ^ _CONTEXT, _key(third) ^ _CONTEXT]
+    return np.concatenate(keys), np.log2(np.concatenate([p4, p3, p2, w4, w3, w2])).astype(np.float32)
+
+
+@dataclass(frozen=True)
+class Part:
+    """What one pass knows of a language: sorted keys and logs, and the third symbols whose grams it answers for."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+    passes: tuple[np.ndarray, np.ndarray]  # third symbols, sorted, and the pass of each; others belong to pass 0
+    alone: tuple[np.ndarray, np.ndarray, float]  # last symbols, their logs, the log of one that was never seen
+
+    def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a key is there, and its log (0 if not)."""
+        if not len(self.keys):
+            return np.zeros(len(key), bool), np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        return hit, np.where(hit, self.logs[at], 0.0)
+
+    def grams(self, s: Sequence[np.ndarray], number: int) -> np.ndarray:
+        """Logs of grams (four arrays of symbols) of this pass, 0 for those of others."""
+        a, b, c, d = s
+        symbols, of = self.passes
+        at = np.minimum(np.searchsorted(symbols, c), max(len(symbols) - 1, 0))
+        mine = np.where(symbols[at] == c, of[at], 0) == number if len(symbols) else np.full(len(c), number == 0)
+        out = np.zeros(len(c))
+        left = np.flatnonzero(mine)
+        for order in (4, 3, 2):
+            own = [x[left] for x in (a, b, c, d)[4 - order:]]
+            hit, log = self.get(_key(*own))
+            out[left[hit]] += log[hit]
+            left = left[~hit]
+            out[left] += self.get(_key(*[x[~hit] for x in own[:-1]]) ^ _CONTEXT)[1]
+        last, logs, floor = self.alone
+        at = np.minimum(np.searchsorted(last, d[left]), len(last) - 1)
+        out[left] += np.where(last[at] == d[left], logs[at], floor)
+        return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log probabilities (base 2): a row for each gram that was seen, all of three letters, and the way back."""
+    """Models of all languages: the slices as a table, and which pass has which."""
 
     languages: list[str]
-    frequent: str
-    codes: np.ndarray  # sorted
-    seen: np.ndarray  # codes x languages
-    three: np.ndarray  # ALPHABET ** 3 x languages
-    back: np.ndarray  # weight of the lower order after each context, ALPHABET ** 3 x languages
-
-    def entropies(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bits per symbol of each text in each language, its symbols, and whether it has a letter."""
-        n = len(texts)
-        bits, symbols = np.zeros((n, len(self.languages))), np.zeros(n, dtype=np.int64)
-        lettered = np.zeros(n, dtype=bool)
-        table = _classes(self.frequent)
-        for start, portion in _portions(texts):
-            codes, begin = _codes(portion, table)
-            ends = np.r_[begin[1:], len(codes)]
-            rows = slice(start, start + len(portion))
-            symbols[rows] = ends - begin
-            if not len(codes):
-                continue
-            at = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
-            hit = self.codes[at] == codes
-            logs = self.seen[at]
-            missed = codes[~hit]
-            logs[~hit] = self.back[missed // ALPHABET] + self.three[missed % ALPHABET ** (ORDER - 1)]
-            sums = np.zeros((len(codes) + 1, len(self.languages)))
-            np.cumsum(logs, axis=0, dtype=np.float64, out=sums[1:])
-            bits[rows] = -(sums[ends] - sums[begin])
-            letter = np.r_[0, np.cumsum(codes % ALPHABET != 0)]
-            lettered[rows] = letter[ends] > letter[begin]
-        return bits / np.maximum(symbols, 1)[:, None], symbols, lettered
+    table: DataFrame  # lang, third, key, log
+    passes: dict[str, tuple[np.ndarray, np.ndarray]]
+    alone: dict[str, tuple[np.ndarray, np.ndarray, float]]
+    count: int
+
+    def part(self, number: int) -> list[Part]:
+        """The arrays of one pass: at most ``ENTRIES`` entries, or one slice."""
+        own: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        rows = self.table.where(F.col("pass") == number).select("lang", "key", "log").toArrow()
+        names = rows.column("lang").to_numpy()
+        keys, logs = rows.column("key").to_numpy().view(np.uint64), rows.column("log").to_numpy()
+        rank = np.argsort(keys)
+        for lang in self.languages:
+            mine = rank[names[rank] == lang]
+            own[lang] = keys[mine], logs[mine]
+        return [Part(*own[lang], self.passes[lang], self.alone[lang]) for lang in self.languages]
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Models of all languages in ``docs``; rows without a text or a language teach nothing.
 
-    Counts cover every row. None if there is nothing to learn from.
+    Counts cover every row and every symbol. None if there is nothing to learn from.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    texts = texts.where("text IS NOT NULL AND lang IS NOT NULL")
-    frequent = _alphabet(texts.select("text"))
-    counts = cut_lineage(_gram_counts(texts, frequent))
-    languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not languages:
+    counts = cut_lineage(_gram_counts(texts.where("text IS NOT NULL AND lang IS NOT NULL")))
+    discounts, last = _discounts(counts)
+    if not last:
         return None
-    by_lang = {}
-    for lang in languages:  # at most ALPHABET ** ORDER rows each
-        got = counts.where(F.col("lang") == lang).select("code", "n").orderBy("code").toArrow()
-        by_lang[lang] = got.column(0).to_numpy(), got.column(1).to_numpy()
-    union = np.unique(np.concatenate([c for c, _ in by_lang.values()]))
-    cube = ALPHABET ** (ORDER - 1)
-    seen, three, back = [], [], []
-    for lang in languages:
-        codes, n = by_lang[lang]
-        lower, types = [], codes
-        for order in range(ORDER - 1, 0, -1):  # continuations: in how many ways each shorter gram goes on to the left
-            types, ways = np.unique(types % ALPHABET ** order, return_counts=True)
-            lower.append((order, types, ways))
-        below = np.full(ALPHABET, 1 / ALPHABET)
-        for order, grams, ways in reversed(lower):
-            below = _lower(grams, ways, order, below).ravel()
-        total = np.bincount(codes // ALPHABET, weights=n, minlength=cube)
-        kinds = np.bincount(codes // ALPHABET, minlength=cube)
-        d = _discount(n)
-        rest = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        top = rest[union // ALPHABET] * below[union % cube]
-        at = np.searchsorted(union, codes)
-        top[at] += np.maximum(n - d, 0) / total[codes // ALPHABET]
-        seen.append(np.log2(top))
-        three.append(np.log2(below))
-        back.append(np.log2(rest))
-    return Model(languages, frequent, union, *(np.stack(x, axis=1).astype(np.float32) for x in (seen, three, back)))
+    symbols = len(np.unique(np.concatenate([d for d, _ in last.values()]))) + 1
+    alone = {}
+    for lang, (d, n) in last.items():
+        rest = discounts[lang][0] * len(n) / n.sum()
+        alone[lang] = d, np.log2(np.maximum(n - discounts[lang][0], 0) / n.sum() + rest / symbols), float(np.log2(rest / symbols))
+
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        lang, third = key[0].as_py(), key[1].as_py()
+        front, back, n = (table.column(c).to_numpy() for c in ("front", "back", "n"))
+        seen, logs, _ = alone[lang]
+        place = np.lexsort((back, front))
+        d = (back[place] & _POINT).astype(np.uint64)
+        keys, values = _slice(front, back, n, discounts[lang], np.exp2(logs[np.searchsorted(seen, d)]))
+        return pa.table({"lang": [lang] * len(keys), "third": np.full(len(keys), third), "key": keys.view(np.int64), "log": values})
+
+    sliced = counts.withColumn("third", F.shiftright("back", 21))
+    table = cut_lineage(sliced.groupBy("lang", "third").applyInArrow(fit, "lang string, third long, key long, log float"))
+    sizes = table.groupBy("lang", "third").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "third").collect()  # a row for each symbol
+    number, room, dealt = 0, ENTRIES, []
+    for lang, third, n in sizes:
+        if n > room and room < ENTRIES:
+            number, room = number + 1, ENTRIES
+        room -= n
+        dealt.append((lang, third, number))
+    passes = {}
+    for lang in last:
+        own = [(t, p) for name, t, p in dealt if name == lang]
+        passes[lang] = np.array([t for t, _ in own], np.uint64), np.array([p for _, p in own], np.int64)
+    if number:
+        spark = docs.sparkSession
+        of = spark.createDataFrame(dealt, "lang string, third long, pass int")
+        table = table.join(F.broadcast(of), ["lang", "third"]).repartition(shuffle_parts(spark))
+    else:
+        table = table.withColumn("pass", F.lit(0))
+    return Model(sorted(last), table, passes, alone, number + 1)
+
+
+def entropies(parts: Sequence[Part], number: int, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of each text in each language as far as one pass has them, its symbols, and whether it has a letter."""
+    bits, symbols = np.zeros((len(texts), len(parts))), np.zeros(len(texts), dtype=np.int64)
+    lettered = np.zeros(len(texts), dtype=bool)
+    for start, portion in _portions(texts):
+        s, at, begin = _symbols(portion)
+        ends = np.r_[begin[1:], len(at)]
+        rows = slice(start, start + len(portion))
+        symbols[rows] = ends - begin
+        if not len(at):
+            continue
+        grams = [s[at - k] for k in (3, 2, 1, 0)]
+        _, first, of = np.unique(_key(*grams), return_index=True, return_inverse=True)
+        kinds = [x[first] for x in grams]
+        for k, part in enumerate(parts):
+            sums = np.r_[0, np.cumsum(part.grams(kinds, number)[of])]
+            bits[rows, k] = -(sums[ends] - sums[begin])
+        letter = np.r_[0, np.cumsum(_kinds()[1][grams[3].astype(np.int64)])]
+        lettered[rows] = letter[ends] > letter[begin]
+    return bits, symbols, lettered
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
             keep: Sequence[str] = ()) -> DataFrame:
-    """``lang_pred``, ``score``, ``bits`` and ``symbols`` of every text, with the columns ``keep``.
+    """``lang_pred``, ``score``, ``bits`` and ``symbols`` of every text, with the id and the columns ``keep``.
 
     The language with the fewest bits per symbol is predicted, the first by name of
     equals; ``bits`` is its cross-entropy. ``score`` is its share if two to the minus
     total bits (of at most 20 symbols, so that it stays informative) are shared out. A
-    null text, or one without a letter, is ``und`` with score 0.
+    null text, or one without a letter, is ``und`` with score 0. Repeated rows are told
+    each; a kept column may not have one of the four names.
     """
-    passed = [F.col(c) for c in dict.fromkeys([id_col, *keep])]
-    picked = docs.select(*passed, F.col(text_col).cast("string").alias("__text"))
-    fields = [f for f in picked.schema.fields if f.name != "__text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    spread = picked.sparkSession.sparkContext.broadcast(model)  # size bounded by alphabet and languages
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = spread.value
-        names = np.array([*own.languages, NONE])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits, symbols, lettered = own.entropies(batch.column(len(fields)).to_pylist())
-            best = bits.argmin(axis=1)
-            low = bits[np.arange(len(bits)), best]
-            weights = np.exp2(-(bits - low[:, None]) * np.minimum(symbols, 20)[:, None])
-            score = np.where(lettered, 1 / weights.sum(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(len(fields))),
-                 pa.array(names[np.where(lettered, best, len(own.languages))].tolist(), pa.string()), pa.array(score),
-                 pa.array(np.where(lettered, low, 0.0)), pa.array(np.where(lettered, symbols, 0), pa.int64())],
-                names=[*(f.name for f in fields), "lang_pred", "score", "bits", "symbols"])
-
-    return picked.mapInArrow(mark, f"{schema}, lang_pred string, score double, bits double, symbols long")
+    clash = {"lang_pred", "score", "bits", "symbols"} & {id_col, *keep}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} would come twice")
+    told = docs.select(*dict.fromkeys([id_col, *keep]), F.col(text_col).cast("string").alias("__text"),
+                       F.array_repeat(F.lit(0.0), len(model.languages)).alias("__bits"),
+                       F.lit(0).cast("long").alias("symbols"), F.lit(False).alias("__lettered"))
+    fields = [f for f in told.schema.fields if f.name not in ("__text", "__bits", "symbols", "__lettered")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.schema.fields)
+    for number in range(model.count):  # one, unless the models are very large
+        spread = told.sparkSession.sparkContext.broadcast(model.part(number))
+
+        def add(batches: Iterator[pa.RecordBatch], spread=spread, number=number, last=number + 1 == model.count) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                k = len(fields)
+                bits, symbols, lettered = entropies(spread.value, number, batch.column(k).to_pylist())
+                before = batch.column(k + 1).flatten().to_numpy().reshape(bits.shape)
+                flat = pa.array((before + bits).ravel())
+                to = pa.array(np.arange(0, len(flat) + 1, bits.shape[1], dtype=np.int32))
+                text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column(k)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(j) for j in range(k)), text, pa.ListArray.from_arrays(to, flat), pa.array(symbols), pa.array(lettered)],
+                    names=batch.schema.names)
+
+        told = told.mapInArrow(add, schema)
+    names = F.array(*[F.lit(x) for x in model.languages])
+    per = F.transform("__bits", lambda x: x / F.greatest(F.col("symbols"), F.lit(1)))
+    out = told.withColumn("__per", per).withColumn("__low", F.array_min("__per"))
+    shares = F.aggregate("__per", F.lit(0.0), lambda total, x: total + F.pow(
+        F.lit(2.0), -(x - F.col("__low")) * F.least(F.col("symbols"), F.lit(20))))
+    best = F.element_at(names, F.array_position("__per", F.col("__low")).cast("int"))
+    lettered = F.col("__lettered")
+    return out.select(
+        *[F.col(f"`{f.name}`") for f in fields],
+        F.when(lettered, best).otherwise(NONE).alias("lang_pred"), F.when(lettered, 1 / shares).otherwise(0.0).alias("score"),
+        F.when(lettered, F.col("__low")).otherwise(0.0).alias("bits"),
+        F.when(lettered, F.col("symbols")).otherwise(F.lit(0).cast("long")).alias("symbols"))
 
 
 def _length_class(symbols: Column) -> Column:
@@ -279,7 +371,7 @@ def calibrate(told: DataFrame, lang_col: str = "lang") -> dict[tuple[str, int],
     """Most bits per symbol that pass, by language and length class (powers of two).
 
     From texts whose prediction is their label: the median plus four times the way to the
-    99.9th percentile. At most 200 languages times 32 classes.
+    99.9th percentile. A row for each language and class comes to the driver.
     """
     own = told.where(F.col("lang_pred") == F.col(lang_col)).withColumn("size", _length_class(F.col("symbols")))
     found = own.groupBy("lang_pred", "size").agg(

@@ -1,9 +1,12 @@
 """Letter models against their definition, and on held-out texts."""
 
 import math
+import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -18,19 +21,19 @@ def docs(frame, per=40):
     return frame([*rows, (7, "no label", None, "s", 1), *odd_rows()], DOCS)
 
 
-def grams(text, table):
-    """Classes of a text as the module describes them, one gram for each symbol."""
+def grams(text):
+    """Symbols of a text as the module describes them, one gram for each."""
     symbols = [0, 0, 0]
     for c in text.lower() + " ":
-        k = int(table[ord(c)])
+        k = ord(c) if unicodedata.category(c)[0] in "LM" else 0
         if k or symbols[-1]:
             symbols.append(k)
     return [tuple(symbols[i - 3:i + 1]) for i in range(3, len(symbols))]
 
 
-def plain_model(texts, table):
+def plain_model(texts, size):
     """Interpolated Kneser-Ney by the textbook, with dictionaries."""
-    counts = {4: Counter(g for t in texts for g in grams(t, table))}
+    counts = {4: Counter(g for t in texts for g in grams(t))}
     for order in (3, 2, 1):
         counts[order] = Counter(g[1:] for g in counts[order + 1])
     discount = {}
@@ -46,9 +49,7 @@ def plain_model(texts, table):
 
     def p(g):
         order = len(g)
-        if not order:
-            return 1 / language.ALPHABET
-        below = p(g[1:]) if order > 1 else 1 / language.ALPHABET
+        below = p(g[1:]) if order > 1 else 1 / size
         total = totals[order][g[:-1]]
         if not total:
             return below
@@ -58,26 +59,62 @@ def plain_model(texts, table):
     return p
 
 
-def test_entropies_follow_the_definition(frame):
+PROBE = [prose(999, 30, "de"), "zebra, quiz! 12 zzz", "漢字", prose(3, 4, "fr") + "\x00\x00 x", "हिन्दी", ""]
+
+
+@pytest.mark.parametrize("entries,passes", [(6_000_000, 1), (400, 4)])
+def test_entropies_follow_the_definition(frame, monkeypatch, entries, passes):
+    monkeypatch.setattr(language, "ENTRIES", entries)
     model = language.train(docs(frame))
-    table = language._classes(model.frequent)
-    assert model.languages == sorted(KINDS)
-    probe = [prose(999, 30, "de"), "zebra, quiz! 12 zzz", "漢字", prose(3, 4, "fr") + "\x00\x00 x"]
-    bits, symbols, lettered = model.entropies(probe)
+    assert model.languages == sorted(KINDS) and model.count >= passes
+    found = [language.entropies(model.part(k), k, PROBE) for k in range(model.count)]
+    bits, (_, symbols, lettered) = sum(f[0] for f in found), found[0]
+    own_texts = {lang: [prose(n, 15 + 3 * n, lang) for n in range(40)] for lang in KINDS}
+    size = len({g[3] for texts in own_texts.values() for t in texts for g in grams(t)}) + 1
     for j, lang in enumerate(model.languages):
-        k = KINDS.index(lang)
-        p = plain_model([prose(n, 15 + 3 * n, lang) for n in range(40)], table)
-        for i, text in enumerate(probe):
-            own = [p(g) for g in grams(text, table)]
+        p = plain_model(own_texts[lang], size)
+        for i, text in enumerate(PROBE):
+            own = [p(g) for g in grams(text)]
             assert symbols[i] == len(own)
-            assert math.isclose(bits[i, j], -sum(map(math.log2, own)) / len(own), rel_tol=1e-4), (lang, k, text)
-    assert lettered.all()
+            assert math.isclose(bits[i, j], -sum(map(math.log2, own)), rel_tol=1e-4, abs_tol=1e-9), (lang, text)
+    assert lettered.tolist() == [True] * 5 + [False]
+    rows = language.predict(docs(frame), model, keep=["lang"]).where("lang IS NOT NULL").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= len(rows) - 2
 
 
 def test_probabilities_sum_to_one(frame):
     model = language.train(docs(frame))
-    cube = np.exp2(model.three.astype(float)).reshape(-1, language.ALPHABET, len(KINDS)).sum(axis=1)
-    assert np.allclose(cube, 1, atol=1e-3)
+    part = model.part(0)[model.languages.index("de")]
+    symbols = np.unique(np.concatenate([a[0] for a in model.alone.values()]))
+    text, at, _ = language._symbols([prose(3, 20, "de")])
+    for k in at[::17].tolist():
+        full = [np.full(len(symbols) + 1, s) for s in text[k - 3:k]] + [np.r_[symbols, np.uint64(0x10FFFF)]]
+        assert math.isclose(np.exp2(part.grams(full, 0)).sum(), 1, abs_tol=1e-3)
+
+
+def test_letters_beyond_the_frequent_ones_tell_languages_apart(frame):
+    """Two languages of disjoint letters beside a much larger one with fifty others."""
+    r = random.Random(4)
+    letters = {"large": [chr(0x61 + k) for k in range(26)] + [chr(0xE0 + k) for k in range(23)],
+               "one": [chr(0x430 + k) for k in range(16)], "two": [chr(0x440 + k) for k in range(16)]}
+
+    def text(lang):
+        return " ".join("".join(r.choices(letters[lang], k=r.randint(2, 8))) for _ in range(30))
+
+    rows = [(k, text(lang), lang, None, None) for lang, many in (("large", 400), ("one", 60), ("two", 60)) for k in range(many)]
+    model = language.train(frame(rows, DOCS))
+    new = [(k, text(lang), lang, None, None) for lang in ("one", "two") for k in range(100)]
+    got = language.predict(frame(new, DOCS), model, keep=["lang"]).collect()
+    assert sum(x["lang"] == x["lang_pred"] for x in got) == 200 and min(x["score"] for x in got) > 0.99
+
+
+def test_repeated_rows_ties_and_clashing_names(frame):
+    rows = [(1, "same text here", lang, None, None) for lang in ("a", "b")] * 3
+    model = language.train(frame(rows, DOCS))
+    got = language.predict(frame(rows, DOCS), model, keep=["lang"]).collect()
+    assert len(got) == 6 and {x["lang_pred"] for x in got} == {"a"} and {round(x["score"], 9) for x in got} == {0.5}
+    with pytest.raises(ValueError):
+        language.predict(frame(rows, DOCS).withColumnRenamed("source", "bits"), model, keep=["bits"])
 
 
 def test_held_out_texts_are_told(frame):
