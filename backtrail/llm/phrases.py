@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from backtrail.llm.common import shuffle_parts
 from backtrail.session import drop_scratch, scratch_path
 
 #: What ends a piece of text: punctuation and U+000A to U+000D.
@@ -34,11 +35,16 @@ MAX_SLOTS = 1 << 25
 #: Slots for each phrase that reaches the threshold in the first step in which any does.
 SLOTS_EACH = 32
 #: Bytes of text that a task counts together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+#: Parts of a language that are ranked apart before its best phrases meet.
+PARTS = 32
+#: Bytes of text for each bucket in which counts meet.
+BUCKET_BYTES = 8 << 20
 
 _NEVER = 255
 _BLANKS = bytes.maketrans(SEPARATORS + b"\t", b"\n" * len(SEPARATORS) + b" ")
 _COUNTS = "lang string, n int, start int, phrase string, f long"
+_ARROW = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("start", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,8 +64,8 @@ def _slots(hashes: np.ndarray, table_size: int) -> np.ndarray:
 
 
 def count_texts(lang: str, texts: list[bytes], tables: list[np.ndarray], step: int, cycle: int,
-                ) -> Iterator[tuple[int, np.ndarray, list[str] | pa.Array, np.ndarray]]:
-    """(words, starting steps, phrases, counts) of the phrases that are counted in this step.
+                ) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """(words, starting steps, phrases, counts, hashes) of the phrases that are counted in this step.
 
     Length 0 is all words together. ``tables`` holds the slots of words, pairs and so on.
     """
@@ -71,11 +77,11 @@ def count_texts(lang: str, texts: list[bytes], tables: list[np.ndarray], step: i
     if len(words) == 1:
         return
     names = pa.array(words, pa.binary())
+    hashes = _word_hashes(lang, words)
     if step < cycle:
         counts = np.bincount(ids, minlength=len(words))[1:]
-        yield 0, np.zeros(1, np.int32), [""], counts.sum(keepdims=True)
-        yield 1, np.zeros(len(counts), np.int32), names[1:].cast(pa.string()), counts
-    hashes = _word_hashes(lang, words)
+        yield 0, np.zeros(1, np.int32), pa.array([""]), counts.sum(keepdims=True), np.zeros(1, np.uint64)
+        yield 1, np.zeros(len(counts), np.int32), names[1:].cast(pa.string()), counts, hashes[1:]
     own, within, phrase = hashes[ids], ids > 0, ids
     level = tables[0][_slots(own, len(tables[0]))]
     for n in range(2, len(tables) + 2):
@@ -85,31 +91,56 @@ def count_texts(lang: str, texts: list[bytes], tables: list[np.ndarray], step: i
         within = within[:-1] & (ids[n - 1:] > 0)
         last = ids[n - 1:]
         counted = np.flatnonzero(within & (start <= step) & (step < start + cycle))
+        following = _joined(own[:-1], hashes[last])
         if len(counted):
             _, first, counts = np.unique(phrase[:-1][counted] * len(words) + last[counted],
                                          return_index=True, return_counts=True)
             at = counted[first]
             parts = [names.take(pa.array(ids[at + k])) for k in range(n)]
             spelt = pa.compute.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
-            yield n, start[at], spelt.cast(pa.string()), counts
+            yield n, start[at], spelt.cast(pa.string()), counts, following[at]
         if n <= len(tables):
-            own = _joined(own[:-1], hashes[last])
+            own = following
             level = tables[n - 1][_slots(own, len(tables[n - 1]))]
-            _, phrase = np.unique(phrase[:-1] * len(words) + last, return_inverse=True)
+            phrase = phrase[:-1] * len(words) + last
+            if len(words) ** (n + 1) >= 1 << 63:  # the words no longer fit side by side
+                _, phrase = np.unique(phrase, return_inverse=True)
+
+
+def _blob(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _ARROW, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
 
 
-def _scan(shard: DataFrame, tables: list[np.ndarray], step: int, cycle: int) -> DataFrame:
-    """Counts of one shard: ``lang``, ``n`` words, ``start``, ``phrase``, ``f``; several rows of a phrase."""
+def _scan(shard: DataFrame, tables: list[np.ndarray], step: int, cycle: int, buckets: int) -> DataFrame:
+    """Counts of one shard by ``bucket`` of the phrase, packed: a blob for each bucket that a task's texts meet."""
     shared = shard.sparkSession.sparkContext.broadcast(tables)
 
     def counted(by_lang: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        parts, own = [], []
         for lang, texts in by_lang.items():
-            for n, start, phrase, f in count_texts(lang, texts, shared.value, step, cycle):
+            for n, start, phrase, f, hashes in count_texts(lang, texts, shared.value, step, cycle):
                 size = len(f)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * size, pa.string()), pa.array(np.full(size, n, np.int32)),
-                     pa.array(start.astype(np.int32)), pa.array(phrase, pa.string()), pa.array(f.astype(np.int64))],
-                    names=["lang", "n", "start", "phrase", "f"])
+                parts.append(pa.table([
+                    pa.array([lang] * size, pa.string()), pa.array(np.full(size, n, np.int32)), pa.array(start.astype(np.int32)),
+                    phrase, pa.array(f.astype(np.int64))], schema=_ARROW))
+                own.append((hashes % np.uint64(buckets)).astype(np.int64))
+        if not parts:
+            return
+        bucket = np.concatenate(own)
+        rank = np.argsort(bucket, kind="stable")
+        bucket = bucket[rank]
+        rows = pa.concat_tables(parts).combine_chunks().take(pa.array(rank))
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[cuts[:-1]].astype(np.int32)),
+             pa.array([_blob(rows.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["bucket", "counts"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = defaultdict(list)
@@ -124,7 +155,33 @@ def _scan(shard: DataFrame, tables: list[np.ndarray], step: int, cycle: int) ->
                     size = 0
         yield from counted(held)
 
-    return shard.select("lang", "text").mapInArrow(scan, _COUNTS)
+    return shard.select("lang", "text").mapInArrow(scan, "bucket int, counts binary")
+
+
+def _summed(packed: DataFrame, step: int, cycle: int, threshold: int) -> DataFrame:
+    """The counts of all blobs of a bucket together.
+
+    Rows: what has had its cycle and is frequent (``whole``), and what is frequent but
+    still open. One row for each bucket has in ``counts`` all that is still open.
+    """
+
+    def sum_up(found: pa.Table) -> pa.Table:
+        tables = [_table(b) for b in found.column("counts").to_pylist()]
+        summed = pa.concat_tables(tables).group_by(["lang", "n", "start", "phrase"]).aggregate([("f", "sum")])
+        summed = summed.select(["lang", "n", "start", "phrase", "f_sum"]).rename_columns(_ARROW.names)
+        whole = pa.compute.less_equal(pa.compute.add(summed["start"], cycle - 1), step)
+        often = pa.compute.or_(pa.compute.greater_equal(summed["f"], threshold), pa.compute.equal(summed["n"], 0))
+        rows, ended = summed.filter(often), whole.filter(often)
+        left = summed.filter(pa.compute.invert(whole))
+        blobs = [None] * rows.num_rows
+        if left.num_rows:
+            rows = pa.concat_tables([rows, pa.table([[None]] * 5, schema=_ARROW)])
+            ended = pa.chunked_array([*ended.chunks, pa.array([False])])
+            blobs.append(_blob(left.cast(_ARROW)))
+        key = pa.array([found.column("bucket")[0].as_py()] * rows.num_rows, pa.int32())
+        return pa.table([*rows.columns, ended, key, pa.array(blobs, pa.binary())], names=[*_ARROW.names, "whole", "bucket", "counts"])
+
+    return packed.groupBy("bucket").applyInArrow(sum_up, f"{_COUNTS}, whole boolean, bucket int, counts binary")
 
 
 def _taken(reached: DataFrame, n: int, table_size: int) -> np.ndarray:
@@ -175,35 +232,33 @@ def phrase_counts(docs: DataFrame, threshold: int = 10, longest: int = 3, cycle:
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
                         F.pmod(F.monotonically_increasing_id(), F.lit(cycle)).cast("int").alias("shard"))
     shards = _written(dealt, f"{home}/shards", "lang string, text binary, shard int", "shard")
+    size = shards.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_parts(spark), size // BUCKET_BYTES)
     tables = [np.full(1 << 10, _NEVER, np.uint8) for _ in range(longest - 1)]
     changed = [-1] * len(tables)
     open_counts: DataFrame | None = None
-    schema = _COUNTS + ", whole boolean"
+    schema = _COUNTS + ", bucket int, counts binary, whole boolean"
     step = 0
     while step < cycle or step <= max(changed, default=-1) + cycle:
-        fresh = _scan(shards.where(F.col("shard") == step % cycle), tables, step, cycle)
-        both = fresh if open_counts is None else fresh.unionByName(open_counts)
-        summed = both.groupBy("lang", "n", "start", "phrase").agg(F.sum("f").alias("f"))
-        whole = F.col("start") + F.lit(cycle - 1) <= F.lit(step)
-        often = F.col("f") >= threshold
-        kept = summed.withColumn("whole", whole).where(~whole | often | (F.col("n") == 0))
-        counts = _written(kept, f"{home}/step={step}", schema, "whole")
-        reached = {r["n"]: r["size"] for r in counts.where(often & F.col("n").between(1, longest - 1)).groupBy("n").agg(
-            F.count(F.lit(1)).alias("size")).collect()}  # a row for each length
+        packed = _scan(shards.where(F.col("shard") == step % cycle), tables, step, cycle, buckets)
+        packed = packed if open_counts is None else packed.unionByName(open_counts)
+        counts = _written(_summed(packed, step, cycle, threshold), f"{home}/counts/step={step}", schema, "whole")
+        often = counts.where((F.col("f") >= threshold) & F.col("n").between(1, longest - 1))
+        reached = {r["n"]: r["size"] for r in often.groupBy("n").agg(F.count(F.lit(1)).alias("size")).collect()}  # a row for each length
         for n, size in reached.items():
             table = tables[n - 1]
             if changed[n - 1] < 0:
                 table = tables[n - 1] = np.full(min(MAX_SLOTS, 1 << (SLOTS_EACH * size).bit_length()), _NEVER, np.uint8)
-            new = _taken(counts.where(often & (F.col("n") == n)), n, len(table)) & (table == _NEVER)
+            new = _taken(often.where(F.col("n") == n), n, len(table)) & (table == _NEVER)
             if new.any():
                 table[new] = step
                 changed[n - 1] = step
         if step:
-            drop_scratch(spark, f"{home}/step={step - 1}/whole=false")
-        open_counts = counts.where(~F.col("whole")).drop("whole")
+            drop_scratch(spark, f"{home}/counts/step={step - 1}/whole=false")
+        open_counts = counts.where(F.col("counts").isNotNull()).select("bucket", "counts")
         step += 1
     drop_scratch(spark, f"{home}/shards")
-    found = spark.read.schema(schema + ", step int").parquet(home)
+    found = spark.read.schema(schema + ", step int").parquet(f"{home}/counts")
     return found.where("whole").select("lang", "n", "phrase", "f")
 
 
@@ -238,8 +293,11 @@ def collocations(counts: DataFrame, covered: int = 50, best: int = 2000) -> Data
     backs = counts.where("n >= 1").select("lang", F.col("phrase").alias("back"), F.col("f").alias("r"))
     scored = cuts.join(fronts, ["lang", "front"]).join(backs, ["lang", "back"]).withColumn("score", _cut_score())
     lowest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("low"))
-    order = Window.partitionBy("lang").orderBy(F.desc("low.score"), F.desc("low.a"), "phrase")
-    ranked = lowest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+    order = (F.desc("low.score"), F.desc("low.a"), "phrase")
+    # the best of each part of a language first, so that few rows of it meet
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    near = lowest.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= best)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "low.a", "low.l", "low.r",
         F.col("total").alias("n"), "low.score")

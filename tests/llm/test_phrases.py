@@ -52,6 +52,7 @@ def table_of(frame):
 @pytest.mark.parametrize("cycle,slots", [(3, None), (1, None), (2, 4)])
 def test_collocations_equal_plain_counting(frame, monkeypatch, cycle, slots):
     monkeypatch.setattr(phrases, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(phrases, "BUCKET_BYTES", 5000)
     if slots:  # so few that phrases share them
         monkeypatch.setattr(phrases, "MAX_SLOTS", slots)
     docs = table_of(frame).repartition(5)
@@ -74,7 +75,7 @@ def test_a_longer_phrase_waits_for_both_its_parts():
     assert [n for n, *_ in phrases.count_texts("en", texts, tables, 0, 2)] == [0, 1]
     ids = phrases._word_hashes("en", [b"a", b"b"])
     tables[0][phrases._slots(ids, 1 << 10)] = 0
-    found = {n: (p if n == 0 else p.to_pylist(), f.tolist()) for n, _, p, f in phrases.count_texts("en", texts, tables, 1, 2)}
+    found = {n: (p.to_pylist(), f.tolist()) for n, _, p, f, _ in phrases.count_texts("en", texts, tables, 1, 2)}
     assert found[2] == (["a b"], [2]) and 3 not in found
     assert [n for n, *_ in phrases.count_texts("en", texts, tables, 3, 2)] == []  # it had its cycle
 
