@@ -2,8 +2,7 @@
 
 No rule rejects a text alone. Each votes ``bad`` (-1) or ``good`` (1) or abstains (0);
 how often each casts either vote on bad and on good texts is estimated from the votes on
-all documents, without labels, and a text goes by its posterior probability if two or
-more rules call it bad.
+all documents, without labels, and a text goes by its posterior probability.
 Everything is built-in functions; the estimation works on the counts of the vote
 patterns, of which there are at most three to the number of rules.
 """
@@ -25,8 +24,6 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
             "n_letters", "n_distinct", "n_adjacent", "n_shouts", "n_symbol_runs")
 #: Words of a stretch in which different words are counted, so that their share does not fall with the length.
 STRETCH = 500
-#: Bad votes without which no posterior rejects a text.
-_BAD_VOTES = 2
 _LOW = 30  # bits that hold a place in a text; a text has fewer than 2**30 words
 _PLACE = (1 << _LOW) - 1
 
@@ -69,8 +66,9 @@ RULES: tuple[Rule, ...] = (
 )
 
 # Bounds that keep the two classes from changing places: a rule calls few good texts bad
-# and many good, whatever else it does.
-_BAD_ON_BAD, _BAD_ON_GOOD = (0.05, 0.99), (1e-4, 0.02)
+# and many good, whatever else it does. No rule is taken to be wrong on fewer than 6 in 100
+# good texts, so that one bad vote weighs less than the good votes of others.
+_BAD_ON_BAD, _BAD_ON_GOOD = (0.05, 0.99), (0.06, 0.15)
 _GOOD_ON_BAD, _GOOD_ON_GOOD = (0.05, 0.95), (0.5, 0.99)
 #: Made-up texts added to each estimate, at the middle of its bounds.
 _ADDED = 2
@@ -217,15 +215,13 @@ def verdicts(features: DataFrame, model: Model, prefix: str = "", rules: Sequenc
 
     The base fails under 50 words, or if over half of the words stand in repeated
     windows; such a text is not kept whatever the votes. Others are kept if the
-    posterior probability of a good text is ``threshold`` or more, or if fewer than two
-    rules call them bad.
+    posterior probability of a good text is ``threshold`` or more.
     """
     n, again = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
     failed = (n < 50) | (100 * again > 50 * n)
     cast = votes(prefix, rules)
-    good, bad = model.good(cast), sum(((v == -1).cast("int") for v in cast), F.lit(0))
-    return features.withColumns({prefix + "base_failed": failed, prefix + "p_good": good}).withColumn(
-        prefix + "kept", ~F.col(prefix + "base_failed") & ((F.col(prefix + "p_good") >= threshold) | (bad < _BAD_VOTES)))
+    return features.withColumns({prefix + "base_failed": failed, prefix + "p_good": model.good(cast)}).withColumn(
+        prefix + "kept", ~F.col(prefix + "base_failed") & (F.col(prefix + "p_good") >= threshold))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

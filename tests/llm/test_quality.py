@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -31,16 +32,20 @@ def counted(text):
         if seen[window] > 1:
             again |= {k, k + 1, k + 2}
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again))
+    kinds = [unicodedata.category(c) for c in text]
+    more = (len(lines), kinds.count("Lu"), sum(k[0] in "LM" for k in kinds),
+            sum(len(set(words[i:i + quality_rules.STRETCH])) for i in range(0, len(words), quality_rules.STRETCH)),
+            sum(a == b for a, b in zip(words, words[1:])), text.count("!"), len(re.findall(r"[#*$%&|<>]+", text)))
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again), *more)
 
 
 def test_features_equal_a_plain_count(frame):
     rows = [(k, t, None, None, None) for k, t in enumerate([
-        "a b c a b c a", "a a a a a", "x y z\nx y z\n\n \nx y z", "a\x0bb\x0cc\x1cd e", "# $$ <b> |", "a b c d b c d e f b c", "one two"])]
+        "a b c a b c a", "a a a a a", "x y z\nx y z\n\n \nx y z", "a\x0bb\x0cc\x1cd e", "# $$ <b> |", "a b c d b c d e f b c", "one two", "STOP!! NOW now now ### <<x>> É ñ हिन्दी 12", "w " * 700 + "v"])]
     docs = frame(rows + odd_rows(), DOCS)
     for r in quality_rules.judge(docs).collect():
         text = docs.where(F.col("doc_id") == r["doc_id"]).first()["text"]
-        got = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+        got = tuple(r[n] for n in quality_rules.FEATURES)
         assert got == counted(text), text
         assert r["base_failed"] == (got[0] < 50 or 100 * got[4] > 50 * got[0])
 
@@ -78,6 +83,11 @@ def test_estimation_equals_a_plain_one(frame):
     got = {r["doc_id"]: r["p_good"] for r in quality_rules.verdicts(measured, model).collect()}
     assert abs(model.prior_bad - prior) < 1e-3
     assert all(abs(got[r["doc_id"]] - (1 - p)) < 1e-3 for r, p in zip(rows, bad))
+    texts = {r["doc_id"]: counted(r["text"]) for r in table(frame).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(table(frame)).collect()}
+    for r, p in zip(rows, bad):  # the posterior decides, and the base
+        n, again = texts[r["doc_id"]][0], texts[r["doc_id"]][4]
+        assert kept[r["doc_id"]] == (n >= 50 and 100 * again <= 50 * n and p <= 0.5), r["doc_id"]
 
 
 def test_junk_goes_and_prose_stays(frame):
