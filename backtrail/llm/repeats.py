@@ -31,8 +31,8 @@ from backtrail.session import scratch_path
 
 #: Bytes under the rolling hash.
 GRAM = 16
-#: Bytes that a task parses together; a longer text is parsed in parts of as many.
-BLOCK = 4 << 20
+#: Bytes whose phrases a task packs together, and bytes that it parses together; a longer text is parsed in parts.
+BLOCK, PART = 4 << 20, 1 << 20
 #: Phrases whose triggers are compared together, and bytes whose suffixes are sorted together, on average.
 PHRASES, SORTED = 1 << 19, 1 << 20
 #: A trigger with more different phrases has their strings compared one by one, wherever they are sorted.
@@ -92,24 +92,27 @@ def parse(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
     grams = rolled(data, GRAM)
-    keys = grams & ~_LOW | np.arange(len(grams), dtype=np.uint64)
-    chosen = (_least(keys, length - GRAM + 1) & _LOW).astype(np.int64)
-    strings = sizes - length + 1
-    owner = np.repeat(np.arange(len(texts)), strings)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-    own = chosen[begin[owner] + place]
-    first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])])
-    return owner[first], place[first], np.diff(np.r_[first, len(owner)]), grams[own[first]]
+    keys = grams & ~_LOW
+    keys |= np.arange(len(grams), dtype=np.uint64)
+    chosen = _least(keys, length - GRAM + 1) & _LOW
+    # a phrase begins where the trigger changes, and with each text; strings that reach into the next text are none
+    first = np.union1d(np.flatnonzero(chosen[1:] != chosen[:-1]) + 1, begin)
+    owner = np.searchsorted(begin, first, "right") - 1
+    end = begin[owner] + sizes[owner] - length + 1
+    inside = first < end
+    stop = np.minimum(np.r_[first[1:], len(data)], end)[inside]
+    first, owner = first[inside], owner[inside]
+    return owner, first - begin[owner], stop - first, grams[chosen[first].astype(np.int64)]
 
 
 def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Rows, places and parts of texts, about ``BLOCK`` bytes at a time. Each string lies in one part."""
     rows, at, parts, size = [], [], [], 0
     for row, text in enumerate(texts):
-        for place in range(0, len(text) - length + 1, BLOCK):
+        for place in range(0, len(text) - length + 1, PART):
             rows.append(row)
             at.append(place)
-            parts.append(text[place:place + BLOCK + length - 1])
+            parts.append(text[place:place + PART + length - 1])
             size += len(parts[-1])
             if size >= BLOCK:
                 yield rows, at, parts
@@ -140,7 +143,14 @@ def _in_blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[pa.RecordBa
     """Of each block its documents (once), and of its phrases document, place in it, and the parse."""
     for rows, at, parts in _blocks(batch.column(2).to_pylist(), length):
         own, doc_of = np.unique(rows, return_inverse=True)
-        owner, place, strings, trigger = parse(parts, length)
+        found, begin, size = [], 0, 0
+        for k, part in enumerate(parts):  # a few parts at a time, so that the arrays stay small
+            size += len(part)
+            if size >= PART or k + 1 == len(parts):
+                owner, *rest = parse(parts[begin:k + 1], length)
+                found.append((owner + begin, *rest))
+                begin, size = k + 1, 0
+        owner, place, strings, trigger = (np.concatenate(c) for c in zip(*found))
         yield batch.select([0, 1]).take(pa.array(own)), doc_of[owner], np.array(at)[owner] + place, parts, (owner, place, strings, trigger)
 
 
@@ -264,18 +274,24 @@ def _sent(cuts: Callable[[pa.RecordBatch], Iterator[Cut]], length: int, buckets:
     return send
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the ``length`` bytes (9 at least) from every place, by doubling; past the end come zeros."""
-    padded = np.r_[data, np.zeros(length + 8, np.uint8)]
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:len(data) + length - 7]
-    _, rank = np.unique(np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64), return_inverse=True)
-    known = 8
-    while known < length:
-        step = min(known, length - known)
-        ahead = np.r_[rank[step:], np.zeros(step, rank.dtype)]
-        _, rank = np.unique(rank * (len(rank) + 1) + ahead, return_inverse=True)
-        known += step
-    return rank[:len(data)]
+def suffix_array(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at ``at``, sorted to ``length`` bytes (8 at least), and which of them differ from the one before.
+
+    Eight bytes are compared at a time, as whole numbers; the last eight may overlap those before.
+    """
+    words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,)) if len(data) > 7 else np.zeros(0, ">u8")
+    order, new = np.arange(len(at)), np.zeros(len(at), bool)
+    new[:1] = True
+    for k in [*range(0, length - 7, 8), length - 8]:
+        group = np.cumsum(new)
+        tied = np.flatnonzero(~(new & np.r_[new[1:], True]))  # the only suffix of its group has its place
+        own = order[tied]
+        value = words[at[own] + k].astype(np.uint64)
+        rank = np.lexsort((value, group[tied])) if k else np.argsort(value, kind="stable")
+        order[tied] = own[rank]
+        value, of = value[rank], group[tied]
+        new[tied[1:]] |= (value[1:] != value[:-1]) & (of[1:] == of[:-1])
+    return order, new
 
 
 def earlier(pieces: list[bytes], order: np.ndarray, length: int) -> np.ndarray:
@@ -285,12 +301,11 @@ def earlier(pieces: list[bytes], order: np.ndarray, length: int) -> np.ndarray:
     strings = sizes - length + 1
     owner = np.repeat(np.arange(len(pieces)), strings)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-    rank = suffix_ranks(data, length)[(np.cumsum(sizes) - sizes)[owner] + place]
-    suffixes = np.argsort(rank, kind="stable")
-    new = np.flatnonzero(np.r_[True, np.diff(rank[suffixes]) > 0])
-    least = np.empty(len(data), np.int64)
-    least[rank[suffixes[new]]] = np.minimum.reduceat(order[owner[suffixes]], new)
-    hit = least[rank] < order[owner]
+    suffixes, new = suffix_array(data, (np.cumsum(sizes) - sizes)[owner] + place, length)
+    starts = np.flatnonzero(new)
+    own = order[owner[suffixes]]
+    hit = np.empty(len(owner), bool)
+    hit[suffixes] = np.minimum.reduceat(own, starts)[np.cumsum(new) - 1] < own
     new_piece = np.r_[True, owner[1:] != owner[:-1]]
     begins = np.flatnonzero(hit & (new_piece | ~np.r_[False, hit[:-1]]))
     stops = np.flatnonzero(hit & np.r_[new_piece[1:] | ~hit[1:], True])

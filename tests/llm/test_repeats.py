@@ -50,7 +50,7 @@ def table_of(frame):
 
 
 @pytest.mark.parametrize("length,options", [
-    (50, {}), (50, {"BLOCK": 3000, "PHRASES": 200, "SORTED": 2000}), (50, {"HOT": 3, "BLOCK": 700}),
+    (50, {}), (50, {"BLOCK": 3000, "PART": 900, "PHRASES": 200, "SORTED": 2000}), (50, {"HOT": 3, "BLOCK": 700, "PART": 700}),
     (50, {"TOLD": 0}), (30, {"TOLD": 0, "HOT": 2, "GRAM": 20})])
 def test_removed_bytes_equal_a_plain_search(frame, monkeypatch, length, options):
     for name, value in options.items():
@@ -95,10 +95,11 @@ def test_equal_strings_have_equal_triggers():
         assert of_place[(0, p)] == of_place[(k + 1, texts[k + 1].index(text[p:p + 50]))]
 
 
-def test_suffix_ranks_sort_as_bytes_do():
-    data = np.frombuffer((b"abracadabra" * 9 + bytes(range(1, 60))) * 2, np.uint8)
-    rank = repeats.suffix_ranks(data, 50)
-    raw = bytes(data) + b"\x00" * 50
-    keys = [raw[i:i + 50] for i in range(len(data))]
-    places = {k: n for n, k in enumerate(sorted(set(keys)))}
-    assert np.array_equal(np.argsort(rank, kind="stable"), sorted(range(len(data)), key=lambda i: places[keys[i]]))
+def test_suffixes_sort_as_bytes_do():
+    data = np.frombuffer((b"abracadabra" * 9 + bytes(range(1, 60))) * 2 + b"\xff" * 60, np.uint8)
+    raw = bytes(data)
+    for length in (8, 30, 50):
+        at = np.arange(0, len(raw) - length + 1)
+        order, new = repeats.suffix_array(data, at, length)
+        keys = [raw[i:i + length] for i in order]
+        assert keys == sorted(keys) and new.tolist() == [k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))]
