@@ -26,14 +26,16 @@ from backtrail.session import scratch_path
 #: Tokens of A in a lane.
 LANE = 512
 #: Bytes of text that are aligned together; a longer document goes alone.
-BATCH_BYTES = 4 << 20
-#: Longer texts are given to the libraries in parts of about this many letters.
-PART_LETTERS = 1 << 16
+BATCH_BYTES = 2 << 20
+#: Units of text whose ids a worker keeps, and those of the time before.
+MEMO_UNITS = 150_000
 #: A pair that holds over 1/HOT of all pairs of documents is looked up on the spot: fewer than HOT by arithmetic.
 HOT = 100_000
 
-#: Neither vocabulary has a token that reaches over a single space between two letters.
-_GAP = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: A single space; neither vocabulary has a token that reaches over one.
+_GAP = re.compile(r"(?<=\S) (?=\S)")
+#: A space beside other white space.
+_CROWDED = re.compile(r" \s|\s ")
 
 
 class TokenPair:
@@ -56,28 +58,62 @@ class TokenPair:
             for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
         self.size_a = np.array([len(x) for x in self.bytes_a])
         self.size_b = np.array([len(x) for x in self.bytes_b])
+        #: Ids of units in A (None where the bytes differ) and in B, and those of the time before.
+        self.known: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
+        self.before: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
         self.digits, self.width = _digit_table(max(len(self.bytes_a), len(self.bytes_b)))
 
-    def encode(self, texts: Sequence[str | None]) -> list[tuple[list[int], list[int]]]:
-        """Ids of a space and the text in A, and of the text, before which B puts a space.
+    def encode(self, texts: Sequence[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids (32 bits each) of a space and the text in A, and of the text, before which B puts a space.
 
-        Both are empty where the text is, or where the bytes of the tokens are not those of the text.
+        Both are empty where the text is, or where the bytes of the tokens are not those
+        of the text. The libraries encode each unit once; when the memo is full, the units
+        before it are dropped but for those that come again.
         """
-        parts = [list(_parts(t)) if t else [] for t in texts]
-        flat = [p for own in parts for p in own]
-        of_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
-        of_b = self.b.encode(flat, num_threads=1) if flat else []
-        out, at = [], 0
-        for own in parts:
-            stop = at + len(own)
-            good = all(self._spells(of_a[k], of_b[k], " " + flat[k]) for k in range(at, stop))
-            out.append(([i for ids in of_a[at:stop] for i in ids], [i for ids in of_b[at:stop] for i in ids]) if good else ([], []))
-            at = stop
+        units = [_units(t) if t else [] for t in texts]
+        if len(self.known[0]) >= MEMO_UNITS:
+            self.before, self.known = self.known, ({}, {})
+        (of_a, of_b), fresh = self.known, []
+        for unit in dict.fromkeys(u for own in units for u in own if u not in of_a):
+            if unit in self.before[0]:
+                of_a[unit], of_b[unit] = self.before[0][unit], self.before[1][unit]
+            else:
+                fresh.append(unit)
+        plain = [u for u in fresh if u and not u[0].isspace() and not u[-1].isspace()]
+        for at in range(0, len(plain), 2000):
+            part = plain[at:at + 2000]
+            found = self._together(part)
+            if found:
+                of_a.update(zip(part, found[0]))
+                of_b.update(zip(part, found[1]))
+        for unit in fresh:
+            if unit not in of_a:
+                found = self._together([unit])
+                of_a[unit], of_b[unit] = (found[0][0], found[1][0]) if found else (None, None)
+        out = []
+        for own in units:
+            a = list(map(of_a.__getitem__, own))
+            out.append((b"", b"") if None in a else (b"".join(a), b"".join(map(of_b.__getitem__, own))))
         return out
 
-    def _spells(self, a: list[int], b: list[int], text: str) -> bool:
-        raw = text.encode("utf-8", "surrogatepass")
-        return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+    def _together(self, units: list[str]) -> list[list[bytes]]:
+        """Ids of units in A and in B, encoded as one text and cut where the units end; nothing if the bytes differ."""
+        text = " ".join(units)
+        raw = (" " + text).encode("utf-8", "surrogatepass")
+        ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) + 1 for u in units])
+        out = []
+        for ids, sizes, spelt in ((self.a.encode(" " + text, add_special_tokens=False).ids, self.size_a, self.bytes_a),
+                                  (self.b.encode(text), self.size_b, self.bytes_b)):
+            if b"".join(map(spelt.__getitem__, ids)) != raw:
+                return []
+            own = np.array(ids, "<u4")
+            upto = np.cumsum(sizes[own])
+            at = np.searchsorted(upto, ends)
+            if not np.array_equal(upto[at], ends):
+                return []
+            stops, flat = ((at + 1) * 4).tolist(), own.tobytes()
+            out.append([flat[a:b] for a, b in zip([0, *stops], stops)])
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -86,16 +122,14 @@ def token_pair(path_a: str, path_b: str) -> TokenPair:
     return TokenPair(path_a, path_b)
 
 
-def _parts(text: str) -> Iterator[str]:
-    """The text without the spaces at which it is cut: each part gets one in front again."""
-    at = 0
-    while len(text) - at > PART_LETTERS:
-        gap = _GAP.search(text, at + PART_LETTERS)
-        if gap is None:
-            break
-        yield text[at:gap.start()]
-        at = gap.end()
-    yield text[at:]
+def _units(text: str) -> list[str]:
+    """The text cut at its single spaces; each unit gets one in front again.
+
+    Before such a space either library begins a new token, whatever follows.
+    """
+    if text[0] == " " or text[-1] == " " or _CROWDED.search(text):
+        return _GAP.split(text)
+    return text.split(" ")
 
 
 def _digit_table(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +166,11 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, stop_a
 class Aligned:
     """The alignment of a batch: tokens, links, cuts and pairs of all its documents behind each other."""
 
-    def __init__(self, own: TokenPair, found: list[tuple[list[int], list[int]]]) -> None:
-        count_a = np.array([len(a) for a, _ in found], np.int64)
-        count_b = np.array([len(b) for _, b in found], np.int64)
-        self.a = np.fromiter((i for a, _ in found for i in a), np.int64, count_a.sum())
-        self.b = np.fromiter((i for _, b in found for i in b), np.int64, count_b.sum())
+    def __init__(self, own: TokenPair, found: list[tuple[bytes, bytes]]) -> None:
+        count_a = np.array([len(a) // 4 for a, _ in found], np.int64)
+        count_b = np.array([len(b) // 4 for _, b in found], np.int64)
+        self.a = np.frombuffer(b"".join([a for a, _ in found]), "<u4").astype(np.int64)
+        self.b = np.frombuffer(b"".join([b for _, b in found]), "<u4").astype(np.int64)
         ends_a, ends_b = np.cumsum(own.size_a[self.a]), np.cumsum(own.size_b[self.b])
         self.after_a, self.after_b = np.r_[0, np.cumsum(count_a)], np.r_[0, np.cumsum(count_b)]
         lanes = -(-count_a // LANE)

@@ -1,8 +1,10 @@
 """Alignments against plain overlaps of byte ranges."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -65,7 +67,7 @@ def table_of(frame):
 
 def test_links_and_groups_equal_plain_overlaps(frame, plain, monkeypatch):
     monkeypatch.setattr(alignment, "LANE", 7)
-    monkeypatch.setattr(alignment, "PART_LETTERS", 200)
+    monkeypatch.setattr(alignment, "MEMO_UNITS", 30)
     monkeypatch.setattr(alignment, "BATCH_BYTES", 5000)
     docs = table_of(frame).repartition(3)
     got = Counter()
@@ -101,7 +103,16 @@ def test_report_equals_plain_counts(frame, plain, monkeypatch, hot):
     assert alignment.alignment_report(docs.limit(0), A, B).collect() == []
 
 
-def test_no_piece_reaches_over_a_space_between_letters():
+def test_units_give_the_tokens_of_the_whole_text(plain):
     own = alignment.TokenPair(A, B)
-    for raw in own.bytes_a + own.bytes_b:
+    for raw in own.bytes_a + own.bytes_b:  # no token reaches over a single space
         assert not alignment._GAP.search(raw.decode("utf-8", "replace"))
+    a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    a.encode_special_tokens = True
+    r = random.Random(2)
+    marks = [" ", " ", "  ", "\n", " \n", "\t ", "\u00a0", " \u3000", "\x1c ", "'s ", ". ", "12", "-", "é", "漢", "\U0001f600", "a", "The", "don't"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    for text, (x, y) in zip(texts, own.encode(texts)):
+        assert x == b"" or np.frombuffer(x, "<u4").tolist() == a.encode(" " + text, add_special_tokens=False).ids, repr(text)
+        assert y == b"" or np.frombuffer(y, "<u4").tolist() == b.encode(text), repr(text)
+        assert (x == b"") == (plain(text)[0] == [])
