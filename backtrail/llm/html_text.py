@@ -27,7 +27,9 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video xmp".split())
-_ASIDE = frozenset("head nav header footer aside form menu button select option dialog fieldset".split())
+_ASIDE = frozenset("head nav header footer aside menu button select option dialog".split())
+#: Elements that may hold a form, or a page that is sent as one: they go unless they hold the article or most of the text.
+_FORMS = frozenset("form fieldset".split())
 #: Words in a class, id or role that may name something beside the article.
 _ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners "
@@ -35,7 +37,12 @@ _ASIDE_WORDS = frozenset(
     "menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside side rail footer footers header masthead topbar "
     "toolbar comment comments commentlist respond reply replies disqus discussion share sharing social related recommended "
     "newsletter subscribe subscription signup login search widget widgets toc skip copyright complementary contentinfo "
-    "search form".split())
+    "form".split())
+#: Words beside those in such a name that say nothing; with any other word a name is not taken to mean one of them.
+_FILLERS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content entry global group head icon icons inner "
+    "item items left link links list main media module outer page panel post primary right row secondary section site slot "
+    "text title top unit wrap wrapper".split())
 #: An element of the first kind ends an open one of the second, up to one of the third.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -51,6 +58,7 @@ _NEAR = 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _MARKS = re.compile(r"[.,;:!?…。、，！？；：]")
@@ -136,7 +144,7 @@ class _Page:
 
 def _meaning(tag: str, attributes: str) -> tuple[bool, bool, str]:
     """Whether an element stands beside the article, whether its name says so, and its step in a path."""
-    beside, named, step = tag in _ASIDE, False, tag
+    beside, named, step = tag in _ASIDE, tag in _FORMS, tag
     if attributes and tag not in ("html", "body", "article", "main"):
         for name, *values in _NAMED.findall(attributes):
             name, value = name.lower(), "".join(values)
@@ -146,19 +154,27 @@ def _meaning(tag: str, attributes: str) -> tuple[bool, bool, str]:
                 beside |= "display:none" in value.replace(" ", "").lower()
             elif value:
                 names = [w for w in value.split() if not w.lower().startswith(("has-", "with-", "no-"))]
-                named |= any(w.lower() in _ASIDE_WORDS for part in names for w in _WORD.findall(part))
+                named |= any(_says_aside([w.lower() for w in _WORD.findall(part)]) for part in names)
                 if name == "class":
                     step = f"{tag}.{value.split()[0]}" if value.split() else tag
     return beside, named, step
 
 
+def _says_aside(words: list[str]) -> bool:
+    """Whether a name means something beside the article: ``ad-slot`` does, ``side-effects`` does not."""
+    return any(w in _ASIDE_WORDS for w in words) and all(w in _ASIDE_WORDS or w in _FILLERS for w in words)
+
+
 def blocks(page: str) -> list[Block]:
     """All blocks of text in page order, references decoded, white space as one space."""
     state, at, n = _Page(), 0, len(page)
     while at < n:
         token = _TOKEN.match(page, at)
-        at = token.end()
         slash, tag, attributes, text = token.groups()
+        loose = _LOOSE.match(page, at) if text == "<" else None
+        if loose:  # a tag with a quote that never ends
+            token, (slash, tag, attributes), text = loose, loose.groups(), None
+        at = token.end()
         if text is not None:
             state.say(html.unescape(text))
         elif tag:

@@ -99,6 +99,59 @@ def test_a_name_does_not_take_the_article_along():
     assert html_text.main_text(page(nested)).split("\n") == ["Title", (LONG * 6).strip(), "Short, but said.", (LONG * 6).strip()]
 
 
+def test_a_form_around_the_page_stays_and_a_form_in_it_goes():
+    body = f"<div><p>{LONG * 4}</p><p>{LONG * 5}</p></div>"
+    for parts in (f"<form id=x>{body}</form>", f"<form id=x><fieldset>{body}</fieldset><input></form>",
+                  f"<form><article>{body}</article></form>", f"{body}<form><p>Your name, please, and your address.</p></form>"):
+        assert html_text.main_text(page(parts)).split("\n") == [(LONG * 4).strip(), (LONG * 5).strip()], parts
+
+
+def test_names_that_only_begin_like_an_advert_do_not_count():
+    three = "<p>" + LONG * 3 + "</p>"
+    for part in (f"<section id=side-effects>{three}</section>", f"<section class='related-work'>{three}</section>", f"<div class=share-price>{three}</div>"):
+        text = html_text.main_text(page(f"<article><p>{LONG * 6}</p>{part}<p>{LONG * 6}</p></article>"))
+        assert text.split("\n") == [(LONG * 6).strip(), (LONG * 3).strip(), (LONG * 6).strip()], part
+    for name in ("ad-slot-3", "cookieNotice", "comments-section", "social-media-links", "newsletter_box"):
+        text = html_text.main_text(page(f"<article><p>{LONG * 6}</p><div class='{name}'>{three}</div><p>{LONG * 6}</p></article>"))
+        assert text.split("\n") == [(LONG * 6).strip(), (LONG * 6).strip()], name
+
+
+def test_a_quote_that_never_ends_puts_no_markup_into_the_text():
+    text = html_text.main_text(f"<body><p>{LONG * 4}</p><p title=\"abc>{LONG * 4}</p><p>{LONG}</p></body>")
+    assert text.split("\n") == [(LONG * 4).strip()] * 2 + [LONG.strip()]
+    assert html_text.main_text("<p>1 < 2, and 3 <4, he said</p>") == "1 < 2, and 3 <4, he said"
+
+
+def plain_paths(found):
+    """The ratios written out path by path: length and punctuation of a path's blocks, smoothed along the paths, fused."""
+    paths = []
+    for b in found:
+        if b.path not in paths:
+            paths.append(b.path)
+    own = [[b for b in found if b.path == p] for p in paths]
+    length = [sum(len(b.text) for b in x) / len(x) for x in own]
+    marks = [sum(c in ".,;:!?…。、，！？；：" for b in x for c in b.text) / len(x) for x in own]
+    chars = [sum(len(b.text) for b in x) for x in own]
+    links = [sum(min(b.linked, len(b.text)) for b in x) for x in own]
+
+    def smooth(v, k):
+        return (v[max(k - 1, 0)] + 2 * v[k] + v[min(k + 1, len(v) - 1)]) / 4
+
+    fused = [smooth(length, k) * (1 + smooth(marks, k)) * (1 - links[k] / max(chars[k], 1)) ** 2 * chars[k] ** 0.5 for k in range(len(paths))]
+    mean = sum(fused) / len(fused)
+    limit = min((sum((f - mean) ** 2 for f in fused) / len(fused)) ** 0.5, max(fused) / 2)
+    return {p for p, f in zip(paths, fused) if f > 0 and f >= limit * (1 - 1e-12)}
+
+
+def test_ratios_equal_a_plain_computation():
+    r = random.Random(6)
+    for _ in range(60):
+        parts = [f"<{t} class=c{r.randint(0, 3)}>{r.choice(['', '<a href=/>x y z</a> '])}{'word, ' * r.randint(1, 40)}</{t}>"
+                 for t in r.choices(["p", "div", "li", "section"], k=r.randint(1, 12))]
+        found = html_text.blocks("<div>" + "".join(parts) + "</div>")
+        assert html_text.content_paths(found) == plain_paths(found)
+
+
 def test_a_named_list_stays_out():
     cards = "".join(f"<article><p>Card {k}.</p></article>" for k in range(4))
     text = html_text.main_text(page(f"<article><p>{LONG * 6}</p></article><div class=related>{cards}</div>"))
