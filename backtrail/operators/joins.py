@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from backtrail.operators.skew import null_safe_join
 
+#: Values that a label may have.
+MOST_LABELS = 10_000
+
 
 def natural_join(left: DataFrame, right: DataFrame, expected: Sequence[str]) -> DataFrame:
     """Inner join on all shared column names, which must be exactly the expected ones."""
@@ -57,6 +60,27 @@ def explode_windows(df: DataFrame, hour: str, windows: Sequence[int], out: str =
     return df.withColumn(out, F.explode(F.filter(edges, lambda w: w <= F.col(hour))))
 
 
+def label_table(df: DataFrame, column: str, levels: Sequence | None = None) -> DataFrame:
+    """``label`` and ``ordinal`` (from 1) of a label: the levels in their order, else the values that occur, NULL first.
+
+    A label has ``MOST_LABELS`` values at most; a column with more is not one, and an error.
+    """
+    if levels is None:
+        found = [r[0] for r in df.select(column).distinct().orderBy(F.col(column).asc_nulls_first()).limit(MOST_LABELS + 1).collect()]
+    else:
+        found = list(levels)
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"{column} has more than {MOST_LABELS} values")
+    kind = df.schema[column].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(v, k) for k, v in enumerate(found, 1)], f"label {kind}, ordinal int")
+
+
+def with_ordinal(df: DataFrame, column: str, labels: DataFrame, out: str = "ordinal") -> DataFrame:
+    """Add the place of a label in the order of its table; NULL for one that is not in it."""
+    places = labels.select(F.col("label").alias(column), F.col("ordinal").alias(out))
+    return null_safe_join(df, F.broadcast(places), [column], "left")
+
+
 def complete_grid(
     df: DataFrame,
     left: Sequence[str],
@@ -66,19 +90,15 @@ def complete_grid(
 ) -> DataFrame:
     """All combinations of the observed ``left`` keys with the values of ``right``.
 
-    ``levels`` lists the values of an ordered label, observed or not; without it
-    the observed values are used, gathered in one row: a label has few. Missing
-    measures get the ``fill`` values.
+    ``levels`` lists the values of an ordered label, observed or not; rows without a label
+    are then a group of their own. Without it the observed values are used, see
+    ``label_table``. Missing measures get the ``fill`` values.
     """
     base = df.select(*left).distinct()
+    labels = label_table(df, right, levels).select(F.col("label").alias(right))
+    grid = base.crossJoin(F.broadcast(labels))  # a few labels, which are counted
     if levels is not None:
-        grid = base.withColumn(right, F.explode(F.array(*[F.lit(v) for v in levels])))
-        # rows without a label are kept as a group of their own
         grid = grid.unionByName(df.where(F.col(right).isNull()).select(*left, right).distinct())
-    else:
-        seen = df.agg(F.collect_set(right).alias("__seen"), F.count_if(F.col(right).isNull()).alias("__null"))
-        labels = F.when(F.col("__null") > 0, F.array_append("__seen", F.lit(None))).otherwise(F.col("__seen"))
-        grid = null_safe_join(base, seen, []).select(*left, F.explode(labels).alias(right))
     joined = null_safe_join(grid, df, [*left, right], "left")
     return joined.fillna(dict(fill)).select(*df.columns)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from backtrail.functions.scalars import MONTH_NAMES, SEASONS, month_name, ordinal, season
 from backtrail.functions.semantics import flag
-from backtrail.operators import series, summaries
+from backtrail.operators import joins, series, summaries
 from backtrail.operators.order import numbered
 from backtrail.plans import bindings as b
 from backtrail.plans.registry import Query
@@ -93,10 +93,9 @@ def _point_classes(spark: SparkSession, d: str) -> DataFrame:
 def _calendar_labels(spark: SparkSession, d: str) -> DataFrame:
     df = prepared(spark, d).select("index", "date", season(F.col("date")).alias("season"))
     df = df.withColumn("month_name", month_name(F.col("date")))
-    return df.withColumns({
-        "season_at": ordinal(F.col("season"), SEASONS),
-        "month_at": ordinal(F.col("month_name"), MONTH_NAMES),
-    })
+    for column, levels, out in (("season", SEASONS, "season_at"), ("month_name", MONTH_NAMES, "month_at")):
+        df = joins.with_ordinal(df, column, joins.label_table(df, column, levels), out)
+    return df.select("index", "date", "season", "month_name", "season_at", "month_at")
 
 
 def _season_totals(spark: SparkSession, d: str) -> DataFrame:

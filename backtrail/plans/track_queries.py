@@ -13,7 +13,8 @@ from backtrail.plans import event_queries as ev
 from backtrail.plans.registry import Query
 from backtrail.plans.sqlparts import sweep_operator, using, wmean
 from backtrail.plans.sqlparts import uptake as sql_uptake
-from backtrail.sources import stages
+from backtrail.session import scratch_path
+from backtrail.sources import points, stages
 
 # Views of the maps as south, north, west, east.
 WIDE_VIEW = (25, 75, -50, 50)
@@ -195,8 +196,17 @@ def _map_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _uptake_points(spark: SparkSession, d: str) -> DataFrame:
-    points = attribution.uptake_points(dominant_uptake(spark, d), NEAR_VIEW)
-    return points.select("index", "height_i", "run", "receptor", "part", "price", "lat", "lon", "delta_q")
+    near = attribution.uptake_points(dominant_uptake(spark, d), NEAR_VIEW)
+    return near.select("index", "height_i", "run", "receptor", "part", "price", "lat", "lon", "delta_q")
+
+
+def _stored_view(spark: SparkSession, d: str) -> DataFrame:
+    """Uptake points of the near view, from a store of all of them along a space-filling curve."""
+    every = attribution.uptake_points(settled_tracks(spark, d)).select(
+        "index", "height_i", "run", "receptor", "part", "price", "lat", "lon", "delta_q")
+    path = scratch_path(spark, "points")
+    points.write_points(every, path)
+    return points.read_view(spark, path, every.schema, NEAR_VIEW)
 
 
 def _points_as_struct(spark: SparkSession, d: str) -> DataFrame:
@@ -368,6 +378,12 @@ FROM ({_ANOMALY_GRID_SQL}) WHERE prop_uptake * 100 > 0.1e0""", SITE_ANOMALY_SQL)
     "uptake_points": Query(
         _uptake_points,
         using("dominant", """SELECT index, height_i, run, receptor, part, price, lat, lon, delta_q FROM dominant
+WHERE delta_q > 0 AND lat BETWEEN 35 AND 60 AND lon BETWEEN -20 AND 20"""),
+        ("height_i", "price", "lat", "lon", "delta_q"),
+    ),
+    "uptake_points_stored": Query(
+        _stored_view,
+        using("dominant", """SELECT index, height_i, run, receptor, part, price, lat, lon, delta_q FROM dominant
 WHERE delta_q > 0 AND lat BETWEEN 35 AND 60 AND lon BETWEEN -20 AND 20"""),
         ("height_i", "price", "lat", "lon", "delta_q"),
     ),
