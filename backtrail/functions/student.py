@@ -13,13 +13,17 @@ _TINY = 1e-300
 
 
 def _continued_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Continued fraction of the incomplete beta function, evaluated by the modified Lentz method."""
+    """Continued fraction of the incomplete beta function, evaluated by the modified Lentz method.
+
+    A row stops when it has converged, so that its value does not depend on the other rows.
+    """
     def safe(v: np.ndarray) -> np.ndarray:
         return np.where(np.abs(v) < _TINY, _TINY, v)
 
     c = np.ones_like(x)
     d = 1.0 / safe(1.0 - (a + b) * x / (a + 1.0))
     value = d.copy()
+    open_rows = np.ones(x.shape, bool)
     for m in range(1, steps + 1):
         even = m * (b - m) * x / ((a + 2 * m - 1.0) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1.0))
@@ -27,8 +31,9 @@ def _continued_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int
             d = 1.0 / safe(1.0 + term * d)
             c = safe(1.0 + term / c)
             change = c * d
-            value = value * change
-        if np.all(np.abs(change - 1.0) < 1e-15):
+            value = np.where(open_rows, value * change, value)
+        open_rows &= np.abs(change - 1.0) >= 1e-15
+        if not open_rows.any():
             break
     return value
 

@@ -27,7 +27,7 @@ from backtrail.functions.geo import (
     haversine_km,
     in_view,
 )
-from backtrail.functions.scalars import ordinal
+from backtrail.functions.scalars import ordinal, rounded
 from backtrail.functions.semantics import positive_sum, rows, safe_div, strict_sum, total, wmean
 from backtrail.operators.geodesy import with_ellipsoid_bearing
 from backtrail.operators.joins import complete_grid
@@ -198,6 +198,11 @@ def share_table(
     )
 
 
+def percent_shares(shares: DataFrame, digits: int = 3) -> DataFrame:
+    """Shares rounded for a table (half to even), and the rounded share as a percentage."""
+    return shares.withColumn("contr", rounded(F.col("contr"), digits)).withColumn("contr_100", F.col("contr") * 100)
+
+
 def stacked_shares(shares: DataFrame, group: str, label: str, levels: Sequence | None = None) -> DataFrame:
     """Running share within the group, in label order, and the middle of each band."""
     by = ordinal(F.col(label), tuple(levels)) if levels is not None else F.col(label)

@@ -203,6 +203,11 @@ FROM ({_SPHERE_SQL})"""),
     "origin_share_monthly": Query(
         _monthly_shares, using(ORIGIN_PARTS, _MONTHLY_SQL, ORIGINS_SQL), _SHARE_ROUNDS
     ),
+    "origin_share_percent": Query(
+        lambda s, d: attribution.percent_shares(_monthly_shares(s, d)),
+        using(ORIGIN_PARTS, f"SELECT *, contr * 100 AS contr_100 FROM (SELECT * REPLACE (round_even(contr, 3) AS contr) FROM ({_MONTHLY_SQL}))", ORIGINS_SQL),
+        (*_SHARE_ROUNDS, "contr_100"),
+    ),
     "origin_share_height": Query(
         _height_shares, using(ORIGIN_PARTS, _HEIGHT_SQL, ORIGINS_SQL), ("height_i", *_SHARE_ROUNDS)
     ),
