@@ -235,12 +235,11 @@ class Model:
         """The arrays of one pass: at most ``ENTRIES`` entries, or one slice."""
         own: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         rows = self.table.where(F.col("pass") == number).select("lang", "key", "log").toArrow()
-        names = rows.column("lang").to_numpy()
-        keys, logs = rows.column("key").to_numpy().view(np.uint64), rows.column("log").to_numpy()
-        rank = np.argsort(keys)
         for lang in self.languages:
-            mine = rank[names[rank] == lang]
-            own[lang] = keys[mine], logs[mine]
+            mine = rows.filter(pa.compute.equal(rows.column("lang"), lang))
+            keys, logs = mine.column("key").to_numpy().view(np.uint64), mine.column("log").to_numpy()
+            rank = np.argsort(keys)
+            own[lang] = keys[rank], logs[rank]
         return [Part(*own[lang], self.passes[lang], self.alone[lang]) for lang in self.languages]
 
 
