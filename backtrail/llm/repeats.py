@@ -38,7 +38,7 @@ PHRASES, SORTED = 1 << 19, 1 << 20
 #: A trigger with more different phrases has their strings compared one by one, wherever they are sorted.
 HOT = 20_000
 #: Phrases to be sorted that the tasks are told by a map of at most 32 MB; more are joined to their texts.
-TOLD = 1 << 24
+TOLD = 1 << 23
 #: Order of a document without an id: after all others, and none before another.
 LAST = (1 << 63) - 1
 
