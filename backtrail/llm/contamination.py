@@ -23,6 +23,8 @@ from backtrail.session import cut_lineage
 WORDS, THRESHOLD = 5, 0.8
 #: Item shingles up to this number are sent to every executor (16 bytes each), beyond it joined by shuffle.
 BROADCAST_SHINGLES = 1_000_000
+#: Documents with a hit that are sent to all texts (16 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -77,6 +79,11 @@ def _doc_shingles(docs: DataFrame, sizes: Sequence[int]) -> DataFrame:
         "id", "text_hash", F.explode_outer("hs").alias("h"))
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """Written keys of documents, sent to the texts if they are few; else the join moves the texts."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def contained(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id",
               text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """Every document and item of which the document has ``threshold`` or more of the shingles.
@@ -97,7 +104,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_c
     sketches = listed.where("sketched").select("h").distinct()
     hits = _doc_shingles(own, sizes).join(send(sketches), "h", "left_semi").select("id", "text_hash").distinct()
     hits = cut_lineage(hits.select(F.col("id").alias("hit"), F.col("text_hash").alias("hit_hash")))
-    again = own.join(hits, own["id"].eqNullSafe(hits["hit"]) & (own["text_hash"] == hits["hit_hash"]), "left_semi")
+    again = own.join(_sent(hits), own["id"].eqNullSafe(hits["hit"]) & (own["text_hash"] == hits["hit_hash"]), "left_semi")
     found = _doc_shingles(again.dropDuplicates(["id", "text_hash"]), sizes).join(
         send(listed.select("h", "item", "n")), "h").groupBy("id", "text_hash", "item").agg(
         F.first("n").alias("n_shingles"), F.count(F.lit(1)).alias("n_found"))
@@ -111,7 +118,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_
     """The documents that contain no item, with the columns they came with; repeated rows all stay or go."""
     found = contained(docs.select(doc_col, text_col), items.select("item_id", F.col("text").alias(text_col)),
                       doc_col, "item_id", text_col, words, threshold)
-    gone = found.select(F.col(doc_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    gone = _sent(cut_lineage(found.select(F.col(doc_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()))
     own = docs.withColumn("__text_hash", F.xxhash64(F.col(text_col)))
     left = own.join(gone, own[doc_col].eqNullSafe(gone["__id"]) & (own["__text_hash"] == gone["__hash"]), "left_anti")
     return left.select(*docs.columns)

@@ -90,7 +90,9 @@ def shingles(text, size):
     return {tuple(words[i:i + size]) for i in range(len(words) - size + 1)}
 
 
-def test_items_in_documents_equal_brute_force(spark, frame):
+@pytest.mark.parametrize("keys", [500_000, 0])
+def test_items_in_documents_equal_brute_force(spark, frame, monkeypatch, keys):
+    monkeypatch.setattr(contamination, "BROADCAST_KEYS", keys)
     items = [(k, prose(700 + k, 8 + 5 * k)) for k in range(12)] + [(50, "Two words"), (51, None), (52, "!!"), (53, "one two three four"),
              (None, prose(800, 30))]
     rows = []
