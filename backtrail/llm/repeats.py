@@ -32,7 +32,7 @@ from backtrail.session import scratch_path
 #: Bytes under the rolling hash.
 GRAM = 16
 #: Bytes whose phrases a task packs together, and bytes that it parses together; a longer text is parsed in parts.
-BLOCK, PART = 4 << 20, 1 << 20
+BLOCK, PART = 4 << 20, 1 << 19
 #: Phrases whose triggers are compared together, and bytes whose suffixes are sorted together, on average.
 PHRASES, SORTED = 1 << 19, 1 << 20
 #: A trigger with more different phrases has their strings compared one by one, wherever they are sorted.
@@ -64,7 +64,7 @@ def rolled(data: np.ndarray, width: int) -> np.ndarray:
     """A hash of every ``width`` bytes in a row: differences of one running sum."""
     if len(data) < width:
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(1 << max(21, len(data).bit_length()))
+    power, inverse = _powers(1 << max(20, len(data).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
     found = (sums[width:] - sums[:-width]) * inverse[:len(data) - width + 1]
@@ -105,10 +105,11 @@ def parse(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return owner, first - begin[owner], stop - first, grams[chosen[first].astype(np.int64)]
 
 
-def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def _blocks(texts: pa.Array, length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Rows, places and parts of texts, about ``BLOCK`` bytes at a time. Each string lies in one part."""
     rows, at, parts, size = [], [], [], 0
-    for row, text in enumerate(texts):
+    for row, value in enumerate(texts):  # one text at a time leaves the batch
+        text = value.as_py()
         for place in range(0, len(text) - length + 1, PART):
             rows.append(row)
             at.append(place)
@@ -141,7 +142,7 @@ def _unpacked(raw: bytes, size: int, layout: Sequence[tuple[int, str]]) -> tuple
 
 def _in_blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes], tuple]]:
     """Of each block its documents (once), and of its phrases document, place in it, and the parse."""
-    for rows, at, parts in _blocks(batch.column(2).to_pylist(), length):
+    for rows, at, parts in _blocks(batch.column(2), length):
         own, doc_of = np.unique(rows, return_inverse=True)
         found, begin, size = [], 0, 0
         for k, part in enumerate(parts):  # a few parts at a time, so that the arrays stay small
@@ -191,6 +192,7 @@ def _classified(table: pa.Table) -> pa.Table:
             raw, size, [(n, "<u4"), (n, "<u8"), (n, "<u4"), (n, "<u8"), (n, "<u2"), (d, "<i8"), (d, "<i8")])
         parts.append((np.cumsum(mark, dtype=np.uint32), digest, order[doc], text_hash[doc], at.astype(np.int64), strings.astype(np.int32)))
     mark, digest, order, text_hash, at, strings = (np.concatenate(c) for c in zip(*parts))
+    del parts
     rank = np.argsort(mark, kind="stable")
     same = mark[rank][1:] == mark[rank][:-1]
     rank = rank[np.r_[False, same] | np.r_[same, False]]  # a trigger that comes once is of no interest
