@@ -137,6 +137,28 @@ def op13_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(phrases.phrase_counts(docs, threshold=10, longest=3), covered=50, best=2000)
 
 
+_REPEAT_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS place, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT r, place, i, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT r, place, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM docs)),
+first_ones AS (SELECT s, min(place) AS least_place FROM strings GROUP BY s),
+hits AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM strings JOIN first_ones USING (s) WHERE least_place < place),
+runs AS (
+  SELECT r, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM hits)
+  GROUP BY r, run),
+heads AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS upto FROM runs),
+parts AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+    string_agg(substr(h, 2 * upto + 1, 2 * (a - upto)), '' ORDER BY a) AS kept
+  FROM heads JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN parts USING (r)
+"""
+
 _PHRASE_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
@@ -207,5 +229,6 @@ QUERIES: dict[str, Build] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": _CONTAINED_SQL,
     "op9_url_filters": _URL_SQL,
+    "op12_repeat_removal": _REPEAT_SQL,
     "op13_phrase_collocation": _PHRASE_SQL,
 }

@@ -32,9 +32,9 @@ from backtrail.session import scratch_path
 #: Bytes under the rolling hash.
 GRAM = 16
 #: Bytes whose phrases a task packs together, and bytes that it parses together; a longer text is parsed in parts.
-BLOCK, PART = 4 << 20, 1 << 19
+BLOCK, PART = 1 << 20, 1 << 18
 #: Phrases whose triggers are compared together, and bytes whose suffixes are sorted together, on average.
-PHRASES, SORTED = 1 << 19, 1 << 20
+PHRASES, SORTED = 1 << 18, 1 << 20
 #: A trigger with more different phrases has their strings compared one by one, wherever they are sorted.
 HOT = 20_000
 #: Phrases to be sorted that the tasks are told by a map of at most 32 MB; more are joined to their texts.
@@ -64,7 +64,7 @@ def rolled(data: np.ndarray, width: int) -> np.ndarray:
     """A hash of every ``width`` bytes in a row: differences of one running sum."""
     if len(data) < width:
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(1 << max(20, len(data).bit_length()))
+    power, inverse = _powers(1 << max(19, len(data).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
     found = (sums[width:] - sums[:-width]) * inverse[:len(data) - width + 1]
@@ -196,7 +196,8 @@ def _classified(table: pa.Table) -> pa.Table:
     rank = np.argsort(mark, kind="stable")
     same = mark[rank][1:] == mark[rank][:-1]
     rank = rank[np.r_[False, same] | np.r_[same, False]]  # a trigger that comes once is of no interest
-    rank = rank[np.lexsort((order[rank], digest[rank], mark[rank]))]
+    mark, digest, order, text_hash, at, strings = (c[rank] for c in (mark, digest, order, text_hash, at, strings))
+    rank = np.lexsort((order, digest, mark))
     mark, digest, order, text_hash, at, strings = (c[rank] for c in (mark, digest, order, text_hash, at, strings))
     new_mark = np.r_[True, mark[1:] != mark[:-1]][:len(mark)]
     new_class = new_mark | np.r_[True, digest[1:] != digest[:-1]][:len(mark)]

@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from backtrail.llm import repeats
+from backtrail.llm import queries, repeats
 from helpers import DOCS, odd_rows, prose
 
 
@@ -103,3 +104,12 @@ def test_suffixes_sort_as_bytes_do():
         order, new = repeats.suffix_array(data, at, length)
         keys = [raw[i:i + length] for i in order]
         assert keys == sorted(keys) and new.tolist() == [k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))]
+
+
+def test_query_equals_its_sql(spark, frame, tmp_path):
+    table_of(frame).write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = duckdb.sql(queries.ORACLE_SQL["op12_repeat_removal"])
+    got = queries.op12_repeat_removal(spark, str(tmp_path))
+    assert got.columns == wanted.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, wanted.fetchall()))
