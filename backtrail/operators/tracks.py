@@ -4,7 +4,8 @@ A track is the ordered set of points of one (event, height): a few hundred hours
 most, which bounds every window here. The points of one event are brought together
 once, and all windows use that exchange and one sort. Totals are added up as
 decimals, so that equal gains have equal totals in whatever order they come; a gain
-counts to 12 digits behind the point, one under 5e-13 as nothing, and is finite.
+counts to 12 digits behind the point, one under 5e-13 as nothing, and is finite. On
+request they are added up as doubles, point after point, as SQL does.
 """
 
 from __future__ import annotations
@@ -80,6 +81,7 @@ def uptake(
     least_points: int | None = None,
     trailing: int = TRAILING_ROWS,
     dominant_only: bool = False,
+    exact: bool = True,
 ) -> DataFrame:
     """Moisture gain along each track.
 
@@ -89,7 +91,8 @@ def uptake(
     first) and must be unique within a track. Tracks that do not reach
     ``least_reach`` hours back, or have fewer than ``least_points`` points, are
     left out. With ``dominant_only``, only the height with the largest total is
-    kept per event; equal totals are all kept.
+    kept per event; equal totals are all kept. Totals are decimal sums; without
+    ``exact``, sums of doubles in the order of the track.
     """
     tests = []
     if least_reach is not None:
@@ -106,7 +109,8 @@ def uptake(
         "traj_end": F.min(order[0]).over(whole), "__points": F.count(F.lit(1)).over(whole),
     }).where(long_enough).drop("__points")
     frame = _gain(value, trailing)(frame, along)
-    gained = F.sum(positive_part(F.col("delta_q")).cast(_EXACT)).over(whole).cast("double")
+    gain = positive_part(F.col("delta_q"))
+    gained = F.sum(gain.cast(_EXACT) if exact else gain).over(whole).cast("double")
     frame = frame.withColumn("tot_uptake", F.coalesce(gained, F.lit(0.0)))
     if dominant_only:
         frame = _largest(frame, key, "tot_uptake")

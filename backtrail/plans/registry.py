@@ -41,11 +41,19 @@ class Query:
 
 
 def rounded(df: DataFrame, digits: int) -> DataFrame:
-    """Round every floating point column for comparison; zero has no sign."""
+    """Round every floating point column for comparison; zero has no sign.
+
+    As in the SQL a value is scaled, rounded to a whole number, and scaled back: a decimal
+    rounding differs where only the product ends in a half.
+    """
+    scale = float(10 ** digits)
+
     def column(field: T.StructField):
         if not isinstance(field.dataType, T.DoubleType):
             return F.col(field.name)
-        value = F.round(F.col(field.name), digits)
+        own = F.col(field.name)
+        whole = F.round(own * scale)
+        value = F.when(F.abs(whole) == float("inf"), own).otherwise(whole / scale)
         return F.when(value == 0, F.lit(0.0)).otherwise(value).alias(field.name)
 
     return df.select(*[column(f) for f in df.schema.fields])

@@ -158,7 +158,7 @@ def _buckets(spark: SparkSession) -> int:
 
 def stored_origins(points: DataFrame, sites: DataFrame) -> DataFrame:
     """Events with their origin region, from tables in buckets of the event."""
-    centres = attribution.centroids(tracks.uptake(points, order=b.TRACK_ORDER, dominant_only=True))
+    centres = attribution.centroids(tracks.uptake(points, order=b.TRACK_ORDER, dominant_only=True, exact=False))
     # joined before they are located: rows that went through Python have no buckets any more
     beside = attribution.attribute(sites, centres, ("date", "year", "month", "season", "height_i", "lat", "lon"))
     return attribution.with_region(attribution.locate(beside))

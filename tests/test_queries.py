@@ -58,3 +58,24 @@ def test_entry_returns_rows(spark):
 def test_every_query_has_sql():
     assert all_queries().keys() <= contract.queries().keys()
     assert all_queries().keys() <= contract.oracle_sql().keys()
+
+
+def test_shares_that_end_in_a_half_are_rounded_as_in_sql(spark, tmp_path):
+    """Totals of doubles miss 32 and 28.8 by their last digits, a share has a half behind its sixth."""
+    logs = {
+        (24537, "error"): [5.23, 4.94, 126.16, 34.55, 122.76, 13.35, 75.94, 154.62, 5.93, 75.06, 3.42, 2.49, 181.13, 2.08, 43.61],
+        (42024, "purchase"): [3.25, 35.87, 27.17, 113.13, 37.32, 142.43, 413.22, 139.53, 8.91, 53.79, 110.3, 154.43],
+        (61443, "error"): [6.47, 230.93, 14.34, 88.89, 94.85, 12.66, 99.4, 5.94, 11.81, 27.84, 35.7, 70.53, 92.56, 46.35,
+                           58.35, 144.02, 34.73, 33.31],
+    }
+    rows = [(user, kind, k, value) for (user, kind), values in logs.items() for k, value in enumerate(values)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE raw (user_id BIGINT, event_type VARCHAR, k BIGINT, value DOUBLE)")
+    con.executemany("INSERT INTO raw VALUES (?, ?, ?, ?)", rows)
+    con.execute("CREATE TABLE events AS SELECT user_id * 100 + k AS event_id, TIMESTAMP '2024-01-01' + INTERVAL '1' HOUR * k AS ts,"
+                " user_id, event_type, value, '' AS props FROM raw")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    name = "moisture_uptake_event_log"
+    got = contract.queries()[name](spark, str(tmp_path)).toArrow()
+    wanted = con.sql(contract.oracle_sql()[name]).to_arrow_table()
+    assert rows_of(got, wanted.column_names) == rows_of(wanted, wanted.column_names)
