@@ -35,8 +35,9 @@ GRAM = 16
 BLOCK, PART = 1 << 20, 1 << 18
 #: Phrases whose triggers are compared together, and bytes whose suffixes are sorted together, on average.
 PHRASES, SORTED = 1 << 18, 1 << 20
-#: A trigger with more different phrases has their strings compared one by one, wherever they are sorted.
-HOT = 20_000
+#: A trigger with more different phrases has them cut anew by longer grams, of a string less ``NEAR`` bytes; the
+#: parts are compared wherever theirs are sorted.
+HOT, NEAR = 20_000, 10
 #: Phrases to be sorted that the tasks are told by a map of at most 32 MB; more are joined to their texts.
 TOLD = 1 << 23
 #: Order of a document without an id: after all others, and none before another.
@@ -44,7 +45,7 @@ LAST = (1 << 63) - 1
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64((1 << 24) - 1)
-_REPEATED, _SORT, _SORT_STRINGS = 0, 1, 2
+_REPEATED, _SORT, _SORT_PARTS = 0, 1, 2
 _FOUND = "order long, text_hash long, at long, strings int, kind int, route long"
 _SPAN = "order long, text_hash long, at long, strings int"
 
@@ -83,18 +84,20 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[:len(keys) - (width - done)], keys[width - done:]) if width > done else keys
 
 
-def parse(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def parse(texts: list[bytes], length: int, gram: int | None = None) -> tuple[np.ndarray, ...]:
     """Phrases of texts of at least ``length`` bytes: text, place of the first string, strings, hash of the trigger.
 
-    A phrase spans the bytes of its strings; the next one begins with the next string.
+    A phrase spans the bytes of its strings; the next one begins with the next string. A
+    trigger has ``gram`` bytes, ``GRAM`` if not told.
     """
+    gram = gram or GRAM
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
-    grams = rolled(data, GRAM)
+    grams = rolled(data, gram)
     keys = grams & ~_LOW
     keys |= np.arange(len(grams), dtype=np.uint64)
-    chosen = _least(keys, length - GRAM + 1) & _LOW
+    chosen = _least(keys, length - gram + 1) & _LOW
     # a phrase begins where the trigger changes, and with each text; strings that reach into the next text are none
     first = np.union1d(np.flatnonzero(chosen[1:] != chosen[:-1]) + 1, begin)
     owner = np.searchsorted(begin, first, "right") - 1
@@ -183,7 +186,7 @@ def _phrases(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(found, "bucket int, size long, entries int, docs int, data binary")
 
 
-def _classified(table: pa.Table) -> pa.Table:
+def _classified(table: pa.Table, hot: int) -> pa.Table:
     """Of the phrases of one bucket those that are repeated, and those whose suffixes are to be sorted."""
     parts = []
     bucket = table.column("bucket")[0].as_py()
@@ -209,8 +212,8 @@ def _classified(table: pa.Table) -> pa.Table:
         earliest = np.minimum.reduceat(first[of_class], starts)
         latest = np.maximum.reduceat(first[of_class], starts)
         open_here = (kind < 0) & (latest > earliest)[of_mark]
-        many = np.bincount(of_mark[open_here], minlength=len(starts)) > HOT
-        kind[open_here] = np.where(many[of_mark[open_here]], _SORT_STRINGS, _SORT)
+        many = np.bincount(of_mark[open_here], minlength=len(starts)) > hot
+        kind[open_here] = np.where(many[of_mark[open_here]], _SORT_PARTS, _SORT)
     told = np.flatnonzero(kind >= 0)
     told = told[np.lexsort((at[told], text_hash[told], order[told]))]
     return pa.table({
@@ -239,6 +242,15 @@ def _told_places(wanted: DataFrame, count: int) -> np.ndarray:
     return slot_bits(wanted.select("order", "text_hash", "at").mapInArrow(slots, "slot long"), size)
 
 
+def _cut_anew(pieces: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The parse of pieces by longer grams, about ``PART`` bytes at a time; pieces are numbered through."""
+    ends = np.cumsum([len(p) for p in pieces])
+    cuts = [0, *(np.flatnonzero(np.diff(ends // PART)) + 1).tolist(), len(pieces)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        owner, *rest = parse(pieces[a:b], length, max(GRAM, length - NEAR))
+        yield owner + a, *rest
+
+
 Cut = tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]
 
 
@@ -247,16 +259,16 @@ def _sent(cuts: Callable[[pa.RecordBatch], Iterator[Cut]], length: int, buckets:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, doc, at, pieces, route, single in cuts(batch):
-                if single.any():  # string by string, by their own hash
-                    alone = np.flatnonzero(single)
-                    strings = [(k, i) for k in alone.tolist() for i in range(len(pieces[k]) - length + 1)]
-                    keep = np.flatnonzero(~single)
-                    own = [pieces[k][i:i + length] for k, i in strings]
-                    doc = np.r_[doc[keep], [doc[k] for k, _ in strings]].astype(np.int64)
-                    at = np.r_[at[keep], [at[k] + i for k, i in strings]].astype(np.int64)
-                    route = np.r_[route[keep], np.array([xxhash.xxh3_64_intdigest(s) >> 1 for s in own], np.int64)]
-                    pieces = [pieces[k] for k in keep.tolist()] + own
+            for docs, doc, at, pieces, route, hot in cuts(batch):
+                if hot.any():  # in parts, each by the hash of its own trigger
+                    alone, keep = np.flatnonzero(hot), np.flatnonzero(~hot)
+                    found = zip(*_cut_anew([pieces[k] for k in alone.tolist()], length))
+                    owner, place, strings, trigger = (np.concatenate(c) for c in found)
+                    of = alone[owner]
+                    doc, at = np.r_[doc[keep], doc[of]], np.r_[at[keep], at[of] + place]
+                    route = np.r_[route[keep], (trigger >> np.uint64(1)).astype(np.int64)]
+                    pieces = [pieces[k] for k in keep.tolist()] + [
+                        pieces[k][p:p + n + length - 1] for k, p, n in zip(of.tolist(), place.tolist(), strings.tolist())]
                 bucket = (route.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
                 names = [c.to_numpy(zero_copy_only=False).astype("<i8") for c in docs.columns]
                 rank = np.argsort(bucket, kind="stable")
@@ -339,30 +351,27 @@ def _sorted_spans(docs: DataFrame, wanted: DataFrame, length: int, buckets: int)
     The tasks that parse the documents are told the places by a map; if there are more
     than ``TOLD``, the places are joined to their documents instead.
     """
-    sizes = wanted.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("strings") + (length - 1)).alias("bytes"),
-                                       F.sum("strings").alias("strings")).collect()  # two rows at most
+    sizes = wanted.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("strings") + (length - 1)).alias("bytes")).collect()  # two rows at most
     count = sum(r["n"] for r in sizes)
-    total = sum(r["bytes"] if r["kind"] == _SORT else r["strings"] * length for r in sizes)
+    total = sum(r["bytes"] * (1 if r["kind"] == _SORT else 4) for r in sizes)
     parts = max(shuffle_parts(docs.sparkSession), total // SORTED)
     if count <= TOLD:
-        maps = [_told_places(wanted.where(F.col("kind") == r["kind"]), r["n"]) if r["n"] else None
-                for r in sorted(sizes)]
-        kinds = [r["kind"] for r in sorted(sizes)]
-        shared = docs.sparkSession.sparkContext.broadcast(dict(zip(kinds, maps)))
+        # the map also lets some places pass that nobody asked for: what is done with them is up to their trigger.
+        # Of triggers in parts there is one for each ``HOT`` phrases at most
+        hot = wanted.where(F.col("kind") == _SORT_PARTS).select("route").distinct().toArrow().column(0).to_numpy()
+        shared = docs.sparkSession.sparkContext.broadcast((_told_places(wanted, count), np.sort(hot)))
         shift = np.uint64(32 - (buckets.bit_length() - 1))
 
         def marked(batch: pa.RecordBatch) -> Iterator[Cut]:
+            bits, hot = shared.value
             for own, doc, at, texts, (owner, place, strings, trigger) in _in_blocks(batch, length):
                 order, text_hash = (c.to_numpy(zero_copy_only=False)[doc] for c in own.columns)
-                key = _place_key(order, text_hash, at)
-                hit = {}
-                for kind, bits in shared.value.items():
-                    slot = key & np.uint64(len(bits) * 8 - 1)
-                    hit[kind] = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                single = hit.get(_SORT_STRINGS, np.zeros(len(key), bool))
-                rows = np.flatnonzero(single | hit.get(_SORT, False))
+                slot = _place_key(order, text_hash, at) & np.uint64(len(bits) * 8 - 1)
+                rows = np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
                 pieces = [texts[o][p:p + n + length - 1] for o, p, n in zip(owner[rows].tolist(), place[rows].tolist(), strings[rows].tolist())]
-                yield own, doc[rows], at[rows], pieces, (trigger[rows] >> shift).astype(np.int64), single[rows]
+                route = (trigger[rows] >> shift).astype(np.int64)
+                yield own, doc[rows], at[rows], pieces, route, np.isin(route, hot)
 
         cut = docs.mapInArrow(_sent(marked, length, parts), "bucket int, size long, entries int, docs int, data binary")
     else:
@@ -374,7 +383,7 @@ def _sorted_spans(docs: DataFrame, wanted: DataFrame, length: int, buckets: int)
                 at = np.array([p["at"] for p in places], np.int64)
                 pieces = [text[p["at"]:p["at"] + p["strings"] + length - 1] for p in places]
                 yield (batch.select([0, 1]).slice(row, 1), np.zeros(len(at), np.int64), at, pieces,
-                       np.array([p["route"] for p in places], np.int64), np.array([p["kind"] == _SORT_STRINGS for p in places]))
+                       np.array([p["route"] for p in places], np.int64), np.array([p["kind"] == _SORT_PARTS for p in places]))
 
         cut = beside.mapInArrow(_sent(listed_cuts, length, parts), "bucket int, size long, entries int, docs int, data binary")
     return cut.groupBy("bucket").applyInArrow(_sorted(length), _SPAN)
@@ -416,7 +425,12 @@ def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = max(2, shuffle_parts(spark), 2 * size // ((length - GRAM + 2) * PHRASES))
     buckets = 1 << (least - 1).bit_length()
-    found = _phrases(docs, length, buckets).groupBy("bucket").applyInArrow(_classified, _FOUND)
+    hot = HOT
+
+    def classify(bucket: pa.Table) -> pa.Table:
+        return _classified(bucket, hot)
+
+    found = _phrases(docs, length, buckets).groupBy("bucket").applyInArrow(classify, _FOUND)
     found.write.option("compression", "zstd").parquet(stage)
     known = spark.read.schema(_FOUND).parquet(stage)
     spans = known.where(F.col("kind") == _REPEATED).select("order", "text_hash", "at", "strings")

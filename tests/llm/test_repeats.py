@@ -1,10 +1,13 @@
 """Removed bytes against a plain search for strings of earlier documents."""
 
 import random
+import tempfile
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from backtrail.llm import queries, repeats
@@ -96,6 +99,43 @@ def test_equal_strings_have_equal_triggers():
         assert of_place[(0, p)] == of_place[(k + 1, texts[k + 1].index(text[p:p + 50]))]
 
 
+def test_a_phrase_of_a_frequent_trigger_is_sent_in_a_few_parts():
+    """Not string by string: equal strings of two phrases lie in parts of the same bucket."""
+    names = pa.record_batch({"order": pa.array([1, 2]), "text_hash": pa.array([3, 4])})
+    pieces = [prose(1, 40).encode()[20:104], prose(1, 40).encode()[30:114]]
+    cut = names, np.arange(2), np.array([20, 30]), pieces, np.array([7, 7]), np.array([True, True])
+    sent = pa.Table.from_batches(repeats._sent(lambda batch: [cut], 50, 1 << 20)([names]))
+    assert 4 <= sum(sent.column("entries").to_pylist()) <= 24  # of 70 strings
+    found = pa.concat_tables(repeats._sorted(50)(sent.filter(pc.equal(sent.column("bucket"), b))) for b in pc.unique(sent.column("bucket")))
+    again = {(o, a + k) for o, a, n in zip(*(found.column(c).to_pylist() for c in ("order", "at", "strings"))) for k in range(n)}
+    assert again == {(2, k) for k in range(30, 55)}
+
+
+def test_places_that_nobody_asked_for_go_by_their_trigger(spark, monkeypatch):
+    """A map that lets all places pass sends each phrase once, not its strings, where one trigger is frequent."""
+    rows = [(k, k, (prose(k, 20) + " the passage that stands in all of them, word for word as it is " + prose(k + 500, 20)).encode())
+            for k in range(60)]
+    docs = spark.createDataFrame(rows, "order long, text_hash long, text binary").coalesce(1)
+
+    def counted(*args, real=repeats._sent):
+        def send(batches):
+            for batch in real(*args)(batches):
+                with open(path, "a") as out:
+                    out.write(f"{sum(batch.column('entries').to_pylist())}\n")
+                yield batch
+        return send
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{folder}/sent"
+        monkeypatch.setattr(repeats, "HOT", 20)
+        monkeypatch.setattr(repeats, "_sent", counted)
+        monkeypatch.setattr(repeats, "slot_bits", lambda slots, size: np.full(size // 8, 255, np.uint8))
+        repeats.repeated_runs(docs, 50).collect()
+        sent = sum(int(line) for line in open(path))
+    phrases = len(repeats.parse([t for _, _, t in rows], 50)[0])
+    assert phrases <= sent <= 2.5 * phrases
+
+
 def test_suffixes_sort_as_bytes_do():
     data = np.frombuffer((b"abracadabra" * 9 + bytes(range(1, 60))) * 2 + b"\xff" * 60, np.uint8)
     raw = bytes(data)
