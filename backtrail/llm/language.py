@@ -20,8 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from backtrail.llm.common import shuffle_parts
 from backtrail.session import cut_lineage
@@ -30,7 +32,7 @@ ORDER = 4
 #: The label of texts without a letter.
 NONE = "und"
 #: Characters that are coded at once; a longer text is coded alone.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 18
 #: Entries of 12 bytes that the tasks are sent for one pass (a slice with more is a pass of its own).
 ENTRIES = 6_000_000
 
@@ -49,11 +51,14 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _portions(texts: Sequence[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Texts, lower-cased, in portions of about ``_AT_ONCE`` characters, with the place of the first."""
+def _portions(texts: Sequence[str | None] | pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts, lower-cased, in portions of about ``_AT_ONCE`` characters, with the place of the first.
+
+    A text leaves a column of Arrow when its portion is made.
+    """
     start, held, size = 0, [], 0
     for k, text in enumerate(texts):
-        held.append((text or "").lower())
+        held.append(((text.as_py() if isinstance(text, pa.Scalar) else text) or "").lower())
         size += len(held[-1])
         if size >= _AT_ONCE:
             yield start, held
@@ -102,11 +107,9 @@ def _gram_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[str]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts_of in by_lang.items():
-                for _, portion in _portions(texts_of):
+            langs = batch.column(1).dictionary_encode()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                for _, portion in _portions(batch.column(0).filter(pc.equal(langs.indices, code))):
                     s, at, _ = _symbols(portion)
                     if not len(at):
                         continue
@@ -236,7 +239,7 @@ class Model:
         own: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         rows = self.table.where(F.col("pass") == number).select("lang", "key", "log").toArrow()
         for lang in self.languages:
-            mine = rows.filter(pa.compute.equal(rows.column("lang"), lang))
+            mine = rows.filter(pc.equal(rows.column("lang"), lang))
             keys, logs = mine.column("key").to_numpy().view(np.uint64), mine.column("log").to_numpy()
             rank = np.argsort(keys)
             own[lang] = keys[rank], logs[rank]
@@ -290,8 +293,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(sorted(last), table, passes, alone, number + 1)
 
 
-def entropies(parts: Sequence[Part], number: int, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bits of each text in each language as far as one pass has them, its symbols, and whether it has a letter."""
+def entropies(parts: Sequence[Part], number: int, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of each text in each language as far as one pass has them, its symbols, and whether it has a letter.
+
+    Each text is added up by itself, so that its bits are the same beside whatever others.
+    """
     bits, symbols = np.zeros((len(texts), len(parts))), np.zeros(len(texts), dtype=np.int64)
     lettered = np.zeros(len(texts), dtype=bool)
     for start, portion in _portions(texts):
@@ -305,8 +311,8 @@ def entropies(parts: Sequence[Part], number: int, texts: Sequence[str | None]) -
         _, first, of = np.unique(_key(*grams), return_index=True, return_inverse=True)
         kinds = [x[first] for x in grams]
         for k, part in enumerate(parts):
-            sums = np.r_[0, np.cumsum(part.grams(kinds, number)[of])]
-            bits[rows, k] = -(sums[ends] - sums[begin])
+            some = np.flatnonzero(ends > begin)
+            bits[start + some, k] = -np.add.reduceat(part.grams(kinds, number)[of], begin[some])
         letter = np.r_[0, np.cumsum(_kinds()[1][grams[3].astype(np.int64)])]
         lettered[rows] = letter[ends] > letter[begin]
     return bits, symbols, lettered
@@ -325,10 +331,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     clash = {"lang_pred", "score", "bits", "symbols"} & {id_col, *keep}
     if clash:
         raise ValueError(f"columns {sorted(clash)} would come twice")
-    told = docs.select(*dict.fromkeys([id_col, *keep]), F.col(text_col).cast("string").alias("__text"),
+    # a text that is kept as it is goes to the tasks once
+    beside = text_col in (id_col, *keep) and docs.schema[text_col].dataType == T.StringType()
+    told = docs.select(*dict.fromkeys([id_col, *keep]), (F.lit(None) if beside else F.col(text_col)).cast("string").alias("__text"),
                        F.array_repeat(F.lit(0.0), len(model.languages)).alias("__bits"),
                        F.lit(0).cast("long").alias("symbols"), F.lit(False).alias("__lettered"))
     fields = [f for f in told.schema.fields if f.name not in ("__text", "__bits", "symbols", "__lettered")]
+    source = [f.name for f in fields].index(text_col) if beside else len(fields)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.schema.fields)
     for number in range(model.count):  # one, unless the models are very large
         spread = told.sparkSession.sparkContext.broadcast(model.part(number))
@@ -338,7 +347,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 if not batch.num_rows:
                     continue
                 k = len(fields)
-                bits, symbols, lettered = entropies(spread.value, number, batch.column(k).to_pylist())
+                bits, symbols, lettered = entropies(spread.value, number, batch.column(source))
                 before = batch.column(k + 1).flatten().to_numpy().reshape(bits.shape)
                 flat = pa.array((before + bits).ravel())
                 to = pa.array(np.arange(0, len(flat) + 1, bits.shape[1], dtype=np.int32))

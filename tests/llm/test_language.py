@@ -6,6 +6,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -82,6 +83,26 @@ def test_entropies_follow_the_definition(frame, monkeypatch, entries, passes):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= len(rows) - 2
 
 
+def test_bits_of_a_text_do_not_depend_on_its_neighbours(frame):
+    """A text at the limit of its class would else pass beside some texts only."""
+    model = language.train(docs(frame))
+    parts = model.part(0)
+    texts = [prose(k, 10 + 7 * k, KINDS[k % 3]) for k in range(60)]
+    together, _, _ = language.entropies(parts, 0, pa.array(texts))  # a column of Arrow as it comes
+    alone = np.concatenate([language.entropies(parts, 0, [t])[0] for t in texts])
+    assert (together == alone).all()
+
+
+def test_a_kept_text_goes_to_the_tasks_once(frame):
+    model = language.train(docs(frame))
+    out = language.predict(docs(frame), model, keep=["text"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("AS __text") == 1
+    sent = out._jdf.queryExecution().optimizedPlan().toString().split("AS __text")[0].rsplit(",", 1)[-1]
+    assert sent.strip().startswith("null")
+    told = {(r.doc_id, r.lang_pred, r.bits) for r in out.collect()}
+    assert told == {(r.doc_id, r.lang_pred, r.bits) for r in language.predict(docs(frame), model).collect()}
+
+
 def test_probabilities_sum_to_one(frame):
     model = language.train(docs(frame))
     part = model.part(0)[model.languages.index("de")]
