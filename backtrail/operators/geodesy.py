@@ -54,11 +54,16 @@ def with_destination(
     )
 
 
+def _dealt(origins: DataFrame) -> DataFrame:
+    """Origins in as many parts as a shuffle has: a small file is one task otherwise, with all the points drawn from it."""
+    return origins.repartition(int(origins.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def range_rings(
     origins: DataFrame, lat: str, lon: str, radii_km: Sequence[int] = RING_RADII_KM
 ) -> DataFrame:
     """Circles around each origin: a point per whole degree of bearing, 0 to 360, and radius."""
-    spokes = origins.withColumn(
+    spokes = _dealt(origins).withColumn(
         "radius_km", F.explode(F.array(*[F.lit(int(r)) for r in radii_km]))
     ).withColumn("bearing", F.explode(F.sequence(F.lit(0), F.lit(360))))
     return with_destination(
@@ -75,7 +80,7 @@ def sector_lines(
     step_km: int = LINE_STEP_KM,
 ) -> DataFrame:
     """Lines from each origin along the given bearings, a point every ``step_km``."""
-    spokes = origins.withColumn(
+    spokes = _dealt(origins).withColumn(
         "bearing", F.explode(F.array(*[F.lit(int(b)) for b in bearings]))
     ).withColumn("distance_km", F.explode(F.sequence(F.lit(0), F.lit(reach_km), F.lit(step_km))))
     return with_destination(

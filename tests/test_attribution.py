@@ -80,6 +80,15 @@ def test_sphere_and_ellipsoid_differ_little_and_unknown_stays_unknown(spark):
         attribution.locate(df, method="flat")
 
 
+def test_lines_and_rings_of_a_small_file_are_drawn_in_many_tasks(spark):
+    origins = spark.range(40).selectExpr("id", "id - 20e0 AS lat0", "id * 3e0 AS lon0").coalesce(1)
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for drawn, each in ((geodesy.sector_lines(origins, "lat0", "lon0"), 355), (geodesy.range_rings(origins, "lat0", "lon0"), 722)):
+        per_task = drawn.groupBy(F.spark_partition_id()).count().collect()
+        assert many > 1 and len(per_task) == many
+        assert sum(r["count"] for r in per_task) == 40 * each
+
+
 def test_rings_and_lines(spark):
     origin = spark.createDataFrame([(49.51, 5.94)], "lat0 double, lon0 double")
     rings = geodesy.range_rings(origin, "lat0", "lon0")
