@@ -7,12 +7,14 @@ string lies in one phrase, and phrases overlap by a string less one byte. The pa
 document is the row of its phrases, the dictionary holds each different phrase once with
 the first document that has it.
 
-Strings can only be equal if their triggers are. A phrase that an earlier document has
-needs no look at its bytes: all its strings are repeated. Of the dictionary's phrases
-that share a trigger with a different phrase the suffixes are sorted to the length of a
-string; equal neighbours in that order are equal strings, the least document among them
-is the first to have it. Together this is the order of all suffixes of the corpus to
-that length, in parts by trigger, and text that repeats costs as much as its hashes.
+Strings can only be equal if their triggers are, and with them the bytes before or the
+bytes behind, as far as half of what a string has beside its trigger. A phrase that an
+earlier document has needs no look at its bytes: all its strings are repeated. Of the
+dictionary's phrases that share a trigger and one of its sides with a different phrase the
+suffixes are sorted to the length of a string; equal neighbours in that order are equal
+strings, the least document among them is the first to have it. Together this is the order
+of all suffixes of the corpus to that length, in parts by trigger and side, and text that
+repeats costs as much as its hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backtrail.llm.common import key_filter, shuffle_parts, slot_bits
@@ -31,10 +33,12 @@ from backtrail.session import scratch_path
 
 #: Bytes under the rolling hash.
 GRAM = 16
-#: Bytes whose phrases a task packs together, and bytes that it parses together; a longer text is parsed in parts.
+#: Bytes whose phrases a task holds at once, and bytes that it parses together; a longer text is parsed in parts.
 BLOCK, PART = 1 << 20, 1 << 18
+#: Phrases, and bytes of phrases to be sorted, that a task gathers before it deals them out: a row holds what goes to one bucket.
+GATHERED, SENT = 1 << 19, 1 << 22
 #: Phrases whose triggers are compared together, and bytes whose suffixes are sorted together, on average.
-PHRASES, SORTED = 1 << 18, 1 << 20
+PHRASES, SORTED = 1 << 20, 1 << 20
 #: A trigger with more different phrases has them cut anew by longer grams, of a string less ``NEAR`` bytes; the
 #: parts are compared wherever theirs are sorted.
 HOT, NEAR = 20_000, 10
@@ -61,20 +65,29 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return found[0], found[1]
 
 
-def rolled(data: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every ``width`` bytes in a row: differences of one running sum."""
-    if len(data) < width:
-        return np.zeros(0, np.uint64)
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The running sum whose differences hash a stretch of bytes, and what takes its place out of them."""
     power, inverse = _powers(1 << max(19, len(data).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
-    found = (sums[width:] - sums[:-width]) * inverse[:len(data) - width + 1]
+    return sums, inverse
+
+
+def _mixed(found: np.ndarray) -> np.ndarray:
     found ^= found >> np.uint64(32)
     found *= np.uint64(0xD6E8FEB86659FD93)
     found ^= found >> np.uint64(32)
     return found
 
 
+def rolled(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` bytes in a row: differences of one running sum."""
+    if len(data) < width:
+        return np.zeros(0, np.uint64)
+    sums, inverse = _sums(data)
+    return _mixed((sums[width:] - sums[:-width]) * inverse[:len(data) - width + 1])
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` values in a row."""
     done = 1
@@ -84,17 +97,17 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[:len(keys) - (width - done)], keys[width - done:]) if width > done else keys
 
 
-def parse(texts: list[bytes], length: int, gram: int | None = None) -> tuple[np.ndarray, ...]:
-    """Phrases of texts of at least ``length`` bytes: text, place of the first string, strings, hash of the trigger.
+def _parsed(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """As ``parse``, and hashes of 16 bits of the two sides of the trigger, 0 for a side by which no string of the phrase is told.
 
-    A phrase spans the bytes of its strings; the next one begins with the next string. A
-    trigger has ``gram`` bytes, ``GRAM`` if not told.
+    A string that has ``half`` bytes or more before its trigger is told by the trigger with
+    ``half`` bytes before it, another one by the trigger with ``half`` bytes behind it.
     """
-    gram = gram or GRAM
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
-    grams = rolled(data, gram)
+    sums, inverse = _sums(data)
+    grams = _mixed((sums[gram:] - sums[:-gram]) * inverse[:len(data) - gram + 1])
     keys = grams & ~_LOW
     keys |= np.arange(len(grams), dtype=np.uint64)
     chosen = _least(keys, length - gram + 1) & _LOW
@@ -105,7 +118,28 @@ def parse(texts: list[bytes], length: int, gram: int | None = None) -> tuple[np.
     inside = first < end
     stop = np.minimum(np.r_[first[1:], len(data)], end)[inside]
     first, owner = first[inside], owner[inside]
-    return owner, first - begin[owner], stop - first, grams[chosen[first].astype(np.int64)]
+    at = chosen[first].astype(np.int64)
+    half = (length - gram) // 2
+    most, least = at - first, at - stop + 1  # bytes before the trigger in the first string and in the last
+
+    def side(told: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        begin, out = begin[told], np.zeros(len(told), np.uint16)
+        wide = _mixed((sums[begin + gram + half] - sums[begin]) * inverse[begin])
+        out[told] = (wide >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+        return out
+
+    # the least of many hashes is small: mixed again, so that its first bits deal out evenly
+    trigger = (grams[at] ^ (grams[at] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return owner, first - begin[owner], stop - first, trigger, side(most >= half, at - half), side(least < half, at)
+
+
+def parse(texts: list[bytes], length: int, gram: int | None = None) -> tuple[np.ndarray, ...]:
+    """Phrases of texts of at least ``length`` bytes: text, place of the first string, strings, hash of the trigger.
+
+    A phrase spans the bytes of its strings; the next one begins with the next string. A
+    trigger has ``gram`` bytes, ``GRAM`` if not told.
+    """
+    return _parsed(texts, length, gram or GRAM)[:4]
 
 
 def _blocks(texts: pa.Array, length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -151,73 +185,110 @@ def _in_blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[pa.RecordBa
         for k, part in enumerate(parts):  # a few parts at a time, so that the arrays stay small
             size += len(part)
             if size >= PART or k + 1 == len(parts):
-                owner, *rest = parse(parts[begin:k + 1], length)
+                owner, *rest = _parsed(parts[begin:k + 1], length, GRAM)
                 found.append((owner + begin, *rest))
                 begin, size = k + 1, 0
-        owner, place, strings, trigger = (np.concatenate(c) for c in zip(*found))
-        yield batch.select([0, 1]).take(pa.array(own)), doc_of[owner], np.array(at)[owner] + place, parts, (owner, place, strings, trigger)
+        owner, place, *rest = (np.concatenate(c) for c in zip(*found))
+        yield batch.select([0, 1]).take(pa.array(own)), doc_of[owner], np.array(at)[owner] + place, parts, (owner, place, *rest)
+
+
+def _together(held: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Documents of several blocks, the document of each entry among them, and the entries' other columns."""
+    sizes = [len(docs) for docs, *_ in held]
+    names = [np.concatenate([docs.column(k).to_numpy(zero_copy_only=False) for docs, *_ in held]).astype("<i8") for k in (0, 1)]
+    doc = np.concatenate([own + a for (_, own, *_), a in zip(held, np.cumsum(sizes) - sizes)])
+    return names, doc, [np.concatenate(c) for c in zip(*(rest for _, _, *rest in held))]
+
+
+def _rows(names: list[np.ndarray], doc: np.ndarray, bucket: np.ndarray, entries: Callable[[slice, np.ndarray], tuple[list[np.ndarray], bytes]],
+          rank: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket: the entries that ``rank`` puts there, and of the documents those that have one."""
+    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)] if len(bucket) else np.zeros(1, np.int64)
+    rows = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        r = rank[a:b]
+        used, mine = np.unique(doc[r], return_inverse=True)
+        columns, extra = entries(slice(a, b), r)
+        columns = [mine.astype("<u4"), *columns, *(c[used] for c in names)]
+        rows.append((int(bucket[a]), sum(c.nbytes for c in columns) + len(extra), b - a, len(used), _packed(columns, extra)))
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)],
+                                      names=["bucket", "size", "entries", "docs", "data"])
 
 
 def _phrases(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """The parse by trigger: rows of ``bucket``, ``size``, ``entries``, ``docs`` and packed columns."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
+    gathered = GATHERED
+
+    def dealt(held: list[tuple]) -> pa.RecordBatch:
+        names, doc, (at, strings, trigger, hashes, before, behind) = _together(held)
+        rank = np.argsort(trigger, kind="stable")
+        mark = ((trigger[rank] << (np.uint64(64) - shift)) >> np.uint64(32)).astype("<u4")
+
+        def entries(own: slice, r: np.ndarray) -> tuple[list[np.ndarray], bytes]:
+            return [np.diff(mark[own], prepend=np.uint32(0)), hashes[r], at[r].astype("<u8"), strings[r].astype("<u2"), before[r], behind[r]], b""
+
+        return _rows(names, doc, (trigger[rank] >> shift).astype(np.int64), entries, rank)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for docs, doc, at, parts, (owner, place, strings, trigger) in _in_blocks(batch, length):
-                digest = xxhash.xxh3_64_intdigest
+            for docs, doc, at, parts, (owner, place, strings, trigger, before, behind) in _in_blocks(batch, length):
                 hashes = np.fromiter((digest(parts[o][p:p + n + length - 1]) for o, p, n in zip(owner.tolist(), place.tolist(), strings.tolist())),
                                      np.uint64, len(owner))
-                rank = np.argsort(trigger, kind="stable")
-                bucket = (trigger[rank] >> shift).astype(np.int64)
-                mark = ((trigger[rank] << (np.uint64(64) - shift)) >> np.uint64(32)).astype("<u4")
-                names = [c.to_numpy(zero_copy_only=False).astype("<i8") for c in docs.columns]
-                cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
-                rows = []
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    r = rank[a:b]
-                    columns = [np.diff(mark[a:b], prepend=np.uint32(0)), hashes[r], doc[r].astype("<u4"),
-                               at[r].astype("<u8"), strings[r].astype("<u2"), *names]
-                    rows.append((int(bucket[a]), sum(c.nbytes for c in columns), b - a, len(names[0]), _packed(columns)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                    names=["bucket", "size", "entries", "docs", "data"])
+                held.append((docs, doc, at, strings, trigger, hashes, before, behind))
+                count += len(owner)
+                if count >= gathered:
+                    yield dealt(held)
+                    held, count = [], 0
+        if held:
+            yield dealt(held)
 
     return docs.mapInArrow(found, "bucket int, size long, entries int, docs int, data binary")
 
 
+def _elsewhere(mark: np.ndarray, side: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which phrases share a trigger and this side of it with a phrase of another order."""
+    key = mark.astype(np.uint64) << np.uint64(16) | side
+    rank = np.argsort(key, kind="stable")
+    new = np.r_[True, key[rank][1:] != key[rank][:-1]]
+    starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+    found = np.empty(len(key), bool)
+    found[rank] = (np.maximum.reduceat(order[rank], starts) > np.minimum.reduceat(order[rank], starts))[of]
+    return found & (side > 0)
+
+
 def _classified(table: pa.Table, hot: int) -> pa.Table:
     """Of the phrases of one bucket those that are repeated, and those whose suffixes are to be sorted."""
     parts = []
     bucket = table.column("bucket")[0].as_py()
     for size, n, d, raw in zip(*(table.column(c).to_pylist() for c in ("size", "entries", "docs", "data"))):
-        (mark, digest, doc, at, strings, order, text_hash), _ = _unpacked(
-            raw, size, [(n, "<u4"), (n, "<u8"), (n, "<u4"), (n, "<u8"), (n, "<u2"), (d, "<i8"), (d, "<i8")])
-        parts.append((np.cumsum(mark, dtype=np.uint32), digest, order[doc], text_hash[doc], at.astype(np.int64), strings.astype(np.int32)))
-    mark, digest, order, text_hash, at, strings = (np.concatenate(c) for c in zip(*parts))
+        (doc, mark, digest, at, strings, before, behind, order, text_hash), _ = _unpacked(
+            raw, size, [(n, "<u4"), (n, "<u4"), (n, "<u8"), (n, "<u8"), (n, "<u2"), (n, "<u2"), (n, "<u2"), (d, "<i8"), (d, "<i8")])
+        parts.append((np.cumsum(mark, dtype=np.uint32), digest, order[doc], text_hash[doc], at.astype(np.int64), strings, before, behind))
+    mark, *columns = (np.concatenate(c) for c in zip(*parts))
     del parts
     rank = np.argsort(mark, kind="stable")
     same = mark[rank][1:] == mark[rank][:-1]
     rank = rank[np.r_[False, same] | np.r_[same, False]]  # a trigger that comes once is of no interest
-    mark, digest, order, text_hash, at, strings = (c[rank] for c in (mark, digest, order, text_hash, at, strings))
+    mark, (digest, order, text_hash, at, strings, before, behind) = mark[rank], (c[rank] for c in columns)
+    del columns
     rank = np.lexsort((order, digest, mark))
-    mark, digest, order, text_hash, at, strings = (c[rank] for c in (mark, digest, order, text_hash, at, strings))
-    new_mark = np.r_[True, mark[1:] != mark[:-1]][:len(mark)]
-    new_class = new_mark | np.r_[True, digest[1:] != digest[:-1]][:len(mark)]
-    first = order[np.flatnonzero(new_class)] if len(mark) else order
-    of_class, of_mark = np.cumsum(new_class) - 1, np.cumsum(new_mark) - 1
-    kind = np.where(order > first[of_class], _REPEATED, -1) if len(mark) else np.zeros(0, np.int64)
+    mark, digest, order, text_hash, at, strings, before, behind = (c[rank] for c in (mark, digest, order, text_hash, at, strings, before, behind))
+    kind = np.zeros(len(mark), np.int64)
     if len(mark):
-        starts = np.flatnonzero(new_mark)
-        earliest = np.minimum.reduceat(first[of_class], starts)
-        latest = np.maximum.reduceat(first[of_class], starts)
-        open_here = (kind < 0) & (latest > earliest)[of_mark]
-        many = np.bincount(of_mark[open_here], minlength=len(starts)) > hot
-        kind[open_here] = np.where(many[of_mark[open_here]], _SORT_PARTS, _SORT)
+        new_class = np.r_[True, (mark[1:] != mark[:-1]) | (digest[1:] != digest[:-1])]
+        kind = np.where(order > order[np.flatnonzero(new_class)][np.cumsum(new_class) - 1], _REPEATED, -1)
+        first = np.flatnonzero(kind < 0)  # of its class; an equal string of another class is in one of these too
+        first = first[_elsewhere(mark[first], before[first], order[first]) | _elsewhere(mark[first], behind[first], order[first])]
+        _, of, count = np.unique(mark[first], return_inverse=True, return_counts=True)
+        kind[first] = np.where((count > hot)[of], _SORT_PARTS, _SORT)
     told = np.flatnonzero(kind >= 0)
     told = told[np.lexsort((at[told], text_hash[told], order[told]))]
     return pa.table({
-        "order": order[told], "text_hash": text_hash[told], "at": at[told], "strings": strings[told],
+        "order": order[told], "text_hash": text_hash[told], "at": at[told], "strings": strings[told].astype(np.int32),
         "kind": kind[told].astype(np.int32), "route": (np.int64(bucket) << 32) | mark[told].astype(np.int64)})
 
 
@@ -255,36 +326,41 @@ Cut = tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.
 
 
 def _sent(cuts: Callable[[pa.RecordBatch], Iterator[Cut]], length: int, buckets: int) -> Callable:
-    """Pieces of documents to the buckets where their suffixes are sorted, packed by block."""
+    """Pieces of documents to the buckets where their suffixes are sorted, packed by some ``SENT`` bytes."""
+    most = SENT
+
+    def dealt(held: list[tuple], pieces: list[bytes]) -> pa.RecordBatch:
+        names, doc, (at, route, hot) = _together(held)
+        if hot.any():  # in parts, each by the hash of its own trigger
+            alone, keep = np.flatnonzero(hot), np.flatnonzero(~hot)
+            found = zip(*_cut_anew([pieces[k] for k in alone.tolist()], length))
+            owner, place, strings, trigger = (np.concatenate(c) for c in found)
+            of = alone[owner]
+            doc, at = np.r_[doc[keep], doc[of]], np.r_[at[keep], at[of] + place]
+            route = np.r_[route[keep], (trigger >> np.uint64(1)).astype(np.int64)]
+            pieces = [pieces[k] for k in keep.tolist()] + [
+                pieces[k][p:p + n + length - 1] for k, p, n in zip(of.tolist(), place.tolist(), strings.tolist())]
+        bucket = (route.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
+        rank = np.argsort(bucket, kind="stable")
+
+        def entries(_: slice, r: np.ndarray) -> tuple[list[np.ndarray], bytes]:
+            own = [pieces[k] for k in r.tolist()]
+            return [at[r].astype("<u8"), np.array([len(x) for x in own], "<u4")], b"".join(own)
+
+        return _rows(names, doc, bucket[rank], entries, rank)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, gathered, size = [], [], 0
         for batch in batches:
             for docs, doc, at, pieces, route, hot in cuts(batch):
-                if hot.any():  # in parts, each by the hash of its own trigger
-                    alone, keep = np.flatnonzero(hot), np.flatnonzero(~hot)
-                    found = zip(*_cut_anew([pieces[k] for k in alone.tolist()], length))
-                    owner, place, strings, trigger = (np.concatenate(c) for c in found)
-                    of = alone[owner]
-                    doc, at = np.r_[doc[keep], doc[of]], np.r_[at[keep], at[of] + place]
-                    route = np.r_[route[keep], (trigger >> np.uint64(1)).astype(np.int64)]
-                    pieces = [pieces[k] for k in keep.tolist()] + [
-                        pieces[k][p:p + n + length - 1] for k, p, n in zip(of.tolist(), place.tolist(), strings.tolist())]
-                bucket = (route.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
-                names = [c.to_numpy(zero_copy_only=False).astype("<i8") for c in docs.columns]
-                rank = np.argsort(bucket, kind="stable")
-                ends = np.r_[0, np.flatnonzero(np.diff(bucket[rank])) + 1, len(rank)] if len(rank) else np.zeros(1, np.int64)
-                rows = []
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                    r = rank[a:b]
-                    used, mine = np.unique(doc[r], return_inverse=True)
-                    text = b"".join(pieces[k] for k in r.tolist())
-                    columns = [mine.astype("<u4"), at[r].astype("<u8"), np.array([len(pieces[k]) for k in r.tolist()], "<u4"),
-                               *(c[used] for c in names)]
-                    rows.append((int(bucket[r[0]]), sum(c.nbytes for c in columns) + len(text), b - a, len(used), _packed(columns, text)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                        names=["bucket", "size", "entries", "docs", "data"])
+                held.append((docs, doc, at, route, hot))
+                gathered += pieces
+                size += sum(map(len, pieces)) + 16 * len(docs)
+                if size >= most:
+                    yield dealt(held, gathered)
+                    held, gathered, size = [], [], 0
+        if held:
+            yield dealt(held, gathered)
 
     return send
 
@@ -365,7 +441,7 @@ def _sorted_spans(docs: DataFrame, wanted: DataFrame, length: int, buckets: int)
 
         def marked(batch: pa.RecordBatch) -> Iterator[Cut]:
             bits, hot = shared.value
-            for own, doc, at, texts, (owner, place, strings, trigger) in _in_blocks(batch, length):
+            for own, doc, at, texts, (owner, place, strings, trigger, *_) in _in_blocks(batch, length):
                 order, text_hash = (c.to_numpy(zero_copy_only=False)[doc] for c in own.columns)
                 slot = _place_key(order, text_hash, at) & np.uint64(len(bits) * 8 - 1)
                 rows = np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
@@ -379,11 +455,22 @@ def _sorted_spans(docs: DataFrame, wanted: DataFrame, length: int, buckets: int)
         beside = docs.dropDuplicates(["order", "text_hash"]).join(listed, ["order", "text_hash"]).select("order", "text_hash", "text", "wanted")
 
         def listed_cuts(batch: pa.RecordBatch) -> Iterator[Cut]:
-            for row, (text, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                at = np.array([p["at"] for p in places], np.int64)
-                pieces = [text[p["at"]:p["at"] + p["strings"] + length - 1] for p in places]
-                yield (batch.select([0, 1]).slice(row, 1), np.zeros(len(at), np.int64), at, pieces,
-                       np.array([p["route"] for p in places], np.int64), np.array([p["kind"] == _SORT_PARTS for p in places]))
+            lists = batch.column(3)
+            to, flat = lists.offsets.to_numpy(), lists.flatten()
+            to = to - to[0]
+            at, strings, route, kind = (flat.field(name).to_numpy() for name in ("at", "strings", "route", "kind"))
+            owner = np.repeat(np.arange(len(to) - 1), np.diff(to))
+            stops = at + strings + (length - 1)
+            pieces, first, size = [], 0, 0
+            for row, value in enumerate(batch.column(2)):  # one text at a time leaves the batch
+                text = value.as_py()
+                pieces += [text[a:b] for a, b in zip(at[to[row]:to[row + 1]].tolist(), stops[to[row]:to[row + 1]].tolist())]
+                size += len(text)
+                if size >= BLOCK or row + 2 == len(to):
+                    own = slice(to[first], to[row + 1])
+                    yield (batch.select([0, 1]).slice(first, row + 1 - first), owner[own] - first, at[own], pieces, route[own],
+                           kind[own] == _SORT_PARTS)
+                    pieces, first, size = [], row + 1, 0
 
         cut = beside.mapInArrow(_sent(listed_cuts, length, parts), "bucket int, size long, entries int, docs int, data binary")
     return cut.groupBy("bucket").applyInArrow(_sorted(length), _SPAN)
@@ -439,6 +526,18 @@ def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     return _merged(marked, length)
 
 
+def _told_apart(own: DataFrame) -> Column:
+    """What tells a text from others of the same ``order``: its hash, 0 where the order does by itself."""
+    spark = own.sparkSession
+    text_hash = F.xxhash64("text")
+    stage = scratch_path(spark, "orders")
+    sides = own.groupBy("order").agg(F.min(text_hash).alias("least"), F.max(text_hash).alias("most"))
+    sides.where("least < most").select("order").write.parquet(stage)
+    several = spark.read.schema("order long").parquet(stage)
+    none = F.col("order").bitwiseAND(F.lit(0).cast("long"))  # no constant: that would drop out of some of the keys, and texts be exchanged twice
+    return none if several.isEmpty() else F.when(key_filter(several)(F.col("order")), text_hash).otherwise(none)
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document without the bytes that earlier documents hold.
 
@@ -452,7 +551,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("order"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    own = own.withColumn("text_hash", F.xxhash64("text"))
+    own = own.withColumn("text_hash", _told_apart(own))
     stage = scratch_path(spark, "removed")
     repeated_runs(own.select("order", "text_hash", "text"), length).write.parquet(stage)
     runs = spark.read.schema("order long, text_hash long, removed array<struct<from:long,to:long>>").parquet(stage)

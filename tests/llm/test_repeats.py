@@ -136,6 +136,89 @@ def test_places_that_nobody_asked_for_go_by_their_trigger(spark, monkeypatch):
     assert phrases <= sent <= 2.5 * phrases
 
 
+class Direct:
+    """Takes what a frame would run on its batches."""
+
+    def mapInArrow(self, found, schema):
+        return found
+
+
+def dealt_phrases(texts, buckets):
+    batch = pa.record_batch({"order": pa.array(range(len(texts)), pa.int64()), "text_hash": pa.array([0] * len(texts), pa.int64()), "text": texts})
+    return pa.Table.from_batches(repeats._phrases(Direct(), 50, buckets)(iter([batch])))
+
+
+def test_triggers_fill_their_buckets_evenly():
+    """A trigger is the least of many hashes; by its first bits as they are most phrases would meet in one bucket."""
+    trigger = repeats.parse([prose(k, 3000).encode() for k in range(6)], 50)[3]
+    counts = np.bincount((trigger >> np.uint64(60)).astype(int), minlength=16)
+    assert len(trigger) > 5000 and counts.max() < 1.5 * counts.mean()
+
+
+def test_rows_of_phrases_grow_with_the_phrases_not_with_blocks_and_buckets(monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 2000)
+    texts = [prose(k, 60).encode() for k in range(200)]
+    rows = dealt_phrases(texts, 64)
+    entries, docs = (sum(rows.column(c).to_pylist()) for c in ("entries", "docs"))
+    assert len(rows) <= 64 and entries == len(repeats.parse(texts, 50)[0])
+    assert docs <= entries  # only documents that have a phrase in the row
+    monkeypatch.setattr(repeats, "GATHERED", entries // 4)
+    assert 64 < len(dealt_phrases(texts, 64)) <= 4 * 64
+
+
+def test_phrases_that_share_a_trigger_but_neither_side_are_not_sorted():
+    r = random.Random(4)
+
+    def letters(n):
+        return "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+    def kinds(size):
+        """Forty passages of this size, each in two texts that have nothing else in common: shared triggers, phrases by kind."""
+        texts = [(letters(150) + "#" + middle + "#" + letters(150)).encode() for middle in (letters(size) for _ in range(40)) for _ in range(2)]
+        rows = dealt_phrases(texts, 2)
+        found = pa.concat_tables(repeats._classified(rows.filter(pc.equal(rows.column("bucket"), b)), 1000) for b in pc.unique(rows.column("bucket")))
+        first, second = (repeats.parse(texts[k::2], 50)[3] for k in range(2))
+        return len(np.intersect1d(first, second)), Counter(found.column("kind").to_pylist())
+
+    shared, told = kinds(28)
+    assert shared > 10 and not told
+    shared, told = kinds(60)
+    assert shared >= 40 and told[repeats._SORT] >= 80
+
+
+def test_documents_that_places_are_joined_to_are_sent_together(spark, monkeypatch):
+    rows = [(k, k, (prose(k, 20) + " the passage that stands in all of them, word for word as it is " + prose(k + 500, 20)).encode())
+            for k in range(60)]
+    docs = spark.createDataFrame(rows, "order long, text_hash long, text binary").coalesce(1)
+
+    def counted(*args, real=repeats._sent):
+        def send(batches):
+            for batch in real(*args)(batches):
+                with open(path, "a") as out:
+                    out.write(f"{len(batch)}\n")
+                yield batch
+        return send
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{folder}/sent"
+        monkeypatch.setattr(repeats, "TOLD", 0)
+        monkeypatch.setattr(repeats, "_sent", counted)
+        assert repeats.repeated_runs(docs, 50).count() == 59
+        assert len(open(path).readlines()) <= 20  # one for each task, not for each document
+
+
+def test_a_hash_of_the_text_goes_along_only_where_ids_do_not_tell_it(spark):
+    def told(rows):
+        own = spark.createDataFrame(rows, "order long, text binary")
+        return {(r["order"], r["text"]): r["h"] for r in own.withColumn("h", repeats._told_apart(own)).collect()}
+
+    once = [(k, prose(k, 10).encode()) for k in range(20)]
+    assert set(told([*once, once[3]]).values()) == {0}  # a row that comes twice is one text
+    found = told([*once, (3, b"another"), (3, b"a third"), (repeats.LAST, b"x"), (repeats.LAST, b"y")])
+    assert len({h for (o, _), h in found.items() if o == 3}) == 3 and len({h for (o, _), h in found.items() if o == repeats.LAST}) == 2
+    assert sum(h == 0 for h in found.values()) >= 15
+
+
 def test_suffixes_sort_as_bytes_do():
     data = np.frombuffer((b"abracadabra" * 9 + bytes(range(1, 60))) * 2 + b"\xff" * 60, np.uint8)
     raw = bytes(data)
