@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backtrail.llm.common import key_filter, shuffle_parts, slot_bits
@@ -36,9 +36,9 @@ GRAM = 16
 #: Bytes whose phrases a task holds at once, and bytes that it parses together; a longer text is parsed in parts.
 BLOCK, PART = 1 << 20, 1 << 18
 #: Phrases, and bytes of phrases to be sorted, that a task gathers before it deals them out: a row holds what goes to one bucket.
-GATHERED, SENT = 1 << 19, 1 << 22
+GATHERED, SENT = 1 << 18, 1 << 22
 #: Phrases whose triggers are compared together, and bytes whose suffixes are sorted together, on average.
-PHRASES, SORTED = 1 << 20, 1 << 20
+PHRASES, SORTED = 1 << 19, 1 << 20
 #: A trigger with more different phrases has them cut anew by longer grams, of a string less ``NEAR`` bytes; the
 #: parts are compared wherever theirs are sorted.
 HOT, NEAR = 20_000, 10
@@ -500,6 +500,12 @@ def _merged(marked: DataFrame, length: int) -> DataFrame:
     return marked.withColumn("removed", runs("places")).drop("places")
 
 
+def _shuffled_files_go(spark: SparkSession) -> None:
+    """What finished jobs have shuffled is removed now, not when the driver happens to collect its garbage."""
+    for _ in range(2):  # the first only finds what held them
+        spark.sparkContext._jvm.System.gc()
+
+
 def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     """``order``, ``text_hash`` and ``removed`` of the documents that hold strings of earlier ones.
 
@@ -519,6 +525,7 @@ def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
 
     found = _phrases(docs, length, buckets).groupBy("bucket").applyInArrow(classify, _FOUND)
     found.write.option("compression", "zstd").parquet(stage)
+    _shuffled_files_go(spark)
     known = spark.read.schema(_FOUND).parquet(stage)
     spans = known.where(F.col("kind") == _REPEATED).select("order", "text_hash", "at", "strings")
     spans = spans.unionByName(_sorted_spans(docs, known.where(F.col("kind") != _REPEATED), length, buckets))
@@ -554,6 +561,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     own = own.withColumn("text_hash", _told_apart(own))
     stage = scratch_path(spark, "removed")
     repeated_runs(own.select("order", "text_hash", "text"), length).write.parquet(stage)
+    _shuffled_files_go(spark)
     runs = spark.read.schema("order long, text_hash long, removed array<struct<from:long,to:long>>").parquet(stage)
     key = F.xxhash64("order", "text_hash")
     maybe = key_filter(runs.select(key.alias("key")))
